@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tuneline.llm import mixing, quality_rules, token_counts, url_filter
+from tuneline.llm import bpe, mixing, quality_rules, token_counts, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_bpe": bpe.op3_bpe,
     "op5_token_counts": token_counts.op5_token_counts,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filter": url_filter.op10_url_filter,
