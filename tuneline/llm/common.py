@@ -29,3 +29,21 @@ def count_words(c: Column) -> Column:
 def escape(literal: str) -> str:
     """A literal as a regular expression that Java and RE2 read alike."""
     return re.sub(r"([^\w])", r"\\\1", literal)
+
+
+def held_out(id_col: str, mod: int, rest: int) -> Column:
+    """Whether a row's label may not be learned from: crc32 of its id as text leaves ``rest``."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == rest, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: dict[int, int], allowed: Column) -> DataFrame:
+    """Texts and labels to fit on: for each label at most ``most[label]`` rows, those with the smallest hash of their id.
+
+    The bound makes the sample's ids small enough to broadcast, whatever the tables' sizes.
+    """
+    rows = labels.where(allowed & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_key"), F.col(label_col).cast("int").alias("_label"))
+    picked = None
+    for label, n in most.items():
+        part = rows.where(F.col("_label") == label).orderBy(F.xxhash64(F.col("_key").cast("string")), "_key").limit(n)
+        picked = part if picked is None else picked.unionByName(part)
+    return docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_key").select("_text", "_label", "_key")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tuneline.llm import bpe, mixing, quality_rules, token_counts, url_filter
+from tuneline.llm import bpe, mixing, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_bpe": bpe.op3_bpe,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filter": url_filter.op10_url_filter,
 }
