@@ -28,6 +28,8 @@ PER_WORD = 1 + len(BEGINNINGS)
 #: Start of the bias: a sentence is innocent until shown otherwise.
 INNOCENT = -5.0
 THRESHOLD = 0.3
+#: Documents of the sample that a term must be in to get a weight.
+LEAST_DOCS = 5
 
 _TOKEN = re.compile(r"\w+|[.!?\n]")
 _END = re.compile(r"[.!?\n]")
@@ -52,36 +54,42 @@ def _numbered() -> dict[str, int]:
     return {c: i for i, c in enumerate(".!?\n")}
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 120, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias that make the noisy-or of sentences fit the documents' labels (Adam on the whole sample).
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prevalence: float, rounds: int = 120, rate: float = 0.1, sparsity: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias that make the noisy-or of sentences fit the documents' labels.
 
-    A bag is its term numbers, PER_WORD of them a word, and each word's sentence.
+    A bag is its term numbers, PER_WORD of them a word, and each word's sentence. Adam over
+    the whole sample, with soft thresholding that leaves most weights zero; terms of fewer
+    than LEAST_DOCS documents have none. The labels weigh as ``prevalence`` says, so that
+    scores are probabilities in the table and not in the sample.
     """
     weight, bias = np.zeros(TERMS), INNOCENT
     if not len(bags) or labels.min(initial=1) == labels.max(initial=0):
         return weight, bias
+    seen = np.zeros(TERMS, np.int64)
+    for t, _ in bags:
+        seen[np.unique(t)] += 1
     sizes, sentence, base = [], [], 0
     for _, s in bags:
         _, dense = np.unique(s, return_inverse=True)
         sentence.append(dense + base)
-        n = int(dense.max(initial=-1)) + 1
-        sizes.append(n)
-        base += n
-    terms, sentence = np.concatenate([t for t, _ in bags]), np.concatenate(sentence)
-    used, terms = np.unique(terms, return_inverse=True)
-    of_term, owner = np.repeat(sentence, PER_WORD), np.repeat(np.arange(len(bags)), sizes)
-    w, first, second = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    w[-1] = bias
-    share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
+        sizes.append(int(dense.max(initial=-1)) + 1)
+        base += sizes[-1]
+    terms, of_term = np.concatenate([t for t, _ in bags]), np.repeat(np.concatenate(sentence), PER_WORD)
+    often = seen[terms] >= LEAST_DOCS
+    used, terms = np.unique(terms[often], return_inverse=True)
+    of_term, owner = of_term[often], np.repeat(np.arange(len(bags)), sizes)
+    w, first, second = np.append(np.zeros(len(used)), bias), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    share = np.where(labels == 1, prevalence / (labels == 1).sum(), (1 - prevalence) / (labels == 0).sum())
     for t in range(1, rounds + 1):
-        logit = np.clip(np.bincount(of_term, w[terms], base) + w[-1], -30, 30)
-        p = 1 / (1 + np.exp(-logit))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(of_term, w[terms], base) + w[-1], -30, 30)))
         clean = np.bincount(owner, np.log1p(-p), len(bags))
         toxic = np.maximum(-np.expm1(clean), 1e-9)
         slope = p * np.where(labels == 1, -np.exp(clean) / toxic, 1.0)[owner] * share[owner]
-        grad = np.append(np.bincount(terms, slope[of_term], len(used)), slope.sum()) + decay * np.append(w[:-1], 0) / len(bags)
+        grad = np.append(np.bincount(terms, slope[of_term], len(used)), slope.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
-        w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
+        step = rate / (np.sqrt(second / (1 - 0.99**t)) + 1e-5)
+        w -= step * first / (1 - 0.9**t)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - step[:-1] * sparsity, 0)
     weight[used] = w[:-1]
     return weight, float(w[-1])
 
@@ -133,7 +141,8 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
     got = rows.select("_text", "_label", "_key").mapInArrow(_bags, f"terms binary, sentences binary, label int, key {kind}").collect()
     got.sort(key=lambda r: (str(r["key"]), r["terms"]))
     bags = [(np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["sentences"], "<i4")) for r in got]
-    known = docs.sparkSession.sparkContext.broadcast(fit(bags, np.array([r["label"] for r in got], int)))
+    share = labels.where(learn_from).agg(F.avg(F.col(label_col).cast("double"))).first()[0] or 0.0
+    known = docs.sparkSession.sparkContext.broadcast(fit(bags, np.array([r["label"] for r in got], int), share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = SentenceModel(*known.value)
