@@ -8,12 +8,12 @@ boundaries, so a text's ids are those of its words in turn.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import os
 import re
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -277,7 +277,8 @@ def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS, text_co
     words = [w for w in frequent_words(docs, path, most, text_col) if w and w not in special]
     ids, sizes = bpe.merge_all([w.decode("utf-8", "surrogatepass") for w in words])
     data = compile_words(words, ids, sizes)
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
+    # A name is registered once in a session, so each compilation has its own.
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
     file = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
     with open(file, "wb") as f:
         f.write(data)
