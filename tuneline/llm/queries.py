@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tuneline.llm import bpe, mixing, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from tuneline.llm import bpe, mixing, near_dup, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_token_counts": token_counts.op5_token_counts,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_near_dup": near_dup.op8_near_dup,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filter": url_filter.op10_url_filter,
 }
