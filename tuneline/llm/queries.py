@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tuneline.llm import bpe, mixing, near_dup, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from tuneline.llm import bpe, line_dedup, mixing, near_dup, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_bpe": bpe.op3_bpe,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
