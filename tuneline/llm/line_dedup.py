@@ -130,3 +130,12 @@ r as (
 select o.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, length(cleaned) as n_chars, md5(cleaned) as text_md5
 from documents o left join r on o.doc_id = r.doc_id and o.text = r.text
 """
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` without repeated runs of lines; texts that lose every line go, and ``chars_col`` (where there is one) follows the text."""
+    columns = docs.columns
+    out = cleaned(docs, id_col, text_col).where((F.col("_removed") == 0) | (F.col("_removed") < F.col("_lines")))
+    if chars_col in columns:
+        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return out.select(*columns)

@@ -347,3 +347,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one of the smallest id (rows that share an id stay together)."""
+    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

@@ -76,7 +76,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column(1), b.column(2)], ["terms", "label", "key"])
 
 
-def score(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
     """One row a document: id, score (0 to 1) and the columns named in ``keep``.
 
     ``learn_from`` says which rows of ``labels`` may be learned from. Empty and null texts
@@ -103,11 +103,13 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
                 scores = vote(_unit((found - mean) @ space), voters, own)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores)], names)
 
-    kept = [c for c in keep if c != id_col]
-    names = ["_id", *kept, "score"]
-    schema = ", ".join([f"_id {kind}", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "score double"])
-    held = docs.select(F.col(id_col).alias("_id"), *kept, F.col(text_col).alias("_text"))
-    return held.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    # Positions name the columns inside, so that no name of the caller's can clash.
+    kept = [id_col, *(c for c in keep if c != id_col)]
+    names = [f"c{i}" for i in range(len(kept))] + ["score"]
+    schema = ", ".join([f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, kept, strict=False)] + ["score double"])
+    held = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=False)), F.col(text_col).alias("_text"))
+    out = held.mapInArrow(run, schema)
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, kept, strict=False)), F.col("score").alias(score_col))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,5 +120,6 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score at least ``threshold``, with all their columns."""
     columns = docs.columns
-    out = score(docs, labels, ~held_out("doc_id", 3, 1), keep=tuple(columns))
-    return out.where(F.col("score") >= threshold).select(*columns)
+    own = "_" * max(map(len, columns)) + "score"
+    out = score(docs, labels, ~held_out("doc_id", 3, 1), keep=tuple(columns), score_col=own)
+    return out.where(F.col(own) >= threshold).select(*(F.col(f"`{c}`") for c in columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tuneline.llm import bpe, line_dedup, mixing, near_dup, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from tuneline.llm import bpe, line_dedup, mixing, near_dup, nearest, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_nearest": nearest.op6_nearest,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_near_dup": near_dup.op8_near_dup,
     "op9_mixing": mixing.op9_mixing,
