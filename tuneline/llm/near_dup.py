@@ -4,9 +4,10 @@ Each distinct shingle set has one signature. The forest's trees are orders of th
 signatures, each by its own hash values: neighbours in an order share a long prefix. A
 region is a run of an order whose first values agree. Small regions are compared whole, by
 estimate; in larger ones each row is compared with its neighbours in the order and with
-the region's medoids, found by going deeper where rows differ, and a second round compares
-what is left between different components there, so that a dense region costs rows and
-not pairs. Candidates are confirmed on the full sets, blocks of them side by side.
+the region's medoids, found by going deeper where rows differ, and a second round looks at
+what the estimate still allows between different components there. Candidates are
+confirmed on the full sets, blocks of documents side by side; only links leave a task, so
+a dense region costs rows and not pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ TREES, VALUES, PREFIX = 16, 6, 3
 HASHES = TREES * VALUES
 #: Rows of a region that are compared whole; rows taken at once in a larger one.
 WHOLE, CHUNK = 64, 4096
-#: Links confirmed together at most.
-LINKS = 2_000
+#: Links confirmed together at most; documents, and shingles, of a block of the second round.
+LINKS, BLOCK, BLOCK_SHINGLES = 2_000, 2_048, 2_000_000
 
 _RNG = np.random.default_rng(85)
 _A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -212,8 +213,21 @@ def _first_round(least: float):
     return run
 
 
+def _join_up(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Give the ends of all edges (i, j), and what they were joined with before, the same least label."""
+    while True:
+        x, y = label[i], label[j]
+        apart = x != y
+        if not apart.any():
+            return
+        i, j = i[apart], j[apart]
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label != label[label]).any():
+            label[:] = label[label]
+
+
 def _second_round(least: float):
-    """Of large regions, all pairs of different components that the estimate allows."""
+    """Of large regions, what connects the pairs of different components that the estimate allows: a forest, so rows and not pairs."""
 
     def run(batches):
         parts = []
@@ -224,17 +238,63 @@ def _second_round(least: float):
             ids, marks, component = _columns([x for h in parts for x in h])
             if (component == component[0]).all():
                 continue
+            label = np.arange(len(ids))
             for at in range(0, len(ids), 512):
                 for then in range(at, len(ids), CHUNK):
                     other = component[at : at + 512, None] != component[None, then : then + CHUNK]
                     if other.any():
                         i, j = np.nonzero(other & (_agree(marks[at : at + 512], marks[then : then + CHUNK]) >= least))
-                        yield _out([(ids[at + i], ids[then + j])])
+                        _join_up(label, at + i, then + j)
+            yield _out([(ids, ids[label])])
         yield _out([])
 
     return run
 
 
+def _confirm_blocks(words: int, percent: int, least: float):
+    """Links between different components among the documents of two blocks (or one), as many as join them up."""
+
+    def links(rows: list[tuple], known: dict[bytes, int]) -> pa.RecordBatch:
+        side = np.array([r[1] for r in rows])
+        ids, parts = [r[2] for r in rows], np.array([r[3] for r in rows])
+        marks = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), HASHES)
+        sets = [shingles(r[5], words, known) for r in rows]
+        size = np.array([len(x) for x in sets])
+        names, label = np.unique(parts, return_inverse=True)
+        label, up = label.astype(np.int64), np.arange(len(names))
+        first, second = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+        a, b = [], []
+        for at in range(0, len(first), 512):
+            rows_ = first[at : at + 512]
+            open_ = up[label[rows_]][:, None] != up[label[second]][None]
+            open_ &= 100 * np.minimum(size[rows_][:, None], size[second][None]) >= percent * np.maximum(size[rows_][:, None], size[second][None])
+            if not open_.any():
+                continue
+            i, j = np.nonzero(open_ & (_agree(marks[rows_], marks[second]) >= least))
+            for x, y in zip(rows_[i].tolist(), second[j].tolist(), strict=True):
+                if up[label[x]] == up[label[y]]:
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    a.append(ids[x]), b.append(ids[y])
+                    _join_up(up, label[[x]], label[[y]])
+        return _out([(np.array(a, np.int64), np.array(b, np.int64))])
+
+    def run(batches):
+        known: dict[bytes, int] = {}
+        rows: list[tuple] = []
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if rows and rows[0][0] != r[0]:
+                    yield links(rows, known)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield links(rows, known)
+
+    return run
+
+
 def _confirm(words: int, percent: int):
     """Links among the documents of a block, whose rows lie together."""
 
@@ -287,6 +347,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return rows.repartition("place").sortWithinPartitions("place").mapInArrow(_confirm(words, percent), _PAIR).distinct()
 
 
+def confirmed_in_blocks(forest: DataFrame, signs: DataFrame, docs: DataFrame, words: int, percent: int, least: float) -> DataFrame:
+    """Links among documents that ``forest`` connects. ``signs`` has id, n_shingles, marks and component.
+
+    A connected part of over BLOCK documents, or BLOCK_SHINGLES shingles, is dealt into blocks;
+    every two of them meet once, so that no task holds more than two.
+    """
+    part = components(forest).withColumnRenamed("component", "part")
+    rows = signs.join(part, "id")
+    weight = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+    rows = rows.join(rows.groupBy("part").agg(F.ceil(weight).cast("int").alias("blocks")), "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    seats = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    seats = seats.select(F.concat_ws(":", "part", F.least("block", "other"), F.greatest("block", "other")).alias("place"), "block", "id", "component", "marks")
+    held = seats.join(docs.select(F.col("_id").alias("id"), "_text"), "id").select("place", "block", "id", "component", "marks", "_text")
+    return held.repartition("place").sortWithinPartitions("place").mapInArrow(_confirm_blocks(words, percent, least), _PAIR).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each linked id reaches. Labels pass to neighbours and jump to their label's label until none changes."""
     both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -326,16 +402,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tree = tree.select(F.expr(f"concat(unhex(lpad(hex(tree), 2, '0')), substring(sign, tree * {4 * VALUES} + 1, {4 * PREFIX}))").alias("region"), value.alias("value"), "id", "marks", *more)
         return tree.repartition("region").sortWithinPartitions("region", "value").drop("value")
 
-    signs = tagged.where(first).select("id", "sign", "marks")
+    signs = tagged.where(first).select("id", "n_shingles", "sign", "marks")
     pairs = materialize(orders(signs).mapInArrow(_first_round(least), _PAIR).distinct(), "pairs")
     links = materialize(confirmed(pairs.where("a <> b"), docs, words, percent), "links")
     group = components(links)
     dense = pairs.where("a = b").select(F.col("a").alias("id"))
     if not dense.isEmpty():
         again = signs.join(dense.distinct(), "id").join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        more = materialize(orders(again, "component").mapInArrow(_second_round(least), _PAIR).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            new = materialize(confirmed(more, docs, words, percent), "links")
+        again = materialize(again, "dense")
+        forest = materialize(orders(again, "component").mapInArrow(_second_round(least), _PAIR).where("a <> b").distinct(), "forest")
+        if not forest.isEmpty():
+            new = materialize(confirmed_in_blocks(forest, again, docs, words, percent, least), "links")
             if not new.isEmpty():
                 group = components(links.unionByName(new))
     group = group.select(F.col("id").alias("first"), "component")
