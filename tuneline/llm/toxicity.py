@@ -30,6 +30,8 @@ INNOCENT = -5.0
 THRESHOLD = 0.3
 #: Documents of the sample that a term must be in to get a weight.
 LEAST_DOCS = 5
+#: Terms that can get a weight: those that tell the labels apart best.
+MOST_TERMS = 8_192
 
 _TOKEN = re.compile(r"\w+|[.!?\n]")
 _END = re.compile(r"[.!?\n]")
@@ -54,30 +56,41 @@ def _numbered() -> dict[str, int]:
     return {c: i for i, c in enumerate(".!?\n")}
 
 
+def _telling(in_toxic: np.ndarray, in_clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """The MOST_TERMS terms whose share of documents differs most between the labels, in standard errors; those of LEAST_DOCS documents at least."""
+    a, b = in_toxic / max(1, n_toxic), in_clean / max(1, n_clean)
+    both = (in_toxic + in_clean) / max(1, n_toxic + n_clean)
+    gap = np.abs(a - b) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / max(1, n_toxic) + 1 / max(1, n_clean)))
+    gap[in_toxic + in_clean < LEAST_DOCS] = 0
+    return np.sort(np.argsort(-gap, kind="stable")[: min(MOST_TERMS, int((gap > 0).sum()))])
+
+
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prevalence: float, rounds: int = 120, rate: float = 0.1, sparsity: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that make the noisy-or of sentences fit the documents' labels.
 
     A bag is its term numbers, PER_WORD of them a word, and each word's sentence. Adam over
-    the whole sample, with soft thresholding that leaves most weights zero; terms of fewer
-    than LEAST_DOCS documents have none. The labels weigh as ``prevalence`` says, so that
+    the whole sample, with soft thresholding that leaves most weights zero, over the terms
+    that tell the labels apart best. The labels weigh as ``prevalence`` says, so that
     scores are probabilities in the table and not in the sample.
     """
     weight, bias = np.zeros(TERMS), INNOCENT
     if not len(bags) or labels.min(initial=1) == labels.max(initial=0):
         return weight, bias
-    seen = np.zeros(TERMS, np.int64)
-    for t, _ in bags:
-        seen[np.unique(t)] += 1
-    sizes, sentence, base = [], [], 0
-    for _, s in bags:
+    in_toxic, in_clean = np.zeros(TERMS, np.int32), np.zeros(TERMS, np.int32)
+    for (t, _), y in zip(bags, labels, strict=True):
+        (in_toxic if y == 1 else in_clean)[np.unique(t)] += 1
+    used = _telling(in_toxic, in_clean, int((labels == 1).sum()), int((labels == 0).sum()))
+    slot = np.full(TERMS, -1, np.int32)
+    slot[used] = np.arange(len(used))
+    kept, of, sizes, base = [], [], [], 0
+    for t, s in bags:
         _, dense = np.unique(s, return_inverse=True)
-        sentence.append(dense + base)
+        own = slot[t]
+        kept.append(own[own >= 0])
+        of.append((np.repeat(dense, PER_WORD)[own >= 0] + base).astype(np.int32))
         sizes.append(int(dense.max(initial=-1)) + 1)
         base += sizes[-1]
-    terms, of_term = np.concatenate([t for t, _ in bags]), np.repeat(np.concatenate(sentence), PER_WORD)
-    often = seen[terms] >= LEAST_DOCS
-    used, terms = np.unique(terms[often], return_inverse=True)
-    of_term, owner = of_term[often], np.repeat(np.arange(len(bags)), sizes)
+    terms, of_term, owner = np.concatenate(kept), np.concatenate(of), np.repeat(np.arange(len(bags)), sizes)
     w, first, second = np.append(np.zeros(len(used)), bias), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     share = np.where(labels == 1, prevalence / (labels == 1).sum(), (1 - prevalence) / (labels == 0).sum())
     for t in range(1, rounds + 1):
