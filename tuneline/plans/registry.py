@@ -1,6 +1,539 @@
-"""Registered queries of the library and the SQL that checks them."""
+"""Registered queries of the library, each over whole tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tuneline.functions import scalars as S
+from tuneline.functions.scalars import Factor
+from tuneline.operators import evaluate, factors, frontier, linalg, metrics, relational, sampling, search, surface
+from tuneline.plans import pipeline, views
+from tuneline.plans.views import table
+from tuneline.session import scratch_root
+from tuneline.sources import tables
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, view: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame, with its SQL over a view of views.SQL or over the tables."""
+
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = f"with {views.SQL[view]}\n{sql}" if view else sql
+        return f
+
+    return put
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{scratch_root(spark)}/tuneline/{name}-{uuid.uuid4().hex}"
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+# Sources and sinks
+
+
+@query("O01_read_table", "select l_returnflag, count(*) as n, sum(l_orderkey)::bigint as keys from lineitem group by l_returnflag")
+def _o01(spark, d):
+    return tables.read_table(spark, f"{d}/lineitem.parquet").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+@query("O02_split_label", "select o_orderkey, o_totalprice, case o_orderstatus when 'F' then 1 when 'O' then 0 end as label from orders")
+def _o02(spark, d):
+    return tables.split_label(table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderstatus").alias("class")), label_map={"F": 1, "O": 0})
+
+
+def _part_text(spark: SparkSession, d: str) -> str:
+    path = _folder(spark, "part-text")
+    tables.write_decimal_comma(table(spark, d, "part").select("p_partkey", F.col("p_name").alias(" p_name "), "p_size", "p_retailprice"), path)
+    return path
+
+
+@query("O03_read_csv_auto", "select p_partkey::double as p_partkey, p_name, p_size::double as p_size, p_retailprice from part")
+def _o03(spark, d):
+    return tables.read_csv_auto(spark, _part_text(spark, d)).select("p_partkey", "p_name", "p_size", "p_retailprice")
+
+
+@query("O04_read_decimal_comma", "select p_partkey::varchar as p_partkey, p_retailprice from part")
+def _o04(spark, d):
+    return tables.read_decimal_comma(spark, _part_text(spark, d), ["p_retailprice"]).select("p_partkey", "p_retailprice")
+
+
+@query("O05_write_decimal_comma", "select c_custkey::varchar as c_custkey, replace(c_acctbal::varchar, '.', ',') as c_acctbal from customer")
+def _o05(spark, d):
+    path = _folder(spark, "customer-text")
+    tables.write_decimal_comma(table(spark, d, "customer").select("c_custkey", "c_acctbal"), path)
+    return tables.read_text_columns(spark, path, ";")
+
+
+@query("O06_read_terms", "select p_type as term, sum(p_size)::double as coef from part group by p_type")
+def _o06(spark, d):
+    path = _folder(spark, "terms")
+    tables.export_terms(table(spark, d, "part").groupBy(F.col("p_type").alias("term")).agg(F.sum("p_size").cast("double").alias("coef")), path)
+    return tables.read_terms(spark, path)
+
+
+@query("O07_read_candidates", "select p_partkey as config_id, p_size::double as a, p_partkey::double as b from part where p_partkey % 7 <> 0")
+def _o07(spark, d):
+    text = views.configs(spark, d).select("config_id", F.when(F.col("config_id") % 7 == 0, F.lit("{'a': None}")).otherwise(F.col("hyperparameters")).alias("hyperparameters"))
+    return tables.read_candidates(text, ["a", "b"]).drop("hyperparameters")
+
+
+@query("O08_file_fingerprints")
+def _o08(spark, d):
+    return tables.file_fingerprints(spark, [f"{d}/{t}.parquet" for t in ("orders", "customer", "supplier")])
+
+
+@query("O09_collect_replicas", 'select replica, seed, method, round("Accuracy_Mean", 9) as accuracy, round("Time_MeanFold", 9) as seconds from runs', "runs")
+def _o09(spark, d):
+    root, rows = _folder(spark, "replicas"), views.runs(spark, d)
+    rows.drop("seed").withColumn("folder", F.format_string("replica_%02d", "replica")).drop("replica").write.partitionBy("folder").parquet(root)
+    found = tables.read_replicas(spark, root, rows.select("replica", "seed").distinct())
+    return found.select("replica", "seed", "method", _r("Accuracy_Mean", 9).alias("accuracy"), _r("Time_MeanFold", 9).alias("seconds"))
+
+
+@query("O10_export_summary", "select l_returnflag as method, count(*)::double as budget, sum(l_quantity) as quantity from lineitem group by 1")
+def _o10(spark, d):
+    path = _folder(spark, "summary")
+    tables.export_summary(table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("method")).agg(F.count(F.lit(1)).alias("budget"), F.sum("l_quantity").alias("quantity")), path)
+    return tables.read_decimal_comma(spark, path)
+
+
+# Projections, predicates, scalar functions
+
+
+@query("O11_cast_factors", "select config_id, cast(round_even(a, 0) as bigint) as a, b::double as b from configs", "configs")
+def _o11(spark, d):
+    return S.cast_factors(views.configs(spark, d).drop("hyperparameters"), {"a": Factor(0, 25, True), "b": Factor(0, 2000)})
+
+
+@query("O12_project_factors", "select l_quantity, l_tax from lineitem")
+def _o12(spark, d):
+    return S.project_factors(table(spark, d, "lineitem"), ["l_quantity", "gamma", "l_tax"], missing="ignore")
+
+
+@query("O13_to_number", "select o_orderkey, try_cast(left(o_orderpriority, 1) as double) as rank, try_cast(case when o_orderkey % 5 = 0 then 'x' else o_totalprice::varchar end as double) as price from orders")
+def _o13(spark, d):
+    price = F.when(F.col("o_orderkey") % 5 == 0, "x").when(F.col("o_orderkey") % 5 == 9, "nan").otherwise(F.col("o_totalprice").cast("string"))
+    return S.to_number(table(spark, d, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("rank"), price.alias("price")), ["rank", "price"])
+
+
+@query("O14_fill_midpoint", 'select l_orderkey, l_linenumber, coalesce("Accuracy_Mean", 0.95::double) as accuracy from runs_ties', "runs_ties")
+def _o14(spark, d):
+    rows = views.runs_ties(spark, d).select("l_orderkey", "l_linenumber", F.col("Accuracy_Mean").alias("accuracy"))
+    return S.fill_midpoint(rows, {"accuracy": Factor(0.9, 1.0)})
+
+
+@query("O15_transform_time", "select l_orderkey, l_linenumber, round(ln(1 + greatest(l_quantity - 25, 0)), 9) as log1p, round(ln(greatest(l_quantity - 25, 1e-12)), 9) as log, l_quantity - 25 as plain from lineitem")
+def _o15(spark, d):
+    t = F.col("l_quantity") - 25
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[_r(S.transform_time(t, m), 9).alias(m) for m in ("log1p", "log")], S.transform_time(t, "none").alias("plain"))
+
+
+@query("O16_zscore", "select l_orderkey, l_linenumber, l_returnflag, round((l_quantity - avg(l_quantity) over w) / stddev_samp(l_quantity) over w, 6) as z from lineitem window w as (partition by l_returnflag)")
+def _o16(spark, d):
+    z = factors.zscore(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), ["l_quantity"], ["l_returnflag"])
+    return z.select("l_orderkey", "l_linenumber", "l_returnflag", _r("l_quantity_z").alias("z"))
+
+
+@query("O17_slug", r"select p_partkey, coalesce(nullif(regexp_replace(regexp_replace(translate(' ' || p_name || '/' || p_brand || '. ', ' .', '__'), '[^\p{L}\p{N}_-]', '', 'g'), '^_+|_+$', '', 'g'), ''), 'item') as slug from part")
+def _o17(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.slug(F.concat(F.lit(" "), "p_name", F.lit("/"), "p_brand", F.lit(". "))).alias("slug"))
+
+
+@query("O18_term_expr", "select l_orderkey, l_linenumber, round(a * a, 9) as sq, round(a * b, 9) as ab, round(case when abs(b) <= 1e-12 then 0 else 1 / b end, 9) as inv, round(power(a, 1.5), 6) as pw, 1.0::double as one from surface_input", "surface_input")
+def _o18(spark, d):
+    t = lambda s: S.term_expr(s, ["a", "b", "c"])
+    return views.surface_input(spark, d).select("l_orderkey", "l_linenumber", _r(t("(a * a)"), 9).alias("sq"), _r(t("a*b"), 9).alias("ab"), _r(t("1/b"), 9).alias("inv"), _r(t("a^1.5")).alias("pw"), t("Intercept").alias("one"))
+
+
+@query("O19_predict_terms", "select l_orderkey, l_linenumber, round(2 + 0.5 * a - 3 * b * c + 0.25 * c * c, 9) as predicted from surface_input", "surface_input")
+def _o19(spark, d):
+    return views.surface_input(spark, d).select("l_orderkey", "l_linenumber", _r(S.predict_terms([("Intercept", 2), ("a", 0.5), ("b*c", -3), ("c^2", 0.25)], ["a", "b", "c"]), 9).alias("predicted"))
+
+
+@query("O20_quadratic_expand", 'select 1.0::double as "Intercept", a, b, c, round(a*a, 9) as aa, round(b*b, 9) as bb, round(c*c, 9) as cc, round(a*b, 9) as ab, round(a*c, 9) as ac, round(b*c, 9) as bc from surface_input', "surface_input")
+def _o20(spark, d):
+    wide = S.quadratic_expand(views.surface_input(spark, d), ["a", "b", "c"])
+    return wide.select("Intercept", "a", "b", "c", *[_r(F.col(f"`{x}*{y}`"), 9).alias(x + y) for x, y in ("aa", "bb", "cc", "ab", "ac", "bc")])
+
+
+def _ends(df: DataFrame, c: str) -> DataFrame:
+    return df.crossJoin(F.broadcast(metrics.extremes(df, [c])))
+
+
+@query("O21_normalize_range", "select l_orderkey, l_linenumber, round((y - (select min(y) from surface_input)) / ((select max(y) from surface_input) - (select min(y) from surface_input)), 9) as v, round(least(greatest((y - 5) / 50, 0), 1), 9) as clipped from surface_input", "surface_input")
+def _o21(spark, d):
+    rows = _ends(views.surface_input(spark, d), "y")
+    return rows.select("l_orderkey", "l_linenumber", _r(S.normalize_range(F.col("y"), F.col("y_nadir"), F.col("y_utopia")), 9).alias("v"), _r(S.normalize_range(F.col("y"), F.lit(5.0), F.lit(55.0), clip=True), 9).alias("clipped"))
+
+
+@query("O22_distance_to_utopia", "select l_orderkey, l_linenumber, round((1 - b) * (1 - b) + (1 - c) * (1 - c), 9) as distance from surface_input", "surface_input")
+def _o22(spark, d):
+    return views.surface_input(spark, d).select("l_orderkey", "l_linenumber", _r(S.distance_to_utopia(F.col("b"), F.col("c")), 9).alias("distance"))
+
+
+@query("O23_weighted_score", "select l_orderkey, l_linenumber, round(0.3 * b + 0.7 * c, 9) as score from surface_input", "surface_input")
+def _o23(spark, d):
+    return views.surface_input(spark, d).select("l_orderkey", "l_linenumber", _r(S.weighted_score(F.col("b"), F.col("c"), F.lit(0.3), F.lit(0.7)), 9).alias("score"))
+
+
+@query("O24_in_range", "select l_orderkey, l_linenumber, a, b from surface_input where a between 10 and 20 and b between 0.02 and 0.05", "surface_input")
+def _o24(spark, d):
+    rows = views.surface_input(spark, d)
+    return rows.where(S.in_range([(F.col("a"), F.lit(10), F.lit(20)), (F.col("b"), F.lit(0.02), F.lit(0.05))])).select("l_orderkey", "l_linenumber", "a", "b")
+
+
+# Joins
+
+
+@query("O25_attach_scores", "select o.o_orderkey, o.o_totalprice, s.lines from orders o left join (select l_orderkey, count(*) as lines from lineitem group by 1) s on o.o_orderkey = s.l_orderkey")
+def _o25(spark, d):
+    scores = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("lines"))
+    return relational.attach_scores(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), scores, "o_orderkey")
+
+
+@query("O26_grid_product", "select t.l_tax as tax, f.l_discount as discount from (select distinct l_tax from lineitem) t cross join (select distinct l_discount from lineitem) f")
+def _o26(spark, d):
+    rows = table(spark, d, "lineitem").select(F.collect_set("l_tax"), F.collect_set("l_discount")).first()
+    return sampling.grid_product(spark, {"tax": sorted(rows[0]), "discount": sorted(rows[1])}).drop("config_id")
+
+
+_FRONT_SQL = """select x.replica, x.method, round(x."Accuracy_Mean", 9) as accuracy, round(x."Time_MeanFold", 9) as seconds, not exists (
+  select 1 from {v} y where y.replica = x.replica and y."Accuracy_Mean" >= x."Accuracy_Mean" and y."Time_MeanFold" <= x."Time_MeanFold"
+  and (y."Accuracy_Mean" > x."Accuracy_Mean" or y."Time_MeanFold" < x."Time_MeanFold")) as is_pareto from {v} x"""
+
+
+def _front(df: DataFrame) -> DataFrame:
+    return df.select("replica", "method", _r("Accuracy_Mean", 9).alias("accuracy"), _r("Time_MeanFold", 9).alias("seconds"), "is_pareto")
+
+
+@query("O27_pareto_front", _FRONT_SQL.format(v="runs"), "runs")
+def _o27(spark, d):
+    return _front(relational.pareto_front(views.runs(spark, d), ["replica"], "Accuracy_Mean", "Time_MeanFold"))
+
+
+# Aggregations
+
+_CONFUSION = """select config_id, fold, (tp + tn)::double / (tp + fp + tn + fn) as accuracy, case when tp + fp = 0 then 0 else tp::double / (tp + fp) end as precision,
+  case when tp + fn = 0 then 0 else tp::double / (tp + fn) end as recall, case when tn + fp = 0 then 0 else tn::double / (tn + fp) end as specificity
+  from (select config_id, fold, count(*) filter (where y = 1 and pred = 1) as tp, count(*) filter (where y = 0 and pred = 1) as fp,
+  count(*) filter (where y = 0 and pred = 0) as tn, count(*) filter (where y = 1 and pred = 0) as fn from preds group by 1, 2)"""
+
+
+@query("O28_confusion_metrics", f"select config_id, fold, round(accuracy, 9) as accuracy, round(precision, 9) as precision, round(recall, 9) as recall, round(specificity, 9) as specificity from ({_CONFUSION})", "preds")
+def _o28(spark, d):
+    return metrics.confusion_metrics(views.preds(spark, d), ["config_id", "fold"]).select("config_id", "fold", *[_r(m, 9).alias(m) for m in metrics.METRICS])
+
+
+@query("O29_fold_means", f'select config_id, round(avg(accuracy), 9) as "Accuracy_Mean", round(avg(precision), 9) as "Precision_Mean", round(avg(recall), 9) as "Recall_Mean", round(avg(specificity), 9) as "Specificity_Mean" from ({_CONFUSION}) group by 1', "preds")
+def _o29(spark, d):
+    means = metrics.fold_means(metrics.confusion_metrics(views.preds(spark, d), ["config_id", "fold"]), ["config_id"])
+    return means.select("config_id", *[_r(c, 9).alias(c) for c in means.columns if c != "config_id"])
+
+
+_STATS = ", ".join(f'{"round(" if f != "count" else ""}{g}("{c}"){", 9)" if f != "count" else ""} as "{c}_{f}"' for c in ("Accuracy_Mean", "Time_MeanFold") for f, g in (("mean", "avg"), ("std", "stddev_samp"), ("median", "median"), ("min", "min"), ("max", "max"), ("count", "count")))
+
+
+@query("O30_method_stats", f"select method, {_STATS} from runs_ties group by method", "runs_ties")
+def _o30(spark, d):
+    stats = metrics.method_stats(views.runs_ties(spark, d), "method", pipeline.STAT_COLUMNS)
+    return stats.select("method", *[(c if c.endswith("_count") else _r(c, 9).alias(c)) for c in stats.columns if c != "method"])
+
+
+_WIN_SQL = 'select method, sum(case when "Accuracy_Mean" >= top - 1e-12 then 1 else 0 end)::bigint as wins, count(*) as n, round(sum(case when "Accuracy_Mean" >= top - 1e-12 then 1 else 0 end) / (select count(distinct replica) from {v})::double, 9) as win_rate from (select *, max("Accuracy_Mean") over (partition by replica) as top from {v}) group by method'
+
+
+def _wins(df: DataFrame) -> DataFrame:
+    return df.select("method", "wins", "n", _r("win_rate", 9).alias("win_rate"))
+
+
+@query("O31_win_rate", _WIN_SQL.format(v="runs"), "runs")
+def _o31(spark, d):
+    return _wins(metrics.win_rate(views.runs(spark, d), "method", "replica", "Accuracy_Mean"))
+
+
+@query("O31_win_rate_ties", _WIN_SQL.format(v="runs_ties"), "runs_ties")
+def _o31_ties(spark, d):
+    return _wins(metrics.win_rate(views.runs_ties(spark, d), "method", "replica", "Accuracy_Mean"))
+
+
+_RATE_SQL = f"select method, count(*) as pareto_count, round(count(*) / (select count(distinct replica) from runs)::double, 9) as pareto_rate from ({_FRONT_SQL.format(v='runs')}) where is_pareto group by method"
+
+
+@query("O32_pareto_rate", _RATE_SQL, "runs")
+def _o32(spark, d):
+    front = relational.skyline_2d(views.runs(spark, d), ["replica"], "Accuracy_Mean", "Time_MeanFold")
+    return metrics.pareto_rate(front, "method", "replica").select("method", "pareto_count", _r("pareto_rate", 9).alias("pareto_rate"))
+
+
+@query("O33_extremes", "select max(b) as b_utopia, min(b) as b_nadir, max(y) as y_utopia, min(y) as y_nadir from surface_input", "surface_input")
+def _o33(spark, d):
+    return metrics.extremes(views.surface_input(spark, d), ["b", "y"])
+
+
+_ABCY = ("a", "b", "c", "y")
+
+
+@query("O34_correlation_matrix", "\nunion all\n".join(f"select '{x}' as a, '{z}' as b, round(corr({x}, {z}), 6) + 0.0 as r from surface_input" for x in _ABCY for z in _ABCY), "surface_input")
+def _o34(spark, d):
+    return linalg.correlation_matrix(views.surface_input(spark, d), list(_ABCY)).select("a", "b", (_r("r") + F.lit(0.0)).alias("r"))
+
+
+@query("O35_pca_project")
+def _o35(spark, d):
+    return factors.pca_project(views.surface_input(spark, d), list(_ABCY), 3).select("l_orderkey", "l_linenumber", "PC1", "PC2", "PC3")
+
+
+@query("O36_gram", "select l_returnflag, count(*) as n, " + ", ".join(f"round(sum({x} * {z}), 4) as s_{i}_{i + k}" for i, x in enumerate(("1.0::double", "l_quantity", "l_tax")) for k, z in enumerate(("1.0::double", "l_quantity", "l_tax")[i:])) + " from lineitem group by l_returnflag")
+def _o36(spark, d):
+    g = linalg.gram(table(spark, d, "lineitem"), [F.lit(1.0), F.col("l_quantity")], F.col("l_tax"), ["l_returnflag"])
+    return g.select("l_returnflag", "n", *[_r(c, 4).alias(c) for c in g.columns if c.startswith("s_")])
+
+
+@query("O37_ols", "select 'Intercept' as term, round(regr_intercept(y, a), 6) as coef, round(regr_r2(y, a), 6) as r2, count(*) as n from surface_input union all select 'a', round(regr_slope(y, a), 6), round(regr_r2(y, a), 6), count(*) from surface_input", "surface_input")
+def _o37(spark, d):
+    return linalg.ols(views.surface_input(spark, d), ["a"], ["a"], "y").select("term", _r("coef").alias("coef"), _r("r2").alias("r2"), "n")
+
+
+@query("O38_best_config", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 1")
+def _o38(spark, d):
+    return relational.best_config(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
+
+
+@query("O39_distinct_count", "select count(distinct l_partkey) as n from lineitem")
+def _o39(spark, d):
+    return relational.distinct_count(table(spark, d, "lineitem"), "l_partkey")
+
+
+@query("O40_score_sanity", "select count(*) as n, round(corr(-l_quantity, l_extendedprice), 6) as corr, corr(-l_quantity, l_extendedprice) > -0.3 as warn from lineitem")
+def _o40(spark, d):
+    rows = table(spark, d, "lineitem").select((-F.col("l_quantity")).alias("cost"), "l_extendedprice")
+    return factors.score_sanity(rows, "cost", "l_extendedprice").select("n", _r("corr").alias("corr"), "warn")
+
+
+# Windows, top-k, set operations, samples
+
+
+@query("O41_group_max", 'select l_orderkey, l_linenumber, replica, case when replica is not null then max("Accuracy_Mean") over (partition by replica) end as group_max from runs_ties', "runs_ties")
+def _o41(spark, d):
+    return relational.group_max(views.runs_ties(spark, d), "replica", "Accuracy_Mean").select("l_orderkey", "l_linenumber", "replica", "group_max")
+
+
+@query("O42_skyline_2d", _FRONT_SQL.format(v="runs_ties"), "runs_ties")
+def _o42(spark, d):
+    return _front(relational.skyline_2d(views.runs_ties(spark, d), ["replica"], "Accuracy_Mean", "Time_MeanFold"))
+
+
+@query("O43_assign_folds", """with h as (select o_orderkey, o_orderstatus, md5('42-' || o_orderkey) as h from orders),
+b as (select *, ('0x' || h[1:4])::int * 64 // 65536 as b from h)
+select o_orderkey, o_orderstatus, ((row_number() over (order by o_orderstatus, b, h, o_orderkey) - 1) % 5)::int as fold from b""")
+def _o43(spark, d):
+    return relational.assign_folds(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", 5, 42)
+
+
+@query("O44_first_by", "select o_custkey, min(o_orderkey) as o_orderkey from orders group by o_custkey")
+def _o44(spark, d):
+    return relational.first_by(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+@query("O45_top_k_by_distance", "select o_orderkey, o_totalprice from orders order by (1 - o_totalprice / 500000) * (1 - o_totalprice / 500000), o_orderkey limit 25")
+def _o45(spark, d):
+    near = (1 - F.col("o_totalprice") / 500000) * (1 - F.col("o_totalprice") / 500000)
+    return relational.top_k_by_distance(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), near, "o_orderkey", 25)
+
+
+@query("O46_union_ragged", "select s_suppkey as key, s_acctbal as balance, null as segment from supplier union all select c_custkey, c_acctbal, c_mktsegment from customer")
+def _o46(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    return relational.union_ragged([s, c])
+
+
+@query("O47_dedup_configs", "select min(p_partkey) as p_partkey, p_size, p_type from part group by p_size, p_type")
+def _o47(spark, d):
+    return relational.dedup_configs(table(spark, d, "part").select("p_partkey", "p_size", "p_type"), ["p_size", "p_type"], "p_partkey")
+
+
+def _boxes(spark: SparkSession, d: str) -> dict[str, Factor]:
+    """Boxes as wide as the table's own columns."""
+    r = table(spark, d, "lineitem").agg(*[f(c) for c in ("l_quantity", "l_tax") for f in (F.min, F.max)]).first()
+    return {"quantity": Factor(r[0], r[1], True), "tax": Factor(r[2], r[3])}
+
+
+@query("O48_factor_levels", """with b as (select min(l_quantity) as q0, max(l_quantity) as q1, min(l_tax) as t0, max(l_tax) as t1 from lineitem), i as (select unnest(range(5)) as i)
+select 'quantity' as factor, min(i)::int as level_no, level from (select i, round_even(q0 + (q1 - q0) * i / 4.0::double, 0) as level from b, i) group by level
+union all select 'tax', i::int, round(t0 + (t1 - t0) * i / 4.0::double, 9) from b, i""")
+def _o48(spark, d):
+    return sampling.factor_levels(spark, _boxes(spark, d), 25).withColumn("level", _r("level", 9))
+
+
+@query("O49_sample_n", "select o_orderkey from orders order by md5('7-' || o_orderkey), o_orderkey limit 500")
+def _o49(spark, d):
+    return sampling.sample_n(table(spark, d, "orders").select("o_orderkey"), 500, 7, "o_orderkey")
+
+
+@query("O50_random_configs")
+def _o50(spark, d):
+    return sampling.random_configs(spark, _boxes(spark, d), table(spark, d, "lineitem").count(), 42)
+
+
+# Composite operators
+
+_TUNED = {"regParam": Factor(0.0, 0.5), "maxIter": Factor(3, 8, True)}
+_FEATURES = [f"e{i}" for i in range(8)]
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    return rows.select("vec_id", (F.col("label") < 5).cast("int").alias("y"), *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(8)])
+
+
+def _folds(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.prepared(_labelled(spark, d), _FEATURES, "y", "vec_id", 2, 42)
+
+
+def _design(spark: SparkSession, rows: int) -> DataFrame:
+    return sampling.random_configs(spark, _TUNED, rows, 11)
+
+
+@query("O51_cv_evaluate")
+def _o51(spark, d):
+    return evaluate.cv_evaluate(_folds(spark, d), [{"config_id": 0, "regParam": 0.0, "maxIter": 5}, {"config_id": 1, "regParam": 0.3, "maxIter": 5}], k=2)
+
+
+@query("O52_run_design")
+def _o52(spark, d):
+    return evaluate.run_design(_folds(spark, d), _design(spark, 3), _TUNED, k=2)
+
+
+@query("O53_evaluate_candidates")
+def _o53(spark, d):
+    return evaluate.evaluate_candidates(_folds(spark, d), _design(spark, 3), _TUNED, k=2)[0]
+
+
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    """Five correlated metrics for each supplier."""
+    g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(
+        F.avg(1 - F.col("l_discount")).alias("Accuracy_Mean"), F.avg(1 - F.col("l_discount") - F.col("l_tax") / 2).alias("Precision_Mean"),
+        F.avg(1 - F.col("l_tax")).alias("Recall_Mean"), F.avg(F.col("l_extendedprice") / 1e5).alias("Specificity_Mean"), F.avg("l_quantity").alias("Time_MeanFold"))
+    return g
+
+
+@query("O54_factor_scores")
+def _o54(spark, d):
+    out, _ = factors.factor_scores(_measured(spark, d))
+    return out.select("l_suppkey", *[c for c in out.columns if c.endswith("_SCORE") or c.startswith("Score_")])
+
+
+def _surfaces(spark: SparkSession, d: str) -> list[surface.Surface]:
+    rows = views.surface_input(spark, d).withColumn("cheap", -F.col("y") - F.col("a") / 10)
+    return [surface.fit_surfaces(rows, ["a", "b", "c"], y)[0] for y in ("y", "cheap")]
+
+
+@query("O55_fit_surface")
+def _o55(spark, d):
+    rows = table(spark, d, "lineitem").selectExpr("l_returnflag", "l_quantity as a", "l_discount as b", "l_tax as c", "l_extendedprice / 1000 as y")
+    return surface.surface_frame(spark, surface.fit_surfaces(rows, ["a", "b", "c"], "y", by=["l_returnflag"]), ["l_returnflag"], ["string"])
+
+
+@query("O56_frontier_search")
+def _o56(spark, d):
+    box = {"a": Factor(1, 50, True), "b": Factor(0.0, 0.1), "c": Factor(0.0, 0.08)}
+    return frontier.frontier_search(spark, *_surfaces(spark, d), box, step=0.1, starts=6, samples=60, rounds=4).withColumn("hyperparameters", F.to_json("hyperparameters"))
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.withColumn("hyperparameters", F.to_json("hyperparameters"))
+
+
+@query("O57_grid_search")
+def _o57(spark, d):
+    return _shown(search.grid_search(_folds(spark, d), _TUNED, 4, k=2))
+
+
+@query("O58_random_search")
+def _o58(spark, d):
+    return _shown(search.random_search(_folds(spark, d), _TUNED, 4, k=2))
+
+
+@query("O59_surrogate_search")
+def _o59(spark, d):
+    return _shown(search.surrogate_search(_folds(spark, d), _TUNED, 4, k=2, pool=5_000))
+
+
+@query("O60_density_search")
+def _o60(spark, d):
+    return _shown(search.density_search(_folds(spark, d), _TUNED, 4, k=2, pool=5_000))
+
+
+@query("O60_density_pick", """with b as (select l_suppkey, avg(l_discount) as x, avg(l_tax) as acc from lineitem group by 1),
+h as (select x, percent_rank() over (order by acc desc) <= 0.25 as good from b),
+p as (select p_partkey as config_id, (p_partkey % 100) / 1000.0::double as x from part),
+k as (select p.config_id, avg(case when good then exp(-((p.x - h.x) / 0.02) * ((p.x - h.x) / 0.02) / 2) end) as l, avg(case when not good then exp(-((p.x - h.x) / 0.02) * ((p.x - h.x) / 0.02) / 2) end) as g from p, h group by 1)
+select config_id from k order by round(ln(l + 1e-12) - ln(g + 1e-12), 9) desc, config_id limit 10""")
+def _o60_pick(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("x"), F.avg("l_tax").alias("Accuracy_Mean"))
+    pool = table(spark, d, "part").select(F.col("p_partkey").alias("config_id"), ((F.col("p_partkey") % 100) / 1000).alias("x"))
+    return search.density_pick(rows, pool, {"x": Factor(0.0, 0.1)}, 10).select("config_id")
+
+
+@query("O61_combine_scores", """with f as (select l_suppkey, avg(l_discount) as f1, avg(l_tax) as f2, avg(l_quantity) as f3 from lineitem group by 1)
+select l_suppkey, round(((f1 - avg(f1) over ()) / stddev_samp(f1) over () + 2 * (f2 - avg(f2) over ()) / stddev_samp(f2) over ()) / 3, 6) as "Score_Quality",
+  round(-(f3 - avg(f3) over ()) / stddev_samp(f3) over (), 6) as "Score_Cost" from f""")
+def _o61(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("f1"), F.avg("l_tax").alias("f2"), F.avg("l_quantity").alias("f3"))
+    return factors.combine_scores(rows, ["f1", "f2", "f3"], "f3", "f1", [1.0, 2.0]).select("l_suppkey", _r("Score_Quality").alias("Score_Quality"), _r("Score_Cost").alias("Score_Cost"))
+
+
+def _small(seed: int) -> dict:
+    return {"k": 2, "top": 2, "budget": 4, "search": {"step": 0.5, "starts": 3, "samples": 20, "rounds": 2}, "metrics": ["Accuracy_Mean", "Precision_Mean", "Recall_Mean", "Specificity_Mean", "Time_MeanFold"]}
+
+
+@query("O62_replica_pipeline")
+def _o62(spark, d):
+    out = pipeline.replica_pipeline(_labelled(spark, d), _FEATURES, "y", "vec_id", _design(spark, 8), _TUNED, 42, baselines=("random",), **_small(42))
+    return _shown(out)
+
+
+@query("O63_replicate")
+def _o63(spark, d):
+    out = pipeline.replicate(_labelled(spark, d), _FEATURES, "y", "vec_id", _design(spark, 8), _TUNED, [(0, 42), (1, 43)], baselines=(), **_small(42))
+    return _shown(out) if "hyperparameters" in out.columns else out
+
+
+def _part_of(name: str):
+    return lambda spark, d: pipeline.aggregate_runs(views.runs(spark, d))[name]
+
+
+_RUN_STATS = ", ".join(f'{"round(" if f != "count" else ""}{g}("{c}"){", 9)" if f != "count" else ""} as "{c}_{f}"' for c in ("Accuracy_Mean", "Time_MeanFold") for f, g in (("mean", "avg"), ("std", "stddev_samp"), ("median", "median"), ("min", "min"), ("max", "max"), ("count", "count")))
+
+
+@query("O64_aggregate_stats", f"select method, {_RUN_STATS} from runs group by method", "runs")
+def _o64_stats(spark, d):
+    out = _part_of("stats")(spark, d)
+    return out.select("method", *[(c if c.endswith("_count") else _r(c, 9).alias(c)) for c in out.columns if c != "method"])
+
+
+@query("O64_aggregate_wins", _WIN_SQL.format(v="runs"), "runs")
+def _o64_wins(spark, d):
+    return _wins(_part_of("win_rate")(spark, d))
+
+
+@query("O64_aggregate_pareto", _FRONT_SQL.format(v="runs"), "runs")
+def _o64_pareto(spark, d):
+    return _front(_part_of("pareto")(spark, d))
+
+
+@query("O64_aggregate_pareto_rate", _RATE_SQL, "runs")
+def _o64_rate(spark, d):
+    return _part_of("pareto_rate")(spark, d).select("method", "pareto_count", _r("pareto_rate", 9).alias("pareto_rate"))
