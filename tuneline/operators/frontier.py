@@ -60,11 +60,11 @@ def frontier_search(spark: SparkSession, quality: Surface, cost: Surface, factor
         held = materialize(best.select("r.*"), "frontier")
     best = held.groupBy("pair").agg(F.max_by(F.struct(*columns), F.struct(F.coalesce("v", F.lit(float("-inf"))), -F.col("start"))).alias("r")).select("r.*")
     whole = best.select("*", *[cast_factor(F.col(n), f.is_int).cast("double").alias(f"_{n}") for n, f in factors.items()])
-    at = whole.select("pair", *[F.col(f"_{n}").alias(n) for n in names]).select("pair", first.alias("q"), second.alias("c"))
+    at = whole.select("pair", *[F.col(f"_{n}").alias(n) for n in names]).select("pair", first.alias("rounded_1"), second.alias("rounded_2"))
     success = F.col("v").isNotNull()
     return whole.join(at, "pair").select(
         "beta_1", "beta_2", F.col("v").alias("score"), F.col("p1").alias("Pred_Score_Quality"), F.col("p2").alias("Pred_Score_Cost"),
-        F.col("q").alias("Rounded_Score_Quality"), F.col("c").alias("Rounded_Score_Cost"),
+        F.col("rounded_1").alias("Rounded_Score_Quality"), F.col("rounded_2").alias("Rounded_Score_Cost"),
         F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"_{n}"))]).alias("hyperparameters"), success.alias("success"),
         F.when(success, "ok").otherwise("no start in the predicted range").alias("message"),
     )

@@ -117,7 +117,7 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_candidates(df: DataFrame, factors: list[str], text_col: str = "hyperparameters", on_bad: str = "drop") -> DataFrame:
-    """``df`` with one double column a factor: its own columns, or a dictionary in ``text_col``.
+    """``df`` with one double column a factor: its own columns, or a dictionary (text or map) in ``text_col``.
 
     A row that doesn't parse, lacks a factor or has something else than a number is dropped,
     or keeps nulls there with ``on_bad='null'``.
@@ -128,7 +128,7 @@ def read_candidates(df: DataFrame, factors: list[str], text_col: str = "hyperpar
         out = df.withColumns({f: F.col(f).cast("string").try_cast("double") for f in factors})
     else:
         require_columns(df, text_col)
-        held = F.from_json(text_col, "map<string,double>")
+        held = F.col(text_col) if df.schema[text_col].dataType.typeName() == "map" else F.from_json(text_col, "map<string,double>")
         out = df.withColumns({f: F.try_element_at(held, F.lit(f)) for f in factors})
     return out.dropna(subset=factors) if on_bad == "drop" else out
 
