@@ -89,7 +89,8 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     equal id and text get equal results. Other columns stay.
     """
     require_columns(docs, id_col, text_col)
-    runs = materialize(repeated_runs(docs, id_col, text_col, min_words, window), "runs").alias("r")
+    # Sort-merge at every size: whether the runs fit a broadcast depends on the data, and the texts' shuffle is planned for.
+    runs = materialize(repeated_runs(docs, id_col, text_col, min_words, window), "runs").hint("merge").alias("r")
     held = docs.withColumn("_hash", F.xxhash64(text_col)).alias("l")
     joined = held.join(runs, F.col(f"l.{id_col}").eqNullSafe(F.col("r._id")) & (F.col("l._hash") == F.col("r._hash")), "left").select("l.*", F.col("r.runs").alias("_runs"))
     lines = F.split(text_col, "\n")
