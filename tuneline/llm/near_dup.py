@@ -343,7 +343,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     asked = placed.groupBy(place, F.col("low").alias("doc")).agg(F.collect_list("high").alias("partners"))
     rest = placed.select(place, F.col("high").alias("doc")).distinct().withColumn("partners", F.lit(None).cast("array<bigint>"))
     seats = asked.unionByName(rest).groupBy("place", "doc").agg(F.flatten(F.collect_list("partners")).alias("partners"))
-    rows = seats.join(docs.select(F.col("_id").alias("doc"), "_text"), "doc").select("place", "doc", "partners", "_text")
+    rows = seats.hint("merge").join(docs.select(F.col("_id").alias("doc"), "_text"), "doc").select("place", "doc", "partners", "_text")
     return rows.repartition("place").sortWithinPartitions("place").mapInArrow(_confirm(words, percent), _PAIR).distinct()
 
 
@@ -359,7 +359,7 @@ def confirmed_in_blocks(forest: DataFrame, signs: DataFrame, docs: DataFrame, wo
     rows = rows.join(rows.groupBy("part").agg(F.ceil(weight).cast("int").alias("blocks")), "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     seats = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     seats = seats.select(F.concat_ws(":", "part", F.least("block", "other"), F.greatest("block", "other")).alias("place"), "block", "id", "component", "marks")
-    held = seats.join(docs.select(F.col("_id").alias("id"), "_text"), "id").select("place", "block", "id", "component", "marks", "_text")
+    held = seats.hint("merge").join(docs.select(F.col("_id").alias("id"), "_text"), "id").select("place", "block", "id", "component", "marks", "_text")
     return held.repartition("place").sortWithinPartitions("place").mapInArrow(_confirm_blocks(words, percent, least), _PAIR).distinct()
 
 
@@ -429,4 +429,4 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one of the smallest id (rows that share an id stay together)."""
     gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
