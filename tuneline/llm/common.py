@@ -31,6 +31,16 @@ def escape(literal: str) -> str:
     return re.sub(r"([^\w])", r"\\\1", literal)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has (in any case), for columns that come and go inside an operator."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def held_out(id_col: str, mod: int, rest: int) -> Column:
     """Whether a row's label may not be learned from: crc32 of its id as text leaves ``rest``."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == rest, F.lit(False))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tuneline.llm.common import count_words, table
+from tuneline.llm.common import count_words, table, unused
 from tuneline.session import materialize, require_columns
 
 #: Words of the shortest run that is deleted, and lines of a winnowing window.
@@ -82,27 +82,28 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return runs.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the text without its repeated runs, and _lines and _removed (lines with words, and how many of them went).
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW, counts: tuple[str, str] = ("_lines", "_removed")) -> DataFrame:
+    """``docs`` with the text without its repeated runs, and two ``counts``: lines with words, and how many of them went.
 
     A null or empty text stays as it is; a text all of whose lines go becomes empty. Rows of
-    equal id and text get equal results. Other columns stay.
+    equal id and text get equal results. Other columns stay, whatever their names.
     """
     require_columns(docs, id_col, text_col)
+    key, found, left = unused(docs, "_hash", "_runs", "_left")
     # Sort-merge at every size: whether the runs fit a broadcast depends on the data, and the texts' shuffle is planned for.
     runs = materialize(repeated_runs(docs, id_col, text_col, min_words, window), "runs").hint("merge").alias("r")
-    held = docs.withColumn("_hash", F.xxhash64(text_col)).alias("l")
-    joined = held.join(runs, F.col(f"l.{id_col}").eqNullSafe(F.col("r._id")) & (F.col("l._hash") == F.col("r._hash")), "left").select("l.*", F.col("r.runs").alias("_runs"))
+    held = docs.withColumn(key, F.xxhash64(text_col)).alias("l")
+    joined = held.join(runs, F.col(f"l.{id_col}").eqNullSafe(F.col("r._id")) & (F.col(f"l.{key}") == F.col("r._hash")), "left").select("l.*", F.col("r.runs").alias(found))
     lines = F.split(text_col, "\n")
-    inside = lambda i: F.exists("_runs", lambda r: i.between(r["first"], r["last"]))
+    inside = lambda i: F.exists(found, lambda r: i.between(r["first"], r["last"]))
     filled = lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))
     kept = F.filter(lines, lambda x, i: ~inside(i))
     out = joined.withColumns({
-        "_lines": F.coalesce(F.size(F.filter(lines, filled)), F.lit(0)),
-        "_left": F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
+        counts[0]: F.coalesce(F.size(F.filter(lines, filled)), F.lit(0)),
+        left: F.when(F.col(found).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
     })
-    left = F.coalesce(F.size(F.filter(F.split("_left", "\n"), filled)), F.lit(0))
-    return out.withColumns({"_removed": F.when(F.col("_runs").isNull(), 0).otherwise(F.col("_lines") - left), text_col: F.col("_left")}).drop("_left", "_runs", "_hash")
+    rest = F.coalesce(F.size(F.filter(F.split(left, "\n"), filled)), F.lit(0))
+    return out.withColumns({counts[1]: F.when(F.col(found).isNull(), 0).otherwise(F.col(counts[0]) - rest), text_col: F.col(left)}).drop(left, found, key)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,8 +136,8 @@ from documents o left join r on o.doc_id = r.doc_id and o.text = r.text
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` without repeated runs of lines; texts that lose every line go, and ``chars_col`` (where there is one) follows the text."""
-    columns = docs.columns
-    out = cleaned(docs, id_col, text_col).where((F.col("_removed") == 0) | (F.col("_removed") < F.col("_lines")))
+    columns, (lines, removed) = docs.columns, unused(docs, "_lines", "_removed")
+    out = cleaned(docs, id_col, text_col, counts=(lines, removed)).where((F.col(removed) == 0) | (F.col(removed) < F.col(lines)))
     if chars_col in columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return out.select(*columns)
+    return out.select(*[F.col(f"`{c}`") for c in columns])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tuneline.llm.common import count_words, table
+from tuneline.llm.common import count_words, table, unused
 from tuneline.session import materialize, require_columns
 
 #: Sources weigh so, in code point order, over and over.
@@ -144,12 +144,13 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: i
     return materialize(plan.coalesce(1), "mix-plan"), {s: (sizes[s], goal[s]) for s in names}
 
 
-def take(df: DataFrame, plan: DataFrame, pattern: Column, key: Column) -> DataFrame:
-    """``df`` with ``copies``, how often each document is taken; no shuffle, the plan has a row for each pattern."""
-    held = df.withColumns({"_pattern": pattern, "_key": key}).alias("l")
-    joined = held.join(F.broadcast(plan).alias("r"), F.expr("l._pattern <=> r.pattern"), "left")
-    copies = F.coalesce(F.col("r.full"), F.lit(0)) + F.when(F.col("l._key") <= F.col("r.edge"), 1).otherwise(0)
-    return joined.select("l.*", copies.alias("copies")).drop("_pattern", "_key")
+def take(df: DataFrame, plan: DataFrame, pattern: Column, key: Column, out: str = "copies") -> DataFrame:
+    """``df`` with ``out``, how often each document is taken; no shuffle, the plan has a row for each pattern."""
+    p, k = unused(df, "_pattern", "_key")
+    held = df.withColumns({p: pattern, k: key}).alias("l")
+    joined = held.join(F.broadcast(plan).alias("r"), F.col(f"l.{p}").eqNullSafe(F.col("r.pattern")), "left")
+    copies = F.coalesce(F.col("r.full"), F.lit(0)) + F.when(F.col(f"l.{k}") <= F.col("r.edge"), 1).otherwise(0)
+    return joined.select("l.*", copies.alias(out)).drop(p, k)
 
 
 def measured(docs: DataFrame, pattern: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,8 +167,9 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     pattern = _pattern(docs, source_col)
     plan, _ = plan_mix(materialize(measured(docs, pattern, id_col, text_col), "mix-sizes"))
-    taken = take(docs, plan, pattern, seed_key(F.col(id_col)))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).where("copies > 0").drop("copies", "_copy")
+    times, nth = unused(docs, "_times", "_nth")
+    taken = take(docs, plan, pattern, seed_key(F.col(id_col)), times).where(F.col(times) > 0)
+    return taken.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times, nth)
 
 
 def _pattern(docs: DataFrame, source_col: str) -> Column:

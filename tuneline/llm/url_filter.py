@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneline.llm.common import ascii_lower, escape, table
+from tuneline.llm.common import ascii_lower, escape, table, unused
 from tuneline.session import require_columns
 
 #: Bound of the rule list, which travels inside the plan as literals.
@@ -101,12 +101,13 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defaul
     target = F.concat(host_of(url), path_of(url))
     found = F.flatten(F.transform(F.array_intersect(_tokens(target), known), lambda t: F.element_at(entries, t)))
     fitting = F.filter(F.transform(found, lambda i: F.get(book, i)), lambda r: F.regexp_like(target, r["pattern"]))
-    best = lambda tier: F.array_max(F.transform(F.filter(F.col("_fits"), lambda r: r["tier"] == tier), lambda r: F.struct(r["size"], r["name"], r["verdict"])))
-    out = pages.withColumn("_fits", fitting).withColumns({"_own": best(1), "_other": best(0)})
+    fits, own, other = unused(pages, "_fits", "_own", "_other")
+    best = lambda tier: F.array_max(F.transform(F.filter(F.col(fits), lambda r: r["tier"] == tier), lambda r: F.struct(r["size"], r["name"], r["verdict"])))
+    out = pages.withColumn(fits, fitting).withColumns({own: best(1), other: best(0)})
     return out.withColumns({
-        "host": host_of(url), "path": path_of(url), "rule": F.col("_own.name"), "method_rule": F.col("_other.name"),
-        "verdict": F.coalesce(F.col("_own.verdict"), F.col("_other.verdict"), F.lit(default)),
-    }).drop("_fits", "_own", "_other")
+        "host": host_of(url), "path": path_of(url), "rule": F.col(f"{own}.name"), "method_rule": F.col(f"{other}.name"),
+        "verdict": F.coalesce(F.col(f"{own}.verdict"), F.col(f"{other}.verdict"), F.lit(default)),
+    }).drop(fits, own, other)
 
 
 #: The rules of the query, and patterns for hosts that sell or cheat.
