@@ -103,6 +103,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_dense_families_and_chains(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 60)
+    monkeypatch.setattr(near_dup, "SEATS", 50)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(2000)]
     base = [rng.choice(words) for _ in range(150)]

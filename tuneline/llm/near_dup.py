@@ -29,6 +29,8 @@ HASHES = TREES * VALUES
 WHOLE, CHUNK = 64, 4096
 #: Links confirmed together at most; documents, and shingles, of a block of the second round.
 LINKS, BLOCK, BLOCK_SHINGLES = 2_000, 2_048, 2_000_000
+#: Rows of a block of a region in the second round, where only marks are compared.
+SEATS = 50_000
 
 _RNG = np.random.default_rng(85)
 _A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -178,10 +180,10 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, bool, pa
         yield begun, True, held
 
 
-def _columns(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _columns(held: list[pa.RecordBatch], *more: str) -> tuple[np.ndarray, ...]:
     t = pa.Table.from_batches(held)
     marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(t.num_rows, HASHES)
-    return t.column("id").to_numpy(), marks, t.column("component").to_numpy() if "component" in t.column_names else np.zeros(0)
+    return t.column("id").to_numpy(), marks, *(t.column(c).to_numpy() for c in more)
 
 
 _PAIR = "a long, b long"
@@ -200,7 +202,7 @@ def _first_round(least: float):
         for begins, ends, held in _regions(batches):
             if begins:
                 region = _Region(least)
-            ids, marks, _ = _columns(held)
+            ids, marks = _columns(held)
             large = not (begins and ends and len(ids) <= WHOLE)
             pairs = region.chunk(ids, marks, begins and ends)
             pairs = [(x[x != y], y[x != y]) for x, y in pairs]
@@ -227,21 +229,23 @@ def _join_up(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def _second_round(least: float):
-    """Of large regions, what connects the pairs of different components that the estimate allows: a forest, so rows and not pairs."""
+    """What connects the pairs of different components that the estimate allows, among a place's rows: a forest, so rows and not pairs."""
 
     def run(batches):
         parts = []
         for begins, ends, held in _regions(batches):
-            parts = [held] if begins else [*parts, held]
-            if not ends or sum(x.num_rows for h in parts for x in h) <= WHOLE:
-                continue
-            ids, marks, component = _columns([x for h in parts for x in h])
-            if (component == component[0]).all():
+            parts = held if begins else [*parts, *held]
+            if not ends:
                 continue
+            ids, marks, component, block = _columns(parts, "component", "block")
             label = np.arange(len(ids))
+            # Rows of one block meet in the place that has them alone.
+            apart = block.min() != block.max()
             for at in range(0, len(ids), 512):
                 for then in range(at, len(ids), CHUNK):
                     other = component[at : at + 512, None] != component[None, then : then + CHUNK]
+                    if apart:
+                        other &= block[at : at + 512, None] != block[None, then : then + CHUNK]
                     if other.any():
                         i, j = np.nonzero(other & (_agree(marks[at : at + 512], marks[then : then + CHUNK]) >= least))
                         _join_up(label, at + i, then + j)
@@ -396,21 +400,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tagged = materialize(tagged.select("id", "n_shingles", "first", F.when(first, F.col("sign")).alias("sign"), F.when(first, F.col("marks")).alias("marks")), "tagged")
 
     def orders(rows: DataFrame, *more: str) -> DataFrame:
-        """A row for each tree, regions together and sorted within."""
+        """A row for each tree, with its region and its place in the order."""
         tree = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-        value = F.expr(f"substring(sign, tree * {4 * VALUES} + 1, {4 * VALUES})")
-        tree = tree.select(F.expr(f"concat(unhex(lpad(hex(tree), 2, '0')), substring(sign, tree * {4 * VALUES} + 1, {4 * PREFIX}))").alias("region"), value.alias("value"), "id", "marks", *more)
-        return tree.repartition("region").sortWithinPartitions("region", "value").drop("value")
+        start = f"tree * {4 * VALUES} + 1"
+        return tree.select(F.expr(f"concat(unhex(lpad(hex(tree), 2, '0')), substring(sign, {start}, {4 * PREFIX}))").alias("region"), F.expr(f"substring(sign, {start}, {4 * VALUES})").alias("value"), "id", "marks", *more)
 
     signs = tagged.where(first).select("id", "n_shingles", "sign", "marks")
-    pairs = materialize(orders(signs).mapInArrow(_first_round(least), _PAIR).distinct(), "pairs")
+    sorted_ = orders(signs).repartition("region").sortWithinPartitions("region", "value").drop("value")
+    pairs = materialize(sorted_.mapInArrow(_first_round(least), _PAIR).distinct(), "pairs")
     links = materialize(confirmed(pairs.where("a <> b"), docs, words, percent), "links")
     group = components(links)
     dense = pairs.where("a = b").select(F.col("a").alias("id"))
     if not dense.isEmpty():
         again = signs.join(dense.distinct(), "id").join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
         again = materialize(again, "dense")
-        forest = materialize(orders(again, "component").mapInArrow(_second_round(least), _PAIR).where("a <> b").distinct(), "forest")
+        rows = orders(again, "component").drop("value")
+        # Regions of one component, as a family of copies mostly is, are done; the others are dealt into blocks that meet two by two.
+        mixed = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where(f"low <> high and n > {WHOLE}")
+        rows = rows.join(mixed.select("region", F.ceil(F.col("n") / SEATS).cast("int").alias("blocks")), "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        number = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
+        rows = rows.select(F.concat("region", number(F.least("block", "other")), number(F.greatest("block", "other"))).alias("place"), "id", "marks", "component", "block")
+        rows = rows.repartition("place").sortWithinPartitions("place")
+        forest = materialize(rows.mapInArrow(_second_round(least), _PAIR).where("a <> b").distinct(), "forest")
         if not forest.isEmpty():
             new = materialize(confirmed_in_blocks(forest, again, docs, words, percent, least), "links")
             if not new.isEmpty():
