@@ -32,7 +32,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Most words of the lexicon, which the driver compiles.
 LEXICON_WORDS = 100_000
 #: Characters of text that one step encodes, and counted words that a task holds before it passes them on.
-BATCH_CHARS, HELD_WORDS = 8 << 20, 400_000
+BATCH_CHARS, HELD_WORDS = 4 << 20, 300_000
 #: Bytes beyond which a word is merged by itself.
 LONG_WORD = 512
 _NO_RANK = 1 << 40
@@ -290,14 +290,14 @@ def _coder(path: str, name: str, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, lexicon = _vocabulary(path), _lexicon(SparkFiles.get(name))
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
             at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and size < BATCH_CHARS:
-                    size += len(texts[end])
-                    end += 1
-                ids, ends = bpe.encode_batch(texts[at:end], lexicon)
+            while at < b.num_rows:
+                texts, size = [], 0
+                while at + len(texts) < b.num_rows and size < BATCH_CHARS:
+                    texts.append(b.column(1)[at + len(texts)].as_py() or "")
+                    size += len(texts[-1])
+                end = at + len(texts)
+                ids, ends = bpe.encode_batch(texts, lexicon)
                 spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
                 columns = [b.column(0).slice(at, end - at), pa.array(np.diff(ends)), pa.array([ids[i:j].tobytes() for i, j in spans], pa.binary())]
                 if decode:
