@@ -50,7 +50,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = materialize(lines.withColumn("chosen", chosen | (F.col("words") >= min_words)).drop("least", "n"), "lines")
 
     marks = lines.where("chosen").select(*place, "i", "h")
-    twice = marks.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
+    # Counted lines are written before they are joined, so that both sides of the join have exchanges of their own and a hot line's rows can be split.
+    twice = materialize(marks.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h"), "twice")
     anchors = marks.join(twice, "h").select(*place, "i", F.lit(True).alias("anchor"))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in place]
     marked = lines.alias("l").join(anchors.alias("r"), [*same, F.col("l.i") == F.col("r.i")], "left").select("l.*", F.coalesce("r.anchor", F.lit(False)).alias("anchor"))
@@ -73,7 +74,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans = materialize(seen.select(*place, F.inline(both)), "spans")
 
     where = F.struct(*place, "first")
-    origin = spans.groupBy("key").agg(F.min(where).alias("origin"), F.count(F.lit(1)).alias("times")).where("times > 1").select("key", "origin")
+    origin = materialize(spans.groupBy("key").agg(F.min(where).alias("origin"), F.count(F.lit(1)).alias("times")).where("times > 1").select("key", "origin"), "origin")
     copies = spans.join(origin, "key").where(where > F.col("origin")).select(*place, "first", "last")
     by_start = Window.partitionBy(*place).orderBy("first", "last")
     apart = F.when(F.col("first") > F.max("last").over(by_start.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
