@@ -65,6 +65,25 @@ def test_votes_find_what_rules_agree_on():
     assert abs(prior - 0.8) < 0.08 and accuracy[0] > accuracy[2]
 
 
+@pytest.mark.parametrize("misfires", [0.02, 0.3, 0.5])
+@pytest.mark.parametrize("times", [1, 1000])
+def test_a_misfiring_rule_loses_its_say(misfires, times):
+    rng, n = np.random.default_rng(1), 50_000
+    bad = rng.random(n) < 0.15
+    held = np.zeros((n, 9), int)
+    for r in range(8):
+        held[rng.random(n) < np.where(bad, 0.35, 0.005), r] = -1
+    held[rng.random(n) < misfires, 0] = -1
+    held[rng.random(n) < np.where(bad, 0.3, 0.9), 8] = 1
+    patterns, counts = np.unique(held, axis=0, return_counts=True)
+    post, accuracy, prior = quality_rules.fit_votes(patterns, counts.astype(float) * times)
+    right = bad[held[:, 0] < 0].mean()
+    assert abs(accuracy[0] - right) < 0.1 and (accuracy[1:8] > 0.85).all() and abs(prior - 0.85) < 0.02
+    of = lambda *bad_rules, good: post[(patterns == [-(r in bad_rules) for r in range(8)] + [int(good)]).all(1)][0]
+    # One bad vote passes against a good one; two of sound rules don't.
+    assert of(0, good=True) > 0.5 and of(1, good=True) > 0.5 and of(1, 2, good=True) < 0.5
+
+
 def test_rules_edges(spark):
     out = quality_rules.judge(_docs(spark).drop("n_words"))
     assert out.count() == len(EDGES) and out.where("n_words = 0").count() == 4

@@ -2,8 +2,8 @@
 
 Each rule votes good (+1) or bad (-1) or abstains (0). Expectation-maximisation over the
 counts of vote patterns estimates how each rule votes on good and on bad documents, and
-the posterior probability of good decides. No rule can reject a document alone, except
-the stated base conditions.
+the posterior probability of good decides. A rule's bad vote can be outweighed by good ones,
+and a rule that misfires loses its say; only the stated base conditions reject alone.
 """
 
 from __future__ import annotations
@@ -99,18 +99,18 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, trust: float = 0.95, weight_of_trust: float = 3, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, trust: float = 0.95, votes_of_trust: float = 100, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over vote patterns. Returns the posterior of good by pattern, each rule's accuracy where it votes, and the share of good.
 
-    ``trust`` is the accuracy that every rule is believed to have beforehand, with
-    ``weight_of_trust`` times the weight of its own votes. That belief keeps a rule that fires alone from being explained
-    away, and fixes which class is good. It starts from the sum of votes, where a bad vote
-    outweighs the good ones.
+    ``trust`` is the accuracy that every rule is believed to have beforehand, a belief that
+    weighs as much as ``votes_of_trust`` of its votes whatever the size of the table. It fixes
+    which class is good and speaks for rules that seldom vote; the others' accuracy comes from
+    the table. The start is the sum of votes.
     """
-    lean = (patterns > 0).sum(1) - 10 * (patterns < 0).sum(1)
-    post = 1 / (1 + np.exp(-lean.astype(float)))
+    post = 1 / (1 + np.exp(-patterns.sum(1).astype(float)))
     outcome = np.stack([patterns == v for v in (-1, 0, 1)], 2)
-    cast = weight_of_trust * np.einsum("p,prv->rv", counts, outcome)
+    seen = np.einsum("p,prv->rv", counts.astype(float), outcome)
+    cast = seen * (votes_of_trust / np.maximum(seen[:, [0, 2]].sum(1, keepdims=True), 1))
     accuracy, prior = np.full(patterns.shape[1], trust), 0.5
     for _ in range(rounds):
         weight = np.stack([counts * (1 - post), counts * post])
