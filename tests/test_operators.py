@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tuneline.functions import scalars as S
 from tuneline.functions.scalars import Factor
-from tuneline.operators import factors, frontier, linalg, metrics, relational, sampling, surface
+from tuneline.operators import factors, frontier, linalg, metrics, relational, sampling, search, surface
 from tuneline.sources import tables
 
 
@@ -217,3 +217,28 @@ def test_ols_equals_lstsq(spark):
     got = {r["term"]: r["coef"] for r in linalg.ols(df, ["a", "b"], ["a", "b"], "y").collect()}
     want = np.linalg.lstsq(np.column_stack([np.ones(200), x]), y, rcond=None)[0]
     assert [got[t] for t in ("Intercept", "a", "b")] == pytest.approx(list(want)) and not math.isnan(want[0])
+
+
+def test_density_pick_sums_a_history_up(spark):
+    rng = np.random.default_rng(4)
+    # Ties around the cut, nulls, values at and beyond the box's ends.
+    past = [(None if i % 41 == 0 else round(float(rng.random()), 1), float(rng.uniform(-0.1, 1.1)), None if i % 29 == 0 else int(rng.integers(1, 9))) for i in range(700)]
+    pool = [(i, float(rng.random()), int(rng.integers(1, 9))) for i in range(300)]
+    box = {"x": Factor(0.0, 1.0), "y": Factor(1, 8, True)}
+    rows = spark.createDataFrame(past, "Accuracy_Mean double, x double, y int")
+    ranks = [sum(1 for q in past if q[0] is not None and (p[0] is None or q[0] > p[0])) / (len(past) - 1) for p in past]
+
+    def density(v, at, width, good):
+        held = [np.exp(-(((v - p[at]) / width) ** 2) / 2) for p, r in zip(past, ranks, strict=True) if (r <= 0.25) == good and p[at] is not None]
+        return np.log(np.mean(held) + 1e-12)
+
+    ratio = {c: density(x, 1, 0.2, True) - density(x, 1, 0.2, False) + density(y, 2, 1.4, True) - density(y, 2, 1.4, False) for c, x, y in pool}
+    asked = spark.createDataFrame(pool, "config_id long, x double, y int")
+    found = search.density_pick(rows, asked.union(asked), box, 12)
+    assert [r["config_id"] for r in found.collect()] == sorted(ratio, key=lambda c: (-ratio[c], c))[:12] and found.schema["y"].dataType == asked.schema["y"].dataType
+    # Neither a window over the whole history nor pairs of history and pool.
+    plan = found._jdf.queryExecution().toString()
+    assert "Window" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    for share in (0.0, 0.1, 1.0):
+        want = [r <= share for r in ranks]
+        assert [r[0] for r in rows.select(search._good_from(rows, share)).collect()] == want

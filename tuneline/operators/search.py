@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import time
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tuneline.functions.scalars import Factor
 from tuneline.operators.evaluate import Factory, evaluate_candidates, logistic
@@ -18,6 +20,9 @@ from tuneline.operators.relational import best_config
 from tuneline.operators.sampling import factor_levels, grid_product, random_configs, sample_n
 from tuneline.session import materialize
 
+#: Cells, in kernel widths, and terms of the series by which a cell's rows are summed up.
+_CELL, _ORDER = 0.5, 24
+
 
 def equal_budget(budget: int, design_rows: int, candidates: int) -> int:
     """The budget asked for, or what the main method spends."""
@@ -81,19 +86,81 @@ def _tree(tree, v):
     return walk(tree._call_java("rootNode"))
 
 
+def _good_from(history: DataFrame, good_share: float) -> Column:
+    """Whether a history row's percentile rank by accuracy, best first and ties alike, is at most ``good_share``; nulls rank last.
+
+    The cut is the row of that rank. A quantile sketch narrows the accuracies down to a band
+    that holds it; only the band's distinct values reach the driver.
+    """
+    acc = F.nanvl(F.col("Accuracy_Mean").cast("double"), F.lit(None).cast("double"))
+    n, held = history.agg(F.count(F.lit(1)), F.count(acc)).first()
+    place = math.floor(good_share * (n - 1)) if n > 1 else 0
+    # A product can miss the rank by rounding where the quotient, which is what counts, doesn't.
+    place += int(n > 1 and (place + 1) / (n - 1) <= good_share)
+    if place >= held:
+        return F.lit(True)
+    near = 1 - place / max(1, held - 1)
+    low, high = history.agg(F.percentile_approx(acc, [max(0.0, near - 0.002), min(1.0, near + 0.002)], 10_000)).first()[0]
+    for _ in range(2):
+        above = history.where(acc > high).count()
+        band = sorted(history.where(acc.between(low, high)).groupBy(acc.alias("a")).count().collect(), key=lambda r: -r["a"])
+        for r in band:
+            if above <= place < above + r["count"]:
+                return F.coalesce(acc >= r["a"], F.lit(False))
+            above += r["count"]
+        low, high = history.agg(F.min(acc), F.max(acc)).first()
+    raise ValueError("good_share lies between 0 and 1")
+
+
+def _moments(history: DataFrame, good: Column, factors: dict[str, Factor]) -> dict[str, tuple[list, list]]:
+    """For each factor and the good and other rows: (centre, row count, moments) of the cells that hold values."""
+    names, powers = list(factors), range(_ORDER)
+    held = F.array(*[F.struct(F.lit(i).alias("f"), (F.col(n).cast("double") / _width(factors[n])).alias("x")) for i, n in enumerate(names)])
+    cells = history.select(good.alias("good"), F.explode(held).alias("h")).where(F.col("h.x").isNotNull()).select("good", "h.f", "h.x").withColumn("cell", F.rint(F.col("x") / _CELL))
+    t = F.col("x") - F.col("cell") * _CELL
+    sums = [F.sum(F.exp(-t * t / 2) * F.pow(t, F.lit(i))).alias(f"m{i}") for i in powers]
+    out: dict[str, tuple[list, list]] = {n: ([], []) for n in names}
+    for r in sorted(cells.groupBy("f", "good", "cell").agg(F.count("x").alias("n"), *sums).collect(), key=lambda r: r["cell"]):
+        out[names[r["f"]]][0 if r["good"] else 1].append((r["cell"] * _CELL, r["n"], [r[f"m{i}"] / math.factorial(i) for i in powers]))
+    return out
+
+
+def _parzen(x: np.ndarray, cells: list) -> np.ndarray:
+    """The mean of exp(-(x - h)^2 / 2) over the rows h that the cells' moments sum up; 0 where there are none."""
+    total = np.zeros(len(x))
+    for centre, _, moments in cells:
+        d = x - centre
+        total += np.exp(-d * d / 2) * np.polynomial.polynomial.polyval(d, moments)
+    return np.nan_to_num(total / max(1, sum(n for _, n, _ in cells)), nan=0.0)
+
+
+def _width(box: Factor) -> float:
+    return max((box.hi - box.lo) / 5, 1e-9)
+
+
 def density_pick(history: DataFrame, pool: DataFrame, factors: dict[str, Factor], n: int, good_share: float = 0.25) -> DataFrame:
-    """The ``n`` pool rows of largest ratio of Parzen densities of good to other history rows, factors taken one by one."""
-    ranked = history.withColumn("_p", F.percent_rank().over(Window.orderBy(F.desc("Accuracy_Mean"))))
-    marked = ranked.select((F.col("_p") <= good_share).alias("_good"), *[F.col(f).cast("double").alias(f"h_{f}") for f in factors])
-    pairs = pool.crossJoin(F.broadcast(marked))
-    kernels = []
-    for f, box in factors.items():
-        width = max((box.hi - box.lo) / 5, 1e-9)
-        d = (F.col(f) - F.col(f"h_{f}")) / width
-        kernels += [F.avg(F.when(F.col("_good"), F.exp(-d * d / 2))).alias(f"l_{f}"), F.avg(F.when(~F.col("_good"), F.exp(-d * d / 2))).alias(f"g_{f}")]
-    dense = pairs.groupBy("config_id", *factors).agg(*kernels)
-    ratio = sum((F.log(F.coalesce(F.col(f"l_{f}"), F.lit(0.0)) + 1e-12) - F.log(F.coalesce(F.col(f"g_{f}"), F.lit(0.0)) + 1e-12) for f in factors), F.lit(0.0))
-    return dense.withColumn("_r", ratio).orderBy(F.desc("_r"), "config_id").limit(n).select("config_id", *factors)
+    """The ``n`` pool rows of largest ratio of Parzen densities of good to other history rows, factors taken one by one.
+
+    Both tables may grow: the history is summed up once in moments about the middles of cells
+    that are half a kernel's width (the box has eleven), from which densities follow
+    to double precision, and the pool passes by them.
+    """
+    moments = _moments(history, _good_from(history, good_share), factors)
+    names = list(factors)
+    rows = pool.select("config_id", *names).dropDuplicates()
+    held = rows.select("config_id", *names, *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(names)])
+
+    def ratios(batches):
+        for b in batches:
+            total = np.zeros(b.num_rows)
+            for i, f in enumerate(names):
+                x = b.column(b.num_columns - len(names) + i).to_numpy(zero_copy_only=False).astype(float) / _width(factors[f])
+                good, other = (_parzen(x, cells) for cells in moments[f])
+                total += np.log(np.maximum(good, 0) + 1e-12) - np.log(np.maximum(other, 0) + 1e-12)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names) + 1], pa.array(total)], ["config_id", *names, "_r"])
+
+    kinds = StructType([*rows.schema.fields, StructField("_r", DoubleType())])
+    return held.mapInArrow(ratios, kinds).orderBy(F.desc("_r"), "config_id").limit(n).select("config_id", *names)
 
 
 def guided_search(data: DataFrame, factors: dict[str, Factor], budget: int, pick: str, seed: int = 42, factory: Factory = logistic, k: int = 5, pool: int = 10_000, batch: int | None = None) -> DataFrame:
