@@ -33,6 +33,16 @@ def test_quality_edges(spark):
     assert quality_classifier.keep_good(_edges(spark), labels.limit(0)).columns == ["doc_id", "text", "_text"]
 
 
+def test_repeated_ids_count_once_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(7, f"copy {i % 2}") for i in range(500)] + [(8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(7, 1)] * 300 + [(7, 0), (None, 1)], "doc_id long, quality int")
+    got = [tuple(r) for r in common.labelled_sample(docs, labels, "doc_id", "text", "quality", {0: 4, 1: 10}, F.lit(True)).collect()]
+    keys = [(k, label) for _, label, k in got]
+    assert len(keys) == len(set(keys)) and sum(label for _, label in keys) == 10 and len(keys) == 14
+    again = [tuple(r) for r in common.labelled_sample(docs.repartition(7), labels, "doc_id", "text", "quality", {0: 4, 1: 10}, F.lit(True)).collect()]
+    assert sorted(got, key=str) == sorted(again, key=str)
+
+
 def test_votes_weigh_by_similarity():
     voters = np.array([[1.0, 0.0], [0.0, 1.0]])
     got = quality_classifier.vote(np.array([[1.0, 0.0], [0.0, 1.0], [0.8, 0.6]]), voters, np.array([1.0, 0.0]), k=2)

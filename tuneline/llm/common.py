@@ -47,13 +47,17 @@ def held_out(id_col: str, mod: int, rest: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: dict[int, int], allowed: Column) -> DataFrame:
-    """Texts and labels to fit on: for each label at most ``most[label]`` rows, those with the smallest hash of their id.
+    """Texts and labels to fit on: for each label at most ``most[label]`` ids, those with the smallest hash, and one row of each.
 
-    The bound makes the sample's ids small enough to broadcast, whatever the tables' sizes.
+    The bound makes the sample's ids small enough to broadcast, and the sample small enough
+    to collect, whatever the tables' sizes and however often an id repeats in either. Of an
+    id's texts the one of the smallest hash counts.
     """
     rows = labels.where(allowed & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_key"), F.col(label_col).cast("int").alias("_label"))
     picked = None
     for label, n in most.items():
-        part = rows.where(F.col("_label") == label).orderBy(F.xxhash64(F.col("_key").cast("string")), "_key").limit(n)
+        part = rows.where(F.col("_label") == label).distinct().orderBy(F.xxhash64(F.col("_key").cast("string")), "_key").limit(n)
         picked = part if picked is None else picked.unionByName(part)
-    return docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_key").select("_text", "_label", "_key")
+    found = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_key")
+    one = found.groupBy("_key", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("hash"), F.col("_text").alias("text"))).alias("_first"))
+    return one.select(F.col("_first.text").alias("_text"), "_label", "_key")
