@@ -4,8 +4,9 @@ Each distinct shingle set has one signature. The forest's trees are orders of th
 signatures, each by its own hash values: neighbours in an order share a long prefix. A
 region is a run of an order whose first values agree. Small regions are compared whole, by
 estimate; in larger ones each row is compared with its neighbours in the order and with
-the region's medoids, found by going deeper where rows differ, and a second round looks at
-what the estimate still allows between different components there. Candidates are
+the region's medoids, and a second round looks at what the estimate still allows between
+different components there. The depth of a region is fixed: it isn't split at longer
+prefixes, since links may share no more than the first values. Candidates are
 confirmed on the full sets, blocks of documents side by side; only links leave a task, so
 a dense region costs rows and not pairs.
 """
