@@ -38,7 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("encode", encode)]
-#: Model fits, signatures and tokens aren't SQL; tests hold each stage against brute force.
+#: Model fits, signatures and tokens aren't SQL; tests hold the operators against brute force, but not this pipeline's rows.
 ORACLE_SQL = None
 
 
