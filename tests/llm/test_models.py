@@ -92,6 +92,16 @@ def test_graph_recall():
     assert hnsw.search(hnsw.lift(x[:1]), hnsw.build(hnsw.lift(x[:1])), np.zeros((1, 25), np.float32), 3)[0].tolist() == [[0, -1, -1]]
 
 
+def test_graph_recall_in_tight_groups():
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(160, 64)), 50, 0) + rng.normal(size=(8000, 64)) * 0.02
+    x = x[rng.permutation(8000)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found, _ = hnsw.search(hnsw.lift(x), hnsw.build(hnsw.lift(x)), np.concatenate([x[:400], np.zeros((400, 1))], 1).astype(np.float32), 20)
+    want = np.argsort(-(x[:400] @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found.tolist(), want.tolist(), strict=True)]) >= 0.97
+
+
 def test_nearest_equals_brute_force(spark):
     rows = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect() if r["embedding"] is not None}
     got: dict = {}

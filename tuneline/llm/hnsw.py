@@ -67,7 +67,7 @@ def _spread(points: np.ndarray, ids: np.ndarray, near: np.ndarray, most: int) ->
 
 
 def _connect(points: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np.ndarray) -> None:
-    """Link ``new`` to ``chosen`` and back; a full list keeps the nearest."""
+    """Link ``new`` to ``chosen`` and back; a full list keeps a spread choice of the nearest, so that links out of tight groups stay."""
     most = links.shape[1]
     links[new, : chosen.shape[1]] = chosen
     r, c = np.nonzero(chosen >= 0)
@@ -80,8 +80,12 @@ def _connect(points: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np.
     all_ids = np.concatenate([links[nodes], extra], 1)
     near = np.einsum("nkd,nd->nk", points[np.maximum(all_ids, 0)], points[nodes])
     near[all_ids < 0] = -np.inf
-    order = np.argsort(-near, axis=1, kind="stable")[:, :most]
-    links[nodes] = np.take_along_axis(all_ids, order, 1)
+    order = np.argsort(-near, axis=1, kind="stable")[:, : 2 * most]
+    ids, near = np.take_along_axis(all_ids, order, 1), np.take_along_axis(near, order, 1)
+    full = (ids >= 0).sum(1) > most
+    links[nodes[~full]] = ids[~full, :most]
+    for rows in np.array_split(np.flatnonzero(full), -(-int(full.sum()) // 512) or 1):
+        links[nodes[rows]] = _spread(points, ids[rows], near[rows], most)
 
 
 def build(points: np.ndarray, seed: int = 6) -> dict[str, np.ndarray]:
