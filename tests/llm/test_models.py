@@ -82,24 +82,55 @@ def test_toxicity(spark):
     assert toxicity.score(_edges(spark).limit(0), labels, F.lit(True)).count() == 0
 
 
-def test_graph_recall():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(1500, 24)) * rng.uniform(0.5, 2, (1500, 1))
-    q = rng.normal(size=(60, 24))
-    found, _ = hnsw.search(hnsw.lift(x), hnsw.build(hnsw.lift(x)), np.concatenate([q, np.zeros((60, 1))], 1).astype(np.float32), 10)
-    want = np.argsort(-(q @ x.T), axis=1)[:, :10]
-    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found.tolist(), want.tolist(), strict=True)]) >= 0.9
-    assert hnsw.search(hnsw.lift(x[:1]), hnsw.build(hnsw.lift(x[:1])), np.zeros((1, 25), np.float32), 3)[0].tolist() == [[0, -1, -1]]
-
-
-def test_graph_recall_in_tight_groups():
-    rng = np.random.default_rng(3)
-    x = np.repeat(rng.normal(size=(160, 64)), 50, 0) + rng.normal(size=(8000, 64)) * 0.02
-    x = x[rng.permutation(8000)]
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    found, _ = hnsw.search(hnsw.lift(x), hnsw.build(hnsw.lift(x)), np.concatenate([x[:400], np.zeros((400, 1))], 1).astype(np.float32), 20)
-    want = np.argsort(-(x[:400] @ x.T), axis=1)[:, :20]
-    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found.tolist(), want.tolist(), strict=True)]) >= 0.97
+def _recall(x, queries, k=20):
+    """Recall of each query's k nearest, on a graph of all of ``x`` searched as a shard is."""
+    found, _ = hnsw.search(x.astype(np.float32), hnsw.build(hnsw.directions(x)), hnsw.directions(x[queries]), k + 1)
+    products = x[queries] @ x.T
+    products[np.arange(len(queries)), queries] = -np.inf
+    want = np.argsort(-products, axis=1)[:, :k]
+    return np.array([len({i for i in f.tolist() if i != q} & set(w.tolist())) / k for q, f, w in zip(queries, found, want, strict=True)])
+
+
+def _unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("shape", ["isotropic", "unequal norms", "clusters", "tight groups"])
+def test_recall_of_a_full_shard(shape):
+    rng, n = np.random.default_rng(1), nearest.SHARD_NODES
+    x = _unit(rng.normal(size=(n, 64)))
+    if shape == "unequal norms":
+        x *= rng.uniform(1 / nearest.BAND, 1, (n, 1))
+    if shape == "clusters":
+        x = x[rng.integers(0, 100, n)] + rng.normal(size=(n, 64)) * 0.1
+    if shape == "tight groups":
+        x = _unit(x[rng.integers(0, 500, n)] + rng.normal(size=(n, 64)) * 0.005)
+    recall = _recall(x, rng.choice(n, 200, replace=False))
+    assert recall.mean() >= 0.95 and recall.min() > 0.5
+
+
+def test_graph_of_one_node():
+    x = np.ones((1, 3))
+    assert hnsw.search(x.astype(np.float32), hnsw.build(hnsw.directions(x)), np.ones((1, 3), np.float32), 3)[0].tolist() == [[0, -1, -1]]
+
+
+def test_shards_keep_to_lengths_and_bands():
+    got = nearest.deal([(64, 0, 60_000), (64, 1, 10), (64, 2, 20), (64, 9, 20), (64, -3, 5), (8, 0, 7)])
+    assert got == [(8, 0, 0, 1), (64, -3, 1, 1), (64, 0, 2, 3), (64, 1, 5, 1), (64, 2, 5, 1), (64, 9, 6, 1)] and nearest.deal([]) == []
+
+
+def test_unequal_norms_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "SHARD_NODES", 400)
+    monkeypatch.setattr(nearest, "LEAST_BLOCK", 20)
+    rng = np.random.default_rng(7)
+    x = _unit(rng.normal(size=(3000, 16))) * np.exp(rng.normal(size=(3000, 1)))
+    x[7] *= 1e200
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, shard int")
+    got: dict = {}
+    for r in nearest.nearest(df, F.col("id") % 20 == 0, k=10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {q: {int(i) for i in np.argsort(-np.where(np.arange(3000) == q, -np.inf, x @ x[q]))[:10]} for q in range(0, 3000, 20)}
+    assert sorted(got) == sorted(want) and np.mean([len(got[q] & want[q]) / 10 for q in want]) >= 0.98
 
 
 def test_nearest_equals_brute_force(spark):
@@ -124,6 +155,8 @@ def test_nearest_edges(spark):
     for r in nearest.nearest(df, F.col("id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == {0: [1, 2, 3, 4, 5], 20: [0, 1, 2, 3, 4], 40: [0, 1, 2, 3, 4], 120: [0, 1, 2, 3, 4]}
+    short = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (20, [1.0, 1.0]), (2, [0.5, 0.0]), (40, [1.0, 0.0, 0.0])], df.schema)
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in nearest.nearest(short, F.col("id") % 20 == 0).collect()) == [(0, 1, 2.0), (20, 2, 0.5)]
     few = nearest.nearest(df.where("vec_id in (0, 120)"), F.col("id") % 20 == 0, k=5)
     assert sorted((r["query_id"], r["vec_id"]) for r in few.collect()) == [(0, 120), (120, 0)]
     assert nearest.nearest(df.limit(0), F.lit(True)).count() == 0

@@ -1,8 +1,8 @@
 """A hierarchical navigable small-world graph in flat neighbour arrays (numpy).
 
 Points go in by batches: each batch searches the graph so far side by side, and its points
-also look at each other. Inner products are ordered as distances by one more coordinate that
-gives all points the same norm.
+also look at each other. The graph links directions (unit vectors), and a search walks it by
+inner products with the points themselves; norms in one graph should lie close together.
 """
 
 from __future__ import annotations
@@ -10,25 +10,37 @@ from __future__ import annotations
 import numpy as np
 
 #: Neighbours on upper layers (twice as many on the lowest), beam while building, beam while searching.
-LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 64, 128
+LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 64, 384
+#: Beam of a search on upper layers, and how many of what it finds start the next layer.
+UPPER_BEAM, STARTS = 48, 16
 _BATCH = 384
 
 
-def lift(x: np.ndarray) -> np.ndarray:
-    """Points with one more coordinate, so that all norms are the largest one."""
-    norms = (x.astype(np.float64) ** 2).sum(1)
-    return np.concatenate([x, np.sqrt(np.maximum(norms.max(initial=0) - norms, 0))[:, None]], 1).astype(np.float32)
+def directions(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in single precision; scaled by the largest component first, so that no square overflows."""
+    x = x / np.maximum(np.abs(x).max(1, initial=0), np.finfo(float).tiny)[:, None]
+    return (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
 
 
 def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``beam`` best nodes found for each query (-1 where fewer) and their products, best first; queries walk side by side."""
+    """The ``beam`` best nodes found for each query (-1 where fewer) and their products, best first.
+
+    Queries walk side by side, each from its own ``start`` nodes (a row of different ids, -1 for none, the first one real).
+    """
     q, wide = len(queries), 4
     ids, near = np.full((q, beam), -1, np.int32), np.full((q, beam), -np.inf, np.float32)
     opened = np.ones((q, beam), bool)
     seen = np.zeros((q, len(points)), bool)
     rows = np.arange(q)
-    ids[:, 0], near[:, 0], opened[:, 0] = start, np.einsum("qd,qd->q", points[start], queries), False
-    seen[rows, start] = True
+    r, c = np.nonzero(start >= 0)
+    n = start.shape[1]
+    ids[:, :n] = start
+    near[r, c] = np.einsum("ed,ed->e", points[start[r, c]], queries[r])
+    opened[:, :n] = start < 0
+    seen[r, start[r, c]] = True
+    best = np.argsort(-near[:, :n], axis=1, kind="stable")
+    for x in (ids, near, opened):
+        x[:, :n] = np.take_along_axis(x[:, :n], best, 1)
     while len(rows):
         # The best nodes not yet opened, a few at once.
         order = np.argsort(opened[rows], axis=1, kind="stable")[:, :wide]
@@ -89,7 +101,7 @@ def _connect(points: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np.
 
 
 def build(points: np.ndarray, seed: int = 6) -> dict[str, np.ndarray]:
-    """The graph of ``points`` (lifted): links of each layer, lowest first, and the entry node."""
+    """The graph of ``points`` (directions): links of each layer, lowest first, and the entry node."""
     n = len(points)
     rng = np.random.default_rng(seed)
     height = np.minimum((-np.log(rng.random(n)) / np.log(LINKS)).astype(int), 6)
@@ -98,12 +110,12 @@ def build(points: np.ndarray, seed: int = 6) -> dict[str, np.ndarray]:
     done = 1
     while done < n:
         new = np.arange(done, min(n, done + min(_BATCH, done)))
-        start = np.zeros(len(new), np.int64)
+        start = np.zeros((len(new), 1), np.int64)
         for k in range(len(layers) - 1, -1, -1):
             here = height[new] >= k
-            beam = BUILD_BEAM if k == 0 else 16
+            beam = BUILD_BEAM if k == 0 else UPPER_BEAM
             ids, near = beam_search(points, layers[k], points[new], start, beam)
-            start = np.maximum(ids[:, 0], 0)
+            start = ids[:, :STARTS].astype(np.int64)
             if not here.any():
                 continue
             own, rows = new[here], points[new[here]]
@@ -121,13 +133,13 @@ def build(points: np.ndarray, seed: int = 6) -> dict[str, np.ndarray]:
 
 
 def search(points: np.ndarray, graph: dict[str, np.ndarray], queries: np.ndarray, k: int, beam: int = SEARCH_BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best nodes for each query, best first (-1 where fewer), and products in single precision."""
+    """The ``k`` nodes of largest inner product with each query, best first (-1 where fewer), and products in single precision."""
     out_ids, out_near = [], []
     for at in range(0, len(queries), 256):
         part = queries[at : at + 256]
-        start = np.full(len(part), graph["entry"][0], np.int64)
+        start = np.full((len(part), 1), graph["entry"][0], np.int64)
         for layer in range(len(graph) - 2, 0, -1):
-            start = beam_search(points, graph[f"layer{layer}"], part, start, 4)[0][:, 0]
+            start = beam_search(points, graph[f"layer{layer}"], part, start, UPPER_BEAM)[0][:, :STARTS].astype(np.int64)
         ids, near = beam_search(points, graph["layer0"], part, start, max(beam, k))
         out_ids.append(ids[:, :k])
         out_near.append(near[:, :k])
