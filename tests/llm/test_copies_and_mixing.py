@@ -101,9 +101,10 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == want
 
 
-def test_dense_families_and_chains(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK", 60)
-    monkeypatch.setattr(near_dup, "SEATS", 50)
+@pytest.mark.parametrize(("broadcast", "few"), [(0, 0), (50_000, 8)])
+def test_dense_families_and_chains(spark, monkeypatch, broadcast, few):
+    for name, value in {"BLOCK": 60, "SEATS": 50, "WHOLE": 20, "SPLIT": 60, "BROADCAST": broadcast, "FEW": few}.items():
+        monkeypatch.setattr(near_dup, name, value)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(2000)]
     base = [rng.choice(words) for _ in range(150)]
@@ -122,11 +123,32 @@ def test_dense_families_and_chains(spark, monkeypatch):
     assert got == _brute_groups(texts, 3, 85)
 
 
+def test_boilerplate_below_the_threshold_meets_nobody(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(near_dup, "rare_places", lambda *a, f=near_dup.rare_places: seen.append(f(*a)) or seen[-1])
+    rng, n = random.Random(8), 50_000
+    frame = " ".join(f"frame{i}" for i in range(60))
+    texts = [(i, f"{frame} " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(6))) for i in range(n)]
+    # Any two share 58 of 70 shingles; every thousandth has a copy with a word more.
+    texts += [(n + i, f"{texts[i][1]} more") for i in range(0, n, 1000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, words=3, percent=85).collect()}
+    assert got == {i: i - n if i >= n else i for i, _ in texts}
+    # All rows lie in large regions, and none shares a rare shingle with another component.
+    assert len(seen) == 1 and seen[0].count() == 0
+
+
 def test_near_duplicate_edges(spark):
     docs = spark.createDataFrame([(5, "A b c d"), (3, "a B c d"), (3, "a b c d"), (9, None), (8, ""), (7, "one"), (6, "ONE"), (None, "one"), (4, "É"), (2, "é")], "doc_id long, text string")
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(docs).collect()}
     assert got == {(5, 1, 3, False), (3, 1, 3, True), (9, 0, 9, True), (8, 0, 8, True), (7, 1, 6, False), (6, 1, 6, True), (None, 1, None, True), (4, 1, 4, True), (2, 1, 2, True)}
     assert near_dup.one_of_each(docs).count() == 8
+    odd = docs.selectExpr("doc_id", "text", "1 as component", "2 as id", "3 as region", "4 as _text", "5 as _id", "6 as kept", "7 as n_shingles")
+    assert near_dup.near_duplicates(odd).count() == 10 and near_dup.one_of_each(odd).columns == odd.columns
+    rng = random.Random(1)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    pair = spark.createDataFrame([(1, " ".join(long)), (2, " ".join([*long[:-9], "other"])), (3, " ".join(long[::-1]))], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(pair).collect()) == [(1, 1), (2, 1), (3, 3)]
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 

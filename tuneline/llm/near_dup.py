@@ -2,17 +2,22 @@
 
 Each distinct shingle set has one signature. The forest's trees are orders of the
 signatures, each by its own hash values: neighbours in an order share a long prefix. A
-region is a run of an order whose first values agree. Small regions are compared whole, by
-estimate; in larger ones each row is compared with its neighbours in the order and with
-the region's medoids, and a second round looks at what the estimate still allows between
-different components there. The depth of a region is fixed: it isn't split at longer
-prefixes, since links may share no more than the first values. Candidates are
+region is what agrees in an order's first values. Small regions are compared whole, by
+estimate. Regions that are too large are split at longer prefixes, as deep as each needs,
+and dealt out by id where values run out; in them each row is compared with its neighbours
+in the order and with medoids, which links families of copies cheaply.
+
+A deeper prefix can part a link, so large regions with more than one component get an exact
+second round: linked sets share a shingle among the rarest few of each.
+Rows meet by those shingles, counted over these rows and between different components only,
+so boilerplate that many of them hold brings nobody together. Candidates are
 confirmed on the full sets, blocks of documents side by side; only links leave a task, so
 a dense region costs rows and not pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +31,18 @@ from tuneline.session import materialize, require_columns
 #: Orders, values that sort each of them, and values that the rows of a region share.
 TREES, VALUES, PREFIX = 16, 6, 3
 HASHES = TREES * VALUES
-#: Rows of a region that are compared whole; rows taken at once in a larger one.
-WHOLE, CHUNK = 64, 4096
+#: Rows of a region that are compared whole; rows beyond which a region is split deeper; rows taken at once.
+WHOLE, SPLIT, CHUNK = 256, 4096, 4096
+#: Regions to split that a broadcast may hold; beyond it they are joined by sort-merge.
+BROADCAST = 50_000
 #: Links confirmed together at most; documents, and shingles, of a block of the second round.
 LINKS, BLOCK, BLOCK_SHINGLES = 2_000, 2_048, 2_000_000
-#: Rows of a block of a region in the second round, where only marks are compared.
-SEATS = 50_000
+#: Rows of a block in the second round, where only marks are compared.
+SEATS = 1_024
+#: Pairs for each row of a place that are confirmed one by one; beyond them the place's rows are confirmed side by side.
+FEW = 8
+#: Chance that the estimate misses a pair whose similarity is just enough.
+MISS = 2e-6
 
 _RNG = np.random.default_rng(85)
 _A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,10 +117,10 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Region:
-    """One region of an order, taken in chunks of CHUNK rows."""
+    """One region of an order, taken in chunks of CHUNK rows; one of up to ``whole`` rows is compared whole."""
 
-    def __init__(self, least: float):
-        self.least = least
+    def __init__(self, least: float, whole: int):
+        self.least, self.whole = least, whole
         self.medoids = np.zeros((0, HASHES), np.uint8)
         self.medoid_ids = np.zeros(0, np.int64)
         self.last = (np.zeros(0, np.int64), np.zeros((0, HASHES), np.uint8))
@@ -119,7 +130,7 @@ class _Region:
         return [(ids[i], ids[j])]
 
     def chunk(self, ids: np.ndarray, marks: np.ndarray, whole: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-        if whole and len(ids) <= WHOLE:
+        if whole and len(ids) <= self.whole:
             return self.all_pairs(ids, marks)
         found = []
         near_ids, near = np.concatenate([self.last[0], ids]), np.concatenate([self.last[1], marks])
@@ -134,7 +145,7 @@ class _Region:
             left = share[np.arange(len(ids)), best] < self.least
             found.append((ids[~left], self.medoid_ids[best[~left]]))
         poor = 0
-        while left.sum() > WHOLE and poor < 16:
+        while left.sum() > self.whole and poor < 16:
             rows = np.flatnonzero(left)
             mode = np.array([np.bincount(c, minlength=256).argmax() for c in marks[rows].T], np.uint8)
             middle = rows[(marks[rows] == mode).mean(1).argmax()]
@@ -144,8 +155,9 @@ class _Region:
             poor += len(own) < 4
             self.medoids = np.concatenate([self.medoids, marks[middle][None]])
             self.medoid_ids = np.append(self.medoid_ids, ids[middle])
+        # What no medoid is near is left to the second round.
         rest = np.flatnonzero(left)
-        return [*found, *self.all_pairs(ids[rest], marks[rest])]
+        return [*found, *self.all_pairs(ids[rest], marks[rest])] if len(rest) <= self.whole else found
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, bool, pa.RecordBatch]]:
@@ -159,7 +171,8 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, bool, pa
     for b in batches:
         if not b.num_rows:
             continue
-        key = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        key = b.column(0)
+        key = key.to_numpy()[:, None] if key.type == pa.int64() else np.frombuffer(b"".join(key.to_pylist()), np.uint8).reshape(b.num_rows, -1)
         cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
         edges = [0, *cuts.tolist(), b.num_rows]
         if last is not None and key[0].tobytes() != last:
@@ -196,15 +209,15 @@ def _out(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _first_round(least: float):
-    """Candidate pairs; a row of a large region also comes as a pair of itself."""
+    """Candidate pairs; a row of a region that isn't compared whole also comes as a pair of itself."""
 
     def run(batches):
-        region, gathered = _Region(least), []
+        region, gathered = _Region(least, WHOLE), []
         for begins, ends, held in _regions(batches):
             if begins:
-                region = _Region(least)
+                region = _Region(least, WHOLE)
             ids, marks = _columns(held)
-            large = not (begins and ends and len(ids) <= WHOLE)
+            large = not (begins and ends and len(ids) <= WHOLE) or held[0].column("deep")[0].as_py()
             pairs = region.chunk(ids, marks, begins and ends)
             pairs = [(x[x != y], y[x != y]) for x, y in pairs]
             gathered += [*pairs, (ids, ids)] if large else pairs
@@ -229,8 +242,8 @@ def _join_up(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def _second_round(least: float):
-    """What connects the pairs of different components that the estimate allows, among a place's rows: a forest, so rows and not pairs."""
+def _second_round(percent: int, least: float):
+    """Pairs of different components that the estimate allows, among a place's rows; a forest of them (dense) where they would outnumber the rows by far."""
 
     def run(batches):
         parts = []
@@ -238,24 +251,75 @@ def _second_round(least: float):
             parts = held if begins else [*parts, *held]
             if not ends:
                 continue
-            ids, marks, component, block = _columns(parts, "component", "block")
-            label = np.arange(len(ids))
+            ids, marks, component, block, size, short = _columns(parts, "component", "block", "size", "short")
+            label, pairs, most = np.arange(len(ids)), [], FEW * len(ids)
             # Rows of one block meet in the place that has them alone.
             apart = block.min() != block.max()
             for at in range(0, len(ids), 512):
                 for then in range(at, len(ids), CHUNK):
-                    other = component[at : at + 512, None] != component[None, then : then + CHUNK]
+                    x, y = slice(at, at + 512), slice(then, then + CHUNK)
+                    low, high = np.minimum(size[x, None], size[None, y]), np.maximum(size[x, None], size[None, y])
+                    # The smaller of two linked sets has a common shingle in its short prefix.
+                    open_ = (component[x, None] != component[None, y]) & (100 * low >= percent * high)
+                    open_ &= (short[x, None] & (size[x, None] == low)) | (short[None, y] & (size[None, y] == low))
                     if apart:
-                        other &= block[at : at + 512, None] != block[None, then : then + CHUNK]
-                    if other.any():
-                        i, j = np.nonzero(other & (_agree(marks[at : at + 512], marks[then : then + CHUNK]) >= least))
+                        open_ &= block[x, None] != block[None, y]
+                    if open_.any():
+                        i, j = np.nonzero(open_ & (_agree(marks[x], marks[y]) >= least))
                         _join_up(label, at + i, then + j)
-            yield _out([(ids, ids[label])])
-        yield _out([])
+                        most -= len(i)
+                        pairs = [*pairs, (ids[at + i], ids[then + j])] if most >= 0 else []
+            found = _out(pairs if most >= 0 else [(ids, ids[label])])
+            yield found.append_column("dense", pa.array([most < 0] * found.num_rows, pa.bool_()))
+        yield _out([]).append_column("dense", pa.array([], pa.bool_()))
 
     return run
 
 
+def _sets(words: int):
+    """The shingles of each text beside its columns."""
+
+    def run(batches):
+        known: dict[bytes, int] = {}
+        for b in batches:
+            sets = [shingles(x, words, known).view(np.int64) for x in b.column("_text").to_pylist()]
+            hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("component"), b.column("marks"), hashes], ["id", "component", "marks", "hashes"])
+
+    return run
+
+
+def rare_places(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(place, id, marks, component, block, size, short): rows of different components that could be linked share a place. ``rows`` has id, component and marks.
+
+    A set's shingles are ordered by how many of ``rows`` hold them, those of one component alone
+    first. Linked sets of sizes m <= n share at least p n / 100, and 2 p m / (100 + p), of their
+    shingles; so one is among the first n - that + 1 of the larger set and among the first
+    m - that + 1 of the smaller, its short prefix. A place is a shingle that is in some row's
+    short prefix; one of over SEATS rows is dealt into blocks that meet two by two.
+    """
+    held = rows.select("id", "component", "marks").hint("merge").join(docs.select(F.col("_id").alias("id"), "_text"), "id")
+    sets = held.mapInArrow(_sets(words), "id long, component long, marks binary, hashes array<bigint>")
+    sets = materialize(sets.select(F.monotonically_increasing_id().alias("row"), "*"), "sets")
+    flat = sets.select("row", "component", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
+    ends = [F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")]
+    # Counts are written before their joins, so that a common shingle's rows can be split.
+    shared = materialize(flat.groupBy("h").agg(*ends).where("low <> high").select("h", "n"), "shared")
+    ranked = flat.join(shared, "h").groupBy("row", "component", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("common"))
+    alone = F.col("size") - F.size("common")
+    first = lambda least: F.greatest(F.col("size") - F.ceil(least) + 1 - alone, F.lit(0)).cast("int")
+    long, short = first(F.lit(percent) * F.col("size") / 100), first(F.lit(2 * percent) * F.col("size") / (100 + percent))
+    taken = F.transform(F.slice("common", 1, long), lambda x, i: F.struct(x["h"].alias("h"), (i < short).alias("short")))
+    picked = materialize(ranked.select("row", "component", "size", F.inline(taken)), "rare")
+    meet = picked.groupBy("h").agg(*ends, F.max("short").alias("any")).where("low <> high and any")
+    meet = materialize(meet.select("h", F.ceil(F.col("n") / SEATS).cast("int").alias("blocks")), "meet")
+    seats = picked.join(meet, "h").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    seats = seats.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    number = lambda c, n: F.unhex(F.lpad(F.hex(c), n, "0"))
+    place = F.concat(number(F.col("h"), 16), number(F.least("block", "other"), 8), number(F.greatest("block", "other"), 8))
+    return seats.select(place.alias("place"), "row", "block", "size", "short").join(sets.select("row", "id", "marks", "component"), "row").select("place", "id", "marks", "component", "block", "size", "short")
+
+
 def _confirm_blocks(words: int, percent: int, least: float):
     """Links between different components among the documents of two blocks (or one), as many as join them up."""
 
@@ -382,52 +446,101 @@ def components(links: DataFrame) -> DataFrame:
             return label.select(F.col("a").alias("id"), F.col("label").alias("component"))
 
 
+def least_agreement(percent: int) -> float:
+    """The least share of agreeing marks at which a pair is looked at: one of just ``percent`` agrees less with a chance of MISS at most."""
+    p, chance, n = percent / 100, 0.0, 0
+    while (chance := chance + math.comb(HASHES, n) * p**n * (1 - p) ** (HASHES - n)) <= MISS:
+        n += 1
+    return (n - 0.5) / HASHES
+
+
+def _orders(signs: DataFrame, *more: str) -> DataFrame:
+    """A row for each tree, with its region (a hash of the tree and the first PREFIX values) and its place in the order."""
+    tree = signs.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+    start = f"tree * {4 * VALUES} + 1"
+    return tree.select(F.expr(f"xxhash64(tree, substring(sign, {start}, {4 * PREFIX}))").alias("region"), F.expr(f"substring(sign, {start}, {4 * VALUES})").alias("value"), "id", *more)
+
+
+def _joined(rows: DataFrame, few: DataFrame, how: str) -> DataFrame:
+    """``rows`` with what ``few``, a written table by region, says; broadcast only if it is small."""
+    return rows.join(F.broadcast(few) if few.limit(BROADCAST + 1).count() <= BROADCAST else few.hint("merge"), "region", how)
+
+
+def depths(signs: DataFrame) -> DataFrame | None:
+    """(region, depth, parts) of regions of over SPLIT rows; None if there is none.
+
+    The depth is the shortest prefix all of whose parts are small enough; where values run
+    out, parts is how many ways rows of equal values are dealt.
+    """
+    rows = _orders(signs)
+    large = materialize(rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).select("region"), "large")
+    if large.isEmpty():
+        return None
+    values = materialize(_joined(rows, large, "inner").groupBy("region", "value").agg(F.count(F.lit(1)).alias("n")), "values")
+    sizes = None
+    for depth in range(PREFIX + 1, VALUES + 1):
+        part = values.groupBy("region", F.substring("value", 1, 4 * depth).alias("v")).agg(F.sum("n").alias("n"))
+        part = part.groupBy("region").agg(F.max("n").alias("most")).withColumn("depth", F.lit(depth))
+        sizes = part if sizes is None else sizes.unionByName(part)
+    found = sizes.groupBy("region").agg(F.min(F.when(F.col("most") <= SPLIT, F.col("depth"))).alias("enough"), F.min("most").alias("most"))
+    parts = F.when(F.col("enough").isNull(), F.ceil(F.col("most") / SPLIT)).otherwise(1).cast("int")
+    return materialize(found.select("region", F.coalesce("enough", F.lit(VALUES)).alias("depth"), parts.alias("parts")), "depths")
+
+
+def forest_pairs(signs: DataFrame, least: float) -> DataFrame:
+    """Candidate pairs (a, b) of the forest, and (a, a) for each row of a region that isn't compared whole."""
+    rows, deeper = _orders(signs, "marks"), depths(signs)
+    if deeper is None:
+        rows = rows.withColumn("deep", F.lit(False))
+    else:
+        key = F.when(F.col("depth").isNull(), F.col("region")).otherwise(F.xxhash64("region", F.expr("substring(value, 1, 4 * depth)"), F.pmod(F.xxhash64("id"), F.col("parts"))))
+        rows = _joined(rows, deeper, "left").select(key.alias("region"), "value", "id", "marks", F.col("depth").isNotNull().alias("deep"))
+    sorted_ = rows.repartition("region").sortWithinPartitions("region", "value").drop("value")
+    return materialize(sorted_.mapInArrow(_first_round(least), _PAIR).distinct(), "pairs")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: id, n_shingles, component_id (smallest id reachable by links) and kept (it is that document).
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of word
     shingles (A-Z lower-cased). A text with fewer words is one shingle; an empty or null one
     has none and is linked with nothing, as is a row without id (component null, kept). Rows
-    with one id are one document in links. An empty table gives an empty table. Ids are integers.
+    with one id are one document in links. Texts are read whole, however long. An empty table gives
+    an empty table. Ids are integers; other columns are ignored, whatever their names.
     """
     require_columns(docs, id_col, text_col)
-    least = percent / 100 - 4.2 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
+    least = least_agreement(percent)
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     signed = materialize(docs.mapInArrow(_sign(words), "id long, n_shingles long, set_key binary, sign binary, marks binary"), "signed")
     real = F.col("id").isNotNull() & (F.col("n_shingles") > 0)
-    classes = signed.where(real).groupBy("set_key").agg(F.min("id").alias("first"))
+    # Written before the join, so that the rows of a common set can be split.
+    classes = materialize(signed.where(real).groupBy("set_key").agg(F.min("id").alias("first")), "classes")
     tagged = signed.where(real).join(classes, "set_key")
     first = F.col("id") == F.col("first")
     tagged = materialize(tagged.select("id", "n_shingles", "first", F.when(first, F.col("sign")).alias("sign"), F.when(first, F.col("marks")).alias("marks")), "tagged")
-
-    def orders(rows: DataFrame, *more: str) -> DataFrame:
-        """A row for each tree, with its region and its place in the order."""
-        tree = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-        start = f"tree * {4 * VALUES} + 1"
-        return tree.select(F.expr(f"concat(unhex(lpad(hex(tree), 2, '0')), substring(sign, {start}, {4 * PREFIX}))").alias("region"), F.expr(f"substring(sign, {start}, {4 * VALUES})").alias("value"), "id", "marks", *more)
-
     signs = tagged.where(first).select("id", "n_shingles", "sign", "marks")
-    sorted_ = orders(signs).repartition("region").sortWithinPartitions("region", "value").drop("value")
-    pairs = materialize(sorted_.mapInArrow(_first_round(least), _PAIR).distinct(), "pairs")
+    pairs = forest_pairs(signs, least)
     links = materialize(confirmed(pairs.where("a <> b"), docs, words, percent), "links")
     group = components(links)
     dense = pairs.where("a = b").select(F.col("a").alias("id"))
     if not dense.isEmpty():
         again = signs.join(dense.distinct(), "id").join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
         again = materialize(again, "dense")
-        rows = orders(again, "component").drop("value")
-        # Regions of one component, as a family of copies mostly is, are done; the others are dealt into blocks that meet two by two.
-        mixed = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where(f"low <> high and n > {WHOLE}")
-        rows = rows.join(mixed.select("region", F.ceil(F.col("n") / SEATS).cast("int").alias("blocks")), "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        number = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
-        rows = rows.select(F.concat("region", number(F.least("block", "other")), number(F.greatest("block", "other"))).alias("place"), "id", "marks", "component", "block")
-        rows = rows.repartition("place").sortWithinPartitions("place")
-        forest = materialize(rows.mapInArrow(_second_round(least), _PAIR).where("a <> b").distinct(), "forest")
+        # Regions of one component, as a family of copies mostly is, are done.
+        rows = _orders(again, "component").drop("value")
+        mixed = rows.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where(f"low <> high and n > {WHOLE}")
+        left = _joined(rows, materialize(mixed.select("region"), "mixed"), "inner").select("id").distinct()
+        again = materialize(again.join(left, "id"), "again")
+        places = rare_places(again, docs, words, percent).repartition("place").sortWithinPartitions("place")
+        found = materialize(places.mapInArrow(_second_round(percent, least), f"{_PAIR}, dense boolean").where("a <> b").distinct(), "found")
+        few, forest = (found.where(c).select("a", "b").distinct() for c in ("not dense", "dense"))
+        new = links.limit(0)
+        if not few.isEmpty():
+            new = materialize(confirmed(few, docs, words, percent), "links")
         if not forest.isEmpty():
-            new = materialize(confirmed_in_blocks(forest, again, docs, words, percent, least), "links")
-            if not new.isEmpty():
-                group = components(links.unionByName(new))
+            new = new.unionByName(materialize(confirmed_in_blocks(forest, again, docs, words, percent, least), "links"))
+        if not new.isEmpty():
+            group = components(links.unionByName(new))
     group = group.select(F.col("id").alias("first"), "component")
     done = tagged.select("id", "n_shingles", "first").join(group, "first", "left").select("id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
     alone = signed.where(~F.coalesce(real, F.lit(False))).select("id", "n_shingles", F.col("id").alias("component_id"))
