@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneline.llm.common import held_out, labelled_sample, table
-from tuneline.session import require_columns
+from tuneline.session import materialize, require_columns
 
 #: Most labelled rows of each label that the model is fitted on.
 SAMPLE = {1: 2_000, 0: 4_000}
@@ -28,10 +28,10 @@ PER_WORD = 1 + len(BEGINNINGS)
 #: Start of the bias: a sentence is innocent until shown otherwise.
 INNOCENT = -5.0
 THRESHOLD = 0.3
-#: Documents of the sample that a term must be in to get a weight.
-LEAST_DOCS = 5
-#: Terms that can get a weight: those that tell the labels apart best.
-MOST_TERMS = 8_192
+#: Bytes of term numbers of the labelled rows that the driver gets; rows beyond it, by the hash of their ids, are left out of the fit.
+SAMPLE_BYTES = 40 << 20
+#: Term occurrences that one step of training takes at once.
+_STEP = 1 << 20
 
 _TOKEN = re.compile(r"\w+|[.!?\n]")
 _END = re.compile(r"[.!?\n]")
@@ -56,49 +56,44 @@ def _numbered() -> dict[str, int]:
     return {c: i for i, c in enumerate(".!?\n")}
 
 
-def _telling(in_toxic: np.ndarray, in_clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """The MOST_TERMS terms whose share of documents differs most between the labels, in standard errors; those of LEAST_DOCS documents at least."""
-    a, b = in_toxic / max(1, n_toxic), in_clean / max(1, n_clean)
-    both = (in_toxic + in_clean) / max(1, n_toxic + n_clean)
-    gap = np.abs(a - b) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / max(1, n_toxic) + 1 / max(1, n_clean)))
-    gap[in_toxic + in_clean < LEAST_DOCS] = 0
-    return np.sort(np.argsort(-gap, kind="stable")[: min(MOST_TERMS, int((gap > 0).sum()))])
+def _sums(at: np.ndarray, values: np.ndarray, pick: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values[pick] by ``at``, in steps, so that no array of doubles is as long as the sample."""
+    out = np.zeros(n)
+    for i in range(0, len(at), _STEP):
+        out += np.bincount(at[i : i + _STEP], values[pick[i : i + _STEP]], n)
+    return out
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prevalence: float, rounds: int = 120, rate: float = 0.1, sparsity: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prevalence: float, rounds: int = 100, rate: float = 0.1, sparsity: float = 1.5e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that make the noisy-or of sentences fit the documents' labels.
 
     A bag is its term numbers, PER_WORD of them a word, and each word's sentence. Adam over
-    the whole sample, with soft thresholding that leaves most weights zero, over the terms
-    that tell the labels apart best. The labels weigh as ``prevalence`` says, so that
-    scores are probabilities in the table and not in the sample.
+    the whole sample, with soft thresholding that leaves most weights zero. The labels weigh
+    as ``prevalence`` says, so that scores are probabilities in the table and not in the sample.
     """
     weight, bias = np.zeros(TERMS), INNOCENT
     if not len(bags) or labels.min(initial=1) == labels.max(initial=0):
         return weight, bias
-    in_toxic, in_clean = np.zeros(TERMS, np.int32), np.zeros(TERMS, np.int32)
-    for (t, _), y in zip(bags, labels, strict=True):
-        (in_toxic if y == 1 else in_clean)[np.unique(t)] += 1
-    used = _telling(in_toxic, in_clean, int((labels == 1).sum()), int((labels == 0).sum()))
-    slot = np.full(TERMS, -1, np.int32)
-    slot[used] = np.arange(len(used))
-    kept, of, sizes, base = [], [], [], 0
-    for t, s in bags:
-        _, dense = np.unique(s, return_inverse=True)
-        own = slot[t]
-        kept.append(own[own >= 0])
-        of.append((np.repeat(dense, PER_WORD)[own >= 0] + base).astype(np.int32))
+    of, sizes, base = [], [], 0
+    for _, sentence in bags:
+        _, dense = np.unique(sentence, return_inverse=True)
+        of.append((np.repeat(dense, PER_WORD) + base).astype(np.int32))
         sizes.append(int(dense.max(initial=-1)) + 1)
         base += sizes[-1]
-    terms, of_term, owner = np.concatenate(kept), np.concatenate(of), np.repeat(np.arange(len(bags)), sizes)
+    terms, of_term, owner = np.concatenate([t for t, _ in bags]), np.concatenate(of), np.repeat(np.arange(len(bags)), sizes)
+    slot = np.zeros(TERMS, np.int32)
+    slot[terms] = 1
+    used = np.flatnonzero(slot)
+    slot[used] = np.arange(len(used))
+    terms = slot[terms]
     w, first, second = np.append(np.zeros(len(used)), bias), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     share = np.where(labels == 1, prevalence / (labels == 1).sum(), (1 - prevalence) / (labels == 0).sum())
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(of_term, w[terms], base) + w[-1], -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(_sums(of_term, w, terms, base) + w[-1], -30, 30)))
         clean = np.bincount(owner, np.log1p(-p), len(bags))
         toxic = np.maximum(-np.expm1(clean), 1e-9)
         slope = p * np.where(labels == 1, -np.exp(clean) / toxic, 1.0)[owner] * share[owner]
-        grad = np.append(np.bincount(terms, slope[of_term], len(used)), slope.sum())
+        grad = np.append(_sums(terms, slope, of_term, len(used)), slope.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         step = rate / (np.sqrt(second / (1 - 0.99**t)) + 1e-5)
         w -= step * first / (1 - 0.9**t)
@@ -140,18 +135,26 @@ class SentenceModel:
 
 
 def score(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] | None = None) -> DataFrame:
-    """One row a document: id, score (0 to 1), n_offending (sentences of probability 0.5 or more), worst_score and worst_sentence.
+    """One row a document: id, score (0 to 1), n_offending (sentences of probability 0.5 or more), worst_score, worst_sentence and worst_start.
 
-    worst_sentence is the text of the likeliest sentence where the score reaches THRESHOLD,
-    else null; of equally likely ones the first. Empty and null texts, which have no
-    sentence, score 0. Repeated rows score alike; without labels of both kinds scores are
-    those of the innocent start; an empty table gives an empty table.
+    worst_sentence is the text of the likeliest sentence where the score reaches THRESHOLD, and
+    worst_start the characters before it; else null. Of equally likely ones it is the first. Empty and
+    null texts, which have no sentence, score 0. Texts are read whole, however long. Repeated rows score
+    alike; without labels of both kinds scores are those of the innocent start; an empty table gives an
+    empty table. Other columns are ignored, whatever their names.
     """
     require_columns(docs, id_col, text_col)
     require_columns(labels, id_col, label_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, sample or SAMPLE, learn_from)
-    got = rows.select("_text", "_label", "_key").mapInArrow(_bags, f"terms binary, sentences binary, label int, key {kind}").collect()
+    packed = rows.select("_text", "_label", "_key").mapInArrow(_bags, f"terms binary, sentences binary, label int, key {kind}")
+    packed = materialize(packed.withColumn("order", F.xxhash64(F.col("key").cast("string"))), "bags")
+    last, left = None, SAMPLE_BYTES
+    for order, n in sorted(tuple(r) for r in packed.select("order", F.length("terms")).collect()):
+        if (left := left - n) < 0:
+            break
+        last = order
+    got = packed.where(F.col("order") <= F.lit(last)).drop("order").collect() if last is not None else []
     got.sort(key=lambda r: (str(r["key"]), r["terms"]))
     bags = [(np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["sentences"], "<i4")) for r in got]
     share = labels.where(learn_from).agg(F.avg(F.col(label_col).cast("double"))).first()[0] or 0.0
@@ -171,15 +174,19 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
                     own, p = model.sentences(ids, sentence, weights)
                     total = float(-np.expm1(np.log1p(-p).sum())) if len(p) else 0.0
                     worst = int(np.argmax(p)) if len(p) else -1
-                    text = _END.split(t)[own[worst]].strip() if total >= THRESHOLD else None
-                    out.append((min(1.0, max(0.0, total)), int((p >= 0.5).sum()), float(p[worst]) if len(p) else 0.0, text))
-                columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.int64(), pa.float64(), pa.string()), strict=True))], ["_id", "score", "n_offending", "worst_score", "worst_sentence"])
+                    text, start = None, None
+                    if total >= THRESHOLD:
+                        split = _END.split(t)
+                        text = split[own[worst]].strip()
+                        start = t.index(text, sum(len(x) + 1 for x in split[: own[worst]]))
+                    out.append((min(1.0, max(0.0, total)), int((p >= 0.5).sum()), float(p[worst]) if len(p) else 0.0, text, start))
+                columns = list(zip(*out, strict=True)) if out else [(), (), (), (), ()]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.int64(), pa.float64(), pa.string(), pa.int64()), strict=True))], ["_id", "score", "n_offending", "worst_score", "worst_sentence", "worst_start"])
 
     held = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return held.mapInArrow(run, f"_id {kind}, score double, n_offending long, worst_score double, worst_sentence string").withColumnRenamed("_id", id_col)
+    return held.mapInArrow(run, f"_id {kind}, score double, n_offending long, worst_score double, worst_sentence string, worst_start long").withColumnRenamed("_id", id_col)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
-    return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_offending", F.length("worst_sentence").alias("worst_length"))
+    return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_offending", "worst_start", F.length("worst_sentence").alias("worst_length"))
