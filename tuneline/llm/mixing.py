@@ -10,6 +10,8 @@ agree whatever the partitioning. Only sums by pattern and by hash bucket reach t
 from __future__ import annotations
 
 import heapq
+import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +25,10 @@ WEIGHTS = (5, 2, 1)
 #: Words of the mix over words there are, and the most often that a document may be taken.
 SHARE, REPEATS = 1.5, 2
 SEED = 17
-#: Bound of what the driver gets: one row for each membership pattern.
-MAX_PATTERNS = 100_000
+#: Bounds of what the driver gets: rows, one for each membership pattern, and those of sources that share documents, which the flow decides.
+MAX_PATTERNS, MAX_SHARED = 1_000_000, 20_000
+#: Patterns that a broadcast may hold; beyond it they are joined by sort-merge.
+BROADCAST = 100_000
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> dict[str | None, float]:
@@ -41,58 +45,118 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE,
         for s in above:
             out[s] = float(repeats * sizes[s])
             left -= out[s]
-            free.remove(s)
+        free = [s for s in free if s not in out]
     return out
 
 
-def route(supply: list[int], members: list[tuple[int, ...]], quota: list[int], repeats: int = REPEATS) -> list[dict[int, int]]:
-    """Cheapest flow of pattern words to source quotas; repeat number k of a pattern costs k a word.
+class _Flow:
+    """A network of arcs with capacities and costs; arc e goes back as e ^ 1."""
 
-    Successive shortest paths with potentials over source -> pattern (one arc for each
-    repeat) -> its sources -> sink. Returns, for each pattern, words by source index.
-    """
-    p, s = len(supply), len(quota)
-    start, sink, first = 0, 1 + p + s, 1 + p
-    to, cap, cost, out = [], [], [], [[] for _ in range(p + s + 2)]
+    def __init__(self, nodes: int):
+        self.to: list[int] = []
+        self.cap: list[int] = []
+        self.cost: list[int] = []
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.height = [0] * nodes
 
-    def arc(u: int, v: int, c: int, w: int) -> int:
-        for a, b, c_, w_ in ((u, v, c, w), (v, u, 0, -w)):
-            out[a].append(len(to))
-            to.append(b)
-            cap.append(c_)
-            cost.append(w_)
-        return len(to) - 2
+    def arc(self, u: int, v: int, cap: int, cost: int) -> int:
+        for a, b, c, w in ((u, v, cap, cost), (v, u, 0, -cost)):
+            self.out[a].append(len(self.to))
+            self.to.append(b)
+            self.cap.append(c)
+            self.cost.append(w)
+        return len(self.to) - 2
 
-    own = []
-    for i, n in enumerate(supply):
-        for k in range(repeats):
-            arc(start, 1 + i, n, k)
-        own.append({j: arc(1 + i, first + j, repeats * n, 0) for j in members[i]})
-    for j, q in enumerate(quota):
-        arc(first + j, sink, q, 0)
-    height = [0] * (sink + 1)
-    while True:
-        far, by, heap = [float("inf")] * (sink + 1), [-1] * (sink + 1), [(0, start)]
+    def lift(self, start: int, sink: int) -> bool:
+        """Raise the heights by the distances from ``start``; whether the sink can be reached."""
+        to, cap, cost, height = self.to, self.cap, self.cost, self.height
+        far, heap = [math.inf] * len(height), [(0, start)]
         far[start] = 0
         while heap:
             d, u = heapq.heappop(heap)
             if d > far[u]:
                 continue
-            for e in out[u]:
+            for e in self.out[u]:
                 if cap[e] > 0 and (n := d + cost[e] + height[u] - height[to[e]]) < far[to[e]]:
-                    far[to[e]], by[to[e]] = n, e
+                    far[to[e]] = n
                     heapq.heappush(heap, (n, to[e]))
-        if far[sink] == float("inf"):
-            return [{j: cap[e ^ 1] for j, e in arcs.items() if cap[e ^ 1]} for arcs in own]
-        height = [h + (f if f < float("inf") else 0) for h, f in zip(height, far, strict=True)]
-        path, v = [], sink
-        while v != start:
-            path.append(by[v])
-            v = to[by[v] ^ 1]
-        most = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= most
-            cap[e ^ 1] += most
+        if far[sink] == math.inf:
+            return False
+        self.height = [h + min(f, far[sink]) for h, f in zip(height, far, strict=True)]
+        return True
+
+    def fill(self, start: int, sink: int) -> bool:
+        """Send what fits along cheapest arcs, by numbers of arcs from ``start``; whether anything did."""
+        to, cap, cost, height = self.to, self.cap, self.cost, self.height
+        level = [-1] * len(height)
+        level[start], line = 0, [start]
+        for u in line:
+            for e in self.out[u]:
+                v = to[e]
+                if cap[e] > 0 and level[v] < 0 and cost[e] + height[u] == height[v]:
+                    level[v] = level[u] + 1
+                    line.append(v)
+        if level[sink] < 0:
+            return False
+        at, path, u = [0] * len(height), [], start
+        while True:
+            if u == sink:
+                most = min(cap[e] for e in path)
+                for e in path:
+                    cap[e] -= most
+                    cap[e ^ 1] += most
+                back = next(i for i, e in enumerate(path) if cap[e] == 0)
+                u, path = to[path[back] ^ 1], path[:back]
+            while at[u] < len(self.out[u]):
+                e = self.out[u][at[u]]
+                v = to[e]
+                if cap[e] > 0 and level[v] == level[u] + 1 and cost[e] + height[u] == height[v]:
+                    path.append(e)
+                    u = v
+                    break
+                at[u] += 1
+            else:
+                if not path:
+                    return True
+                u = to[path.pop() ^ 1]
+                at[u] += 1
+
+
+def route(supply: list[int], members: list[tuple[int, ...]], quota: list[int], repeats: int = REPEATS) -> list[dict[int, int]]:
+    """Cheapest flow of pattern words to source quotas; repeat number k of a pattern costs k a word.
+
+    Cheapest paths with heights, over start -> pattern (one arc for each repeat) -> its sources ->
+    sink; all paths of one cost and length are filled together. Returns, for each pattern, words
+    by source index.
+    """
+    p, s = len(supply), len(quota)
+    start, sink, first = 0, 1 + p + s, 1 + p
+    net, own = _Flow(p + s + 2), []
+    for i, n in enumerate(supply):
+        for k in range(repeats):
+            net.arc(start, 1 + i, n, k)
+        own.append({j: net.arc(1 + i, first + j, repeats * n, 0) for j in members[i]})
+    for j, q in enumerate(quota):
+        net.arc(first + j, sink, q, 0)
+    while net.lift(start, sink):
+        while net.fill(start, sink):
+            pass
+    return [{j: net.cap[e ^ 1] for j, e in arcs.items() if net.cap[e ^ 1]} for arcs in own]
+
+
+def flows(supply: list[int], members: list[tuple[int, ...]], quota: list[int], repeats: int = REPEATS) -> list[int]:
+    """Words taken of each pattern. A source all of whose documents are its own needs no flow: it takes its quota, as far as repeats reach."""
+    patterns = Counter(j for own in members for j in own)
+    shared = {j for own in members for j in own if len(own) > 1 or patterns[j] > 1}
+    mixed = [i for i, own in enumerate(members) if shared.intersection(own)]
+    if len(mixed) > MAX_SHARED:
+        raise ValueError(f"over {MAX_SHARED} membership patterns of sources that share documents; merge sources first")
+    taken = [min(quota[own[0]], repeats * n) if own else 0 for n, own in zip(supply, members, strict=True)]
+    numbers = {j: k for k, j in enumerate(sorted(shared))}
+    routed = route([supply[i] for i in mixed], [tuple(numbers[j] for j in members[i]) for i in mixed], [quota[j] for j in numbers], repeats)
+    for i, flow in zip(mixed, routed, strict=True):
+        taken[i] = sum(flow.values())
+    return taken
 
 
 def seed_key(doc_id: Column, seed: int = SEED) -> Column:
@@ -100,6 +164,11 @@ def seed_key(doc_id: Column, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
+def _few(df: DataFrame, n: int) -> DataFrame:
+    """``df``, of up to ``n`` rows, for a join: broadcast if that is few."""
+    return F.broadcast(df) if n <= BROADCAST else df.hint("merge")
+
+
 def plan_mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> tuple[DataFrame, dict]:
     """How much of each pattern is taken: a small table, and the sources' sizes and targets.
 
@@ -113,13 +182,15 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: i
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} membership patterns; merge sources first")
     names = sorted({s for r in rows for s in r["pattern"]}, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(r["words"] for r in rows if s in r["pattern"]) for s in names}
+    sizes, number = dict.fromkeys(names, 0), {s: i for i, s in enumerate(names)}
+    for r in rows:
+        for s in set(r["pattern"]):
+            sizes[s] += r["words"]
     goal = targets(sizes, weights, share, repeats)
-    flows = route([r["words"] for r in rows], [tuple(names.index(s) for s in dict.fromkeys(r["pattern"])) for r in rows], [round(goal[s]) for s in names], repeats)
+    found = flows([r["words"] for r in rows], [tuple(number[s] for s in dict.fromkeys(r["pattern"])) for r in rows], [round(goal[s]) for s in names], repeats)
     schema = f"pattern {sized.schema['pattern'].dataType.simpleString()}, full int, rest long"
     asked = []
-    for r, flow in zip(rows, flows, strict=True):
-        taken = sum(flow.values())
+    for r, taken in zip(rows, found, strict=True):
         full = min(repeats, taken // r["words"]) if r["words"] else 0
         asked.append((list(r["pattern"]), full, taken - full * r["words"]))
     plan = spark.createDataFrame(asked, schema)
@@ -128,12 +199,12 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: i
     same = F.expr("l.pattern <=> r.pattern")
     edge = (
         by_bucket.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)))
-        .alias("l").join(F.broadcast(plan).alias("r"), same).select("l.*", "rest")
+        .alias("l").join(_few(plan, len(asked)).alias("r"), same).select("l.*", "rest")
         .where((F.col("rest") > 0) & (F.col("start") <= F.col("rest")) & (F.col("start") + F.col("words") >= F.col("rest")))
     )
     inside = Window.partitionBy("pattern", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     near = (
-        sized.alias("l").join(F.broadcast(edge).alias("r"), F.expr("l.pattern <=> r.pattern and substring(l.key, 1, 3) = r.bucket"))
+        sized.alias("l").join(_few(edge, len(asked)).alias("r"), F.expr("l.pattern <=> r.pattern and substring(l.key, 1, 3) = r.bucket"))
         .select("l.pattern", "bucket", "key", "size", "start", "rest")
         .groupBy("pattern", "bucket", "key", "start", "rest").agg(F.sum("size").alias("size"))
         .withColumn("start", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -145,10 +216,10 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: i
 
 
 def take(df: DataFrame, plan: DataFrame, pattern: Column, key: Column, out: str = "copies") -> DataFrame:
-    """``df`` with ``out``, how often each document is taken; no shuffle, the plan has a row for each pattern."""
+    """``df`` with ``out``, how often each document is taken; no shuffle where the plan, a row for each pattern, is small."""
     p, k = unused(df, "_pattern", "_key")
     held = df.withColumns({p: pattern, k: key}).alias("l")
-    joined = held.join(F.broadcast(plan).alias("r"), F.col(f"l.{p}").eqNullSafe(F.col("r.pattern")), "left")
+    joined = held.join(_few(plan, plan.limit(BROADCAST + 1).count()).alias("r"), F.col(f"l.{p}").eqNullSafe(F.col("r.pattern")), "left")
     copies = F.coalesce(F.col("r.full"), F.lit(0)) + F.when(F.col(f"l.{k}") <= F.col("r.edge"), 1).otherwise(0)
     return joined.select("l.*", copies.alias(out)).drop(p, k)
 
@@ -162,8 +233,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The documents of the mix: each row as often as it is taken, with its columns unchanged.
 
     ``source_col`` is a string, or an array of strings where a document lies in several
-    sources. Null sources form a source of their own, null texts have size 0, and an empty
-    table gives an empty table. Rows that share an id are taken alike.
+    sources. Null sources form a source of their own, null and empty texts have size 0, long
+    texts count whole, and an empty table gives an empty table. Rows that share an id are taken alike.
     """
     pattern = _pattern(docs, source_col)
     plan, _ = plan_mix(materialize(measured(docs, pattern, id_col, text_col), "mix-sizes"))
@@ -183,7 +254,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = materialize(docs.select("doc_id", own.alias("pattern"), seed_key(F.col("doc_id")).alias("key"), count_words(F.col("text")).alias("size")), "mix-sizes")
     plan, goal = plan_mix(sized.drop("doc_id"))
     facts = spark.createDataFrame([([s], n, t) for s, (n, t) in goal.items()] or [], "pattern array<string>, source_size long, target double")
-    taken = take(sized, plan, F.col("pattern"), F.col("key")).alias("l").join(F.broadcast(facts).alias("r"), F.expr("l.pattern <=> r.pattern"), "left")
+    taken = take(sized, plan, F.col("pattern"), F.col("key")).alias("l").join(_few(facts, len(goal)).alias("r"), F.expr("l.pattern <=> r.pattern"), "left")
     return taken.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"), F.get("l.pattern", F.lit(0)).alias("source"), "copies")
 
 
