@@ -118,7 +118,7 @@ def counter(path: str, batch_bytes: int = BATCH_BYTES):
                     # Later segments begin with the blank that the model adds.
                     held.append(part[1:] if k else part)
                     rows.append(i)
-                    size += len(part)
+                    size += len(part.encode("utf-8", "surrogatepass")) if n_bytes[i] != len(text) else len(part)
                     if size >= batch_bytes:
                         flush()
                         held, rows, size = [], [], 0
@@ -133,7 +133,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """One row a document: id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > ``limit``).
 
     A null text counts as an empty one, with no bytes and no tokens. Repeated rows are
-    counted each; an empty table gives an empty table. ``path`` must exist on every executor.
+    counted each, and texts whole, however long; an empty table gives an empty table. ``path`` must exist on every executor.
     """
     require_columns(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
