@@ -63,9 +63,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def stretch(side: str) -> Column:
         part = F.slice(F.col(side), 1, F.col(f"n_{side}"))
-        spelled = F.transform(part if side == "ahead" else F.reverse(part), lambda x: x["h"])
+        spelled = F.concat_ws(",", F.transform(part if side == "ahead" else F.reverse(part), lambda x: x["h"].cast("string")))
         ends = F.transform(part, lambda x: x["pos"])
-        found = F.struct(F.xxhash64(spelled).alias("key"), F.array_min(ends).alias("first"), F.array_max(ends).alias("last"))
+        found = F.struct(F.md5(spelled.cast("binary")).alias("key"), F.array_min(ends).alias("first"), F.array_max(ends).alias("last"))
         return F.when(F.col(f"n_{side}").isNotNull() & F.exists(part, lambda x: x["anchor"]), found)
 
     seen = seen.withColumns({f"n_{side}": _stretch(F.col(side), min_words) for side in ("ahead", "behind")})
@@ -87,9 +87,11 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     """``docs`` with the text without its repeated runs, and two ``counts``: lines with words, and how many of them went.
 
     A null or empty text stays as it is; a text all of whose lines go becomes empty. Rows of
-    equal id and text get equal results. Other columns stay, whatever their names.
+    equal id and text get equal results. Texts are read whole, however long. Other columns stay,
+    whatever their names; where one has a count's name, the count gets underscores in front.
     """
     require_columns(docs, id_col, text_col)
+    counts = unused(docs, *counts)
     key, found, left = unused(docs, "_hash", "_runs", "_left")
     # Sort-merge at every size: whether the runs fit a broadcast depends on the data, and the texts' shuffle is planned for.
     runs = materialize(repeated_runs(docs, id_col, text_col, min_words, window), "runs").hint("merge").alias("r")
