@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import random
+import time
 
 import pytest
 from conftest import SMALL, rows
+from plain import brute_groups, brute_lines
 from pyspark.sql import functions as F
 
 from tuneline.llm import line_dedup, mixing, near_dup, queries
@@ -15,36 +18,6 @@ def _documents(texts, spark):
     return spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, _hash string")
 
 
-def _stretches(lines, least):
-    """(start, end) of the shortest stretches of ``least`` words from each line on, and up to it."""
-    full = [(i, len(x.split())) for i, x in enumerate(lines) if x.split()]
-    out = set()
-    for a in range(len(full)):
-        for step in (1, -1):
-            total, b = 0, a
-            while 0 <= b < len(full):
-                total += full[b][1]
-                if total >= least:
-                    out.add((full[min(a, b)][0], full[max(a, b)][0]))
-                    break
-                b += step
-    return out
-
-
-def _brute_lines(texts, least):
-    seen, out = {}, []
-    for i, t in enumerate(texts):
-        lines = (t or "").split("\n")
-        for a, b in _stretches(lines, least):
-            key = tuple(x for x in lines[a : b + 1] if x.split())
-            seen[key] = min(seen.get(key, (i, a)), (i, a))
-    for i, t in enumerate(texts):
-        lines = (t or "").split("\n")
-        gone = {k for a, b in _stretches(lines, least) if seen[tuple(x for x in lines[a : b + 1] if x.split())] < (i, a) for k in range(a, b + 1)}
-        out.append(None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone))
-    return out
-
-
 @pytest.mark.parametrize("window", [1, 2, 3])
 def test_line_runs_equal_brute_force(spark, window):
     rng = random.Random(window)
@@ -56,7 +29,7 @@ def test_line_runs_equal_brute_force(spark, window):
         texts = [t if t is None else "\n".join(x or "a" for x in t.split("\n")) for t in texts]
         least = 11
     got = {r["doc_id"]: r["text"] for r in line_dedup.cleaned(_documents(texts, spark), min_words=least, window=min(window, 2)).collect()}
-    assert [got[i] for i in range(len(texts))] == _brute_lines(texts, least)
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts, least)
 
 
 def test_line_dedup_sql_and_edges(spark, duck):
@@ -68,35 +41,17 @@ def test_line_dedup_sql_and_edges(spark, duck):
     assert got == [("2", "x"), ("3", None), ("4", ""), ("None", long)]
     assert line_dedup.without_repeats(docs.limit(0)).count() == 0
     assert line_dedup.cleaned(_documents(["a"], spark)).columns == ["doc_id", "text", "_hash", "_lines", "_removed"]
-
-
-def _brute_groups(texts, words, percent):
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = {}
-    for i, t in texts.items():
-        w = (t or "").translate(lower).encode().split()
-        k = min(words, len(w))
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
-    up = {i: i for i in texts}
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    ids = sorted(i for i in texts if sets[i])
-    for n, i in enumerate(ids):
-        for j in ids[:n]:
-            both = len(sets[i] & sets[j])
-            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                a, b = find(i), find(j)
-                up[max(a, b)] = min(a, b)
-    return {i: (len(sets[i]), find(i)) for i in texts}
+    own = _documents([long, f"{long}\nx"], spark).selectExpr("doc_id", "text", "7 as _lines", "8 as _removed", "9 as runs")
+    got = sorted((r["doc_id"], r["text"], r["_lines"], r["_removed"], r["__lines"], r["__removed"]) for r in line_dedup.cleaned(own).collect())
+    assert got == [(0, long, 7, 8, 1, 0), (1, "x", 7, 8, 2, 1)]
+    huge = "\n".join(f"line {i} of a text" for i in range(40_000))
+    texts = [huge, f"before\n{huge}"]
+    assert [r["text"] for r in line_dedup.cleaned(_documents(texts, spark)).orderBy("doc_id").collect()] == [huge, "before"]
 
 
 def test_near_duplicates_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    want = _brute_groups({r["doc_id"]: r["text"] for r in docs.collect()}, 3, 85)
+    want = brute_groups({r["doc_id"]: r["text"] for r in docs.collect()}, 3, 85)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op8_near_dup"](spark, SMALL).collect()}
     assert got == want
 
@@ -120,7 +75,7 @@ def test_dense_families_and_chains(spark, monkeypatch, broadcast, few):
         texts[1000 + i] = " ".join(chain)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(df, words=3, percent=85).collect()}
-    assert got == _brute_groups(texts, 3, 85)
+    assert got == brute_groups(texts, 3, 85)
 
 
 def test_boilerplate_below_the_threshold_meets_nobody(spark, monkeypatch):
@@ -168,6 +123,46 @@ def test_targets_and_flow():
     assert sum(f.get(0, 0) for f in flow) == 250 and flow[1][1] == 100
 
 
+def _cheapest(supply, members, quota):
+    """The most words that quotas take, and the fewest repeats for them, by trying every way (small numbers)."""
+    best, ways = (0, 0), [(quota, 0, 0)]
+    for n, own in zip(supply, members, strict=True):
+        new = set()
+        for left, taken, cost in ways:
+            for split in itertools.product(range(2 * n + 1), repeat=len(own)):
+                if sum(split) <= 2 * n and all(x <= left[j] for x, j in zip(split, own, strict=True)):
+                    rest = list(left)
+                    for x, j in zip(split, own, strict=True):
+                        rest[j] -= x
+                    new.add((tuple(rest), taken + sum(split), cost + max(0, sum(split) - n)))
+        ways = new
+    best = max((taken, -cost) for _, taken, cost in ways)
+    return best
+
+
+def test_flow_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(40):
+        supply = [rng.randint(1, 3) for _ in range(3)]
+        members = [tuple(sorted(rng.sample(range(3), rng.randint(1, 2)))) for _ in range(3)]
+        quota = tuple(rng.randint(0, 5) for _ in range(3))
+        taken = mixing.flows(supply, members, list(quota))
+        assert (sum(taken), -sum(max(0, t - n) for t, n in zip(taken, supply, strict=True))) == _cheapest(supply, members, quota)
+        routed = mixing.route(supply, members, list(quota))
+        assert all(sum(f.get(j, 0) for f in routed) <= q for j, q in enumerate(quota)) and sum(sum(f.values()) for f in routed) == sum(taken)
+
+
+def test_flow_of_many_patterns():
+    rng, began = random.Random(5), time.perf_counter()
+    members = list({tuple(sorted(rng.sample(range(60), rng.randint(1, 5)))) for _ in range(21_000)})[:19_000]
+    supply = [rng.randint(1, 10**6) for _ in members]
+    quota = [int(sum(supply) * 1.5 / 60 * rng.uniform(0.2, 1.8)) for _ in range(60)]
+    taken = mixing.flows(supply, members, quota)
+    assert 0.9 * sum(quota) <= sum(taken) <= sum(quota) and time.perf_counter() - began < 60
+    # Sources without shared documents need no flow, however many.
+    assert mixing.flows([3] * 200_000, [(j,) for j in range(200_000)], [4] * 200_000) == [4] * 200_000
+
+
 def test_mix_edges(spark):
     docs = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 9)), "ab"[i % 2] if i % 7 else None, 1) for i in range(400)] + [(400, None, "a", 1), (401, "", "z", 1)], "doc_id long, text string, source string, copies int")
     out = mixing.mix_documents(docs)

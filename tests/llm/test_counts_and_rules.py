@@ -65,6 +65,16 @@ def test_votes_find_what_rules_agree_on():
     assert abs(prior - 0.8) < 0.08 and accuracy[0] > accuracy[2]
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_planted_accuracies_are_found(seed):
+    rng, n = np.random.default_rng(seed), 60_000
+    good, planted = rng.random(n) < 0.8, [0.55, 0.6, 0.7, 0.8, 0.9, 0.95, 0.95]
+    held = np.stack([np.where(rng.random(n) < 0.8, np.where((rng.random(n) < a) == good, 1, -1), 0) for a in planted], 1)
+    patterns, counts = np.unique(held, axis=0, return_counts=True)
+    _, accuracy, prior = quality_rules.fit_votes(patterns, counts.astype(float))
+    assert np.abs(accuracy - planted).max() <= 0.05 and abs(prior - 0.8) <= 0.05
+
+
 @pytest.mark.parametrize("misfires", [0.02, 0.3, 0.5])
 @pytest.mark.parametrize("times", [1, 1000])
 def test_a_misfiring_rule_loses_its_say(misfires, times):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
+from plain import brute_groups, brute_lines
 
 import corpus_pipeline
-from tuneline.llm import common, hnsw, nearest, quality_classifier, queries, toxicity
+from tuneline.llm import common, hnsw, line_dedup, nearest, quality_classifier, queries, toxicity
 
 EDGES = [(1, "", "x"), (2, None, "x"), (3, "word " * 30_000, "x"), (3, "word " * 30_000, "x"), (4, "!!! ???", "x")]
 
@@ -77,6 +80,9 @@ def test_toxicity(spark):
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
     got = queries.QUERIES["op7_toxicity"](spark, SMALL).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in got:
+        assert r["worst_start"] is None or text[r["doc_id"]][r["worst_start"] : r["worst_start"] + r["worst_length"]].strip() != ""
     out = {r["doc_id"]: r for r in toxicity.score(_edges(spark), labels, F.lit(False)).collect()}
     assert out[1]["score"] == out[2]["score"] == 0 and out[3]["score"] < 0.1 and out[4]["worst_sentence"] is None
     assert toxicity.score(_edges(spark).limit(0), labels, F.lit(True)).count() == 0
@@ -162,18 +168,75 @@ def test_nearest_edges(spark):
     assert nearest.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_pipeline(spark):
+def test_toxicity_of_held_out_documents(spark):
+    large = "/root/testdata/sf0.1"
+    got = queries.QUERIES["op7_toxicity"](spark, large).join(spark.read.parquet(f"{large}/labels.parquet"), "doc_id").where("held_out").collect()
+    toxic, clean = ([r["predicted"] for r in got if r["toxic"] == y] for y in (1, 0))
+    assert len(toxic) > 100 and np.mean(toxic) >= 0.85 and np.mean(clean) <= 0.01
+
+
+def test_fit_is_bounded_in_bytes(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit", lambda bags, *a, f=toxicity.fit: sizes.append(sum(t.nbytes for t, _ in bags)) or f(bags, *a))
+    for most in (1, 100_000, 1 << 30):
+        monkeypatch.setattr(toxicity, "SAMPLE_BYTES", most)
+        assert toxicity.score(docs, labels, F.lit(True)).count() == docs.count()
+    assert sizes[0] == 0 < sizes[1] <= 100_000 < sizes[2]
+
+
+def _tokens(text):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text or "", add_special_tokens=False).ids
+
+
+def test_pipeline_stages_equal_brute_force(spark, duck):
+    """Each stage on what the one before it kept, against a plain version of it."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    stages, columns = dict(corpus_pipeline.STAGES), docs.columns
+    assert list(stages) == ["quality", "lines", "near_duplicates", "mix", "encode"]
+    text = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    kept = stages["quality"](spark, docs, SMALL)
+    scores = quality_classifier.score(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), F.lit(True)).collect()
+    assert text(kept) == {i: t for i, t in text(docs).items() if i in {r["doc_id"] for r in scores if r["score"] >= 0.5}}
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1").collect()} & set(text(docs))
+    assert len(good & set(text(kept))) >= 0.95 * len(good) and len(text(kept)) < docs.count()
+    # Ids rise in the order in which the plain version goes through texts.
+    before = text(kept)
+    order = sorted(before)
+    after = dict(zip(order, brute_lines([before[i] for i in order], line_dedup.MIN_WORDS), strict=True))
+    alive = {i: t for i, t in after.items() if t == before[i] or (t or "").strip(" \t\n\r\x0b\x0c")}
+    kept = stages["lines"](spark, kept, SMALL)
+    assert text(kept) == alive and all(r["n_chars"] == len(r["text"]) for r in kept.collect())
+    kept = stages["near_duplicates"](spark, kept, SMALL)
+    assert text(kept) == {i: alive[i] for i, (_, least) in brute_groups(alive, 5, 80).items() if least == i}
+    con = duck.cursor()
+    con.register("documents", kept.toPandas())
+    want = dict(con.sql(f"select doc_id, copies from ({queries.ORACLE_SQL['op9_mixing']}) where copies > 0").fetchall())
+    mixed = stages["mix"](spark, kept, SMALL)
+    assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == want and mixed.columns == columns
+    ids = {i: _tokens(alive[i]) for i in want}
+    got = stages["encode"](spark, mixed, SMALL).collect()
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    expected = sorted((i, len(ids[i]), digest(np.array(ids[i], "<u4").tobytes()), digest(alive[i].encode())) for i, n in want.items() for _ in range(n))
+    assert sorted(tuple(r) for r in got) == expected
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SMALL).collect()) == expected
+
+
+def test_pipeline_edges(spark, tmp_path):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["quality", "lines", "near_duplicates", "mix", "encode"]
-    kept, held = docs, {}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, kept, SMALL)
-        assert kept.columns == docs.columns
-        held[name] = {r["doc_id"] for r in kept.select("doc_id").collect()}
-    everything = {r["doc_id"] for r in docs.collect()}
-    assert held["near_duplicates"] <= held["lines"] <= held["quality"] < everything
-    good = {r["doc_id"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1").collect()}
-    assert len(good & held["quality"]) >= 0.95 * len(good & everything)
-    out = queries.QUERIES and corpus_pipeline.run(spark, SMALL)
-    assert {r["doc_id"] for r in out.collect()} <= held["near_duplicates"]
+    odd = docs.limit(3).unionByName(docs.limit(3)).unionByName(docs.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "source": F.lit(None).cast("string")}))
+    odd = odd.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(10**6), "text": F.lit(None).cast("string")})).withColumns({"_lines": F.lit(1), "component_id": F.lit(2), "copies": F.lit(3), "score": F.lit("x")})
+    for name, rows in {"odd": odd, "none": odd.limit(0)}.items():
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        kept = rows
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            kept = f(spark, kept, f"{tmp_path}/{name}")
+            assert kept.columns == rows.columns, stage
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
