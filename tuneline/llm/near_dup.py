@@ -7,11 +7,12 @@ estimate. Regions that are too large are split at longer prefixes, as deep as ea
 and dealt out by id where values run out; in them each row is compared with its neighbours
 in the order and with medoids, which links families of copies cheaply.
 
-A deeper prefix can part a link, so large regions with more than one component get an exact
-second round: linked sets share a shingle among the rarest few of each.
-Rows meet by those shingles, counted over these rows and between different components only,
-so boilerplate that many of them hold brings nobody together. Candidates are
-confirmed on the full sets, blocks of documents side by side; only links leave a task, so
+Neighbours and medoids can miss a link, and a deeper prefix can part one, so regions with more
+than one component get a second round. Those that weren't split are compared by estimate, which
+leaves a forest of what it allows. For the others it is exact: linked sets share a shingle among
+the rarest few of each. Rows meet by those shingles, counted over these rows and between
+different components only, so boilerplate that many of them hold brings nobody together. Candidates
+are confirmed on the full sets, blocks of documents side by side; only links leave a task, so
 a dense region costs rows and not pairs.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneline.llm.common import table
@@ -32,14 +33,14 @@ from tuneline.session import materialize, require_columns
 TREES, VALUES, PREFIX = 16, 6, 3
 HASHES = TREES * VALUES
 #: Rows of a region that are compared whole; rows beyond which a region is split deeper; rows taken at once.
-WHOLE, SPLIT, CHUNK = 256, 4096, 4096
+WHOLE, SPLIT, CHUNK = 64, 2048, 4096
 #: Regions to split that a broadcast may hold; beyond it they are joined by sort-merge.
 BROADCAST = 50_000
 #: Links confirmed together at most; documents, and shingles, of a block of the second round.
 LINKS, BLOCK, BLOCK_SHINGLES = 2_000, 2_048, 2_000_000
 #: Rows of a block in the second round, where only marks are compared.
 SEATS = 1_024
-#: Pairs for each row of a place that are confirmed one by one; beyond them the place's rows are confirmed side by side.
+#: Pairs for each row of a rare shingle's place that are confirmed one by one; beyond them the place's rows are confirmed side by side.
 FEW = 8
 #: Chance that the estimate misses a pair whose similarity is just enough.
 MISS = 2e-6
@@ -242,8 +243,8 @@ def _join_up(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def _second_round(percent: int, least: float):
-    """Pairs of different components that the estimate allows, among a place's rows; a forest of them (dense) where they would outnumber the rows by far."""
+def _second_round(percent: int, least: float, few: int):
+    """Pairs of different components that the estimate allows, among a place's rows; a forest of them (dense) where there are more than ``few`` for each row."""
 
     def run(batches):
         parts = []
@@ -252,7 +253,7 @@ def _second_round(percent: int, least: float):
             if not ends:
                 continue
             ids, marks, component, block, size, short = _columns(parts, "component", "block", "size", "short")
-            label, pairs, most = np.arange(len(ids)), [], FEW * len(ids)
+            label, pairs, most = np.arange(len(ids)), [], few * len(ids)
             # Rows of one block meet in the place that has them alone.
             apart = block.min() != block.max()
             for at in range(0, len(ids), 512):
@@ -289,6 +290,11 @@ def _sets(words: int):
     return run
 
 
+def _place(key: Column, low: Column, high: Column) -> Column:
+    """Names of equal length for places: a key and the two blocks that meet."""
+    return F.concat(*[F.unhex(F.lpad(F.hex(c), n, "0")) for c, n in ((key, 16), (low, 8), (high, 8))])
+
+
 def rare_places(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(place, id, marks, component, block, size, short): rows of different components that could be linked share a place. ``rows`` has id, component and marks.
 
@@ -315,8 +321,7 @@ def rare_places(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     meet = materialize(meet.select("h", F.ceil(F.col("n") / SEATS).cast("int").alias("blocks")), "meet")
     seats = picked.join(meet, "h").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     seats = seats.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    number = lambda c, n: F.unhex(F.lpad(F.hex(c), n, "0"))
-    place = F.concat(number(F.col("h"), 16), number(F.least("block", "other"), 8), number(F.greatest("block", "other"), 8))
+    place = _place(F.col("h"), F.least("block", "other"), F.greatest("block", "other"))
     return seats.select(place.alias("place"), "row", "block", "size", "short").join(sets.select("row", "id", "marks", "component"), "row").select("place", "id", "marks", "component", "block", "size", "short")
 
 
@@ -529,10 +534,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # Regions of one component, as a family of copies mostly is, are done.
         rows = _orders(again, "component").drop("value")
         mixed = rows.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where(f"low <> high and n > {WHOLE}")
-        left = _joined(rows, materialize(mixed.select("region"), "mixed"), "inner").select("id").distinct()
-        again = materialize(again.join(left, "id"), "again")
-        places = rare_places(again, docs, words, percent).repartition("place").sortWithinPartitions("place")
-        found = materialize(places.mapInArrow(_second_round(percent, least), f"{_PAIR}, dense boolean").where("a <> b").distinct(), "found")
+        mixed = materialize(mixed.select("region", "n"), "mixed")
+        own, zero = _joined(_orders(again, "component", "marks", "n_shingles"), mixed.where(f"n <= {SPLIT}"), "inner"), F.lit(0)
+        own = own.select(_place(F.col("region"), zero, zero).alias("place"), "id", "marks", "component", zero.alias("block"), F.col("n_shingles").alias("size"), F.lit(True).alias("short"))
+        parted = mixed.where(f"n > {SPLIT}").select("region")
+        rounds = [(own, 0)]
+        if not parted.isEmpty():
+            left = _joined(rows, parted, "inner").select("id").distinct()
+            rounds.append((rare_places(materialize(again.join(left, "id"), "again"), docs, words, percent), FEW))
+        found = None
+        for places, most in rounds:
+            part = places.repartition("place").sortWithinPartitions("place").mapInArrow(_second_round(percent, least, most), f"{_PAIR}, dense boolean")
+            found = part if found is None else found.unionByName(part)
+        found = materialize(found.where("a <> b").distinct(), "found")
         few, forest = (found.where(c).select("a", "b").distinct() for c in ("not dense", "dense"))
         new = links.limit(0)
         if not few.isEmpty():
