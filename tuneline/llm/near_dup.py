@@ -135,10 +135,9 @@ class _Region:
             return self.all_pairs(ids, marks)
         found = []
         near_ids, near = np.concatenate([self.last[0], ids]), np.concatenate([self.last[1], marks])
-        for back in (1, 2, 3):
-            hit = (near[back:] == near[:-back]).mean(1) >= self.least
-            found.append((near_ids[back:][hit], near_ids[:-back][hit]))
-        self.last = (ids[-3:], marks[-3:])
+        hit = (near[1:] == near[:-1]).mean(1) >= self.least
+        found.append((near_ids[1:][hit], near_ids[:-1][hit]))
+        self.last = (ids[-1:], marks[-1:])
         left = np.ones(len(ids), bool)
         if len(self.medoids):
             share = _agree(marks, self.medoids)
