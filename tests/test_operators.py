@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tuneline import session
 from tuneline.functions import scalars as S
 from tuneline.functions.scalars import Factor
 from tuneline.operators import factors, frontier, linalg, metrics, relational, sampling, search, surface
@@ -204,6 +207,51 @@ def test_best_and_top(spark):
     assert relational.top_k_by_distance(df, F.col("seq"), "seq", 0).count() == 4
 
 
+def test_front_of_three_objectives(spark):
+    rng = random.Random(2)
+    points = [(i, rng.choice("ab"), rng.randint(1, 5), rng.randint(1, 5), rng.choice([None, 1, 2, 3])) for i in range(200)]
+    df = spark.createDataFrame(points, "i int, g string, x int, y int, z int")
+    want = {p[0]: p[4] is None or not any(q[1] == p[1] and q[4] is not None and q[2] >= p[2] and q[3] >= p[3] and q[4] <= p[4] and (q[2:4] != p[2:4] or q[4] < p[4]) for q in points) for p in points}
+    assert {r["i"]: r["is_pareto"] for r in relational.pareto_front(df, ["g"], ["x", "y"], "z").collect()} == want
+
+
+def test_uncombined_scores_take_one_weight(spark):
+    df = spark.createDataFrame([(1.0, 4.0, 7.0), (2.0, 5.0, 9.0), (9.0, 1.0, 8.0)], "f1 double, f2 double, f3 double")
+    got = [r["Score_Quality"] for r in factors.combine_scores(df, ["f1", "f2", "f3"], "f3", "f1", [2.0], combine=False).collect()]
+    assert sorted(got) == pytest.approx([-3 / 19**0.5, -2 / 19**0.5, 5 / 19**0.5])
+    with pytest.raises(ValueError, match="weights"):
+        factors.combine_scores(df, ["f1", "f2", "f3"], "f3", "f1", [1.0, 2.0], combine=False)
+
+
+def test_sample_n(spark):
+    df = spark.range(1000).repartition(5)
+    want = [r["id"] for r in df.orderBy(sampling.shuffle_key(3, F.col("id")), "id").limit(700).collect()]
+    assert sorted(r["id"] for r in sampling.sample_n(df, 700, 3, "id").collect()) == sorted(want)
+    assert sampling.sample_n(df, 5000, 3, "id").count() == 1000 and sampling.sample_n(df, 0, 3, "id").count() == 0
+
+
+def test_intermediates_have_an_owner(spark):
+    with session.scratch(spark):
+        held = session.materialize(spark.range(5), "owned")
+        path = held.inputFiles()[0]
+        assert held.count() == 5 and os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_exports_of_candidates_and_fits(spark, tmp_path):
+    rows = spark.createDataFrame([(0.5, 0.5, 1.5, {"a": 2.0}), (0.75, 0.25, 1.25, {"a": 3.0})], "beta_1 double, beta_2 double, score double, hyperparameters map<string,double>")
+    tables.export_candidates(rows, f"{tmp_path}/c")
+    back = tables.read_candidates(tables.read_decimal_comma(spark, f"{tmp_path}/c", ["beta_2", "score"]), ["a"])
+    assert sorted((r["beta_2"], r["score"], r["a"]) for r in back.collect()) == [(0.25, 1.25, 3.0), (0.5, 1.5, 2.0)]
+    found = factors.Rotation(["m", "t"], np.zeros(2), np.ones(2), np.eye(2), 1, 0)
+    tables.export_fit(spark, {"quality": surface.Surface("q", ["Intercept"], [1.0], 0.5, 0.4, 0.05, 9)}, found, f"{tmp_path}/f")
+    assert json.loads(spark.read.text(f"{tmp_path}/f").first()[0]) == {"quality": {"r2": 0.5, "r2_adj": 0.4, "alpha": 0.05, "n_terms": 1}, "fa": {"quality_factor": 1, "cost_factor": 2}}
+    tables.export_loadings(found.frame(spark), f"{tmp_path}/l")
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/l").collect()) == [("m", 1.0, 0.0), ("t", 0.0, 1.0)]
+    tables.export_scores(spark.createDataFrame([(7, 0.5, 1)], "id int, Score_Cost double, x int"), "id", f"{tmp_path}/s")
+    assert spark.read.parquet(f"{tmp_path}/s").first().asDict() == {"Row": 7, "Score_Cost": 0.5}
+
+
 def test_number_rows(spark):
     df = spark.range(500).select(((F.col("id") * 37) % 500).alias("k"))
     assert [r["seq"] for r in tables.number_rows(df, ["k"]).orderBy("k").collect()] == list(range(500))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tuneline.functions.scalars import no_nan, transform_time
 from tuneline.operators.linalg import moments, varimax
-from tuneline.session import require_columns
+from tuneline.session import materialize, require_columns
 
+#: The metrics of an evaluated design.
 DEFAULT_METRICS = ["Accuracy_Mean", "Precision_Mean", "Recall_Mean", "Specificity_Mean", "Time_MeanFold"]
 
 
@@ -101,19 +103,16 @@ def combine_scores(df: DataFrame, factors: list[str], cost: str | None, quality:
     """``df`` with Score_Quality and Score_Cost.
 
     Score_Cost is minus the z-score of the time factor, so larger is cheaper (0 without one).
-    Score_Quality is the quality factor, or with three factors or more and a time factor the
-    weighted mean of the z-scores of all others.
+    Score_Quality is the weighted mean of the z-scores of the other factors, if there are three
+    factors or more and a time factor; otherwise, and without ``combine``, of the quality factor alone.
     """
-    others = [f for f in factors if f != cost]
+    others = [f for f in factors if f != cost] if combine and cost and len(factors) >= 3 else [quality]
     weights = weights or [1.0] * len(others)
     if len(weights) != len(others):
-        raise ValueError(f"{len(others)} weights are needed")
+        raise ValueError(f"weights needed: {len(others)}")
     z = zscore(df, factors, suffix="__z")
     low = -F.col(f"{cost}__z") if cost else F.lit(0.0)
-    if combine and cost and len(factors) >= 3:
-        high = sum((F.col(f"{f}__z") * F.lit(float(w)) for f, w in zip(others, weights, strict=True)), F.lit(0.0)) / float(sum(weights))
-    else:
-        high = F.col(quality)
+    high = sum((F.col(f"{f}__z") * F.lit(float(w)) for f, w in zip(others, weights, strict=True)), F.lit(0.0)) / float(sum(weights))
     return z.withColumns({"Score_Quality": high, "Score_Cost": low}).drop(*[f"{f}__z" for f in factors])
 
 
@@ -128,14 +127,15 @@ def score_sanity(df: DataFrame, cost: str, time_metric: str, limit: float = -0.3
 def factor_scores(df: DataFrame, metrics: list[str] | None = None, time_metric: str | None = "Time_MeanFold", mode: str = "log1p", k: int | None = 3, automatic: bool = False, rotation: str = "varimax", weights: list[float] | None = None, combine: bool = True, on_missing: str = "drop") -> tuple[DataFrame, Rotation]:
     """The whole chain: ``df`` with FACTOR<j>_SCORE, Score_Quality and Score_Cost, and the rotation.
 
-    Two passes (moments, then the scores' own); the rest is one projection. Rows with a
-    missing metric are dropped, or an error with ``on_missing='error'``.
+    Complete rows are written once; passes over them give the moments, the scores' own, and whether
+    the cost score falls as time grows, which is warned of if it doesn't. The rest is one projection.
+    Rows with a missing metric are dropped, or an error with ``on_missing='error'``.
     """
     metrics = metrics or DEFAULT_METRICS
     require_columns(df, *metrics)
     held = df.withColumn("_time", transform_time(F.col(time_metric), mode)) if time_metric in metrics else df
     names = ["_time" if m == time_metric else m for m in metrics]
-    complete = held.where(sum((no_nan(F.col(c)).isNull().cast("int") for c in names), F.lit(0)) == 0)
+    complete = materialize(held.where(sum((no_nan(F.col(c)).isNull().cast("int") for c in names), F.lit(0)) == 0), "complete")
     if on_missing == "error" and held.count() != complete.count():
         raise ValueError("rows with missing metrics")
     found = fit_rotation(complete, names, "_time" if time_metric in metrics else None, k, automatic, rotation)
@@ -144,4 +144,8 @@ def factor_scores(df: DataFrame, metrics: list[str] | None = None, time_metric:
     cost = None if found.cost is None else factors[found.cost]
     out = combine_scores(scored, factors, cost, factors[found.quality], weights, combine)
     found.metrics = list(metrics)
+    if cost:
+        seen = score_sanity(out, "Score_Cost", time_metric).first()
+        if seen["warn"]:
+            warnings.warn(f"Score_Cost hardly falls as {time_metric} grows: correlation {seen['corr']:.3f}", stacklevel=2)
     return out.drop("_time"), found

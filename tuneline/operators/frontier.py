@@ -19,10 +19,11 @@ def beta_pairs(step: float) -> list[tuple[float, float]]:
     return [(round(1 - i * step, 2), round(i * step, 2)) for i in range(1, n + 1)]
 
 
-def frontier_search(spark: SparkSession, quality: Surface, cost: Surface, factors: dict[str, Factor], step: float = 0.02, starts: int = 30, samples: int = 200, rounds: int = 12, shrink: float = 0.7, seed: int = 42, utopia: tuple[float, float] | None = None, nadir: tuple[float, float] | None = None, keep_in_range: bool = False, design: DataFrame | None = None) -> DataFrame:
+def frontier_search(spark: SparkSession, quality: Surface, cost: Surface, factors: dict[str, Factor], step: float = 0.02, starts: int = 30, samples: int = 200, rounds: int = 12, shrink: float = 0.7, seed: int = 42, utopia: tuple[float, float] | None = None, nadir: tuple[float, float] | None = None, keep_in_range: bool = True, design: DataFrame | None = None) -> DataFrame:
     """One row a weight pair: beta_1, beta_2, score, predictions at the optimum and at rounded factors, hyperparameters, success, message.
 
-    A weighted sum: parts of the front that aren't convex can't be reached. Incumbents keyed by
+    With ``utopia`` and ``nadir`` predictions are scaled by them and, unless ``keep_in_range`` is
+    false, have to lie between them. A weighted sum: parts of the front that aren't convex can't be reached. Incumbents keyed by
     (pair, start) sample a box around them that shrinks each round, and keep the best point.
     Starts are the centre, uniform points and, where given, the design's rows. Each round is
     written to the shared folder, which cuts its lineage.

@@ -17,21 +17,28 @@ def attach_scores(df: DataFrame, scores: DataFrame, key: str) -> DataFrame:
     return df.join(scores, on=key, how="left")
 
 
-def pareto_front(df: DataFrame, by: list[str], maximize: str, minimize: str, drop_missing: bool = False) -> DataFrame:
-    """``df`` with is_pareto, by the general theta join: no row of the group is at least as good in both and better in one.
+def pareto_front(df: DataFrame, by: list[str], maximize: str | list[str], minimize: str | list[str], drop_missing: bool = False) -> DataFrame:
+    """``df`` with is_pareto: no row of the group is at least as good in every objective and better in one.
 
     A row with a missing value never dominates and is kept (or not, with ``drop_missing``).
-    Rows with a missing group key go. Quadratic in a group: for two objectives use skyline_2d.
+    Rows with a missing group key go. One objective each way is skyline_2d's; more of them take a
+    theta join of the group's distinct points, which is quadratic in their number.
     """
-    require_columns(df, *by, maximize, minimize)
-    rows = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by])).withColumns({"_a": no_nan(F.col(maximize)), "_t": no_nan(F.col(minimize))})
-    points = rows.where(F.col("_a").isNotNull() & F.col("_t").isNotNull()).select(*by, "_a", "_t").distinct()
+    high, low = ([c] if isinstance(c, str) else list(c) for c in (maximize, minimize))
+    if len(high) == len(low) == 1:
+        return skyline_2d(df, by, high[0], low[0], drop_missing)
+    require_columns(df, *by, *high, *low)
+    both = lambda conditions: reduce(lambda a, b: a & b, conditions)
+    values = {f"_o{i}": no_nan(F.col(c)) * (1 if i < len(high) else -1) for i, c in enumerate([*high, *low])}
+    rows = df.where(both([F.col(c).isNotNull() for c in by])).withColumns(values)
+    whole = both([F.col(c).isNotNull() for c in values])
+    points = rows.where(whole).select(*by, *values).distinct()
     x, y = points.alias("x"), points.alias("y")
-    same = reduce(lambda a, b: a & b, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in by])
-    better = (F.col("y._a") >= F.col("x._a")) & (F.col("y._t") <= F.col("x._t")) & ((F.col("y._a") > F.col("x._a")) | (F.col("y._t") < F.col("x._t")))
-    front = x.join(y, same & better, "left_anti").select("x.*").withColumn("_on", F.lit(True))
-    missing = F.col("_a").isNull() | F.col("_t").isNull()
-    return rows.join(front, [*by, "_a", "_t"], "left").withColumn("is_pareto", F.coalesce("_on", missing & F.lit(not drop_missing))).drop("_a", "_t", "_on")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in by]
+    no_worse = [F.col(f"y.{c}") >= F.col(f"x.{c}") for c in values]
+    better = reduce(lambda a, b: a | b, [F.col(f"y.{c}") > F.col(f"x.{c}") for c in values])
+    front = x.join(y, both([*same, *no_worse, better]), "left_anti").select("x.*").withColumn("_on", F.lit(True))
+    return rows.join(front, [*by, *values], "left").withColumn("is_pareto", F.coalesce("_on", ~whole & F.lit(not drop_missing))).drop(*values, "_on")
 
 
 def skyline_2d(df: DataFrame, by: list[str], maximize: str, minimize: str, drop_missing: bool = False, salts: int = 16) -> DataFrame:
@@ -84,14 +91,15 @@ def dedup_configs(df: DataFrame, factors: list[str], seq: str) -> DataFrame:
     return first_by(df, factors, seq)
 
 
-def assign_folds(df: DataFrame, label: str, key: str, k: int, seed: int, buckets: int = 64) -> DataFrame:
+def assign_folds(df: DataFrame, label: str, key: str, k: int, seed: int, buckets: int | None = None) -> DataFrame:
     """``df`` with a stratified fold from 0; class counts of folds differ by 1 at most, and so do fold sizes.
 
     A row's rank in its class is by a hash of (seed, key). It is counted inside buckets of the
-    hash and moved on by the sums of the buckets before, a table of classes times buckets; no
-    window holds a whole class.
+    hash and moved on by the sums of the buckets before, a table of classes times buckets. Unless
+    given, buckets grow with the table, from 64 to 65,536, so that no window holds a whole class.
     """
     require_columns(df, label, key)
+    buckets = buckets or min(65_536, max(64, df.count() // 100_000))
     rows = df.withColumn("_h", shuffle_key(seed, F.col(key))).withColumn("_b", F.pmod(F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") * buckets / 65536, F.lit(buckets)).cast("int"))
     counts = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     offset = F.coalesce(F.sum("_n").over(Window.orderBy(label, "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -42,8 +42,19 @@ def grid_product(spark: SparkSession, levels: dict[str, list[float]]) -> DataFra
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """n rows without replacement (all, if there are no more), by a hash of ``key``."""
-    return df.orderBy(shuffle_key(seed, F.col(key)), key).limit(n)
+    """n rows without replacement (all, if there are no more), by a hash of ``key``.
+
+    Counts by the hash's first four digits (65,536 rows) give the one bucket in which the sample
+    ends; only its rows are sorted, so that the sample isn't gathered in one task.
+    """
+    rows = df.withColumn("_h", shuffle_key(seed, F.col(key))).withColumn("_b", F.substring("_h", 1, 4))
+    left = n
+    for b, count in sorted((tuple(r) for r in rows.groupBy("_b").count().collect()), key=lambda r: r[0] or ""):
+        if count > left:
+            before, inside = ((F.col("_b") < b) | F.col("_b").isNull(), F.col("_b") == b) if b is not None else (F.lit(False), F.col("_b").isNull())
+            return rows.where(before).unionByName(rows.where(inside).orderBy("_h", key).limit(left)).drop("_h", "_b")
+        left -= count
+    return df
 
 
 def unit_draw(seed: int, name: str, key: Column) -> Column:

@@ -43,8 +43,10 @@ def grid_configs(spark, factors: dict[str, Factor], budget: int, seed: int) -> D
 
 def grid_search(data: DataFrame, factors: dict[str, Factor], budget: int, seed: int = 42, factory: Factory = logistic, k: int = 5) -> DataFrame:
     began = time.perf_counter()
-    best, _ = evaluate_candidates(data, grid_configs(data.sparkSession, factors, budget, seed), factors, factory, k)
-    return summary(best, "grid", budget, time.perf_counter() - began)
+    chosen = materialize(grid_configs(data.sparkSession, factors, budget, seed), "grid")
+    best, _ = evaluate_candidates(data, chosen, factors, factory, k)
+    # A small grid may have fewer points than the budget.
+    return summary(best, "grid", chosen.count(), time.perf_counter() - began)
 
 
 def random_search(data: DataFrame, factors: dict[str, Factor], budget: int, seed: int = 42, factory: Factory = logistic, k: int = 5) -> DataFrame:

@@ -34,14 +34,12 @@ def aggregate_runs(runs: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def pick_candidates(candidates: DataFrame, factors: dict[str, Factor], k: int) -> DataFrame:
-    """Candidates with factors filled, distinct, and the k nearest to utopia by their predictions' own range."""
+def pick_candidates(candidates: DataFrame, factors: dict[str, Factor], k: int, utopia: tuple[float, float], nadir: tuple[float, float]) -> DataFrame:
+    """Candidates with factors filled, distinct, and the k whose predictions, scaled by the observed ``nadir`` and ``utopia``, lie nearest to utopia."""
     rows = fill_midpoint(read_candidates(candidates, list(factors), on_bad="null"), factors)
-    rows = rows.where("success").withColumn("seq", F.round(F.col("beta_2") * 100).cast("long"))
+    rows = rows.withColumn("seq", F.round(F.col("beta_2") * 100).cast("long"))
     rows = dedup_configs(rows, list(factors), "seq")
-    ends = extremes(rows, ["Pred_Score_Quality", "Pred_Score_Cost"])
-    rows = rows.crossJoin(F.broadcast(ends))
-    near = [normalize_range(F.col(c), F.col(f"{c}_nadir"), F.col(f"{c}_utopia"), clip=True) for c in ("Pred_Score_Quality", "Pred_Score_Cost")]
+    near = [normalize_range(F.col(c), F.lit(float(lo)), F.lit(float(hi)), clip=True) for c, lo, hi in zip(("Pred_Score_Quality", "Pred_Score_Cost"), nadir, utopia, strict=True)]
     return top_k_by_distance(rows, distance_to_utopia(*near), "seq", k).select(F.col("seq").alias("config_id"), *factors)
 
 
@@ -57,11 +55,13 @@ def replica_pipeline(data: DataFrame, features: list[str], label: str, key: str,
     scored = materialize(scored, "scores")
     surfaces = [fit_surfaces(scored, list(factors), y, on_singular="pinv")[0] for y in ("Score_Quality", "Score_Cost")]
     ends = extremes(scored, ["Score_Quality", "Score_Cost"]).first()
-    found = frontier_search(scored.sparkSession, *surfaces, factors, seed=seed, utopia=(ends[0], ends[2]), nadir=(ends[1], ends[3]), design=scored, **(search or {}))
-    chosen = materialize(pick_candidates(found, factors, top), "candidates")
+    utopia, nadir = (ends[0], ends[2]), (ends[1], ends[3])
+    found = frontier_search(scored.sparkSession, *surfaces, factors, seed=seed, utopia=utopia, nadir=nadir, design=scored, **(search or {}))
+    chosen = materialize(pick_candidates(found, factors, top, utopia, nadir), "candidates")
     best, _ = evaluate_candidates(folds, chosen, factors, factory, k)
-    spent = equal_budget(budget, design.count(), chosen.count())
-    rows = [summary(best, "main", spent, time.perf_counter() - began)]
+    own = design.count() + chosen.count()
+    spent = equal_budget(budget, own, 0)
+    rows = [summary(best, "main", own, time.perf_counter() - began)]
     searches = {"grid": grid_search, "random": random_search, "surrogate": surrogate_search, "density": density_search}
     for name in baselines:
         rows.append(searches[name](folds, factors, spent, seed=seed, factory=factory, k=k))

@@ -204,8 +204,10 @@ def _o25(spark, d):
 
 @query("O26_grid_product", "select t.l_tax as tax, f.l_discount as discount from (select distinct l_tax from lineitem) t cross join (select distinct l_discount from lineitem) f")
 def _o26(spark, d):
-    rows = table(spark, d, "lineitem").select(F.collect_set("l_tax"), F.collect_set("l_discount")).first()
-    return sampling.grid_product(spark, {"tax": sorted(rows[0]), "discount": sorted(rows[1])}).drop("config_id")
+    levels = {n: [r[0] for r in table(spark, d, "lineitem").select(c).distinct().orderBy(c).limit(10_001).collect()] for n, c in (("tax", "l_tax"), ("discount", "l_discount"))}
+    if any(len(v) > 10_000 for v in levels.values()):
+        raise ValueError("a grid takes 10,000 levels of a factor at most")
+    return sampling.grid_product(spark, levels).drop("config_id")
 
 
 _FRONT_SQL = """select x.replica, x.method, round(x."Accuracy_Mean", 9) as accuracy, round(x."Time_MeanFold", 9) as seconds, not exists (
@@ -294,6 +296,13 @@ def _o35(spark, d):
     return factors.pca_project(views.surface_input(spark, d), list(_ABCY), 3).select("l_orderkey", "l_linenumber", "PC1", "PC2", "PC3")
 
 
+@query("O35_pca_two_columns", """select l_orderkey, l_linenumber, b, round((x + y) / sqrt(2), 6) as "PC1", round(abs(x - y) / sqrt(2), 6) as "PC2" from (
+  select *, (a - avg(a) over ()) / stddev_samp(a) over () as x, (b - avg(b) over ()) / stddev_samp(b) over () as y from (select *, l_quantity::double as a, l_quantity + l_extendedprice / 10000.0::double as b from lineitem))""")
+def _o35_two(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("a"), (F.col("l_quantity") + F.col("l_extendedprice") / 10000.0).alias("b"))
+    return factors.pca_project(rows, ["a", "b"], 2).select("l_orderkey", "l_linenumber", "b", _r("PC1").alias("PC1"), _r(F.abs("PC2")).alias("PC2"))
+
+
 @query("O36_gram", "select l_returnflag, count(*) as n, " + ", ".join(f"round(sum({x} * {z}), 4) as s_{i}_{i + k}" for i, x in enumerate(("1.0::double", "l_quantity", "l_tax")) for k, z in enumerate(("1.0::double", "l_quantity", "l_tax")[i:])) + " from lineitem group by l_returnflag")
 def _o36(spark, d):
     g = linalg.gram(table(spark, d, "lineitem"), [F.lit(1.0), F.col("l_quantity")], F.col("l_tax"), ["l_returnflag"])
@@ -390,12 +399,12 @@ def _o50(spark, d):
 # Composite operators
 
 _TUNED = {"regParam": Factor(0.0, 0.5), "maxIter": Factor(3, 8, True)}
-_FEATURES = [f"e{i}" for i in range(8)]
+_FEATURES = [f"e{i}" for i in range(64)]
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    return rows.select("vec_id", (F.col("label") < 5).cast("int").alias("y"), *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(8)])
+    return rows.select("vec_id", (F.col("label") < 5).cast("int").alias("y"), *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(64)])
 
 
 def _folds(spark: SparkSession, d: str) -> DataFrame:
@@ -449,7 +458,9 @@ def _o55(spark, d):
 @query("O56_frontier_search")
 def _o56(spark, d):
     box = {"a": Factor(1, 50, True), "b": Factor(0.0, 0.1), "c": Factor(0.0, 0.08)}
-    return frontier.frontier_search(spark, *_surfaces(spark, d), box, step=0.1, starts=6, samples=60, rounds=4).withColumn("hyperparameters", F.to_json("hyperparameters"))
+    ends = metrics.extremes(views.surface_input(spark, d).withColumn("cheap", -F.col("y") - F.col("a") / 10), ["y", "cheap"]).first()
+    found = frontier.frontier_search(spark, *_surfaces(spark, d), box, step=0.1, starts=6, samples=60, rounds=4, utopia=(ends[0], ends[2]), nadir=(ends[1], ends[3]))
+    return found.withColumn("hyperparameters", F.to_json("hyperparameters"))
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -495,13 +506,28 @@ def _o61(spark, d):
     return factors.combine_scores(rows, ["f1", "f2", "f3"], "f3", "f1", [1.0, 2.0]).select("l_suppkey", _r("Score_Quality").alias("Score_Quality"), _r("Score_Cost").alias("Score_Cost"))
 
 
+@query("O61_combine_scores_single", """with f as (select l_suppkey, avg(l_discount) as f1, avg(l_tax) as f2, avg(l_quantity) as f3 from lineitem group by 1)
+select l_suppkey, round((f2 - avg(f2) over ()) / stddev_samp(f2) over (), 6) as "Score_Quality", round(-(f3 - avg(f3) over ()) / stddev_samp(f3) over (), 6) as "Score_Cost" from f""")
+def _o61_single(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("f1"), F.avg("l_tax").alias("f2"), F.avg("l_quantity").alias("f3"))
+    return factors.combine_scores(rows, ["f1", "f2", "f3"], "f3", "f2", combine=False).select("l_suppkey", _r("Score_Quality").alias("Score_Quality"), _r("Score_Cost").alias("Score_Cost"))
+
+
+@query("O62_pick_candidates", """with n as (select p_partkey as config_id, p_size::double as a, p_partkey::double as b, least(greatest((p_retailprice - 950) / 800, 0), 1) as q, least(greatest((p_size - 5) / 40.0::double, 0), 1) as c from part)
+select config_id, a, b from n order by (1 - q) * (1 - q) + (1 - c) * (1 - c), config_id limit 25""")
+def _o62_pick(spark, d):
+    found = views.configs(spark, d).join(table(spark, d, "part").withColumnRenamed("p_partkey", "config_id"), "config_id")
+    found = found.select(F.col("p_retailprice").alias("Pred_Score_Quality"), F.col("p_size").cast("double").alias("Pred_Score_Cost"), (F.col("config_id") / 100).alias("beta_2"), (F.col("config_id") % 2 == 0).alias("success"), "hyperparameters")
+    return pipeline.pick_candidates(found, {"a": Factor(0, 50), "b": Factor(0, 10**6)}, 25, (1750.0, 45.0), (950.0, 5.0))
+
+
 def _small(seed: int) -> dict:
     return {"k": 2, "top": 2, "budget": 4, "search": {"step": 0.5, "starts": 3, "samples": 20, "rounds": 2}, "metrics": ["Accuracy_Mean", "Precision_Mean", "Recall_Mean", "Specificity_Mean", "Time_MeanFold"]}
 
 
 @query("O62_replica_pipeline")
 def _o62(spark, d):
-    out = pipeline.replica_pipeline(_labelled(spark, d), _FEATURES, "y", "vec_id", _design(spark, 8), _TUNED, 42, baselines=("random",), **_small(42))
+    out = pipeline.replica_pipeline(_labelled(spark, d), _FEATURES, "y", "vec_id", _design(spark, 8), _TUNED, 42, **_small(42))
     return _shown(out)
 
 

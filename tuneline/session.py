@@ -2,33 +2,57 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the intermediate tables of this process that no scratch() block has deleted.
+_WRITTEN: list[str] = []
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Only where that setting is absent (tests in
-    local mode) a temporary folder is made and set as the checkpoint folder.
+    ``spark.checkpoint.dir`` names it. Only where that setting is absent in local mode (tests)
+    a temporary folder is made and set as the checkpoint folder; on a cluster its absence is an
+    error, because executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     held = getattr(spark, "_tuneline_scratch", None)
     if held is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and executors share")
         held = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(held)
         spark._tuneline_scratch = held
     return held
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables written inside the block when it ends; results must have been written or collected by then."""
+    begun = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _WRITTEN[begun:]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        del _WRITTEN[begun:]
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage: later stages read the table, and survive the loss of any executor.
+    Cuts the lineage: later stages read the table, and survive the loss of any executor. The
+    table stays until the scratch() block around it ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tuneline/{name}-{uuid.uuid4().hex}"
@@ -36,6 +60,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

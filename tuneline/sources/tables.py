@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tuneline.functions.scalars import Factor
+from tuneline.operators.factors import Rotation
 from tuneline.operators.relational import union_ragged
+from tuneline.operators.surface import Surface
 from tuneline.session import materialize, require_columns
 
 #: Names that a label column goes by, in order of preference, and those of term files.
@@ -175,6 +178,18 @@ def export_summary(summary: DataFrame, path: str) -> None:
     write_decimal_comma(summary, path)
 
 
+def export_candidates(candidates: DataFrame, path: str) -> None:
+    """Candidates with their factors as one JSON column, in weight order."""
+    write_decimal_comma(candidates.orderBy("beta_2"), path)
+
+
+def export_fit(spark: SparkSession, surfaces: dict[str, Surface], found: Rotation, path: str) -> None:
+    """One JSON line: r2, r2_adj, alpha and n_terms of each surface, and the numbers of the quality and cost factors from 1."""
+    held = {name: {"r2": s.r2, "r2_adj": s.r2_adj, "alpha": s.alpha, "n_terms": len(s.terms)} for name, s in surfaces.items()}
+    held["fa"] = {"quality_factor": found.quality + 1, "cost_factor": None if found.cost is None else found.cost + 1}
+    spark.createDataFrame([(json.dumps(held),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def number_rows(df: DataFrame, order: list[str], out: str = "seq") -> DataFrame:
     """``df`` with its place in ``order`` from 0: counts by range partition, then a local number, so no task sorts all rows."""
     part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
@@ -183,7 +198,3 @@ def number_rows(df: DataFrame, order: list[str], out: str = "seq") -> DataFrame:
     base = held.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     base = base.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return held.join(F.broadcast(base), "_p").withColumn(out, F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
-
-
-def boxes(spark: SparkSession, factors: dict[str, Factor]) -> DataFrame:
-    return spark.createDataFrame([(n, float(f.lo), float(f.hi), f.is_int) for n, f in factors.items()], "factor string, lo double, hi double, is_int boolean")
