@@ -118,10 +118,13 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Region:
-    """One region of an order, taken in chunks of CHUNK rows; one of up to ``whole`` rows is compared whole."""
+    """One region of an order, taken in chunks of CHUNK rows; one of up to ``whole`` rows is compared whole.
 
-    def __init__(self, least: float, whole: int):
-        self.least, self.whole = least, whole
+    Others only take pairs that are ``likely`` links; the second round sees to what else the estimate allows there.
+    """
+
+    def __init__(self, least: float, whole: int, likely: float):
+        self.least, self.whole, self.likely = least, whole, likely
         self.medoids = np.zeros((0, HASHES), np.uint8)
         self.medoid_ids = np.zeros(0, np.int64)
         self.last = (np.zeros(0, np.int64), np.zeros((0, HASHES), np.uint8))
@@ -135,21 +138,21 @@ class _Region:
             return self.all_pairs(ids, marks)
         found = []
         near_ids, near = np.concatenate([self.last[0], ids]), np.concatenate([self.last[1], marks])
-        hit = (near[1:] == near[:-1]).mean(1) >= self.least
+        hit = (near[1:] == near[:-1]).mean(1) >= self.likely
         found.append((near_ids[1:][hit], near_ids[:-1][hit]))
         self.last = (ids[-1:], marks[-1:])
         left = np.ones(len(ids), bool)
         if len(self.medoids):
             share = _agree(marks, self.medoids)
             best = share.argmax(1)
-            left = share[np.arange(len(ids)), best] < self.least
+            left = share[np.arange(len(ids)), best] < self.likely
             found.append((ids[~left], self.medoid_ids[best[~left]]))
         poor = 0
         while left.sum() > self.whole and poor < 16:
             rows = np.flatnonzero(left)
             mode = np.array([np.bincount(c, minlength=256).argmax() for c in marks[rows].T], np.uint8)
             middle = rows[(marks[rows] == mode).mean(1).argmax()]
-            own = rows[(marks[rows] == marks[middle]).mean(1) >= self.least]
+            own = rows[(marks[rows] == marks[middle]).mean(1) >= self.likely]
             found.append((ids[own], np.full(len(own), ids[middle])))
             left[own] = False
             poor += len(own) < 4
@@ -208,14 +211,14 @@ def _out(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _first_round(least: float):
+def _first_round(percent: int, least: float):
     """Candidate pairs; a row of a region that isn't compared whole also comes as a pair of itself."""
 
     def run(batches):
-        region, gathered = _Region(least, WHOLE), []
+        region, gathered = _Region(least, WHOLE, percent / 100), []
         for begins, ends, held in _regions(batches):
             if begins:
-                region = _Region(least, WHOLE)
+                region = _Region(least, WHOLE, percent / 100)
             ids, marks = _columns(held)
             large = not (begins and ends and len(ids) <= WHOLE) or held[0].column("deep")[0].as_py()
             pairs = region.chunk(ids, marks, begins and ends)
@@ -491,7 +494,7 @@ def depths(signs: DataFrame) -> DataFrame | None:
     return materialize(found.select("region", F.coalesce("enough", F.lit(VALUES)).alias("depth"), parts.alias("parts")), "depths")
 
 
-def forest_pairs(signs: DataFrame, least: float) -> DataFrame:
+def forest_pairs(signs: DataFrame, percent: int, least: float) -> DataFrame:
     """Candidate pairs (a, b) of the forest, and (a, a) for each row of a region that isn't compared whole."""
     rows, deeper = _orders(signs, "marks"), depths(signs)
     if deeper is None:
@@ -500,7 +503,7 @@ def forest_pairs(signs: DataFrame, least: float) -> DataFrame:
         key = F.when(F.col("depth").isNull(), F.col("region")).otherwise(F.xxhash64("region", F.expr("substring(value, 1, 4 * depth)"), F.pmod(F.xxhash64("id"), F.col("parts"))))
         rows = _joined(rows, deeper, "left").select(key.alias("region"), "value", "id", "marks", F.col("depth").isNotNull().alias("deep"))
     sorted_ = rows.repartition("region").sortWithinPartitions("region", "value").drop("value")
-    return materialize(sorted_.mapInArrow(_first_round(least), _PAIR).distinct(), "pairs")
+    return materialize(sorted_.mapInArrow(_first_round(percent, least), _PAIR).distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -523,7 +526,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.col("id") == F.col("first")
     tagged = materialize(tagged.select("id", "n_shingles", "first", F.when(first, F.col("sign")).alias("sign"), F.when(first, F.col("marks")).alias("marks")), "tagged")
     signs = tagged.where(first).select("id", "n_shingles", "sign", "marks")
-    pairs = forest_pairs(signs, least)
+    pairs = forest_pairs(signs, percent, least)
     links = materialize(confirmed(pairs.where("a <> b"), docs, words, percent), "links")
     group = components(links)
     dense = pairs.where("a = b").select(F.col("a").alias("id"))
