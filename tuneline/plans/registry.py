@@ -399,12 +399,12 @@ def _o50(spark, d):
 # Composite operators
 
 _TUNED = {"regParam": Factor(0.0, 0.5), "maxIter": Factor(3, 8, True)}
-_FEATURES = [f"e{i}" for i in range(8)]
+_FEATURES = [f"e{i}" for i in range(64)]
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    return rows.select("vec_id", (F.col("label") < 5).cast("int").alias("y"), *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(8)])
+    return rows.select("vec_id", (F.col("label") < 5).cast("int").alias("y"), *[F.get("embedding", F.lit(i)).alias(c) for i, c in enumerate(_FEATURES)])
 
 
 def _folds(spark: SparkSession, d: str) -> DataFrame:
