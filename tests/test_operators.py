@@ -91,7 +91,7 @@ def test_surface_recovers_planted_terms_and_matches_refits(spark):
     x = rng.uniform([50, 0.01, 3], [700, 0.3, 18], (400, 3))
     y = 2 + 0.01 * x[:, 0] - 30 * x[:, 1] + 0.05 * x[:, 0] * x[:, 1] + rng.normal(0, 0.05, 400)
     df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "n double, r double, d double, y double")
-    found = surface.fit_surfaces(df, ["n", "r", "d"], "y")[0]
+    found = surface.fit_surface(df, ["n", "r", "d"], "y")
     held = dict(found.pairs())
     assert {"Intercept", "n", "r", "n*r"} <= set(held)
     assert held["n*r"] == pytest.approx(0.05, rel=0.02) and held["r"] == pytest.approx(-30, rel=0.05)
@@ -115,12 +115,20 @@ def test_surface_recovers_planted_terms_and_matches_refits(spark):
 
 def test_surface_by_group_and_collinear(spark):
     df = spark.range(60).select((F.col("id") % 2).alias("g"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"), F.col("id").cast("double").alias("y"))
-    assert {s.key for s in surface.fit_surfaces(df, ["a", "b"], "y", by=["g"])} == {(0,), (1,)}
+    held = {g: {r["term"]: r for r in surface.surfaces_by(df, ["a", "b"], "y", ["g"]).where(F.col("g") == g).collect()} for g in (0, 1)}
+    for g, found in held.items():
+        alone = surface.fit_surface(df.where(F.col("g") == g), ["a", "b"], "y")
+        assert set(found) == set(alone.terms)
+        for t, c in alone.pairs():
+            assert found[t]["coef"] == pytest.approx(c) and found[t]["r2"] == pytest.approx(alone.r2) and found[t]["n"] == alone.n == 30
+    assert surface.surfaces_by(df.withColumn("g", F.lit(None).cast("long")), ["a", "b"], "y", ["g"]).count() == 0
+    one = surface.surfaces_by(df.withColumn("a", F.lit(2.0)), ["a"], "y", ["g"], on_singular="pinv").where("term = 'Intercept'")
+    assert one.count() == 2
     with pytest.raises(ValueError, match="collinear"):
-        surface.fit_surfaces(df.withColumn("b", F.col("a") * 2), ["a", "b"], "y")
-    assert surface.fit_surfaces(df.withColumn("b", F.col("a") * 2), ["a", "b"], "y", on_singular="pinv")
+        surface.fit_surface(df.withColumn("b", F.col("a") * 2), ["a", "b"], "y")
+    assert surface.fit_surface(df.withColumn("b", F.col("a") * 2), ["a", "b"], "y", on_singular="pinv")
     with pytest.raises(ValueError, match="complete"):
-        surface.fit_surfaces(df.limit(0), ["a", "b"], "y")
+        surface.fit_surface(df.limit(0), ["a", "b"], "y")
 
 
 def test_factor_scores_of_a_planted_model(spark):

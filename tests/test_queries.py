@@ -13,7 +13,7 @@ def test_matches_sql(spark, duck, name):
     assert rows(registry.QUERIES[name](spark, SMALL)) == rows(duck.sql(registry.ORACLE_SQL[name]))
 
 
-@pytest.mark.parametrize("name", ["O08_file_fingerprints", "O35_pca_project", "O50_random_configs", "O54_factor_scores", "O55_fit_surface", "O57_grid_search", "O59_surrogate_search", "O60_density_search", "O62_replica_pipeline"])
+@pytest.mark.parametrize("name", ["O08_table_fingerprints", "O35_pca_project", "O54_factor_scores", "O55_fit_surface", "O57_grid_search", "O59_surrogate_search", "O60_density_search", "O62_replica_pipeline"])
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SMALL).count() > 0
 

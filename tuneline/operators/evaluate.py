@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,12 @@ def logistic(params: dict) -> LogisticRegression:
     return LogisticRegression(maxIter=int(params.get("maxIter", 20)), **known)
 
 
+def bayes(params: dict) -> NaiveBayes:
+    """Gaussian naive Bayes, fitted in one aggregate; class 1 is predicted where its probability is above ``threshold``."""
+    cut = float(params.get("threshold", 0.5))
+    return NaiveBayes(modelType="gaussian", thresholds=[1 - cut, cut])
+
+
 def boosting(params: dict, seed: int = 42) -> GBTClassifier:
     """Boosted trees from the seven boosting factors; the column samples of tree and level multiply into the one per node that Spark has."""
     columns = params.get("colsample_bytree", 1.0) * params.get("colsample_bylevel", 1.0)

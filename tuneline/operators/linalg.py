@@ -17,9 +17,10 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r): Pearson correlations of all pairs of columns, one aggregate; rows with a missing value in any column are left out."""
     require_columns(df, *columns)
     values = df.select(*[no_nan(F.col(c)).alias(c) for c in columns]).dropna()
-    pairs = [(a, b) for a in columns for b in columns]
-    wide = values.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
+    places = range(len(columns))
+    wide = values.agg(*[F.corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i in places for j in places if i <= j])
+    cells = [F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"r{min(i, j)}_{max(i, j)}").alias("r")) for i in places for j in places]
+    return wide.select(F.inline(F.array(*cells)))
 
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:

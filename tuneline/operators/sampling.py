@@ -58,8 +58,9 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
 
 
 def unit_draw(seed: int, name: str, key: Column) -> Column:
-    """A uniform number in [0, 1) from (seed, name, key)."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(name), key), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    """A uniform number in [0, 1): the first 52 bits of the MD5 of seed, name and key."""
+    text = F.concat(F.lit(f"{seed}-{name}-"), key.cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def draw(f: Factor, u: Column, lo: Column | None = None, hi: Column | None = None) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tuneline.functions.scalars import no_nan, quadratic_terms, term_expr
 from tuneline.operators.linalg import Fit, gram, gram_matrix, solve
@@ -24,7 +26,6 @@ class Surface:
     r2_adj: float
     alpha: float
     n: int
-    key: tuple = field(default_factory=tuple)
 
     def pairs(self) -> list[tuple[str, float]]:
         return list(zip(self.terms, self.coef, strict=True))
@@ -73,32 +74,61 @@ def _uncode(terms: list[str], coef: np.ndarray, centre: dict[str, float], half:
     return out
 
 
-def fit_surfaces(df: DataFrame, factors: list[str], y: str, alpha: float = 0.05, by: list[str] | None = None, on_singular: str = "error") -> list[Surface]:
-    """One surface for each group: a pass for the box that codes the factors to [-1, 1], and one for the Gram matrix.
+def _fitted(g: np.ndarray, n: int, terms: list[str], y: str, alpha: float, on_singular: str, centre: dict[str, float], half: dict[str, float]) -> Surface:
+    names, fit = eliminate(g, n, terms, alpha, on_singular)
+    real = _uncode(names, fit.coef, centre, half)
+    held = [t for t in terms if t in real]
+    return Surface(y, held, [real[t] for t in held], float(fit.r2), float(fit.r2_adj), alpha, n)
+
+
+def fit_surface(df: DataFrame, factors: list[str], y: str, alpha: float = 0.05, on_singular: str = "error") -> Surface:
+    """The surface of all rows: a pass for the box that codes the factors to [-1, 1], and one for the Gram matrix.
 
     Coding keeps the matrix well conditioned and changes neither the path of elimination nor the
-    fit. Rows with a missing factor, response or key are left out. One row a group reaches the driver.
+    fit. Rows with a missing factor or response are left out. One row reaches the driver.
     """
-    require_columns(df, *factors, y, *(by or []))
-    rows = df.select(*(by or []), *[no_nan(F.col(c)).alias(c) for c in dict.fromkeys([*factors, y])]).dropna()
+    require_columns(df, *factors, y)
+    rows = df.select(*[no_nan(F.col(c)).alias(c) for c in dict.fromkeys([*factors, y])]).dropna()
     box = rows.agg(*[f(c).alias(f"{n}_{c}") for c in factors for n, f in (("lo", F.min), ("hi", F.max))]).first()
     if any(box[f"lo_{c}"] is None for c in factors):
         raise ValueError("no complete rows")
     centre = {c: (box[f"lo_{c}"] + box[f"hi_{c}"]) / 2 for c in factors}
     half = {c: (box[f"hi_{c}"] - box[f"lo_{c}"]) / 2 or 1.0 for c in factors}
-    coded = rows.select(*(by or []), F.col(y).alias("_y"), *[((F.col(c) - F.lit(centre[c])) / F.lit(half[c])).alias(c) for c in factors])
+    coded = rows.select(F.col(y).alias("_y"), *[((F.col(c) - F.lit(centre[c])) / F.lit(half[c])).alias(c) for c in factors])
     terms = quadratic_terms(factors)
-    out = []
-    for r in gram(coded, [term_expr(t, factors) for t in terms], F.col("_y"), by).collect():
-        names, fit = eliminate(gram_matrix(r.asDict(), len(terms) + 1), r["n"], terms, alpha, on_singular)
-        real = _uncode(names, fit.coef, centre, half)
-        held = [t for t in terms if t in real]
-        out.append(Surface(y, held, [real[t] for t in held], float(fit.r2), float(fit.r2_adj), alpha, r["n"], tuple(r[c] for c in by or [])))
-    return out
+    row = gram(coded, [term_expr(t, factors) for t in terms], F.col("_y")).first().asDict()
+    return _fitted(gram_matrix(row, len(terms) + 1), row["n"], terms, y, alpha, on_singular, centre, half)
 
 
-def surface_frame(spark, surfaces: list[Surface], by: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
-    """(keys, response, term, coef, r2, r2_adj, alpha, n_terms)."""
-    keys = [f"{k} {t}" for k, t in zip(by or [], kinds or [], strict=True)]
-    rows = [(*s.key, s.response, t, float(c), s.r2, s.r2_adj, s.alpha, len(s.terms)) for s in surfaces for t, c in s.pairs()]
-    return spark.createDataFrame(rows, ", ".join([*keys, "response string, term string, coef double, r2 double, r2_adj double, alpha double, n_terms int"]))
+def surfaces_by(df: DataFrame, factors: list[str], y: str, by: list[str], alpha: float = 0.05, on_singular: str = "error") -> DataFrame:
+    """(keys, response, term, coef, r2, r2_adj, alpha, n_terms, n): one surface a group, for any number of groups.
+
+    Each group's factors are coded by its own box. Sums of products are one aggregate, and terms
+    are eliminated where a group's row of sums lies, so nothing reaches the driver and a hot group
+    is summed up before it is shuffled. Rows with a missing factor, response or key are left out;
+    a group whose terms are collinear is an error unless ``on_singular`` is 'pinv'.
+    """
+    require_columns(df, *factors, y, *by)
+    values = list(dict.fromkeys([*factors, y]))
+    rows = df.select(*by, *[no_nan(F.col(c)).alias(c) for c in values]).dropna()
+    ends = rows.groupBy(*by).agg(*[((F.max(c) + F.min(c)) / 2).alias(f"_centre_{i}") for i, c in enumerate(factors)], *[((F.max(c) - F.min(c)) / 2).alias(f"_half_{i}") for i, c in enumerate(factors)])
+    boxes = ends.withColumns({f"_half_{i}": F.when(F.col(f"_half_{i}") == 0, 1.0).otherwise(F.col(f"_half_{i}")) for i in range(len(factors))})
+    box = [f"_{n}_{i}" for n in ("centre", "half") for i in range(len(factors))]
+    # No key is null here, so the join can be left to Spark: a broadcast if the boxes are few, else a sort-merge with skew handling.
+    held = rows.join(boxes, by).select(*by, *box, F.col(y).alias("_y"), *[((F.col(c) - F.col(f"_centre_{i}")) / F.col(f"_half_{i}")).alias(c) for i, c in enumerate(factors)])
+    terms = quadratic_terms(factors)
+    sums = gram(held, [term_expr(t, factors) for t in terms], F.col("_y"), [*by, *box])
+    keys = [df.schema[c] for c in by]
+    numbers = {"response": "string", "term": "string", "coef": "double", "r2": "double", "r2_adj": "double", "alpha": "double", "n_terms": "int", "n": "long"}
+
+    def fit(batches):
+        for b in batches:
+            out = []
+            for r in b.to_dict("records"):
+                centre, half = ({c: r[f"_{n}_{i}"] for i, c in enumerate(factors)} for n in ("centre", "half"))
+                s = _fitted(gram_matrix(r, len(terms) + 1), int(r["n"]), terms, y, alpha, on_singular, centre, half)
+                out += [(*[r[c] for c in by], y, t, float(c), s.r2, s.r2_adj, alpha, len(s.terms), s.n) for t, c in s.pairs()]
+            yield pd.DataFrame(out, columns=[*by, *numbers])
+
+    kinds = StructType([StructField(k.name, k.dataType) for k in keys] + StructType.fromDDL(", ".join(f"{n} {t}" for n, t in numbers.items())).fields)
+    return sums.mapInPandas(fit, kinds)

@@ -14,7 +14,7 @@ from tuneline.operators.frontier import frontier_search
 from tuneline.operators.metrics import extremes, method_stats, pareto_rate, win_rate
 from tuneline.operators.relational import dedup_configs, skyline_2d, top_k_by_distance, union_ragged
 from tuneline.operators.search import density_search, equal_budget, grid_search, random_search, summary, surrogate_search
-from tuneline.operators.surface import fit_surfaces
+from tuneline.operators.surface import fit_surface
 from tuneline.session import materialize, require_columns
 from tuneline.sources.tables import read_candidates
 
@@ -53,7 +53,7 @@ def replica_pipeline(data: DataFrame, features: list[str], label: str, key: str,
     done = materialize(run_design(folds, design, factors, factory, k), "design")
     scored, _ = factor_scores(done, metrics)
     scored = materialize(scored, "scores")
-    surfaces = [fit_surfaces(scored, list(factors), y, on_singular="pinv")[0] for y in ("Score_Quality", "Score_Cost")]
+    surfaces = [fit_surface(scored, list(factors), y, on_singular="pinv") for y in ("Score_Quality", "Score_Cost")]
     ends = extremes(scored, ["Score_Quality", "Score_Cost"]).first()
     utopia, nadir = (ends[0], ends[2]), (ends[1], ends[3])
     found = frontier_search(scored.sparkSession, *surfaces, factors, seed=seed, utopia=utopia, nadir=nadir, design=scored, **(search or {}))

@@ -88,8 +88,18 @@ def _o07(spark, d):
     return tables.read_candidates(text, ["a", "b"]).drop("hyperparameters")
 
 
-@query("O08_file_fingerprints")
+@query("O08_file_fingerprints", """with f as (select c_custkey // 1000 as part, string_agg(c_name || ';' || c_nationkey || chr(10), '' order by c_custkey) as body from customer group by 1)
+select part, strlen(body) as length, sha256(body) as sha256 from f""")
 def _o08(spark, d):
+    """Text files of a thousand customers each."""
+    root, rows = _folder(spark, "files"), table(spark, d, "customer").selectExpr("c_custkey div 1000 as part", "c_custkey", "concat_ws(';', c_name, c_nationkey) as line")
+    rows.repartition("part").sortWithinPartitions("part", "c_custkey").select("part", "line").write.partitionBy("part").text(root)
+    found = tables.file_fingerprints(spark, root)
+    return found.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), "length", "sha256")
+
+
+@query("O08_table_fingerprints")
+def _o08_tables(spark, d):
     return tables.file_fingerprints(spark, [f"{d}/{t}.parquet" for t in ("orders", "customer", "supplier")])
 
 
@@ -391,9 +401,14 @@ def _o49(spark, d):
     return sampling.sample_n(table(spark, d, "orders").select("o_orderkey"), 500, 7, "o_orderkey")
 
 
-@query("O50_random_configs")
+#: A uniform draw as operators/sampling.py makes it.
+_DRAW = "(('0x' || md5('{seed}-{name}-' || {key})[1:13])::bigint / 4503599627370496.0::double)"
+
+
+@query("O50_random_configs", f"""with b as (select min(l_quantity) as q0, max(l_quantity) as q1, min(l_tax) as t0, max(l_tax) as t1 from lineitem), i as (select unnest(range((select count(*) from lineitem))) as i)
+select i as config_id, least(q0 + floor({_DRAW.format(seed=42, name="quantity", key="i")} * (q1 - q0 + 1)), q1)::double as quantity, round(t0 + {_DRAW.format(seed=42, name="tax", key="i")} * (t1 - t0), 9) as tax from i, b""")
 def _o50(spark, d):
-    return sampling.random_configs(spark, _boxes(spark, d), table(spark, d, "lineitem").count(), 42)
+    return sampling.random_configs(spark, _boxes(spark, d), table(spark, d, "lineitem").count(), 42).withColumn("tax", _r("tax", 9))
 
 
 # Composite operators
@@ -430,6 +445,59 @@ def _o53(spark, d):
     return evaluate.evaluate_candidates(_folds(spark, d), _design(spark, 3), _TUNED, k=2)[0]
 
 
+#: Gaussian naive Bayes by folds in SQL: metrics of each configuration of ``c`` (config_id, threshold), with the default five folds.
+_BAYES = f"""with e as (select vec_id, (label < 5)::int as y, embedding from embeddings where label is not null and embedding is not null),
+f as (select *, (row_number() over (order by y, md5('42-' || vec_id), vec_id) - 1) % 5 as fold from e),
+x as (select vec_id, y, fold, unnest(range(64)) as i, unnest(embedding[1:64])::double as v from f),
+o as (select unnest(range(5)) as held),
+s as (select held, y, i, count(*) as n, avg(v) as mu, sum(v * v) as sq, sum(v) as total from x, o where fold <> held group by all),
+a as (select held, max(spread) * 1e-9 as least, any_value(n) as rows from (select held, i, sum(n) as n, sum(sq) / sum(n) - (sum(total) / sum(n)) * (sum(total) / sum(n)) as spread from s group by all) group by held),
+g as (select s.held, s.y, s.i, s.mu, ln(s.n / a.rows::double) as prior, a.least + s.sq / s.n - s.mu * s.mu as var from s join a using (held)),
+l as (select x.vec_id, x.y, x.fold, g.y as class, any_value(prior) - sum((v - mu) * (v - mu) / var + ln(var)) / 2 as raw from x join g on x.fold = g.held and x.i = g.i group by all),
+r as (select vec_id, y, fold, sum(case class when 1 then raw else -raw end) as odds from l group by all),
+preds as (select config_id, fold, y, (odds > ln(threshold / (1 - threshold)))::int as pred from r, c),
+m as (select config_id, any_value(threshold) as threshold, avg(accuracy) as acc, round(avg(accuracy), 9) as "Accuracy_Mean", round(avg(precision), 9) as "Precision_Mean", round(avg(recall), 9) as "Recall_Mean", round(avg(specificity), 9) as "Specificity_Mean"
+  from ({_CONFUSION}) join c using (config_id) group by config_id)"""
+_MEANS = ("Accuracy_Mean", "Precision_Mean", "Recall_Mean", "Specificity_Mean")
+_CUT = {"threshold": Factor(0.05, 0.95)}
+_CUTS = f"c as (select i as config_id, 0.05::double + {_DRAW.format(seed='{seed}', name='threshold', key='i')} * (0.95::double - 0.05::double) as threshold from (select unnest(range({{n}})) as i))"
+
+
+def _bayes_sql(configs: str, last: str) -> str:
+    return _BAYES.replace("with e as", f"with {configs},\ne as", 1) + "\n" + last
+
+
+def _means(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(*more, *[_r(c, 9).alias(c) for c in _MEANS])
+
+
+def _five(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.prepared(_labelled(spark, d), _FEATURES, "y", "vec_id", 5, 42)
+
+
+@query("O51_cv_evaluate_bayes", _bayes_sql("c as (select * from (values (0, 0.5::double), (1, 0.2::double)) as t(config_id, threshold))", f'select config_id, {", ".join(f"{chr(34)}{c}{chr(34)}" for c in _MEANS)} from m'))
+def _o51_bayes(spark, d):
+    return _means(evaluate.cv_evaluate(_five(spark, d), [{"config_id": 0, "threshold": 0.5}, {"config_id": 1, "threshold": 0.2}], evaluate.bayes), "config_id")
+
+
+@query("O52_run_design_bayes", _bayes_sql(_CUTS.format(seed=11, n=5), f'select config_id, round(threshold, 9) as threshold, {", ".join(f"{chr(34)}{c}{chr(34)}" for c in _MEANS)} from m'))
+def _o52_bayes(spark, d):
+    out = evaluate.run_design(_five(spark, d), sampling.random_configs(spark, _CUT, 5, 11), _CUT, evaluate.bayes)
+    return _means(out.withColumn("threshold", _r("threshold", 9)), "config_id", "threshold")
+
+
+_BEST = f'select {{head}}round(threshold, 9) as threshold, {", ".join(f"{chr(34)}{c}{chr(34)}" for c in _MEANS)}{{tail}} from m order by acc desc, config_id limit 1'
+
+
+def _winner(df: DataFrame, *more: str) -> DataFrame:
+    return _means(df.withColumn("threshold", F.round(F.element_at("hyperparameters", F.lit("threshold")), 9)), *more, "threshold")
+
+
+@query("O53_evaluate_candidates_bayes", _bayes_sql(_CUTS.format(seed=12, n=5), _BEST.format(head="config_id, ", tail="")))
+def _o53_bayes(spark, d):
+    return _winner(evaluate.evaluate_candidates(_five(spark, d), sampling.random_configs(spark, _CUT, 5, 12), _CUT, evaluate.bayes)[0], "config_id")
+
+
 def _measured(spark: SparkSession, d: str) -> DataFrame:
     """Five correlated metrics for each supplier."""
     g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(
@@ -444,15 +512,39 @@ def _o54(spark, d):
     return out.select("l_suppkey", *[c for c in out.columns if c.endswith("_SCORE") or c.startswith("Score_")])
 
 
+@query("O54_factor_scores_untimed", """with f as (select l_suppkey, avg(l_quantity) as a, avg(l_quantity + l_extendedprice / 10000.0::double) as b from lineitem group by 1),
+z as (select l_suppkey, (a - avg(a) over ()) / stddev_samp(a) over () + (b - avg(b) over ()) / stddev_samp(b) over () as s from f)
+select l_suppkey, round(s / sqrt(2), 6) as "FACTOR1_SCORE", round((s - avg(s) over ()) / stddev_samp(s) over (), 6) as "Score_Quality", 0.0::double as "Score_Cost" from z""")
+def _o54_untimed(spark, d):
+    """Two metrics that go together, without a time: their first component has weights of one half, squared."""
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("a"), F.avg(F.col("l_quantity") + F.col("l_extendedprice") / 10000).alias("b"))
+    out, _ = factors.factor_scores(rows, ["a", "b"], time_metric=None, k=1, rotation="none")
+    return out.select("l_suppkey", *[_r(c).alias(c) for c in ("FACTOR1_SCORE", "Score_Quality", "Score_Cost")])
+
+
 def _surfaces(spark: SparkSession, d: str) -> list[surface.Surface]:
     rows = views.surface_input(spark, d).withColumn("cheap", -F.col("y") - F.col("a") / 10)
-    return [surface.fit_surfaces(rows, ["a", "b", "c"], y)[0] for y in ("y", "cheap")]
+    return [surface.fit_surface(rows, ["a", "b", "c"], y) for y in ("y", "cheap")]
 
 
 @query("O55_fit_surface")
 def _o55(spark, d):
     rows = table(spark, d, "lineitem").selectExpr("l_returnflag", "l_quantity as a", "l_discount as b", "l_tax as c", "l_extendedprice / 1000 as y")
-    return surface.surface_frame(spark, surface.fit_surfaces(rows, ["a", "b", "c"], "y", by=["l_returnflag"]), ["l_returnflag"], ["string"])
+    return surface.surfaces_by(rows, ["a", "b", "c"], "y", ["l_returnflag"])
+
+
+_QUADRATIC = """with r as (select {by}, l_quantity::double as u, (l_quantity * l_quantity)::double as v, l_extendedprice / 1000 as y from lineitem),
+s as (select {by}, count(*) as n, avg(u) as mu, avg(v) as mv, avg(y) as my, var_pop(u) as uu, var_pop(v) as vv, covar_pop(u, v) as uv, covar_pop(u, y) as uy, covar_pop(v, y) as vy, var_pop(y) as yy from r group by {by}),
+b as (select *, (uy * vv - vy * uv) / (uu * vv - uv * uv) as p, (vy * uu - uy * uv) / (uu * vv - uv * uv) as q from s)
+select {by}, t.term, round(case t.i when 0 then my - p * mu - q * mv when 1 then p else q end, 5) as coef, round((p * uy + q * vy) / yy, 6) as r2, n
+from b, (values (0, 'Intercept'), (1, 'a'), (2, 'a*a')) as t(i, term)"""
+
+
+@query("O55_fit_surface_by_supplier", _QUADRATIC.format(by="l_suppkey"))
+def _o55_supplier(spark, d):
+    """A surface of one factor for each supplier; with ``alpha`` 1 nothing is eliminated."""
+    rows = table(spark, d, "lineitem").selectExpr("l_suppkey", "l_quantity as a", "l_extendedprice / 1000 as y")
+    return surface.surfaces_by(rows, ["a"], "y", ["l_suppkey"], alpha=1.0).select("l_suppkey", "term", _r("coef", 5).alias("coef"), _r("r2").alias("r2"), "n")
 
 
 @query("O56_frontier_search")
@@ -477,6 +569,16 @@ def _o58(spark, d):
     return _shown(search.random_search(_folds(spark, d), _TUNED, 4, k=2))
 
 
+@query("O57_grid_search_bayes", _bayes_sql("c as (select i as config_id, 0.05::double + (0.95::double - 0.05::double) * i / 4 as threshold from (select unnest(range(5)) as i))", _BEST.format(head="'grid' as method, ", tail=", 5 as budget")))
+def _o57_bayes(spark, d):
+    return _winner(search.grid_search(_five(spark, d), _CUT, 5, factory=evaluate.bayes), "method", "budget")
+
+
+@query("O58_random_search_bayes", _bayes_sql(_CUTS.format(seed=42, n=5), _BEST.format(head="'random' as method, ", tail=", 5 as budget")))
+def _o58_bayes(spark, d):
+    return _winner(search.random_search(_five(spark, d), _CUT, 5, factory=evaluate.bayes), "method", "budget")
+
+
 @query("O59_surrogate_search")
 def _o59(spark, d):
     return _shown(search.surrogate_search(_folds(spark, d), _TUNED, 4, k=2, pool=5_000))

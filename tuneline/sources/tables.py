@@ -137,7 +137,7 @@ def read_candidates(df: DataFrame, factors: list[str], text_col: str = "hyperpar
 
 
 def file_fingerprints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, length, sha256) of each file."""
+    """(path, length, sha256) of each file. A file is one row, so one of 2 GB or more is an error of Spark's reader."""
     files = spark.read.format("binaryFile").load(paths)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
