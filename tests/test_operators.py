@@ -148,6 +148,23 @@ def test_factor_scores_of_a_planted_model(spark):
         factors.factor_scores(df.drop("Recall_Mean"))
 
 
+@pytest.mark.parametrize("combine", [True, False])
+def test_factor_scores_by_group_equal_those_of_each_group(spark, combine):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(90, 5)) + rng.normal(size=(90, 1)) * [1, 1, 0.5, 0.2, 0]
+    m[:, 4] = np.exp(m[:, 4])
+    names = factors.DEFAULT_METRICS
+    df = spark.createDataFrame([(i, [None, 1, 2][i % 3], *map(float, r)) for i, r in enumerate(m)] + [(90, 3, 1.0, 1.0, 1.0, 1.0, 1.0)], "i int, g int, " + ", ".join(f"{n} double" for n in names))
+    weights = [1.0, 3.0] if combine else None
+    out = {r["i"]: r for r in factors.factor_scores_by(df, ["g"], weights=weights, combine=combine).collect()}
+    assert len(out) == 91 and out[90]["Score_Quality"] is None
+    for g in (None, 1, 2):
+        alone, _ = factors.factor_scores(df.where(F.col("g").eqNullSafe(F.lit(g))), weights=weights, combine=combine)
+        for r in alone.collect():
+            for c in ("FACTOR1_SCORE", "FACTOR2_SCORE", "FACTOR3_SCORE", "Score_Quality", "Score_Cost"):
+                assert out[r["i"]][c] == pytest.approx(r[c], abs=1e-6)
+
+
 def test_frontier_is_monotone_and_beats_sampling(spark):
     box = {"a": Factor(0, 1), "b": Factor(0, 10, True)}
     first = surface.Surface("q", ["Intercept", "a", "a*a", "b"], [0, 2, -2, 0.1], 1, 1, 0.05, 9)
@@ -310,3 +327,18 @@ def test_density_pick_sums_a_history_up(spark):
     for share in (0.0, 0.1, 1.0):
         want = [r <= share for r in ranks]
         assert [r[0] for r in rows.select(search._good_from(rows, share)).collect()] == want
+
+
+def test_failed_replicas_are_rows(spark):
+    from tuneline.plans import pipeline
+
+    def broken(params):
+        raise RuntimeError("no model")
+
+    data = spark.range(40).select("id", (F.col("id") % 2).cast("int").alias("y"), F.col("id").cast("double").alias("x"))
+    box = {"regParam": Factor(0.0, 0.5)}
+    job = (data, ["x"], "y", "id", sampling.random_configs(spark, box, 2, 1), box, [(0, 42), (1, 43)])
+    out = pipeline.replicate(*job, k=2, factory=broken).orderBy("replica").collect()
+    assert [(r["replica"], r["seed"], r["status"]) for r in out] == [(0, 42, "failed"), (1, 43, "failed")] and "no model" in out[0]["error"]
+    with pytest.raises(RuntimeError, match="no model"):
+        pipeline.replicate(*job, k=2, factory=broken, stop_at_failure=True)

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tuneline.functions.scalars import no_nan, transform_time
-from tuneline.operators.linalg import moments, varimax
+from tuneline.operators.linalg import moments, moments_frame, read_moments, varimax
 from tuneline.session import materialize, require_columns
 
 #: The metrics of an evaluated design.
@@ -64,9 +65,14 @@ def principal_components(corr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
 def fit_rotation(df: DataFrame, metrics: list[str], time_metric: str | None, k: int | None = 3, automatic: bool = False, rotation: str = "varimax") -> Rotation:
     """Loadings from one pass over ``df``: components, rotated, labelled and signed. Rows with a missing metric are left out."""
     require_columns(df, *metrics)
+    means, deviations, corr, _ = moments(df, metrics)
+    return rotate(means, deviations, corr, metrics, time_metric, k, automatic, rotation)
+
+
+def rotate(means: np.ndarray, deviations: np.ndarray, corr: np.ndarray, metrics: list[str], time_metric: str | None, k: int | None, automatic: bool, rotation: str) -> Rotation:
+    """Components of a correlation matrix, rotated, labelled and signed."""
     if rotation not in ("varimax", "none"):
         raise ValueError(f"unknown rotation: {rotation}")
-    means, deviations, corr, _ = moments(df, metrics)
     timed = time_metric in metrics
     _, values = principal_components(corr, len(metrics))
     k = factor_count(k, len(metrics), timed, values if automatic else None)
@@ -124,6 +130,67 @@ def score_sanity(df: DataFrame, cost: str, time_metric: str, limit: float = -0.3
     return checked.select("n", corr.alias("corr"), F.coalesce(corr > limit, F.lit(False)).alias("warn"))
 
 
+def _complete(df: DataFrame, metrics: list[str], time_metric: str | None, mode: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``df`` with the transformed time as _time, its complete rows (written once), and the names of the metrics to use."""
+    require_columns(df, *metrics)
+    held = df.withColumn("_time", transform_time(F.col(time_metric), mode)) if time_metric in metrics else df
+    names = ["_time" if m == time_metric else m for m in metrics]
+    return held, materialize(held.where(sum((no_nan(F.col(c)).isNull().cast("int") for c in names), F.lit(0)) == 0), "complete"), names
+
+
+def factor_scores_by(df: DataFrame, by: list[str], metrics: list[str] | None = None, time_metric: str | None = "Time_MeanFold", mode: str = "log1p", k: int | None = 3, rotation: str = "varimax", weights: list[float] | None = None, combine: bool = True) -> DataFrame:
+    """factor_scores() of each group, for any number of groups: ``df`` with FACTOR<j>_SCORE, Score_Quality and Score_Cost.
+
+    Moments are one aggregate; each group's small matrix is rotated where its row lies, and its
+    weights are joined back, so nothing reaches the driver but how many groups' cost scores
+    hardly fall as time grows, which is warned of. Null keys form a group; rows with a missing
+    metric are dropped, and the scores of a group of one row are null.
+    """
+    metrics = metrics or DEFAULT_METRICS
+    require_columns(df, *by)
+    _, complete, names = _complete(df, metrics, time_metric, mode)
+    timed = "_time" in names
+    p, k = len(names), factor_count(k, len(names), timed)
+
+    def turn(batches):
+        for b in batches:
+            out = b[by].copy()
+            found = [rotate(*read_moments(m, p), names, "_time" if timed else None, k, False, rotation) for m in b["moments"]]
+            out["_mean"], out["_dev"], out["_load"] = [f.means for f in found], [f.deviations for f in found], [f.loadings.ravel() for f in found]
+            out["_cost"], out["_quality"] = [-1 if f.cost is None else f.cost for f in found], [f.quality for f in found]
+            yield out
+
+    keys = StructType([StructField(c, df.schema[c].dataType) for c in by])
+    kinds = StructType(keys.fields + StructType.fromDDL("_mean array<double>, _dev array<double>, _load array<double>, _cost int, _quality int").fields)
+    turned = materialize(moments_frame(complete, names, by).mapInPandas(turn, kinds), "rotations")
+    right = turned.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[f for f in turned.columns if f not in by])
+    joined = complete.join(right, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], "left")
+    z = [(no_nan(F.col(m)) - F.get("_mean", F.lit(i))) / F.get("_dev", F.lit(i)) for i, m in enumerate(names)]
+    factors = [f"FACTOR{j + 1}_SCORE" for j in range(k)]
+    scores = {f: sum((e * F.get("_load", F.lit(i * k + j)) for i, e in enumerate(z)), F.lit(0.0)) for j, f in enumerate(factors)}
+    held = zscore(joined.select(*complete.columns, "_cost", "_quality", *[e.alias(f) for f, e in scores.items()]), factors, by, "__z")
+    own = F.array(*[F.col(f"{f}__z") for f in factors])
+    if combine and timed and k >= 3:
+        weights = weights or [1.0] * (k - 1)
+        if len(weights) != k - 1:
+            raise ValueError(f"weights needed: {k - 1}")
+        # The cost factor has no weight, and those after it take the weight before their place.
+        share = [F.when(F.col("_cost") > j, F.lit(float(weights[min(j, k - 2)]))).when(F.col("_cost") < j, F.lit(float(weights[max(j - 1, 0)]))).otherwise(0.0) for j in range(k)]
+        high = sum((F.col(f"{f}__z") * w for f, w in zip(factors, share, strict=True)), F.lit(0.0)) / float(sum(weights))
+    else:
+        if weights and len(weights) != 1:
+            raise ValueError("weights needed: 1")
+        high = F.get(own, F.col("_quality"))
+    out = held.withColumns({"Score_Quality": high, "Score_Cost": -F.get(own, F.col("_cost")) if timed else F.lit(0.0)})
+    out = materialize(out.drop("_time", "_cost", "_quality", *[f"{f}__z" for f in factors]), "grouped-scores")
+    if timed:
+        checked = out.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.corr("Score_Cost", no_nan(F.col(time_metric))).alias("_r"))
+        bad = checked.where("_n >= 3 and _r > -0.30").count()
+        if bad:
+            warnings.warn(f"Score_Cost hardly falls as {time_metric} grows in {bad} groups", stacklevel=2)
+    return out
+
+
 def factor_scores(df: DataFrame, metrics: list[str] | None = None, time_metric: str | None = "Time_MeanFold", mode: str = "log1p", k: int | None = 3, automatic: bool = False, rotation: str = "varimax", weights: list[float] | None = None, combine: bool = True, on_missing: str = "drop") -> tuple[DataFrame, Rotation]:
     """The whole chain: ``df`` with FACTOR<j>_SCORE, Score_Quality and Score_Cost, and the rotation.
 
@@ -132,10 +199,7 @@ def factor_scores(df: DataFrame, metrics: list[str] | None = None, time_metric:
     Rows with a missing metric are dropped, or an error with ``on_missing='error'``.
     """
     metrics = metrics or DEFAULT_METRICS
-    require_columns(df, *metrics)
-    held = df.withColumn("_time", transform_time(F.col(time_metric), mode)) if time_metric in metrics else df
-    names = ["_time" if m == time_metric else m for m in metrics]
-    complete = materialize(held.where(sum((no_nan(F.col(c)).isNull().cast("int") for c in names), F.lit(0)) == 0), "complete")
+    held, complete, names = _complete(df, metrics, time_metric, mode)
     if on_missing == "error" and held.count() != complete.count():
         raise ValueError("rows with missing metrics")
     found = fit_rotation(complete, names, "_time" if time_metric in metrics else None, k, automatic, rotation)

@@ -23,17 +23,26 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*cells)))
 
 
+def moments_frame(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """``by``, n and moments, an array: means, sample deviations and correlations of the pairs i < j. Rows with a missing value are left out; one aggregate."""
+    values = df.select(*(by or []), *[no_nan(F.col(c)).alias(f"_v{i}") for i, c in enumerate(columns)]).dropna(subset=[f"_v{i}" for i in range(len(columns))])
+    names = [f"_v{i}" for i in range(len(columns))]
+    sums = [*[F.avg(c) for c in names], *[F.stddev_samp(c) for c in names], *[F.corr(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]]
+    return values.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("moments"))
+
+
+def read_moments(held, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, deviations and correlation matrix from an array of moments_frame(); what a group is too small for is 0."""
+    held = np.nan_to_num(np.array([0.0 if x is None else x for x in held], float))
+    upper = np.zeros((p, p))
+    upper[np.triu_indices(p, 1)] = held[2 * p :]
+    return held[:p], held[p : 2 * p], np.eye(p) + upper + upper.T
+
+
 def moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Means, sample deviations, correlation matrix and rows (missing values left out row by row), from one pass."""
-    values = df.select(*[no_nan(F.col(c)).alias(c) for c in columns]).dropna()
-    p = len(columns)
-    pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
-    row = values.agg(F.count(F.lit(1)), *[F.avg(c) for c in columns], *[F.stddev_samp(c) for c in columns], *[F.corr(columns[i], columns[j]) for i, j in pairs]).first()
-    n, rest = row[0], [0.0 if x is None else float(x) for x in row[1:]]
-    corr = np.eye(p)
-    for (i, j), r in zip(pairs, rest[2 * p :], strict=True):
-        corr[i, j] = corr[j, i] = 0.0 if math.isnan(r) else r
-    return np.array(rest[:p]), np.array(rest[p : 2 * p]), corr, n
+    row = moments_frame(df, columns).first()
+    return *read_moments(row["moments"], len(columns)), row["n"]
 
 
 def gram(df: DataFrame, x: list[Column], y: Column | None = None, by: list[str] | None = None) -> DataFrame:

@@ -132,3 +132,9 @@ def surfaces_by(df: DataFrame, factors: list[str], y: str, by: list[str], alpha:
 
     kinds = StructType([StructField(k.name, k.dataType) for k in keys] + StructType.fromDDL(", ".join(f"{n} {t}" for n, t in numbers.items())).fields)
     return sums.mapInPandas(fit, kinds)
+
+
+def read_surface(rows: list) -> Surface:
+    """A Surface from the collected rows of one group of surfaces_by()."""
+    r = rows[0]
+    return Surface(r["response"], [x["term"] for x in rows], [x["coef"] for x in rows], r["r2"], r["r2_adj"], r["alpha"], r["n"])

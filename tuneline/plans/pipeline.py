@@ -4,23 +4,25 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tuneline.functions.scalars import Factor, distance_to_utopia, fill_midpoint, normalize_range
 from tuneline.operators.evaluate import Factory, evaluate_candidates, logistic, prepared, run_design
-from tuneline.operators.factors import factor_scores
+from tuneline.operators.factors import factor_scores, factor_scores_by
 from tuneline.operators.frontier import frontier_search
 from tuneline.operators.metrics import extremes, method_stats, pareto_rate, win_rate
 from tuneline.operators.relational import dedup_configs, skyline_2d, top_k_by_distance, union_ragged
 from tuneline.operators.search import density_search, equal_budget, grid_search, random_search, summary, surrogate_search
-from tuneline.operators.surface import fit_surface
+from tuneline.operators.surface import Surface, fit_surface, read_surface, surfaces_by
 from tuneline.session import materialize, require_columns
 from tuneline.sources.tables import read_candidates
 
 #: Columns whose statistics are reported.
 STAT_COLUMNS = ["Accuracy_Mean", "Precision_Mean", "Recall_Mean", "Specificity_Mean", "Time_MeanFold", "Optimization_Time_Seconds", "Total_Time_Seconds", "budget"]
 
+SCORES = ["Score_Quality", "Score_Cost"]
+
 
 def aggregate_runs(runs: DataFrame) -> dict[str, DataFrame]:
     """stats, win_rate, pareto and pareto_rate of a runs table (replica, seed, method, Accuracy_Mean, Time_MeanFold and more)."""
@@ -53,13 +55,17 @@ def replica_pipeline(data: DataFrame, features: list[str], label: str, key: str,
     done = materialize(run_design(folds, design, factors, factory, k), "design")
     scored, _ = factor_scores(done, metrics)
     scored = materialize(scored, "scores")
-    surfaces = [fit_surface(scored, list(factors), y, on_singular="pinv") for y in ("Score_Quality", "Score_Cost")]
-    ends = extremes(scored, ["Score_Quality", "Score_Cost"]).first()
-    utopia, nadir = (ends[0], ends[2]), (ends[1], ends[3])
+    surfaces = [fit_surface(scored, list(factors), y, on_singular="pinv") for y in SCORES]
+    return _confirmed(folds, scored, surfaces, extremes(scored, SCORES).first(), design.count(), factors, seed, k, top, budget, factory, baselines, search, began)
+
+
+def _confirmed(folds: DataFrame, scored: DataFrame, surfaces: list[Surface], ends: Row, designed: int, factors: dict[str, Factor], seed: int, k: int, top: int, budget: int, factory: Factory, baselines: tuple[str, ...], search: dict | None, began: float) -> DataFrame:
+    """The summary from a replica's scored design on: candidates, confirmation and baselines."""
+    utopia, nadir = tuple(ends[f"{y}_utopia"] for y in SCORES), tuple(ends[f"{y}_nadir"] for y in SCORES)
     found = frontier_search(scored.sparkSession, *surfaces, factors, seed=seed, utopia=utopia, nadir=nadir, design=scored, **(search or {}))
     chosen = materialize(pick_candidates(found, factors, top, utopia, nadir), "candidates")
     best, _ = evaluate_candidates(folds, chosen, factors, factory, k)
-    own = design.count() + chosen.count()
+    own = designed + chosen.count()
     spent = equal_budget(budget, own, 0)
     rows = [summary(best, "main", own, time.perf_counter() - began)]
     searches = {"grid": grid_search, "random": random_search, "surrogate": surrogate_search, "density": density_search}
@@ -68,16 +74,46 @@ def replica_pipeline(data: DataFrame, features: list[str], label: str, key: str,
     return materialize(union_ragged(rows), "summary")
 
 
-def replicate(data: DataFrame, features: list[str], label: str, key: str, design: DataFrame, factors: dict[str, Factor], seeds: list[tuple[int, int]], stop_at_failure: bool = False, **more) -> DataFrame:
-    """The runs table of all (replica, seed) pairs, with replica, seed and status in front; a failed replica is a row with its error."""
-    spark, frames = data.sparkSession, []
+def replicate(data: DataFrame, features: list[str], label: str, key: str, design: DataFrame, factors: dict[str, Factor], seeds: list[tuple[int, int]], stop_at_failure: bool = False, k: int = 5, top: int = 50, budget: int = 0, factory: Factory = logistic, baselines: tuple[str, ...] = ("grid", "random", "surrogate", "density"), search: dict | None = None, metrics: list[str] | None = None) -> DataFrame:
+    """The runs table of all (replica, seed) pairs, with replica, seed and status in front; a failed replica is a row with its error.
+
+    Designs and candidates are model fits, replica by replica; scores, surfaces and extremes of all
+    replicas are one grouped pass each. The terms of the surfaces, a few a replica, reach the driver.
+    """
+    spark, names, began, folds, designs, failed = data.sparkSession, list(factors), {}, {}, [], []
+
+    def tagged(df: DataFrame, replica: int, seed: int, *more) -> DataFrame:
+        return df.select(F.lit(replica).cast("long").alias("replica"), F.lit(seed).cast("long").alias("seed"), *more, *[F.col(f"`{c}`") for c in df.columns if c not in ("replica", "seed", "id")])
+
+    def fail(replica: int, seed: int, e: Exception) -> None:
+        if stop_at_failure:
+            raise e
+        failed.append(tagged(spark.range(1), replica, seed, F.lit("failed").alias("status"), F.lit(str(e)[:500]).alias("error")))
+
     for replica, seed in seeds:
-        tag = [F.lit(replica).cast("long").alias("replica"), F.lit(seed).cast("long").alias("seed")]
+        start = time.perf_counter()
+        try:
+            own = prepared(data, features, label, key, k, seed)
+            designs.append(materialize(tagged(run_design(own, design, factors, factory, k), replica, seed), "design"))
+            folds[replica, seed], began[replica, seed] = own, time.perf_counter() - start
+        except Exception as e:
+            fail(replica, seed, e)
+    if not designs:
+        return union_ragged(failed)
+    start, by = time.perf_counter(), ["replica", "seed"]
+    scored = factor_scores_by(union_ragged(designs), by, metrics)
+    fits = [materialize(surfaces_by(scored, names, y, by, on_singular="pinv"), "surfaces").orderBy(*by).collect() for y in SCORES]
+    ends = {(r["replica"], r["seed"]): r for r in extremes(scored, SCORES, by).collect()}
+    shared, designed, done = (time.perf_counter() - start) / len(designs), design.count(), []
+    for at, own in folds.items():
         try:
-            out = replica_pipeline(data, features, label, key, design, factors, seed, **more)
-            frames.append(out.select(*tag, F.lit("ok").alias("status"), *out.columns))
+            mine = [[r for r in rows if (r["replica"], r["seed"]) == at] for rows in fits]
+            if at not in ends or not all(mine):
+                raise ValueError("no complete rows")
+            start = time.perf_counter() - began[at] - shared
+            held = scored.where((F.col("replica") == at[0]) & (F.col("seed") == at[1]))
+            out = _confirmed(own, held, [read_surface(m) for m in mine], ends[at], designed, factors, at[1], k, top, budget, factory, baselines, search, start)
+            done.append(tagged(out, *at, F.lit("ok").alias("status")))
         except Exception as e:
-            if stop_at_failure:
-                raise
-            frames.append(spark.range(1).select(*tag, F.lit("failed").alias("status"), F.lit(str(e)[:500]).alias("error")))
-    return union_ragged(frames)
+            fail(*at, e)
+    return union_ragged([*done, *failed])
