@@ -564,6 +564,27 @@ def _o56(spark, d):
     return found.withColumn("hyperparameters", F.to_json("hyperparameters"))
 
 
+@query("O56_frontier_round", f"""with r as (select l_quantity::double as u, (l_quantity * l_quantity)::double as v, l_extendedprice / 1000 as y from lineitem),
+s as (select avg(u) as mu, avg(v) as mv, avg(y) as my, var_pop(u) as uu, var_pop(v) as vv, covar_pop(u, v) as uv, covar_pop(u, y) as uy, covar_pop(v, y) as vy, max(y) as y1, min(y) as y0, max(-y - u / 10) as c1, min(-y - u / 10) as c0 from r),
+b as (select *, (uy * vv - vy * uv) / (uu * vv - uv * uv) as p, (vy * uu - uy * uv) / (uu * vv - uv * uv) as q from s),
+w as (select i as pair, round(1 - i * 0.1::double, 2) as beta_1, round(i * 0.1::double, 2) as beta_2 from (select unnest(range(1, 11)) as i)),
+t as (select i as start, case when i = 0 then 25.5 else 1 + {_DRAW.format(seed=42, name="a", key="i")} * 49 end as a from (select unnest(range(4)) as i)),
+m as (select start, greatest(1, a - 24.5) as lo, least(50, a + 24.5) as hi, unnest(range(1, 26)) as n from t),
+z as (select start, a from t union all select start, lo + {_DRAW.format(seed=1042, name="a", key="start || '-' || n")} * (hi - lo) from m),
+x as (select start, a, my - p * mu - q * mv + p * a + q * a * a as p1, y0, y1, c0, c1 from z, b),
+k as (select *, -p1 - a / 10 as p2 from x),
+g as (select beta_1, beta_2, p1, p2, case when p1 between y0 and y1 and p2 between c0 and c1 then beta_1 * (p1 - y0) / (y1 - y0) + beta_2 * (p2 - c0) / (c1 - c0) end as v, start from k, w)
+select beta_1, beta_2, round(v, 6) as score, round(p1, 4) as "Pred_Score_Quality", round(p2, 4) as "Pred_Score_Cost", v is not null as success
+from g qualify row_number() over (partition by beta_2 order by v desc nulls last, start) = 1""")
+def _o56_round(spark, d):
+    """The starts and one round of draws around them, under two surfaces of one factor."""
+    rows = views.surface_input(spark, d).withColumn("cheap", -F.col("y") - F.col("a") / 10)
+    ends = metrics.extremes(rows, ["y", "cheap"]).first()
+    fits = [surface.fit_surface(rows, ["a"], y, alpha=1.0) for y in ("y", "cheap")]
+    found = frontier.frontier_search(spark, *fits, {"a": Factor(1.0, 50.0)}, step=0.1, starts=4, samples=25, rounds=1, utopia=(ends[0], ends[2]), nadir=(ends[1], ends[3]))
+    return found.select("beta_1", "beta_2", _r("score").alias("score"), *[_r(c, 4).alias(c) for c in ("Pred_Score_Quality", "Pred_Score_Cost")], "success")
+
+
 def _shown(df: DataFrame) -> DataFrame:
     return df.withColumn("hyperparameters", F.to_json("hyperparameters"))
 

@@ -64,6 +64,22 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share_file(spark: SparkSession, name: str, data: bytes) -> None:
+    """Write ``data`` as a file of the shared folder and hand it to all executors, where ``SparkFiles.get(name)`` finds it.
+
+    Names are given once a session. The file outlives scratch() blocks, because an executor that
+    joins later fetches every file that was handed out before.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tuneline/{name}")
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(at, False)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+    spark.sparkContext.addFile(system.makeQualified(at).toString())
+
+
 def require_columns(df: DataFrame, *names: str) -> None:
     """Raise ``ValueError`` naming the columns that ``df`` lacks."""
     missing = [n for n in names if n not in df.columns]
