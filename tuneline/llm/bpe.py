@@ -10,9 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
-import os
 import re
-import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tuneline.llm.common import table
 from tuneline.llm.lexicon import Lexicon, compile_words
-from tuneline.session import materialize, require_columns
+from tuneline.session import materialize, require_columns, share_file
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Most words of the lexicon, which the driver compiles.
@@ -271,7 +269,7 @@ def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS, text_c
 
 
 def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS, text_col: str = "text") -> str:
-    """Compile the frequent words and hand the file to all executors; returns its name there."""
+    """Compile the frequent words into a file of the shared folder that all executors get; returns its name there."""
     bpe = ByteBpe(path)
     special = {s.encode() for s in bpe.special}
     words = [w for w in frequent_words(docs, path, most, text_col) if w and w not in special]
@@ -279,10 +277,7 @@ def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS, text_co
     data = compile_words(words, ids, sizes)
     # A name is registered once in a session, so each compilation has its own.
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    file = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
-    with open(file, "wb") as f:
-        f.write(data)
-    docs.sparkSession.sparkContext.addFile(file)
+    share_file(docs.sparkSession, name, data)
     return name
 
 
