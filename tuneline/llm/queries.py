@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tuneline.llm import bpe, line_dedup, mixing, near_dup, nearest, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from tuneline.llm import bpe, line_dedup, mixing, near_dup, nearest, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dup": near_dup.op8_near_dup,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op12_pii": pii.op12_pii,
 }
 
 ORACLE_SQL = {
