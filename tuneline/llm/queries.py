@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tuneline.llm import bpe, line_dedup, mixing, near_dup, nearest, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from tuneline.llm import bpe, line_dedup, mixing, near_dup, nearest, periodic, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filter": url_filter.op10_url_filter,
     "op12_pii": pii.op12_pii,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 ORACLE_SQL = {
