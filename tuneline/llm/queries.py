@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tuneline.llm import bpe, line_dedup, mixing, near_dup, nearest, periodic, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from tuneline.llm import bpe, lexical, line_dedup, mixing, near_dup, nearest, periodic, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dup": near_dup.op8_near_dup,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_lexical_search": lexical.op11_lexical_search,
     "op12_pii": pii.op12_pii,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op11_lexical_search": lexical.OP11_SQL,
 }
