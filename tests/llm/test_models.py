@@ -240,3 +240,18 @@ def test_pipeline_edges(spark, tmp_path):
             assert kept.columns == rows.columns, stage
         assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_one_long_text_does_not_end_the_toxicity_sample(spark, monkeypatch):
+    """The row of the first hash is longer than a row may be, and a later one than the room left; those behind them still count."""
+    texts = [(i, f"calm words here {i % 7}. " + ("you vileword now. " if i % 3 == 0 else "fine day. ") + "calm end.") for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    first = docs.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).first()["doc_id"]
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("long words without end "), 20_000)).otherwise(F.col("text")))
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic")
+    monkeypatch.setattr(toxicity, "ROW_BYTES", 20_000)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels, F.lit(True)).collect()}
+    assert all((r["score"] >= toxicity.THRESHOLD) == (i % 3 == 0) for i, r in got.items() if i != first)
+    text = dict(texts)
+    hit = next(i for i in got if i % 3 == 0 and i != first)
+    assert [text[hit][s["start"] :].startswith("you vileword now") for s in got[hit]["offending"]] == [True]

@@ -28,10 +28,9 @@ PER_WORD = 1 + len(BEGINNINGS)
 #: Start of the bias: a sentence is innocent until shown otherwise.
 INNOCENT = -5.0
 THRESHOLD = 0.3
-#: Bytes of term numbers of the labelled rows that the driver gets; rows beyond it, by the hash of their ids, are left out of the fit.
-SAMPLE_BYTES = 40 << 20
-#: Term occurrences that one step of training takes at once.
-_STEP = 1 << 20
+#: Bytes of term numbers of the labelled rows that the driver gets, and of one row; in the order of the hashes of their ids,
+#: a row that is longer, or for which there is no room left, is left out of the fit, and those behind it aren't.
+SAMPLE_BYTES, ROW_BYTES = 40 << 20, 2 << 20
 
 _TOKEN = re.compile(r"\w+|[.!?\n]")
 _END = re.compile(r"[.!?\n]")
@@ -56,14 +55,6 @@ def _numbered() -> dict[str, int]:
     return {c: i for i, c in enumerate(".!?\n")}
 
 
-def _sums(at: np.ndarray, values: np.ndarray, pick: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values[pick] by ``at``, in steps, so that no array of doubles is as long as the sample."""
-    out = np.zeros(n)
-    for i in range(0, len(at), _STEP):
-        out += np.bincount(at[i : i + _STEP], values[pick[i : i + _STEP]], n)
-    return out
-
-
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prevalence: float, rounds: int = 100, rate: float = 0.1, sparsity: float = 1.5e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that make the noisy-or of sentences fit the documents' labels.
 
@@ -86,14 +77,17 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prevalenc
     used = np.flatnonzero(slot)
     slot[used] = np.arange(len(used))
     terms = slot[terms]
+    # Occurrences lie by sentence, and a second time by term, so that both sums are runs of neighbours.
+    by_term = of_term[np.argsort(terms, kind="stable")]
+    term_starts, sentence_starts = (np.append(0, np.cumsum(np.bincount(x))[:-1]) for x in (terms, of_term))
     w, first, second = np.append(np.zeros(len(used)), bias), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     share = np.where(labels == 1, prevalence / (labels == 1).sum(), (1 - prevalence) / (labels == 0).sum())
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(_sums(of_term, w, terms, base) + w[-1], -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[terms], sentence_starts) + w[-1], -30, 30)))
         clean = np.bincount(owner, np.log1p(-p), len(bags))
         toxic = np.maximum(-np.expm1(clean), 1e-9)
         slope = p * np.where(labels == 1, -np.exp(clean) / toxic, 1.0)[owner] * share[owner]
-        grad = np.append(_sums(terms, slope, of_term, len(used)), slope.sum())
+        grad = np.append(np.add.reduceat(slope[by_term], term_starts), slope.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         step = rate / (np.sqrt(second / (1 - 0.99**t)) + 1e-5)
         w -= step * first / (1 - 0.9**t)
@@ -135,9 +129,10 @@ class SentenceModel:
 
 
 def score(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] | None = None) -> DataFrame:
-    """One row a document: id, score (0 to 1), n_offending (sentences of probability 0.5 or more), worst_score, worst_sentence and worst_start.
+    """One row a document: id, score (0 to 1), offending, n_offending, worst_score, worst_sentence and worst_start.
 
-    worst_sentence is the text of the likeliest sentence where the score reaches THRESHOLD, and
+    offending is an array of (start, score) of the sentences of probability 0.5 or more, in their order, start counted in
+    characters, n_offending its size. worst_sentence is the text of the likeliest sentence where the score reaches THRESHOLD, and
     worst_start the characters before it; else null. Of equally likely ones it is the first. Empty and
     null texts, which have no sentence, score 0. Texts are read whole, however long. Repeated rows score
     alike; without labels of both kinds scores are those of the innocent start; an empty table gives an
@@ -149,12 +144,13 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, sample or SAMPLE, learn_from)
     packed = rows.select("_text", "_label", "_key").mapInArrow(_bags, f"terms binary, sentences binary, label int, key {kind}")
     packed = materialize(packed.withColumn("order", F.xxhash64(F.col("key").cast("string"))), "bags")
-    last, left = None, SAMPLE_BYTES
+    picked, left = [], SAMPLE_BYTES
     for order, n in sorted(tuple(r) for r in packed.select("order", F.length("terms")).collect()):
-        if (left := left - n) < 0:
-            break
-        last = order
-    got = packed.where(F.col("order") <= F.lit(last)).drop("order").collect() if last is not None else []
+        if n <= min(left, ROW_BYTES):
+            picked.append(order)
+            left -= n
+    # One row of each sampled id was packed, so there are no more numbers than the sample has rows.
+    got = packed.where(F.col("order").isin(picked)).drop("order").collect() if picked else []
     got.sort(key=lambda r: (str(r["key"]), r["terms"]))
     bags = [(np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["sentences"], "<i4")) for r in got]
     share = labels.where(learn_from).agg(F.avg(F.col(label_col).cast("double"))).first()[0] or 0.0
@@ -174,19 +170,22 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
                     own, p = model.sentences(ids, sentence, weights)
                     total = float(-np.expm1(np.log1p(-p).sum())) if len(p) else 0.0
                     worst = int(np.argmax(p)) if len(p) else -1
-                    text, start = None, None
-                    if total >= THRESHOLD:
+                    text, start, found_at = None, None, []
+                    if total >= THRESHOLD or (p >= 0.5).any():
                         split = _END.split(t)
-                        text = split[own[worst]].strip()
-                        start = t.index(text, sum(len(x) + 1 for x in split[: own[worst]]))
-                    out.append((min(1.0, max(0.0, total)), int((p >= 0.5).sum()), float(p[worst]) if len(p) else 0.0, text, start))
-                columns = list(zip(*out, strict=True)) if out else [(), (), (), (), ()]
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.int64(), pa.float64(), pa.string(), pa.int64()), strict=True))], ["_id", "score", "n_offending", "worst_score", "worst_sentence", "worst_start"])
+                        begins = np.cumsum([0, *(len(x) + 1 for x in split)]) + np.array([*(len(x) - len(x.lstrip()) for x in split), 0])
+                        found_at = [{"start": int(begins[own[i]]), "score": float(p[i])} for i in np.flatnonzero(p >= 0.5)]
+                        if total >= THRESHOLD:
+                            text, start = split[own[worst]].strip(), int(begins[own[worst]])
+                    out.append((min(1.0, max(0.0, total)), found_at, len(found_at), float(p[worst]) if len(p) else 0.0, text, start))
+                columns = list(zip(*out, strict=True)) if out else [()] * 6
+                kinds = (pa.float64(), pa.list_(pa.struct([("start", pa.int64()), ("score", pa.float64())])), pa.int64(), pa.float64(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["_id", "score", "offending", "n_offending", "worst_score", "worst_sentence", "worst_start"])
 
     held = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return held.mapInArrow(run, f"_id {kind}, score double, n_offending long, worst_score double, worst_sentence string, worst_start long").withColumnRenamed("_id", id_col)
+    return held.mapInArrow(run, f"_id {kind}, score double, offending array<struct<start:bigint,score:double>>, n_offending long, worst_score double, worst_sentence string, worst_start long").withColumnRenamed("_id", id_col)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
-    return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_offending", "worst_start", F.length("worst_sentence").alias("worst_length"))
+    return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_offending", F.array_join(F.transform("offending", lambda x: x["start"].cast("string")), ",").alias("offending_starts"), "worst_start", F.length("worst_sentence").alias("worst_length"))
