@@ -296,10 +296,10 @@ def test_prepared_rows_are_complete(spark):
     whole = [(i, i % 2, float(i), 1.5 * i) for i in range(20)]
     df = spark.createDataFrame([*whole, (20, 1, None, 1.0), (21, 0, 1.0, float("nan")), (22, None, 1.0, 1.0)], "id long, y int, a double, b double")
     held = evaluate.prepared(df, ["b", "a"], "y", "id", 4, 1).collect()
-    assert {r["_key"]: (r["label"], r["features"].toArray().tolist()) for r in held} == {i: (y, [b, a]) for i, y, a, b in whole}
+    assert {r["_key"]: (r["label"], r["values"]) for r in held} == {i: (y, [b, a]) for i, y, a, b in whole}
     assert {r["fold"] for r in held} == {0, 1, 2, 3}
     wide = spark.range(50).select("id", (F.col("id") % 2).alias("y"), *[(F.col("id") * i).alias(f"x{i}") for i in range(64)])
-    assert {r["features"].size for r in evaluate.prepared(wide, [f"x{i}" for i in range(64)], "y", "id", 2, 1).collect()} == {64}
+    assert {len(r["values"]) for r in evaluate.prepared(wide, [f"x{i}" for i in range(64)], "y", "id", 2, 1).collect()} == {64}
     with pytest.raises(ValueError, match="missing columns"):
         evaluate.prepared(df, ["c"], "y", "id", 4, 1)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tuneline.functions.scalars import Factor, cast_factors
 from tuneline.operators.metrics import confusion_metrics, fold_means
 from tuneline.operators.relational import assign_folds, best_config
+from tuneline.operators.stacked import bayes_cells, logistic_cells
 from tuneline.session import materialize, require_columns
 
 Factory = Callable[[dict], object]
@@ -38,31 +39,28 @@ def boosting(params: dict, seed: int = 42) -> GBTClassifier:
 
 
 def prepared(data: DataFrame, features: list[str], label: str, key: str, k: int, seed: int) -> DataFrame:
-    """(key, label, fold, features) of complete rows, written once: every configuration uses the same folds."""
+    """(_key, label, fold, values) of complete rows, written once: every configuration uses the same folds."""
     require_columns(data, *features, label, key)
     # One array in place of a column a feature, with which 64 features hadn't ended after two minutes.
-    rows = data.select(F.col(key).alias("_key"), F.col(label).cast("double").alias("label"), F.array(*[F.col(c).cast("double") for c in features]).alias("_held")).dropna()
-    rows = rows.where(F.forall("_held", lambda x: x.isNotNull() & ~F.isnan(x)))
-    folds = assign_folds(rows, "label", "_key", k, seed)
-    return materialize(folds.select("_key", "label", "fold", array_to_vector("_held").alias("features")), "folds")
+    rows = data.select(F.col(key).alias("_key"), F.col(label).cast("double").alias("label"), F.array(*[F.col(c).cast("double") for c in features]).alias("values")).dropna()
+    rows = rows.where(F.forall("values", lambda x: x.isNotNull() & ~F.isnan(x)))
+    return materialize(assign_folds(rows, "label", "_key", k, seed).select("_key", "label", "fold", "values"), "folds")
 
 
-def cv_evaluate(data: DataFrame, configs: list[dict], factory: Factory = logistic, k: int = 5, parallel: int = 4) -> DataFrame:
-    """(config_id, four means, Time_MeanFold): each configuration of each fold is fitted on the distributed table.
+#: Models that are fitted for all configurations and folds in shared passes.
+SHARED = {logistic: logistic_cells, bayes: bayes_cells}
 
-    ``data`` comes from prepared(); ``configs`` are dictionaries with config_id. Seconds cover
-    fit and prediction, by the driver's clock.
-    """
-    if not configs:
-        raise ValueError("no configurations")
-    data = data.select("label", "fold", "features").cache()
+
+def _one_by_one(data: DataFrame, configs: list[dict], factory: Factory, k: int, parallel: int) -> tuple[list[tuple], list[tuple]]:
+    """Cells and seconds of models that Spark's estimators fit, a job of its own for each configuration and fold."""
+    data = data.select("label", "fold", array_to_vector("values").alias("features")).cache()
     try:
         def one(job: tuple[dict, int]) -> tuple[list, tuple[int, int, float]]:
             config, fold = job
             began = time.perf_counter()
             model = factory({n: v for n, v in config.items() if n != "config_id"}).fit(data.where(F.col("fold") != fold))
-            found = model.transform(data.where(F.col("fold") == fold)).select(F.lit(config["config_id"]).cast("long").alias("config_id"), F.lit(fold).alias("fold"), F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))
-            counts = found.groupBy("config_id", "fold", "y", "pred").count().collect()
+            found = model.transform(data.where(F.col("fold") == fold)).select(F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))
+            counts = [(config["config_id"], fold, *r) for r in found.groupBy("y", "pred").count().collect()]
             return counts, (config["config_id"], fold, time.perf_counter() - began)
 
         with ThreadPoolExecutor(parallel) as pool:
@@ -70,10 +68,23 @@ def cv_evaluate(data: DataFrame, configs: list[dict], factory: Factory = logisti
     finally:
         data.unpersist()
     # Four counts for each configuration and fold came back.
+    return [r for counts, _ in done for r in counts], [t for _, t in done]
+
+
+def cv_evaluate(data: DataFrame, configs: list[dict], factory: Factory = logistic, k: int = 5, parallel: int = 4) -> DataFrame:
+    """(config_id, four means, Time_MeanFold) of every configuration over the k folds that prepared() made.
+
+    Models of SHARED are fitted all together, in passes whose number doesn't grow with the configurations, and
+    their seconds are shares of the passes'; those of other factories are fitted one by one on the distributed table, ``parallel`` at a time,
+    and their seconds cover fit and prediction. ``configs`` are dictionaries with config_id.
+    """
+    if not configs:
+        raise ValueError("no configurations")
+    cells, seconds = SHARED[factory](data, configs, k) if factory in SHARED else _one_by_one(data, configs, factory, k, parallel)
     spark = data.sparkSession
-    cells = spark.createDataFrame([tuple(r) for counts, _ in done for r in counts], "config_id long, fold int, y int, pred int, n long")
-    seconds = spark.createDataFrame([t for _, t in done], "config_id long, fold int, seconds double")
-    return fold_means(confusion_metrics(cells, ["config_id", "fold"], weight="n").join(seconds, ["config_id", "fold"]), ["config_id"], "seconds")
+    counted = spark.createDataFrame(cells, "config_id long, fold int, y int, pred int, n long")
+    spent = spark.createDataFrame(seconds, "config_id long, fold int, seconds double")
+    return fold_means(confusion_metrics(counted, ["config_id", "fold"], weight="n").join(spent, ["config_id", "fold"]), ["config_id"], "seconds")
 
 
 def _rows(configs: DataFrame, factors: dict[str, Factor]) -> list[dict]:

@@ -10,12 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuneline.functions.scalars import no_nan
+from tuneline.operators.blocks import moment_cells
 from tuneline.session import require_columns
 
 
+#: Columns beyond which products are summed in blocks of rows, not by an aggregate for each pair.
+WIDE = 60
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r): Pearson correlations of all pairs of columns, one aggregate; rows with a missing value in any column are left out."""
+    """(a, b, r): Pearson correlations of all pairs of columns, in one pass; rows with a missing value in any column are left out.
+
+    Up to WIDE columns that is one aggregate, beyond them sums of blocks. A column that doesn't vary correlates with none.
+    """
     require_columns(df, *columns)
+    if len(columns) > WIDE:
+        return _wide_correlations(df, columns)
     values = df.select(*[no_nan(F.col(c)).alias(c) for c in columns]).dropna()
     places = range(len(columns))
     wide = values.agg(*[F.corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i in places for j in places if i <= j])
@@ -23,6 +33,53 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*cells)))
 
 
+def _wide_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    cells = moment_cells(df, columns)
+    # Cells of the diagonal are no more than the columns, whose names the driver holds too.
+    diagonal = cells.where("i = j").select("i", F.col("m2").alias("v"))
+    both = cells.join(F.broadcast(diagonal), "i").join(F.broadcast(diagonal.select(F.col("i").alias("j"), F.col("v").alias("u"))), "j")
+    r = F.when(F.col("i") == F.col("j"), F.when(F.col("v") > 0, 1.0)).otherwise(F.try_divide("m2", F.sqrt(F.col("v") * F.col("u"))))
+    names = F.array(*[F.lit(c) for c in columns])
+    each = both.select(F.get(names, "i").alias("a"), F.get(names, "j").alias("b"), r.alias("r"), (F.col("i") < F.col("j")).alias("_twice"))
+    mirrored = F.when(F.col("_twice"), F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))).otherwise(F.array(F.struct("a", "b", "r")))
+    return each.select(F.inline(mirrored))
+
+
+def wide_gram(df: DataFrame, columns: list[str] | str, width: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by, i, j, n, s): the sums of products of all places i <= j of ``columns``, or of one array column of ``width`` numbers.
+
+    For hundreds of columns: tasks add up matrices of blocks of rows, and one array a tile is merged. Rows with a
+    missing value in any place are left out.
+    """
+    cells = moment_cells(df, columns, width, by)
+    return cells.select(*(by or []), "i", "j", "n", (F.col("m2") + F.col("n") * F.col("mean_i") * F.col("mean_j")).alias("s"))
+
+
+def gram_of(df: DataFrame, x: list[Column], y: Column) -> tuple[np.ndarray, int]:
+    """The Gram matrix of ``x``, the constant 1 first, and ``y``, on the driver, and the rows; by aggregates up to WIDE columns, else by blocks."""
+    p = len(x) + 1
+    if p <= WIDE:
+        row = gram(df, x, y).first().asDict()
+        return gram_matrix(row, p), row["n"]
+    held = df.select(F.array(*[c.cast("double") for c in [*x[1:], y]]).alias("_v"))
+    means, products, n = _wide_moments(held, "_v", p - 1)
+    g = np.empty((p, p))
+    g[1:, 1:] = products + n * np.outer(means, means)
+    g[0] = g[:, 0] = np.append(n, n * means)
+    return g, n
+
+
+def _wide_moments(df: DataFrame, columns: list[str] | str, width: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Means, centred products and rows of many columns on the driver, from one pass."""
+    width = width or len(columns)
+    cells = moment_cells(df, columns, width).toArrow()
+    i, j, mean_i, mean_j, m2 = (cells[c].to_numpy() for c in ("i", "j", "mean_i", "mean_j", "m2"))
+    means, products = np.zeros(width), np.zeros((width, width))
+    means[i], means[j] = mean_i, mean_j
+    products[i, j] = products[j, i] = m2
+    return means, products, cells["n"][0].as_py() if len(cells) else 0
+
+
 def moments_frame(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """``by``, n and moments, an array: means, sample deviations and correlations of the pairs i < j. Rows with a missing value are left out; one aggregate."""
     values = df.select(*(by or []), *[no_nan(F.col(c)).alias(f"_v{i}") for i, c in enumerate(columns)]).dropna(subset=[f"_v{i}" for i in range(len(columns))])
@@ -41,6 +98,12 @@ def read_moments(held, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Means, sample deviations, correlation matrix and rows (missing values left out row by row), from one pass."""
+    if len(columns) > WIDE:
+        means, products, n = _wide_moments(df, columns)
+        spread = np.sqrt(np.diag(products))
+        corr = np.divide(products, np.outer(spread, spread), out=np.zeros_like(products), where=np.outer(spread, spread) > 0)
+        np.fill_diagonal(corr, 1.0)
+        return means, spread / np.sqrt(max(n - 1, 1)), corr, n
     row = moments_frame(df, columns).first()
     return *read_moments(row["moments"], len(columns)), row["n"]
 
@@ -131,8 +194,7 @@ def ols(df: DataFrame, terms: list[str], factors: list[str], y: str, on_singular
     require_columns(df, *factors, y)
     names = ["Intercept", *[t for t in terms if t != "Intercept"]]
     rows = df.select(*[no_nan(F.col(c)).alias(c) for c in dict.fromkeys([*factors, y])]).dropna()
-    row = gram(rows, [term_expr(t, factors) for t in names], F.col(y)).first().asDict()
-    fit = solve(gram_matrix(row, len(names) + 1), row["n"], on_singular)
+    fit = solve(*gram_of(rows, [term_expr(t, factors) for t in names], F.col(y)), on_singular)
     out = [(t, float(c), float(p), float(fit.r2), float(fit.r2_adj), fit.n) for t, c, p in zip(names, fit.coef, fit.p, strict=True)]
     return df.sparkSession.createDataFrame(out, "term string, coef double, p_value double, r2 double, r2_adj double, n long")
 

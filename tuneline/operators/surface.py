@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tuneline.functions.scalars import no_nan, quadratic_terms, term_expr
-from tuneline.operators.linalg import Fit, gram, gram_matrix, solve
+from tuneline.operators.linalg import Fit, gram, gram_matrix, gram_of, solve
 from tuneline.session import require_columns
 
 
@@ -96,8 +96,7 @@ def fit_surface(df: DataFrame, factors: list[str], y: str, alpha: float = 0.05,
     half = {c: (box[f"hi_{c}"] - box[f"lo_{c}"]) / 2 or 1.0 for c in factors}
     coded = rows.select(F.col(y).alias("_y"), *[((F.col(c) - F.lit(centre[c])) / F.lit(half[c])).alias(c) for c in factors])
     terms = quadratic_terms(factors)
-    row = gram(coded, [term_expr(t, factors) for t in terms], F.col("_y")).first().asDict()
-    return _fitted(gram_matrix(row, len(terms) + 1), row["n"], terms, y, alpha, on_singular, centre, half)
+    return _fitted(*gram_of(coded, [term_expr(t, factors) for t in terms], F.col("_y")), terms, y, alpha, on_singular, centre, half)
 
 
 def surfaces_by(df: DataFrame, factors: list[str], y: str, by: list[str], alpha: float = 0.05, on_singular: str = "error") -> DataFrame:

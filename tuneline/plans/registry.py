@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tuneline.functions import scalars as S
 from tuneline.functions.scalars import Factor
-from tuneline.operators import evaluate, factors, frontier, linalg, metrics, relational, sampling, search, surface
+from tuneline.operators import evaluate, factors, frontier, linalg, metrics, relational, sampling, search, stacked, surface
 from tuneline.plans import pipeline, views
 from tuneline.plans.views import table
 from tuneline.session import scratch_root
@@ -319,6 +319,34 @@ def _o36(spark, d):
     return g.select("l_returnflag", "n", *[_r(c, 4).alias(c) for c in g.columns if c.startswith("s_")])
 
 
+_POWERS = 5
+
+
+def _powers(spark: SparkSession, d: str) -> DataFrame:
+    """The 64 components and their powers up to the fifth, 320 numbers a row."""
+    powers = F.flatten(F.transform("embedding", lambda x: F.array(*[F.pow(x.cast("double"), F.lit(float(i + 1))) for i in range(_POWERS)])))
+    return table(spark, d, "embeddings").select("vec_id", "label", powers.alias("v"))
+
+
+_POWERS_SQL = f"""with e as (select vec_id, label, unnest(range(64)) as c, unnest(embedding)::double as x from embeddings),
+v as (select vec_id, label, c * {_POWERS} + k as i, pow(x, k + 1) as x from e, (select unnest(range({_POWERS})) as k))"""
+
+
+@query("O36_gram_wide", _POWERS_SQL + ' select a.i::int as i, b.i::int as j, count(*) as n, round(sum(a.x * b.x), 5) + 0.0 as s from v a join v b on a.vec_id = b.vec_id and a.i <= b.i group by a.i, b.i')
+def _o36_wide(spark, d):
+    return linalg.wide_gram(_powers(spark, d), "v", 64 * _POWERS).withColumn("s", _r("s", 5) + F.lit(0.0))
+
+
+@query("O36_gram_wide_by", _POWERS_SQL + ' select a.label, a.i::int as i, b.i::int as j, count(*) as n, round(sum(a.x * b.x), 5) + 0.0 as s from v a join v b on a.vec_id = b.vec_id and a.i <= b.i group by a.label, a.i, b.i')
+def _o36_wide_by(spark, d):
+    return linalg.wide_gram(_powers(spark, d), "v", 64 * _POWERS, ["label"]).withColumn("s", _r("s", 5) + F.lit(0.0))
+
+
+@query("O34_correlation_wide", "with v as (select vec_id, unnest(range(64)) as i, unnest(embedding)::double as x from embeddings) select 'e' || a.i as a, 'e' || b.i as b, round(corr(a.x, b.x), 6) + 0.0 as r from v a join v b on a.vec_id = b.vec_id group by a.i, b.i")
+def _o34_wide(spark, d):
+    return linalg.correlation_matrix(_labelled(spark, d), _FEATURES).withColumn("r", _r("r") + F.lit(0.0))
+
+
 @query("O37_ols", "select 'Intercept' as term, round(regr_intercept(y, a), 6) as coef, round(regr_r2(y, a), 6) as r2, count(*) as n from surface_input union all select 'a', round(regr_slope(y, a), 6), round(regr_r2(y, a), 6), count(*) from surface_input", "surface_input")
 def _o37(spark, d):
     return linalg.ols(views.surface_input(spark, d), ["a"], ["a"], "y").select("term", _r("coef").alias("coef"), _r("r2").alias("r2"), "n")
@@ -413,7 +441,7 @@ def _o50(spark, d):
 
 # Composite operators
 
-_TUNED = {"regParam": Factor(0.0, 0.5), "maxIter": Factor(3, 8, True)}
+_TUNED = {"regParam": Factor(0.0, 0.5), "elasticNetParam": Factor(0.0, 1.0)}
 _FEATURES = [f"e{i}" for i in range(64)]
 
 
@@ -422,27 +450,64 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", (F.col("label") < 5).cast("int").alias("y"), *[F.get("embedding", F.lit(i)).alias(c) for i, c in enumerate(_FEATURES)])
 
 
-def _folds(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.prepared(_labelled(spark, d), _FEATURES, "y", "vec_id", 2, 42)
-
-
 def _design(spark: SparkSession, rows: int) -> DataFrame:
     return sampling.random_configs(spark, _TUNED, rows, 11)
 
 
 @query("O51_cv_evaluate")
 def _o51(spark, d):
-    return evaluate.cv_evaluate(_folds(spark, d), [{"config_id": 0, "regParam": 0.0, "maxIter": 5}, {"config_id": 1, "regParam": 0.3, "maxIter": 5}], k=2)
+    return evaluate.cv_evaluate(_five(spark, d), [{"config_id": i, "regParam": 0.1 * i, "elasticNetParam": 0.25 * (i % 3)} for i in range(6)])
+
+
+@query("O51_cv_evaluate_boosting")
+def _o51_boosting(spark, d):
+    """Boosted trees of all seven factors, of which only the number and depth of trees are kept small."""
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("y"), "o_totalprice", F.unix_date(F.col("o_orderdate").cast("date")).alias("day"))
+    rare = {"subsample": 0.7, "colsample_bytree": 0.9, "colsample_bylevel": 0.8, "gamma": 0.0}
+    configs = [{"config_id": i, "learning_rate": 0.2, "max_depth": 3, "n_estimators": n, **rare} for i, n in enumerate((2, 4))]
+    return evaluate.cv_evaluate(evaluate.prepared(rows, ["o_totalprice", "day"], "y", "o_orderkey", 2, 42), configs, evaluate.boosting, k=2)
+
+
+#: Newton's steps for logistic models of one variable, of configurations (config_id, reg) and five folds, in SQL.
+_NEWTON_CONFIGS, _NEWTON_STEPS = ((0, 0.0), (1, 0.02), (2, 0.5)), 4
+_NEWTON = f"""with o as (select o_orderkey, (o_orderstatus = 'F')::int as y, o_totalprice / 100000 as v from orders),
+f as (select y, v, v - avg(v) over () as x, avg(v) over () as mid, (row_number() over (order by y, md5('42-' || o_orderkey), o_orderkey) - 1) % 5 as fold from o),
+c as (select * from (values {", ".join(f"({i}, {reg}::double)" for i, reg in _NEWTON_CONFIGS)}) as t(config_id, reg)),
+e as (select config_id, held, reg * var_samp(x) as ridge, any_value(mid) as mid from f, c, (select unnest(range(5)) as held) where fold <> held group by config_id, held, reg),
+s0 as (select config_id, held, 0.0::double as a, 0.0::double as b from e),
+""" + ",\n".join(f"""s{i} as (select config_id, held, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) as a, b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) as b from (
+  select config_id, held, a, b, avg(p - y) as g0, avg((p - y) * x) + ridge * b as g1, avg(p * (1 - p)) as h00, avg(p * (1 - p) * x) as h01, avg(p * (1 - p) * x * x) + ridge as h11
+  from (select config_id, held, a, b, ridge, x, y, 1 / (1 + exp(-a - b * x)) as p from f join s{i - 1} on fold <> held join e using (config_id, held)) group by config_id, held, a, b, ridge))""" for i in range(1, _NEWTON_STEPS + 1)) + f",\nw as (select config_id, held, a, b, mid from s{_NEWTON_STEPS} join e using (config_id, held))"
+
+
+def _priced(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("y"), (F.col("o_totalprice") / 100000).alias("v"))
+    return evaluate.prepared(rows, ["v"], "y", "o_orderkey", 5, 42)
+
+
+_PRICED = [{"config_id": i, "regParam": reg, "maxIter": _NEWTON_STEPS} for i, reg in _NEWTON_CONFIGS]
+
+
+@query("O51_logistic_coefficients", _NEWTON + " select config_id, held::int as fold, t.term, round(case t.term when 0 then a - b * mid else b end, 6) + 0.0 as coef from w, (values (0), (1)) as t(term)")
+def _o51_coefficients(spark, d):
+    return stacked.logistic_coefficients(_priced(spark, d), _PRICED, 5).withColumn("coef", _r("coef") + F.lit(0.0))
+
+
+@query("O51_cv_evaluate_logistic", _NEWTON + f""",
+preds as (select config_id, fold, y, (a + b * x > 0)::int as pred from f join w on fold = held)
+select config_id, round(avg(accuracy), 9) as "Accuracy_Mean", round(avg(precision), 9) as "Precision_Mean", round(avg(recall), 9) as "Recall_Mean", round(avg(specificity), 9) as "Specificity_Mean" from ({_CONFUSION}) group by config_id""")
+def _o51_logistic(spark, d):
+    return _means(evaluate.cv_evaluate(_priced(spark, d), _PRICED), "config_id")
 
 
 @query("O52_run_design")
 def _o52(spark, d):
-    return evaluate.run_design(_folds(spark, d), _design(spark, 3), _TUNED, k=2)
+    return evaluate.run_design(_five(spark, d), _design(spark, 8), _TUNED)
 
 
 @query("O53_evaluate_candidates")
 def _o53(spark, d):
-    return evaluate.evaluate_candidates(_folds(spark, d), _design(spark, 3), _TUNED, k=2)[0]
+    return evaluate.evaluate_candidates(_five(spark, d), _design(spark, 8), _TUNED)[0]
 
 
 #: Gaussian naive Bayes by folds in SQL: metrics of each configuration of ``c`` (config_id, threshold), with the default five folds.
@@ -591,12 +656,12 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @query("O57_grid_search")
 def _o57(spark, d):
-    return _shown(search.grid_search(_folds(spark, d), _TUNED, 4, k=2))
+    return _shown(search.grid_search(_five(spark, d), _TUNED, 8))
 
 
 @query("O58_random_search")
 def _o58(spark, d):
-    return _shown(search.random_search(_folds(spark, d), _TUNED, 4, k=2))
+    return _shown(search.random_search(_five(spark, d), _TUNED, 8))
 
 
 @query("O57_grid_search_bayes", _bayes_sql("c as (select i as config_id, 0.05::double + (0.95::double - 0.05::double) * i / 4 as threshold from (select unnest(range(5)) as i))", _BEST.format(head="'grid' as method, ", tail=", 5 as budget")))
@@ -611,12 +676,12 @@ def _o58_bayes(spark, d):
 
 @query("O59_surrogate_search")
 def _o59(spark, d):
-    return _shown(search.surrogate_search(_folds(spark, d), _TUNED, 4, k=2, pool=5_000))
+    return _shown(search.surrogate_search(_five(spark, d), _TUNED, 8, pool=5_000))
 
 
 @query("O60_density_search")
 def _o60(spark, d):
-    return _shown(search.density_search(_folds(spark, d), _TUNED, 4, k=2, pool=5_000))
+    return _shown(search.density_search(_five(spark, d), _TUNED, 8, pool=5_000))
 
 
 @query("O60_density_pick", """with b as (select l_suppkey, avg(l_discount) as x, avg(l_tax) as acc from lineitem group by 1),
@@ -654,7 +719,7 @@ def _o62_pick(spark, d):
 
 
 def _small(seed: int) -> dict:
-    return {"k": 2, "top": 2, "budget": 4, "search": {"step": 0.5, "starts": 3, "samples": 20, "rounds": 2}, "metrics": ["Accuracy_Mean", "Precision_Mean", "Recall_Mean", "Specificity_Mean", "Time_MeanFold"]}
+    return {"top": 5, "budget": 8, "search": {"step": 0.1, "starts": 6, "samples": 40, "rounds": 3}, "metrics": ["Accuracy_Mean", "Precision_Mean", "Recall_Mean", "Specificity_Mean", "Time_MeanFold"]}
 
 
 @query("O62_replica_pipeline")
