@@ -57,9 +57,10 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return df
 
 
-def unit_draw(seed: int, name: str, key: Column) -> Column:
+def unit_draw(seed: int | Column, name: str, key: Column) -> Column:
     """A uniform number in [0, 1): the first 52 bits of the MD5 of seed, name and key."""
-    text = F.concat(F.lit(f"{seed}-{name}-"), key.cast("string"))
+    head = F.lit(f"{seed}-{name}-") if isinstance(seed, int) else F.concat(seed.cast("string"), F.lit(f"-{name}-"))
+    text = F.concat(head, key.cast("string"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 

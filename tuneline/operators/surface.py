@@ -133,6 +133,12 @@ def surfaces_by(df: DataFrame, factors: list[str], y: str, by: list[str], alpha:
     return sums.mapInPandas(fit, kinds)
 
 
+def coefficient_arrays(fits: DataFrame, factors: list[str], by: list[str], name: str) -> DataFrame:
+    """(by, name) from the rows of surfaces_by(): each group's coefficients as one array in the order of quadratic_terms."""
+    held = fits.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("term", "coef"))).alias("_held"))
+    return held.select(*by, F.array(*[F.coalesce(F.element_at("_held", F.lit(t)), F.lit(0.0)) for t in quadratic_terms(factors)]).alias(name))
+
+
 def read_surface(rows: list) -> Surface:
     """A Surface from the collected rows of one group of surfaces_by()."""
     r = rows[0]

@@ -12,7 +12,7 @@ from tuneline.functions.scalars import Factor
 from tuneline.operators import evaluate, factors, frontier, linalg, metrics, relational, sampling, search, stacked, surface
 from tuneline.plans import pipeline, views
 from tuneline.plans.views import table
-from tuneline.session import scratch_root
+from tuneline.session import materialize, scratch_root
 from tuneline.sources import tables
 
 QUERIES: dict = {}
@@ -646,10 +646,57 @@ def _o56_round(spark, d):
     rows = views.surface_input(spark, d).withColumn("cheap", -F.col("y") - F.col("a") / 10)
     ends = metrics.extremes(rows, ["y", "cheap"]).first()
     fits = [surface.fit_surface(rows, ["a"], y, alpha=1.0) for y in ("y", "cheap")]
-    found = frontier.frontier_search(spark, *fits, {"a": Factor(1.0, 50.0)}, step=0.1, starts=4, samples=25, rounds=1, utopia=(ends[0], ends[2]), nadir=(ends[1], ends[3]))
+    found = frontier.frontier_search(spark, *fits, {"a": Factor(1.0, 50.0)}, step=0.1, starts=4, samples=25, rounds=1, utopia=(ends[0], ends[2]), nadir=(ends[1], ends[3]), polished=False)
     return found.select("beta_1", "beta_2", _r("score").alias("score"), *[_r(c, 4).alias(c) for c in ("Pred_Score_Quality", "Pred_Score_Cost")], "success")
 
 
+#: Two surfaces of one factor for each flag, their range and the weights, in SQL.
+_FLAGS = """with r as (select l_returnflag, l_quantity::double as u, (l_quantity * l_quantity)::double as v, l_extendedprice / 1000 as y from lineitem),
+s as (select l_returnflag, avg(u) as mu, avg(v) as mv, avg(y) as my, var_pop(u) as uu, var_pop(v) as vv, covar_pop(u, v) as uv, covar_pop(u, y) as uy, covar_pop(v, y) as vy, max(y) as y1, min(y) as y0, max(-y - u / 10) as c1, min(-y - u / 10) as c0 from r group by 1),
+b as (select l_returnflag, ascii(l_returnflag) as seed, p, q, my - p * mu - q * mv as k, y0, y1, c0, c1 from (select *, (uy * vv - vy * uv) / (uu * vv - uv * uv) as p, (vy * uu - uy * uv) / (uu * vv - uv * uv) as q from s)),
+w as (select i as pair, round(1 - i * 0.1::double, 2) as beta_1, round(i * 0.1::double, 2) as beta_2 from (select unnest(range(1, 11)) as i)),"""
+_FLAGS_LAST = """k as (select *, p1, -p1 - a / 10 as p2 from x),
+g as (select l_returnflag, beta_1, beta_2, p1, p2, case when p1 between y0 and y1 and p2 between c0 and c1 then beta_1 * (p1 - y0) / (y1 - y0) + beta_2 * (p2 - c0) / (c1 - c0) end as v, start from k, w)
+select l_returnflag, beta_1, beta_2, round(v, 6) as score, round(p1, 4) as "Pred_Score_Quality", round(p2, 4) as "Pred_Score_Cost", v is not null as success
+from g qualify row_number() over (partition by l_returnflag, beta_2 order by v desc nulls last, start) = 1"""
+
+
+def _by_flag(spark: SparkSession, d: str, **more) -> DataFrame:
+    rows = table(spark, d, "lineitem").selectExpr("l_returnflag", "cast(l_quantity as double) as a", "l_extendedprice / 1000 as y", "-l_extendedprice / 1000 - l_quantity / 10 as cheap")
+    by, groups = ["l_returnflag"], metrics.extremes(rows, ["y", "cheap"], ["l_returnflag"])
+    groups = groups.select(*by, F.ascii("l_returnflag").alias("seed"), *[F.col(f"{y}_{e}").cast("double").alias(f"{e}_{i}") for i, y in ((1, "y"), (2, "cheap")) for e in ("nadir", "utopia")])
+    for y, name in (("y", "quality"), ("cheap", "cost")):
+        groups = groups.join(surface.coefficient_arrays(surface.surfaces_by(rows, ["a"], y, by, alpha=1.0), ["a"], by, name), by)
+    found = frontier.frontier_search_by(materialize(groups, "groups"), by, {"a": Factor(1.0, 50.0)}, step=0.1, **more)
+    return found.select(*by, "beta_1", "beta_2", _r("score").alias("score"), *[_r(c, 4).alias(c) for c in ("Pred_Score_Quality", "Pred_Score_Cost")], "success")
+
+
+@query("O56_frontier_round_by", _FLAGS + f"""
+t as (select *, case when i = 0 then 25.5 else 1 + {_DRAW.format(seed="' || seed || '", name="a", key="i")} * 49 end as a from b, (select unnest(range(4)) as i)),
+m as (select *, greatest(1, a - 24.5) as lo, least(50, a + 24.5) as hi from t),
+z as (select l_returnflag, k as c, p, q, y0, y1, c0, c1, i as start, a from t
+  union all select l_returnflag, k, p, q, y0, y1, c0, c1, i, lo + {_DRAW.format(seed="' || (seed + 1000) || '", name="a", key="i || '-' || n")} * (hi - lo) from m, (select unnest(range(1, 26)) as n)),
+x as (select *, c + p * a + q * a * a as p1 from z),
+""" + _FLAGS_LAST)
+def _o56_round_by(spark, d):
+    """Starts and one round of draws of all groups, each with a seed of its own."""
+    return _by_flag(spark, d, starts=4, samples=25, rounds=1, polished=False)
+
+
+@query("O56_frontier_polished_by", _FLAGS + """
+e as (select *, beta_1 / (y1 - y0) as s1, beta_2 / (c1 - c0) as s2 from b, w),
+t as (  -- where the best point of a box of one factor can be: its ends, the vertex of the sum, and where a prediction meets its range
+  select l_returnflag, pair, unnest([1.0, 50.0, -((s1 - s2) * p - s2 / 10) / (2 * (s1 - s2) * q)]) as a from e
+  union all select l_returnflag, pair, unnest([(-p + sqrt(p * p - 4 * q * (k - edge))) / (2 * q), (-p - sqrt(p * p - 4 * q * (k - edge))) / (2 * q)]) from (select *, unnest([y0, y1]) as edge from e) where p * p >= 4 * q * (k - edge)
+  union all select l_returnflag, pair, unnest([(-(p + 0.1) + sqrt((p + 0.1) * (p + 0.1) - 4 * q * (k + edge))) / (2 * q), (-(p + 0.1) - sqrt((p + 0.1) * (p + 0.1) - 4 * q * (k + edge))) / (2 * q)]) from (select *, unnest([c0, c1]) as edge from e) where (p + 0.1) * (p + 0.1) >= 4 * q * (k + edge)),
+h as (select e.*, a, k + p * a + q * a * a as p1, -k - p * a - q * a * a - a / 10 as p2 from e join t using (l_returnflag, pair) where a between 1 and 50)
+select l_returnflag, beta_1, beta_2, round(s1 * (p1 - y0) + s2 * (p2 - c0), 6) as score, round(p1, 4) as "Pred_Score_Quality", round(p2, 4) as "Pred_Score_Cost", true as success
+from h where p1 between y0 - 1e-9 and y1 + 1e-9 and p2 between c0 - 1e-9 and c1 + 1e-9 qualify row_number() over (partition by l_returnflag, beta_2 order by s1 * (p1 - y0) + s2 * (p2 - c0) desc) = 1""")
+def _o56_polished_by(spark, d):
+    """The polished frontier of all groups, which for one factor is exact."""
+    return _by_flag(spark, d, starts=4, samples=10, rounds=2)
+
+
 def _shown(df: DataFrame) -> DataFrame:
     return df.withColumn("hyperparameters", F.to_json("hyperparameters"))
 
