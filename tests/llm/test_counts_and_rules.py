@@ -201,3 +201,24 @@ def test_url_rules(spark, duck):
     assert got[10][3] == "block" and got[11] == ("m.casino-win.net", "/es/", "net/es/", "block")
     assert url_filter.judge_urls(pages, url_filter.RULES).where(F.col("_fits") == "own").count() == len(urls)
     assert url_filter.judge_urls(pages.limit(0), url_filter.RULES).count() == 0
+
+
+def test_unspaced_texts_stay_out_of_the_lexicon(spark, vocabulary):
+    """Words without end are neither counted nor collected, and merged exactly; frequent words are taken up to a bound in bytes."""
+    rng = random.Random(4)
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    texts = ["".join(rng.choices("abcdefghij", k=1_000_000)) for _ in range(3)] * 4 + ["the frequent words and the rest"] * 5 + ["é" * 33 + " " + "é" * 32]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = bpe.frequent_words(docs, path)
+    assert b" the" in words and max(map(len, words)) <= bpe.WORD_BYTES and sum(map(len, words)) <= bpe.LEXICON_BYTES
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in bpe.encode(docs, path).collect()}
+    for i in (0, 1, 2, 12, 17):
+        assert got[i] == vocabulary[1].encode(texts[i], add_special_tokens=False).ids
+
+
+def test_lexicon_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a a a a a a a a bb bb bb bb longer longer x")], "doc_id long, text string")
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    assert bpe.frequent_words(docs, path) == sorted([b"a", b" a", b" bb", b" longer", b" x"])
+    monkeypatch.setattr(bpe, "LEXICON_BYTES", 6)
+    assert bpe.frequent_words(docs, path) == [b" a", b" bb"]

@@ -27,8 +27,8 @@ from tuneline.llm.lexicon import Lexicon, compile_words
 from tuneline.session import materialize, require_columns, share_file
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Most words of the lexicon, which the driver compiles.
-LEXICON_WORDS = 100_000
+#: Most words of the lexicon, which the driver compiles, their bytes in all, and bytes of one; longer words are rare and merged exactly.
+LEXICON_WORDS, LEXICON_BYTES, WORD_BYTES = 100_000, 2 << 20, 64
 #: Characters of text that one step encodes, and counted words that a task holds before it passes them on.
 BATCH_CHARS, HELD_WORDS = 4 << 20, 300_000
 #: Bytes beyond which a word is merged by itself.
@@ -235,13 +235,16 @@ def _count_words(path: str):
         bpe, held = _vocabulary(path), Counter()
 
         def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in held], pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
+            words = [w.encode("utf-8", "surrogatepass") for w in held]
+            b = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
             held.clear()
-            return b
+            return b.filter(pa.array([len(w) <= WORD_BYTES for w in words], pa.bool_()))
 
         for b in batches:
             for x in b.column(0):
-                held.update(bpe.split(x.as_py() or ""))
+                words = bpe.split(x.as_py() or "")
+                # No longer word is held, so what a task holds is bounded in bytes.
+                held.update(words if max(map(len, words), default=0) <= WORD_BYTES else [w for w in words if len(w) <= WORD_BYTES])
                 if len(held) > HELD_WORDS:
                     yield out()
         yield out()
@@ -250,17 +253,17 @@ def _count_words(path: str):
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS, text_col: str = "text") -> list[bytes]:
-    """The most frequent words over all documents, at most ``most``, in byte order.
+    """The most frequent words of up to WORD_BYTES over all documents, at most ``most`` and LEXICON_BYTES of them, in byte order.
 
     A histogram of counts in steps of an eighth of a power of two (a few hundred rows) gives
-    the least count to keep, so that no more than ``most`` words reach the driver.
+    the least count to keep, so that no more words, and bytes, than that reach the driver.
     """
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_words(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "words")
-    left, least = most, None
-    for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):
-        left -= r["count"]
-        if left < 0:
+    left, room, least = most, LEXICON_BYTES, None
+    for r in sorted(counts.groupBy("step").agg(F.count(F.lit(1)).alias("words"), F.sum(F.length("word")).alias("bytes")).collect(), key=lambda r: -r["step"]):
+        left, room = left - r["words"], room - r["bytes"]
+        if left < 0 or room < 0:
             break
         least = r["step"]
     if least is None:
@@ -307,7 +310,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """One row a document: id, n_tokens, ids (little-endian unsigned 32-bit integers) and, if asked for, decoded (the text that the ids spell).
 
     A null text counts as an empty one, which has no ids. Special tokens inside a text get
-    their ids. Repeated rows are encoded each; an empty table gives an empty table.
+    their ids. Repeated rows are encoded each; texts are read whole, however long and with or without blanks; further
+    columns are ignored, whatever their names; an empty table gives an empty table.
     """
     require_columns(docs, id_col, text_col)
     lexicon = lexicon or build_lexicon(docs, path, text_col=text_col)
