@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import hashlib
 import math
 import os
 import random
@@ -59,6 +60,21 @@ def test_folds_are_balanced_and_stable(spark):
         assert max(n) - min(n) <= 1
 
 
+def test_folds_of_many_classes_and_seeds(spark):
+    """Many classes (a null one too), null keys, and several seeds at once: ranks by (label, hash, key), modulo k."""
+    df = spark.range(3000).select(F.when(F.col("id") % 500 > 0, F.col("id") % 500).alias("y"), F.when(F.col("id") != 77, F.col("id")).alias("id"))
+    got = relational.assign_folds(df, "y", "id", 7, 42).collect()
+    assert len(got) == 3000
+    want = sorted(got, key=lambda r: (r["y"] is not None, r["y"] or 0, hashlib.md5(f"42-{r['id']}".encode()).hexdigest() if r["id"] is not None else "", r["id"] or 0))
+    assert [r["fold"] for r in want] == [i % 7 for i in range(3000)]
+    plan = relational.assign_folds(df, "y", "id", 7, 42)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+    whole = df.where("id is not null")
+    many = {r["id"]: r["folds"] for r in relational.assign_folds_many(whole, "y", "id", 7, [5, 42]).collect()}
+    for i, seed in enumerate((5, 42)):
+        assert {r["id"]: r["fold"] for r in relational.assign_folds(whole, "y", "id", 7, seed).collect()} == {k: f[i] for k, f in many.items()}
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([(2.5, 3.5, "nan"), (0.5, -1.5, "7")], "a double, b double, s string")
     cast = S.cast_factors(df, {"a": Factor(0, 9, True), "b": Factor(0, 9)}).collect()
@@ -342,3 +358,63 @@ def test_failed_replicas_are_rows(spark):
     assert [(r["replica"], r["seed"], r["status"]) for r in out] == [(0, 42, "failed"), (1, 43, "failed")] and "no model" in out[0]["error"]
     with pytest.raises(RuntimeError, match="no model"):
         pipeline.replicate(*job, k=2, factory=broken, stop_at_failure=True)
+
+
+def test_replicas_together_equal_single_ones(spark):
+    """Bayes with one factor: every replica of the joint run has the metrics and candidates that it gets alone."""
+    from tuneline.plans import pipeline
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 2))
+    data = spark.createDataFrame([(i, int(x[i].sum() + rng.normal() > 0.4), *map(float, x[i])) for i in range(120)], "id long, y int, a double, b double")
+    box = {"threshold": Factor(0.1, 0.9)}
+    design = sampling.random_configs(spark, box, 9, 3)
+    more = dict(k=3, top=3, factory=evaluate.bayes, baselines=("grid",), search={"step": 0.25, "starts": 3, "samples": 10, "rounds": 2}, metrics=["Accuracy_Mean", "Precision_Mean", "Recall_Mean", "Specificity_Mean"])
+    out = pipeline.replicate(data, ["a", "b"], "y", "id", design, box, [(0, 42), (1, 43), (2, 44)], stop_at_failure=True, **more).collect()
+    assert sorted((r["replica"], r["method"], r["status"]) for r in out) == [(i, m, "ok") for i in range(3) for m in ("grid", "main")]
+    names = ("Accuracy_Mean", "Precision_Mean", "Recall_Mean", "Specificity_Mean", "budget")
+    for replica, seed in ((0, 42), (1, 43), (2, 44)):
+        alone = {r["method"]: r for r in pipeline.replica_pipeline(data, ["a", "b"], "y", "id", design, box, seed, **more).collect()}
+        for r in out:
+            if r["replica"] == replica:
+                assert [r[n] for n in names] == pytest.approx([alone[r["method"]][n] for n in names])
+                assert r["hyperparameters"] == pytest.approx(alone[r["method"]]["hyperparameters"])
+
+
+def test_polish_finds_planted_optima(spark):
+    """Bowls with a known best point, inside the box and at its ends; the range is kept, and no point gets worse."""
+    rng = np.random.default_rng(5)
+    names = ["a", "b", "c"]
+    lo, hi = np.zeros(3), np.array([1.0, 2.0, 3.0])
+    for inside in (True, False):
+        best = rng.uniform(0.1, 0.9, 3) * hi if inside else np.array([1.0, 0.0, 1.5])
+        pull = best + (0 if inside else np.array([5.0, -5.0, 0.0]))
+        root = rng.normal(size=(3, 3))
+        h = root @ root.T + np.eye(3) if inside else np.diag([1.0, 2.0, 0.5])
+        coef = {"Intercept": -pull @ h @ pull, **{n: 2 * (h @ pull)[i] for i, n in enumerate(names)}, **{f"{n}*{n}": -h[i, i] for i, n in enumerate(names)}, **{f"{names[i]}*{names[j]}": -2 * h[i, j] for i in range(3) for j in range(i + 1, 3)}}
+        array = np.array([[coef[t] for t in S.quadratic_terms(names)]] * 20)
+        x = rng.uniform(0, 1, (20, 3)) * hi
+        quadratics = [frontier._quadratics(array, 3), frontier._quadratics(0 * array, 3)]
+        out = frontier.polish(x, lo, hi, quadratics, np.tile([1.0, 0.0], (20, 1)), None, True)
+        assert np.allclose(out, best, atol=1e-6)
+        value = lambda z: -np.einsum("ni,ij,nj->n", z - pull, h, z - pull)  # noqa: B023, E731
+        edge = np.full(20, float(value(best[None])[0] - 0.5))
+        ranged = frontier.polish(x, lo, hi, quadratics, np.tile([1.0, 0.0], (20, 1)), [(np.full(20, -1e9), edge), (np.full(20, -1.0), np.full(20, 1.0))], True)
+        ok = value(x) <= edge
+        assert (value(ranged)[ok] >= value(x)[ok] - 1e-12).all() and (value(ranged)[ok] <= edge[ok] + 1e-9).all() and np.allclose(value(ranged)[ok], edge[ok], atol=1e-6)
+        assert np.allclose(ranged[~ok], x[~ok])
+
+
+def test_frontier_by_group_equals_single_ones(spark):
+    box = {"a": Factor(0, 1), "b": Factor(0, 10, True)}
+    held = {g: [surface.Surface("q", ["Intercept", "a", "a*a", "b"], [0, 2 + g, -2, 0.1], 1, 1, 0.05, 9), surface.Surface("c", ["Intercept", "a", "b", "b*a"], [1, -1, -0.3, 0.01 * g], 1, 1, 0.05, 9)] for g in range(3)}
+    groups = spark.createDataFrame([(g, 7 + g, *[frontier.coefficients(s, list(box)) for s in pair]) for g, pair in held.items()], "g int, seed long, quality array<double>, cost array<double>")
+    more = dict(step=0.5, starts=3, samples=10, rounds=2)
+    out = frontier.frontier_search_by(groups, ["g"], box, **more).collect()
+    for g, pair in held.items():
+        alone = {r["beta_2"]: r for r in frontier.frontier_search(spark, *pair, box, seed=7 + g, **more).collect()}
+        mine = {r["beta_2"]: r for r in out if r["g"] == g}
+        assert mine.keys() == alone.keys() and all(mine[b]["score"] == pytest.approx(alone[b]["score"]) and mine[b]["hyperparameters"] == alone[b]["hyperparameters"] for b in alone)
+    # Terms that aren't quadratic are searched without polish.
+    odd = surface.Surface("q", ["Intercept", "1/b"], [1.0, 2.0], 1, 1, 0.05, 9)
+    assert frontier.frontier_search(spark, odd, held[0][1], box, step=1.0, starts=2, samples=5, rounds=1).first()["success"]

@@ -128,3 +128,18 @@ def test_boosting_learns_what_single_splits_cannot(spark):
     held = evaluate.prepared(df, ["a", "b"], "y", "id", 2, 1)
     got = evaluate.cv_evaluate(held, [{"config_id": 0, **config}], evaluate.boosting, k=2).first()
     assert got["Accuracy_Mean"] > 0.85 and got["Time_MeanFold"] > 0
+
+
+def test_partitions_into_folds_share_passes(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 3))
+    df = spark.createDataFrame([(i, int(x[i, 0] + rng.normal() > 0), *map(float, x[i])) for i in range(200)], "id long, y int, a double, b double, c double")
+    many = evaluate.prepared_many(df, ["a", "b", "c"], "y", "id", 4, [7, 8, 9])
+    for factory, own in ((evaluate.logistic, {"regParam": 0.1}), (evaluate.bayes, {"threshold": 0.4})):
+        jobs = [(p, {"config_id": 5 * p + i, **{n: v * (i + 1) for n, v in own.items()}}) for p in (0, 2) for i in range(2)]
+        got = {(r["part"], r["config_id"]): r["Precision_Mean"] for r in evaluate.cv_evaluate_many(many, jobs, factory, k=4).collect()}
+        want = {}
+        for p, seed in ((0, 7), (2, 9)):
+            alone = evaluate.prepared(df, ["a", "b", "c"], "y", "id", 4, seed)
+            want |= {(p, r["config_id"]): r["Precision_Mean"] for r in evaluate.cv_evaluate(alone, [c for q, c in jobs if q == p], factory, k=4).collect()}
+        assert got == pytest.approx(want)

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tuneline.functions.scalars import no_nan
 from tuneline.operators.sampling import shuffle_key
-from tuneline.session import require_columns
+from tuneline.session import materialize, require_columns
 
 
 def attach_scores(df: DataFrame, scores: DataFrame, key: str) -> DataFrame:
@@ -91,22 +91,60 @@ def dedup_configs(df: DataFrame, factors: list[str], seq: str) -> DataFrame:
     return first_by(df, factors, seq)
 
 
-def assign_folds(df: DataFrame, label: str, key: str, k: int, seed: int, buckets: int | None = None) -> DataFrame:
+def running_totals(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before it in ``order`` (distinct values), in two levels.
+
+    Rows are dealt out by ranges of ``order`` and written; each part's total, one row a part, reaches the
+    driver, and the rest of the sum is a window within the part.
+    """
+    parts = materialize(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals, before = [], 0
+    for part, total in sorted(tuple(r) for r in parts.groupBy("_part").agg(F.sum(value)).collect()):
+        totals.append((part, before))
+        before += total
+    ahead = df.sparkSession.createDataFrame(totals, "_part int, _before long")
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    # As many rows as parts.
+    return parts.join(F.broadcast(ahead), "_part").withColumn(out, F.col("_before") + F.coalesce(own, F.lit(0))).drop("_part", "_before")
+
+
+def _folds(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """``rows`` (by, _label as a structure, _key, _h) with fold: the rank by (label, hash, key) of its ``by``, modulo k.
+
+    A rank is that in a bucket of the hash (its first four digits, so 65,536 of them), plus the rows of the class's buckets before, plus those of the classes before.
+    No window holds a class, however large, and none holds all classes, however many.
+    """
+    rows = rows.withColumns({"_h": F.coalesce("_h", F.lit("")), "_b": F.coalesce(F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"), F.lit(0))})
+    counts = materialize(rows.groupBy(*by, "_label", "_b").agg(F.count(F.lit(1)).alias("_n")), "fold-counts")
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_label").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Every partition into folds has the same classes: those of the first one stand for all.
+    first = counts.where(" and ".join(f"{c} = 0" for c in by)) if by else counts
+    classes = running_totals(first.groupBy("_label").agg(F.sum("_n").alias("_rows")), "_label", "_rows", "_class").select("_label", "_class")
+    base = counts.withColumn("_within", within).join(classes, "_label").select(*by, "_label", "_b", (F.col("_within") + F.col("_class")).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_label", "_b").orderBy("_h", "_key")) - 1
+    # Spark broadcasts the bases if they are few, and otherwise joins where the ranks were counted.
+    joined = rows.withColumn("_rank", rank).join(base, [*by, "_label", "_b"])
+    return joined.withColumn("fold", F.pmod(F.col("_rank") + F.col("_base"), F.lit(k)).cast("int")).drop("_h", "_b", "_rank", "_base")
+
+
+def assign_folds(df: DataFrame, label: str, key: str, k: int, seed: int) -> DataFrame:
     """``df`` with a stratified fold from 0; class counts of folds differ by 1 at most, and so do fold sizes.
 
-    A row's rank in its class is by a hash of (seed, key). It is counted inside buckets of the
-    hash and moved on by the sums of the buckets before, a table of classes times buckets. Unless
-    given, buckets grow with the table, from 64 to 65,536, so that no window holds a whole class.
+    A row's rank in its class is by a hash of (seed, key); null labels are a class.
     """
     require_columns(df, label, key)
-    buckets = buckets or min(65_536, max(64, df.count() // 100_000))
-    rows = df.withColumn("_h", shuffle_key(seed, F.col(key))).withColumn("_b", F.pmod(F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") * buckets / 65536, F.lit(buckets)).cast("int"))
-    counts = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    offset = F.coalesce(F.sum("_n").over(Window.orderBy(label, "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = counts.withColumn("_base", offset).drop("_n")
-    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)) - 1
-    joined = rows.withColumn("_r", rank).alias("l").join(F.broadcast(base).alias("r"), F.col(f"l.{label}").eqNullSafe(F.col(f"r.{label}")) & (F.col("l._b") == F.col("r._b")))
-    return joined.select("l.*", F.pmod(F.col("l._r") + F.col("r._base"), F.lit(k)).cast("int").alias("fold")).drop("_h", "_b", "_r")
+    # A structure is never null, so one equality serves windows and joins.
+    rows = df.withColumns({"_label": F.struct(F.col(label).alias("of")), "_key": F.col(key), "_h": shuffle_key(seed, F.col(key))})
+    return _folds(rows, [], k).select(*df.columns, "fold")
+
+
+def assign_folds_many(df: DataFrame, label: str, key: str, k: int, seeds: list[int]) -> DataFrame:
+    """(key, folds): for each of ``seeds``, in order, the fold that assign_folds() gives, in as many jobs as for one. ``key`` is unique."""
+    require_columns(df, label, key)
+    each = F.posexplode(F.array(*[F.lit(s).cast("long") for s in seeds])).alias("_i", "_seed")
+    rows = df.select(F.struct(F.col(label).alias("of")).alias("_label"), F.col(key).alias("_key"), each).withColumn("_h", shuffle_key(F.col("_seed"), F.col("_key"))).drop("_seed")
+    held = _folds(rows, ["_i"], k).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_i", "fold"))).alias("_f"))
+    return held.select(F.col("_key").alias(key), F.col("_f.fold").alias("folds"))
 
 
 def top_k_by_distance(df: DataFrame, distance: Column, seq: str, k: int) -> DataFrame:

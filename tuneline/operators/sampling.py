@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tuneline.functions.scalars import Factor
 
 
-def shuffle_key(seed: int, key: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")).cast("binary"))
+def shuffle_key(seed: int | Column, key: Column) -> Column:
+    """The MD5 of seed and key; null for a null key."""
+    head = F.lit(f"{seed}-") if isinstance(seed, int) else F.concat(seed.cast("string"), F.lit("-"))
+    return F.md5(F.concat(head, key.cast("string")).cast("binary"))
 
 
 def level_count(n_factors: int, budget: int) -> int:

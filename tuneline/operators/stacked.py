@@ -1,4 +1,4 @@
-"""Models of all configurations and folds, fitted together: passes over the data don't grow with their number.
+"""Models of all configurations, folds and partitions into folds, fitted together: passes over the data don't grow with their number.
 
 A pass evaluates every model on every block of rows and adds up one array a model. Logistic models take Newton
 steps on their sums (loss, gradient, curvature), with elastic-net penalties solved on the driver's
@@ -27,9 +27,8 @@ STILL, HALVINGS = 1e-9, 30
 
 @dataclass
 class Scale:
-    """Rows and, over all rows and over each held fold's complement, means and sample deviations of the variables."""
+    """Over all rows means and deviations of the variables; over the complement of each fold of each partition rows and deviations."""
 
-    n: int
     mean: np.ndarray
     deviation: np.ndarray
     fold_n: np.ndarray
@@ -37,9 +36,10 @@ class Scale:
 
 
 def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(variables, label, fold) of blocks of ROWS rows."""
+    """(variables, label, folds) of blocks of ROWS rows; folds have a column for each partition."""
     for b in batches:
-        y, fold, x = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), matrix(b.column(2), width)
+        y, folds, x = b.column(0).to_numpy(zero_copy_only=False), b.column(1), matrix(b.column(2), width)
+        fold = folds.flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1) if pa.types.is_list(folds.type) else folds.to_numpy(zero_copy_only=False)[:, None]
         for at in range(0, len(y), ROWS):
             yield x[at : at + ROWS], y[at : at + ROWS].astype(float), fold[at : at + ROWS]
 
@@ -57,7 +57,7 @@ def _collected(df: DataFrame) -> dict[int, np.ndarray]:
 
 
 def fold_moments(data: DataFrame, width: int, k: int) -> dict[int, np.ndarray]:
-    """For each 2 * fold + label: rows, means and sums of squared deviations of the variables; one pass, 2k arrays."""
+    """For each 2 * (partition * k + fold) + label: rows, means and sums of squared deviations of the variables; one pass."""
 
     def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if not a[0] or not b[0]:
@@ -67,13 +67,14 @@ def fold_moments(data: DataFrame, width: int, k: int) -> dict[int, np.ndarray]:
 
     def sums(batches: Iterator[pa.RecordBatch]):
         held: dict[int, np.ndarray] = {}
-        for x, y, fold in _batches(batches, width):
-            code = 2 * fold + (y == 1)
-            for c in np.unique(code).tolist():
-                own = x[code == c]
-                mean = own.mean(0)
-                s = np.concatenate([[len(own)], mean, ((own - mean) ** 2).sum(0)])
-                held[c] = merge(held[c], s) if c in held else s
+        for x, y, folds in _batches(batches, width):
+            for part in range(folds.shape[1]):
+                code = 2 * (part * k + folds[:, part]) + (y == 1)
+                for c in np.unique(code).tolist():
+                    own = x[code == c]
+                    mean = own.mean(0)
+                    s = np.concatenate([[len(own)], mean, ((own - mean) ** 2).sum(0)])
+                    held[c] = merge(held[c], s) if c in held else s
         for c, s in sorted(held.items()):
             yield (c,), s
 
@@ -89,27 +90,32 @@ def _joined(parts: list[np.ndarray], width: int) -> tuple[float, np.ndarray, np.
     return n, mean, sum(p[1 + width :] + p[0] * (p[1 : 1 + width] - mean) ** 2 for p in parts)
 
 
-def scale_of(moments: dict[int, np.ndarray], width: int, k: int) -> Scale:
+def _rest(moments: dict[int, np.ndarray], part: int, fold: int, width: int, k: int, label: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Rows, means and squared deviations of a partition's rows outside a fold, of one label or of both."""
+    return _joined([m for c, m in moments.items() if c // 2 // k == part and c // 2 % k != fold and label in (None, c % 2)], width)
+
+
+def scale_of(moments: dict[int, np.ndarray], width: int, k: int, parts: int) -> Scale:
     dev = lambda n, ss: np.sqrt(ss / max(n - 1, 1))
-    n, mean, ss = _joined(list(moments.values()), width)
-    rest = [_joined([m for c, m in moments.items() if c // 2 != f], width) for f in range(k)]
-    return Scale(int(n), mean, np.where(dev(n, ss) > 0, dev(n, ss), 1.0), np.array([r[0] for r in rest]), np.array([dev(r[0], r[2]) for r in rest]))
+    n, mean, ss = _rest(moments, 0, -1, width, k)
+    rest = [[_rest(moments, s, f, width, k) for f in range(k)] for s in range(parts)]
+    return Scale(mean, np.where(dev(n, ss) > 0, dev(n, ss), 1.0), np.array([[r[0] for r in own] for own in rest]), np.array([[dev(r[0], r[2]) for r in own] for own in rest]))
 
 
-def _newton_sums(data: DataFrame, width: int, scale: Scale, weights: np.ndarray, held: np.ndarray) -> dict[int, np.ndarray]:
+def _newton_sums(data: DataFrame, width: int, scale: Scale, weights: np.ndarray, part: np.ndarray, held: np.ndarray) -> dict[int, np.ndarray]:
     """For each model its summed loss, gradient and packed curvature over the rows outside its held fold: one pass."""
     q = width + 1
     upper = np.triu_indices(q)
-    shared = data.sparkSession.sparkContext.broadcast((scale.mean, scale.deviation, weights, held))
+    shared = data.sparkSession.sparkContext.broadcast((scale.mean, scale.deviation, weights, part, held))
 
     def sums(batches: Iterator[pa.RecordBatch]):
-        mean, deviation, w, out = shared.value
+        mean, deviation, w, own, out = shared.value
         total = np.zeros((len(out), 1 + q + len(upper[0])))
         seen = False
         for x, y, fold in _batches(batches, width):
             seen = True
             z = np.column_stack([np.ones(len(x)), (x - mean) / deviation])
-            learn = (fold[:, None] != out[None]).astype(float)
+            learn = (fold[:, own] != out[None]).astype(float)
             margin = z @ w.T
             p = (1 + np.tanh(margin / 2)) / 2
             total[:, 0] += ((np.logaddexp(0, margin) - y[:, None] * margin) * learn).sum(0)
@@ -148,7 +154,7 @@ def _quadratic_step(w: np.ndarray, g: np.ndarray, h: np.ndarray, lasso: np.ndarr
 
 @dataclass
 class Fits:
-    """Coefficients in the variables' own units (the constant first) of each (configuration, held fold), and the steps that they took."""
+    """Coefficients in the variables' own units (the constant first) of each (configuration, held fold), the steps that they took, and all passes."""
 
     models: list[tuple[int, int]]
     coef: np.ndarray
@@ -156,15 +162,16 @@ class Fits:
     passes: int
 
 
-def fit_logistic(data: DataFrame, configs: list[dict], k: int) -> Fits:
+def fit_logistic(data: DataFrame, configs: list[dict], k: int, parts: list[int] | None = None) -> Fits:
     """Penalised logistic models of every configuration and held fold.
 
     A model minimises the mean loss plus regParam times the elastic net of its coefficients, each times its variable's
     deviation in the model's rows; the constant isn't penalised. maxIter bounds its Newton steps.
-    A step that makes the objective worse is halved. A pass advances all models that still move; ``data`` has label (0 or 1), fold and values.
+    A step that makes the objective worse is halved. A pass advances all models that still move; ``data`` has label (0 or 1), values and
+    fold, which is a number or an array of one for each partition; ``parts`` gives each configuration's partition.
     """
-    width = _width(data)
-    scale = scale_of(fold_moments(data, width, k), width, k)
+    width, parts = _width(data), parts or [0] * len(configs)
+    scale = scale_of(fold_moments(data, width, k), width, k, max(parts) + 1)
     models = [(c, f) for c in range(len(configs)) for f in range(k)]
     q = width + 1
     most = max(1, SUMS // (8 * (1 + q + q * (q + 1) // 2)))
@@ -174,18 +181,18 @@ def fit_logistic(data: DataFrame, configs: list[dict], k: int) -> Fits:
         w, before = {m: np.zeros(q) for m in own}, {}
         halved, left = dict.fromkeys(own, 0), list(own)
         while left:
-            held = np.array([models[m][1] for m in left])
-            found = _newton_sums(data, width, scale, np.array([w[m] for m in left]), held)
+            part, held = np.array([parts[models[m][0]] for m in left]), np.array([models[m][1] for m in left])
+            found = _newton_sums(data, width, scale, np.array([w[m] for m in left]), part, held)
             passes += 1
             still = []
             for i, m in enumerate(left):
                 c, f = models[m]
-                config, n = configs[c], scale.fold_n[f]
+                config, n, deviation = configs[c], scale.fold_n[parts[c], f], scale.fold_deviation[parts[c], f]
                 if i not in found or not n:
                     continue
                 s = found[i] / n
                 reg, share = float(config.get("regParam", 0.0)), float(config.get("elasticNetParam", 0.0))
-                relative = np.append(0.0, scale.fold_deviation[f] / scale.deviation)
+                relative = np.append(0.0, deviation / scale.deviation)
                 lasso, ridge = reg * share * relative, reg * (1 - share) * relative**2
                 value = s[0] + lasso @ np.abs(w[m]) + (ridge @ w[m] ** 2) / 2
                 if m in before and value > before[m][1] + 1e-12 * abs(before[m][1]):
@@ -203,7 +210,7 @@ def fit_logistic(data: DataFrame, configs: list[dict], k: int) -> Fits:
                 h[np.triu_indices(q)] = s[1 + q :]
                 h += np.triu(h, 1).T
                 # A variable that doesn't vary in the model's rows has no coefficient.
-                fixed = np.flatnonzero(np.append(1.0, scale.fold_deviation[f]) == 0)
+                fixed = np.flatnonzero(np.append(1.0, deviation) == 0)
                 h[fixed], h[:, fixed] = 0.0, 0.0
                 h[fixed, fixed], slope = 1.0, s[1 : 1 + q].copy()
                 slope[fixed] = 0.0
@@ -220,74 +227,77 @@ def fit_logistic(data: DataFrame, configs: list[dict], k: int) -> Fits:
     return Fits(models, coef, steps, passes)
 
 
-def _counts(data: DataFrame, width: int, models: list[tuple[int, int]], k: int, shared, margins) -> dict[int, np.ndarray]:
-    """For each configuration and fold, rows of (label, prediction) 00, 01, 10, 11 on the held fold: one pass.
+def _counts(data: DataFrame, width: int, parts: list[int], k: int, shared, margins) -> np.ndarray:
+    """For each configuration and fold, how many rows have (label, prediction) 00, 01, 10, 11 on the held fold: one pass.
 
-    ``margins(held value, fold, variables)`` gives rows times configurations; positive means class 1.
+    ``margins(held value, configurations, fold, variables)`` gives rows times configurations; positive means class 1.
     """
-    n_configs = len(models) // k
+    own = [(part, [c for c, p in enumerate(parts) if p == part]) for part in sorted(set(parts))]
 
     def sums(batches: Iterator[pa.RecordBatch]):
         held = shared.value
-        total = np.zeros((n_configs, k, 4))
-        for x, y, fold in _batches(batches, width):
-            for f in np.unique(fold).tolist():
-                at = fold == f
-                code = 2 * (y[at] == 1)[:, None] + (margins(held, f, x[at]) > 0)
-                for c in range(4):
-                    total[:, f, c] += (code == c).sum(0)
+        total = np.zeros((len(parts), k, 4))
+        for x, y, folds in _batches(batches, width):
+            for part, configs in own:
+                for f in np.unique(folds[:, part]).tolist():
+                    at = folds[:, part] == f
+                    code = 2 * (y[at] == 1)[:, None] + (margins(held, configs, f, x[at]) > 0)
+                    for c in range(4):
+                        total[configs, f, c] += (code == c).sum(0)
         yield (0,), total.ravel()
 
-    found = _collected(summed(data.select("label", "fold", "values"), sums)).get(0, np.zeros(n_configs * k * 4))
+    found = _collected(summed(data.select("label", "fold", "values"), sums)).get(0, np.zeros(len(parts) * k * 4))
     shared.destroy()
-    return dict(enumerate(found.reshape(-1, 4)))
+    return found.reshape(len(parts), k, 4)
 
 
-def _cells(configs: list[dict], models: list[tuple[int, int]], counts: dict[int, np.ndarray]) -> list[tuple]:
-    return [(configs[c]["config_id"], f, code // 2, code % 2, int(n)) for i, (c, f) in enumerate(models) for code, n in enumerate(counts[i]) if n]
+#: Confusion cells (configuration's place, fold, y, pred, n), and (configuration's place, fold, seconds).
+Cells = tuple[list[tuple], list[tuple]]
 
 
-def logistic_cells(data: DataFrame, configs: list[dict], k: int) -> tuple[list[tuple], list[tuple]]:
-    """Confusion cells (config_id, fold, y, pred, n) and (config_id, fold, seconds) of logistic models.
+def _cells(counts: np.ndarray, seconds: np.ndarray) -> Cells:
+    places = [(c, f) for c in range(counts.shape[0]) for f in range(counts.shape[1])]
+    return [(c, f, code // 2, code % 2, int(n)) for c, f in places for code, n in enumerate(counts[c, f]) if n], [(c, f, float(seconds[c, f])) for c, f in places]
 
-    Seconds are those of the shared passes, dealt out by the steps that a model took.
-    """
-    began = time.perf_counter()
-    fits, width = fit_logistic(data, configs, k), _width(data)
+
+def logistic_cells(data: DataFrame, configs: list[dict], k: int, parts: list[int] | None = None) -> Cells:
+    """Hits and seconds of logistic models. Seconds are those of the shared passes, dealt out by the steps that a model took."""
+    began, parts = time.perf_counter(), parts or [0] * len(configs)
+    fits, width = fit_logistic(data, configs, k, parts), _width(data)
     shared = data.sparkSession.sparkContext.broadcast(fits.coef.reshape(len(configs), k, -1))
-    counts = _counts(data, width, fits.models, k, shared, lambda w, f, x: x @ w[:, f, 1:].T + w[:, f, 0])
-    spent, weight = time.perf_counter() - began, (fits.steps + 1) / (fits.steps + 1).sum()
-    return _cells(configs, fits.models, counts), [(configs[c]["config_id"], f, float(spent * s)) for (c, f), s in zip(fits.models, weight, strict=True)]
+    counts = _counts(data, width, parts, k, shared, lambda w, own, f, x: x @ w[own, f, 1:].T + w[own, f, 0])
+    weight = (fits.steps + 1.0).reshape(len(configs), k)
+    return _cells(counts, (time.perf_counter() - began) * weight / weight.sum())
 
 
-def bayes_cells(data: DataFrame, configs: list[dict], k: int) -> tuple[list[tuple], list[tuple]]:
+def bayes_cells(data: DataFrame, configs: list[dict], k: int, parts: list[int] | None = None) -> Cells:
     """The same of Gaussian naive Bayes: class 1 where its probability is above a configuration's threshold.
 
-    Variances are widened by a billionth of the largest one in the model's rows.
+    Variances are widened by a billionth of the largest one in the model's rows. All models take an equal share of the seconds.
     """
-    began, width = time.perf_counter(), _width(data)
+    began, width, parts = time.perf_counter(), _width(data), parts or [0] * len(configs)
     moments = fold_moments(data, width, k)
-    fold_terms = []
-    for f in range(k):
-        both = [_joined([m for c, m in moments.items() if c // 2 != f and c % 2 == y], width) for y in (0, 1)]
-        n, _, ss = _joined([m for c, m in moments.items() if c // 2 != f], width)
-        least = 1e-9 * (ss / n).max(initial=0.0) if n else 0.0
-        fold_terms.append([(np.log(c / n) if c else -np.inf, mean, own / max(c, 1) + least) for c, mean, own in both])
+    terms: dict[int, list] = {}
+    for part in set(parts):
+        terms[part] = []
+        for f in range(k):
+            n, _, ss = _rest(moments, part, f, width, k)
+            least = 1e-9 * (ss / n).max(initial=0.0) if n else 0.0
+            both = [_rest(moments, part, f, width, k, y) for y in (0, 1)]
+            terms[part].append([(np.log(c / n) if c else -np.inf, mean, own / max(c, 1) + least) for c, mean, own in both])
     cut = np.array([float(c.get("threshold", 0.5)) for c in configs])
     with np.errstate(divide="ignore"):
         cut = np.log(cut / (1 - cut))
-    shared = data.sparkSession.sparkContext.broadcast((fold_terms, cut))
+    shared = data.sparkSession.sparkContext.broadcast((terms, cut, parts))
 
-    def margins(held, f: int, x: np.ndarray) -> np.ndarray:
-        terms, cuts = held
+    def margins(held, own: list[int], f: int, x: np.ndarray) -> np.ndarray:
+        terms, cuts, parts = held
         with np.errstate(divide="ignore", invalid="ignore"):
-            raw = [prior - (((x - mean) ** 2) / var + np.log(var)).sum(1) / 2 for prior, mean, var in terms[f]]
-        return (raw[1] - raw[0])[:, None] - cuts[None]
+            raw = [prior - (((x - mean) ** 2) / var + np.log(var)).sum(1) / 2 for prior, mean, var in terms[parts[own[0]]][f]]
+        return (raw[1] - raw[0])[:, None] - cuts[own][None]
 
-    models = [(c, f) for c in range(len(configs)) for f in range(k)]
-    counts = _counts(data, width, models, k, shared, margins)
-    each = (time.perf_counter() - began) / len(models)
-    return _cells(configs, models, counts), [(configs[c]["config_id"], f, each) for c, f in models]
+    counts = _counts(data, width, parts, k, shared, margins)
+    return _cells(counts, np.full(counts.shape[:2], (time.perf_counter() - began) / (len(configs) * k)))
 
 
 def logistic_coefficients(data: DataFrame, configs: list[dict], k: int) -> DataFrame:
