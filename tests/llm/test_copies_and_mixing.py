@@ -159,10 +159,31 @@ def test_flow_of_many_patterns():
     quota = [int(sum(supply) * 1.5 / 60 * rng.uniform(0.2, 1.8)) for _ in range(60)]
     taken = mixing.flows(supply, members, quota)
     assert 0.9 * sum(quota) <= sum(taken) <= sum(quota) and time.perf_counter() - began < 60
-    # Sources without shared documents need no flow, however many.
+    # Beyond the bound sources without shared documents need no flow, however many.
     assert mixing.flows([3] * 200_000, [(j,) for j in range(200_000)], [4] * 200_000) == [4] * 200_000
 
 
+def test_the_closed_form_equals_the_flow(monkeypatch):
+    """Alone or beside sources that share documents, a source of its own gets the same from both."""
+    rng = random.Random(9)
+    for _ in range(60):
+        own = rng.randint(1, 8)
+        members = [(j,) for j in range(own)] + [tuple(sorted(rng.sample(range(own, own + 3), rng.randint(1, 2)))) for _ in range(rng.randint(0, 3))]
+        supply, quota = [rng.randint(0, 9) for _ in members], [rng.randint(0, 20) for _ in range(own + 3)]
+        monkeypatch.setattr(mixing, "MAX_SHARED", 20_000)
+        routed = mixing.flows(supply, members, quota)
+        monkeypatch.setattr(mixing, "MAX_SHARED", len(members) - own if len(members) > own else 0)
+        assert mixing.flows(supply, members, quota)[:own] == routed[:own] and sum(mixing.flows(supply, members, quota)) == sum(routed)
+
+
+def test_registered_mix_runs_the_flow(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(mixing, "route", lambda supply, *a, f=mixing.route: asked.append(len(supply)) or f(supply, *a))
+    mixing.op9_mixing(spark, SMALL)
+    sources = spark.read.parquet(f"{SMALL}/documents.parquet").select("source").distinct().count()
+    assert asked == [sources]
+
+
 def test_mix_edges(spark):
     docs = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 9)), "ab"[i % 2] if i % 7 else None, 1) for i in range(400)] + [(400, None, "a", 1), (401, "", "z", 1)], "doc_id long, text string, source string, copies int")
     out = mixing.mix_documents(docs)

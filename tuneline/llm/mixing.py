@@ -145,7 +145,13 @@ def route(supply: list[int], members: list[tuple[int, ...]], quota: list[int], r
 
 
 def flows(supply: list[int], members: list[tuple[int, ...]], quota: list[int], repeats: int = REPEATS) -> list[int]:
-    """Words taken of each pattern. A source all of whose documents are its own needs no flow: it takes its quota, as far as repeats reach."""
+    """Words taken of each pattern, by route().
+
+    Of more than MAX_SHARED patterns only those are routed whose sources share documents: the flow to any other source
+    is its quota, as far as repeats reach, in closed form.
+    """
+    if len(members) <= MAX_SHARED:
+        return [sum(flow.values()) for flow in route(supply, members, quota, repeats)]
     patterns = Counter(j for own in members for j in own)
     shared = {j for own in members for j in own if len(own) > 1 or patterns[j] > 1}
     mixed = [i for i, own in enumerate(members) if shared.intersection(own)]
