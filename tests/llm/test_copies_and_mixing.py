@@ -6,6 +6,7 @@ import itertools
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from conftest import SMALL, rows
 from plain import brute_groups, brute_lines
@@ -192,3 +193,23 @@ def test_mix_edges(spark):
     assert mixing.mix_documents(docs.limit(0)).count() == 0
     shared = docs.withColumn("source", F.array(F.lit("x"), F.when(F.col("doc_id") % 2 == 0, "y")))
     assert mixing.mix_documents(shared).count() > 0
+
+
+def test_confirming_is_dealt_out_by_shingles(spark, monkeypatch):
+    """Links of long texts are spread over parts by their shingles, and none is lost."""
+    texts = {i: " ".join(f"w{i // 10}-{j}" for j in range(400)) + f" end{i % 3}" for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_groups(texts, 3, 85)
+    held = []
+    monkeypatch.setattr(near_dup, "_confirm", lambda *a, f=near_dup._confirm: held.append(1) or f(*a))
+    for most in (near_dup.BLOCK_SHINGLES, 500):
+        monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", most)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs, words=3, percent=85).collect()}
+        assert got == want and held
+
+
+def test_rows_alone_in_a_split_region_are_handed_on():
+    marks = [bytes(near_dup.HASHES)] * 4
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 3], pa.int64()), pa.array([10, 11, 12, 13], pa.int64()), pa.array(marks, pa.binary()), pa.array([False, True, False, False])], ["region", "id", "marks", "deep"])
+    out = [r for b in near_dup._first_round(85, 0.7)(iter([batch])) for r in b.to_pylist()]
+    assert {"a": 11, "b": 11} in out and not any(r["a"] == 10 for r in out) and {"a": 12, "b": 13} in out

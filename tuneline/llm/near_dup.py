@@ -164,13 +164,19 @@ class _Region:
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, bool, pa.RecordBatch]]:
-    """Slices of sorted batches, each within one region, with whether a region begins and ends there; regions of one row are left out."""
+    """Slices of sorted batches, each within one region, with whether a region begins and ends there.
+
+    Regions of one row are left out, unless the row is the only one of its part of a region that was split.
+    """
     held: list[pa.RecordBatch] = []
     last, begun = None, True
 
     def size() -> int:
         return sum(x.num_rows for x in held)
 
+    def wanted() -> bool:
+        return size() > 1 or not begun or bool(held and "deep" in held[0].schema.names and held[0].column("deep")[0].as_py())
+
     for b in batches:
         if not b.num_rows:
             continue
@@ -179,12 +185,12 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, bool, pa
         cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
         edges = [0, *cuts.tolist(), b.num_rows]
         if last is not None and key[0].tobytes() != last:
-            if size() > 1 or not begun:
+            if wanted():
                 yield begun, True, held
             held, begun = [], True
         for i, j in zip(edges[:-1], edges[1:], strict=True):
             if i:
-                if size() > 1 or not begun:
+                if wanted():
                     yield begun, True, held
                 held, begun = [], True
             for at in range(i, j, CHUNK):
@@ -193,7 +199,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, bool, pa
                     held, begun = [], False
                 held.append(b.slice(at, min(CHUNK, j - at)))
         last = key[-1].tobytes()
-    if size() > 1 or not begun:
+    if wanted():
         yield begun, True, held
 
 
@@ -401,19 +407,22 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough.
+def confirmed(pairs: DataFrame, docs: DataFrame, signs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough. ``signs`` has id and n_shingles.
 
     Pairs of neighbouring documents meet in one block, named by the smallest neighbour's
-    neighbour; a block of more than LINKS pairs is dealt out by the endpoint with fewer
+    neighbour; a block of more than LINKS pairs, or BLOCK_SHINGLES shingles, is dealt out by the endpoint with fewer
     partners, so that a hub's set travels to each part and no part grows.
     """
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label"), F.count(F.lit(1)).alias("degree")), "near")
-    own, other = near.select("a", F.col("label").alias("la"), F.col("degree").alias("da")), near.select(F.col("a").alias("b"), F.col("label").alias("lb"), F.col("degree").alias("db"))
+    # A document's shingles count in each of its pairs by their share, and so once where its pairs lie in one block.
+    near = near.join(signs.select(F.col("id").alias("a"), "n_shingles"), "a").select("a", "label", "degree", (F.col("n_shingles") / F.col("degree")).alias("weight"))
+    own, other = near.select("a", F.col("label").alias("la"), F.col("degree").alias("da"), F.col("weight").alias("wa")), near.select(F.col("a").alias("b"), F.col("label").alias("lb"), F.col("degree").alias("db"), F.col("weight").alias("wb"))
     low_is_a = F.expr("da < db or (da = db and a < b)")
-    placed = pairs.join(own, "a").join(other, "b").select(F.least("la", "lb").alias("block"), F.when(low_is_a, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(low_is_a, F.col("b")).otherwise(F.col("a")).alias("high"))
-    large = placed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / LINKS).alias("parts")).where("parts > 1")
+    placed = pairs.join(own, "a").join(other, "b").select(F.least("la", "lb").alias("block"), F.when(low_is_a, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(low_is_a, F.col("b")).otherwise(F.col("a")).alias("high"), (F.col("wa") + F.col("wb")).alias("weight"))
+    heavy = F.ceil(F.greatest(F.count(F.lit(1)) / LINKS, F.sum("weight") / BLOCK_SHINGLES))
+    large = placed.groupBy("block").agg(heavy.alias("parts")).where("parts > 1")
     placed = placed.join(large, "block", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("low"), "parts")).otherwise(0))
     place = F.concat_ws(":", "block", "part").alias("place")
     asked = placed.groupBy(place, F.col("low").alias("doc")).agg(F.collect_list("high").alias("partners"))
@@ -527,7 +536,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tagged = materialize(tagged.select("id", "n_shingles", "first", F.when(first, F.col("sign")).alias("sign"), F.when(first, F.col("marks")).alias("marks")), "tagged")
     signs = tagged.where(first).select("id", "n_shingles", "sign", "marks")
     pairs = forest_pairs(signs, percent, least)
-    links = materialize(confirmed(pairs.where("a <> b"), docs, words, percent), "links")
+    links = materialize(confirmed(pairs.where("a <> b"), docs, signs, words, percent), "links")
     group = components(links)
     dense = pairs.where("a = b").select(F.col("a").alias("id"))
     if not dense.isEmpty():
@@ -552,7 +561,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         few, forest = (found.where(c).select("a", "b").distinct() for c in ("not dense", "dense"))
         new = links.limit(0)
         if not few.isEmpty():
-            new = materialize(confirmed(few, docs, words, percent), "links")
+            new = materialize(confirmed(few, docs, signs, words, percent), "links")
         if not forest.isEmpty():
             new = new.unionByName(materialize(confirmed_in_blocks(forest, again, docs, words, percent, least), "links"))
         if not new.isEmpty():
