@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tuneline.functions.scalars import no_nan
 from tuneline.operators.sampling import shuffle_key
+from tuneline.operators.skyline import skyline
 from tuneline.session import materialize, require_columns
 
 
@@ -21,23 +22,18 @@ def pareto_front(df: DataFrame, by: list[str], maximize: str | list[str], minimi
     """``df`` with is_pareto: no row of the group is at least as good in every objective and better in one.
 
     A row with a missing value never dominates and is kept (or not, with ``drop_missing``).
-    Rows with a missing group key go. One objective each way is skyline_2d's; more of them take a
-    theta join of the group's distinct points, which is quadratic in their number.
+    Rows with a missing group key go. One objective each way is skyline_2d's; other numbers of them take
+    skyline() of the groups' distinct points.
     """
     high, low = ([c] if isinstance(c, str) else list(c) for c in (maximize, minimize))
     if len(high) == len(low) == 1:
         return skyline_2d(df, by, high[0], low[0], drop_missing)
     require_columns(df, *by, *high, *low)
-    both = lambda conditions: reduce(lambda a, b: a & b, conditions)
+    both = lambda conditions: reduce(lambda a, b: a & b, conditions, F.lit(True))
     values = {f"_o{i}": no_nan(F.col(c)) * (1 if i < len(high) else -1) for i, c in enumerate([*high, *low])}
     rows = df.where(both([F.col(c).isNotNull() for c in by])).withColumns(values)
     whole = both([F.col(c).isNotNull() for c in values])
-    points = rows.where(whole).select(*by, *values).distinct()
-    x, y = points.alias("x"), points.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in by]
-    no_worse = [F.col(f"y.{c}") >= F.col(f"x.{c}") for c in values]
-    better = reduce(lambda a, b: a | b, [F.col(f"y.{c}") > F.col(f"x.{c}") for c in values])
-    front = x.join(y, both([*same, *no_worse, better]), "left_anti").select("x.*").withColumn("_on", F.lit(True))
+    front = materialize(skyline(rows.where(whole).select(*by, *values).distinct(), by, list(values)), "front").withColumn("_on", F.lit(True))
     return rows.join(front, [*by, *values], "left").withColumn("is_pareto", F.coalesce("_on", ~whole & F.lit(not drop_missing))).drop(*values, "_on")
 
 

@@ -234,6 +234,16 @@ def _o27(spark, d):
     return _front(relational.pareto_front(views.runs(spark, d), ["replica"], "Accuracy_Mean", "Time_MeanFold"))
 
 
+@query("O27_pareto_front_three", """with r as (select l_suppkey % 30 as replica, l_orderkey, l_linenumber, l_partkey, case when l_orderkey % 97 = 0 then null else l_discount end as d, l_extendedprice as p, l_quantity as q from lineitem),
+u as (select distinct replica, d, p, q from r where d is not null),
+f as (select * from u x where not exists (select 1 from u y where y.replica = x.replica and y.d >= x.d and y.p <= x.p and y.q <= x.q and (y.d > x.d or y.p < x.p or y.q < x.q)))
+select r.replica, r.l_orderkey, r.l_linenumber, r.l_partkey, r.d is null or f.replica is not null as is_pareto from r left join f on r.replica = f.replica and r.d = f.d and r.p = f.p and r.q = f.q""")
+def _o27_three(spark, d):
+    """The largest discount, the lowest price and the smallest quantity."""
+    rows = table(spark, d, "lineitem").selectExpr("l_suppkey % 30 as replica", "l_orderkey", "l_linenumber", "l_partkey", "case when l_orderkey % 97 = 0 then null else l_discount end as d", "l_extendedprice as p", "l_quantity as q")
+    return relational.pareto_front(rows, ["replica"], ["d"], ["p", "q"]).select("replica", "l_orderkey", "l_linenumber", "l_partkey", "is_pareto")
+
+
 # Aggregations
 
 _CONFUSION = """select config_id, fold, (tp + tn)::double / (tp + fp + tn + fn) as accuracy, case when tp + fp = 0 then 0 else tp::double / (tp + fp) end as precision,
