@@ -418,3 +418,34 @@ def test_frontier_by_group_equals_single_ones(spark):
     # Terms that aren't quadratic are searched without polish.
     odd = surface.Surface("q", ["Intercept", "1/b"], [1.0, 2.0], 1, 1, 0.05, 9)
     assert frontier.frontier_search(spark, odd, held[0][1], box, step=1.0, starts=2, samples=5, rounds=1).first()["success"]
+
+
+@pytest.mark.parametrize(("a", "b"), [(1, 1), (1, 7), (7, 1), (3, 3), (16, 9), (2, 500)])
+def test_the_permutation_is_one(spark, a, b):
+    found = [(r["l"], r["r"]) for r in sampling.permuted_pairs(spark, a, b, a * b, 5).orderBy("i").collect()]
+    assert sorted(found) == [(x, y) for x in range(a) for y in range(b)]
+    if a * b > 50:
+        assert found != sorted(found) and found != [(r["l"], r["r"]) for r in sampling.permuted_pairs(spark, a, b, a * b, 6).orderBy("i").collect()]
+    with pytest.raises(ValueError):
+        sampling.permuted_pairs(spark, a, b, a * b + 1, 5)
+
+
+def test_points_of_a_huge_grid(spark):
+    """Fifty of 3^20 points, and of more than an integer counts, without making the grid."""
+    for d in (20, 60):
+        levels = {f"x{i}": [0.0, 1.0, 2.0] for i in range(d)}
+        found = sampling.permuted_grid(spark, levels, 50, 1)
+        rows = {tuple(r[f"x{i}"] for i in range(d)) for r in found.collect()}
+        assert len(rows) == 50 and {v for r in rows for v in r} == {0.0, 1.0, 2.0}
+    one = sampling.permuted_grid(spark, {"k": [float(i) for i in range(11)]}, 10, 1)
+    assert len({r["k"] for r in one.collect()}) == 10
+    every = sampling.permuted_grid(spark, {"a": [1.0, 2.0], "b": [5.0, 6.0]}, 9, 1)
+    assert len({(r["a"], r["b"]) for r in every.collect()}) == 4
+    # How often each level is picked is even: 2,000 of 40 x 40 x 40 points.
+    many = sampling.permuted_grid(spark, {n: [float(i) for i in range(40)] for n in "abc"}, 2_000, 3).collect()
+    for n in "abc":
+        counts = np.bincount([int(r[n]) for r in many], minlength=40)
+        assert 20 <= counts.min() and counts.max() <= 85
+    box = {"k": Factor(1, 3, True), "m": Factor(1, 2, True)}
+    few = [(r["k"], r["m"]) for r in sampling.distinct_configs(spark, box, 30, 2).collect()]
+    assert len(few) == len(set(few)) == 6

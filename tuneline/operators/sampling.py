@@ -43,6 +43,65 @@ def grid_product(spark: SparkSession, levels: dict[str, list[float]]) -> DataFra
     return out
 
 
+#: Rounds of the keyed permutation.
+_ROUNDS = 4
+
+
+def permuted_pairs(spark: SparkSession, a: int, b: int, n: int, seed: int) -> DataFrame:
+    """(i, l, r) for i from 0 to n - 1: distinct pairs with l < a and r < b, in the order of a permutation keyed by ``seed``.
+
+    Rounds move one side by a hash of the other, modulo the side's size, and so can be undone; no pair but
+    those asked for is looked at.
+    """
+    if n > a * b:
+        raise ValueError("more pairs than there are")
+    rows = spark.range(n).select(F.col("id").alias("i"), F.expr(f"id % {a}").alias("l"), F.expr(f"id div {a}").alias("r"))
+    for t in range(_ROUNDS):
+        other, own, size = ("r", "l", a) if t % 2 == 0 else ("l", "r", b)
+        shift = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-perm-{t}-"), F.col(other).cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
+        rows = rows.withColumn(own, F.pmod(F.col(own) + shift, F.lit(size)))
+    return rows
+
+
+def permuted_grid(spark: SparkSession, levels: dict[str, list[float]], n: int, seed: int) -> DataFrame:
+    """config_id and the levels of ``n`` distinct points of the grid, a seeded sample without replacement; all points, if there are no more.
+
+    It costs ``n``, not the grid, which may have more points than fit an integer: a point is a pair of places in the
+    products of the first and of the last factors. With a single factor its levels are laid out in a near square.
+    """
+    names = list(levels)
+    total = math.prod(map(len, levels.values()))
+    if total <= n:
+        return grid_product(spark, levels)
+    if len(names) == 1:
+        a = math.isqrt(total)
+        places = permuted_pairs(spark, a, -(-total // a), a * -(-total // a), seed).select(F.col("i").alias("config_id"), (F.col("r") * a + F.col("l")).alias("l")).where(F.col("l") < total).orderBy("config_id").limit(n)
+        halves = [("l", names)]
+    else:
+        halves = [("l", names[: len(names) // 2]), ("r", names[len(names) // 2 :])]
+        a, b = (math.prod(len(levels[f]) for f in own) for _, own in halves)
+        places = permuted_pairs(spark, a, b, n, seed).withColumnRenamed("i", "config_id")
+    out = ["config_id"]
+    for side, own in halves:
+        step = 1
+        for name in own:
+            at = F.expr(f"cast({side} div {step} % {len(levels[name])} as int)")
+            out.append(F.get(F.array(*[F.lit(float(v)) for v in levels[name]]), at).alias(name))
+            step *= len(levels[name])
+    return places.select(*out)
+
+
+def distinct_configs(spark: SparkSession, factors: dict[str, Factor], n: int, seed: int) -> DataFrame:
+    """n distinct combinations of drawn values: max(10, n) draws a factor, then a sample of their combinations without replacement.
+
+    Equal draws of a factor are one value, so no two rows are alike; a box of fewer points gives them all.
+    """
+    draws = max(10, n)
+    values = spark.range(draws).orderBy("id").select(*[draw(f, unit_draw(seed, name, F.col("id"))).cast("double").alias(name) for name, f in factors.items()]).collect()
+    levels = {name: list(dict.fromkeys(r[name] for r in values)) for name in factors}
+    return permuted_grid(spark, levels, n, seed)
+
+
 def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """n rows without replacement (all, if there are no more), by a hash of ``key``.
 

@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tuneline.functions.scalars import Factor
 from tuneline.operators.evaluate import Factory, evaluate_candidates, logistic
 from tuneline.operators.relational import best_config
-from tuneline.operators.sampling import factor_levels, grid_product, random_configs, sample_n
+from tuneline.operators.sampling import distinct_configs, factor_levels, permuted_grid, random_configs
 from tuneline.session import materialize
 
 #: Cells, in kernel widths, and terms of the series by which a cell's rows are summed up.
@@ -35,10 +35,10 @@ def summary(best: DataFrame, method: str, budget: int, seconds: float) -> DataFr
 
 
 def grid_configs(spark, factors: dict[str, Factor], budget: int, seed: int) -> DataFrame:
-    """A seeded sample of ``budget`` points of the full grid of evenly spaced levels."""
+    """A seeded sample of ``budget`` points of the full grid of evenly spaced levels, drawn without making the grid."""
     rows = factor_levels(spark, factors, budget).orderBy("factor", "level_no").collect()
     levels = {n: [r["level"] for r in rows if r["factor"] == n] for n in factors}
-    return sample_n(grid_product(spark, levels), budget, seed, "config_id")
+    return permuted_grid(spark, levels, budget, seed)
 
 
 def grid_search(data: DataFrame, factors: dict[str, Factor], budget: int, seed: int = 42, factory: Factory = logistic, k: int = 5) -> DataFrame:
@@ -51,8 +51,10 @@ def grid_search(data: DataFrame, factors: dict[str, Factor], budget: int, seed:
 
 def random_search(data: DataFrame, factors: dict[str, Factor], budget: int, seed: int = 42, factory: Factory = logistic, k: int = 5) -> DataFrame:
     began = time.perf_counter()
-    best, _ = evaluate_candidates(data, random_configs(data.sparkSession, factors, budget, seed), factors, factory, k)
-    return summary(best, "random", budget, time.perf_counter() - began)
+    chosen = materialize(distinct_configs(data.sparkSession, factors, budget, seed), "random")
+    best, _ = evaluate_candidates(data, chosen, factors, factory, k)
+    # Whole numbers of a small box may have fewer combinations than the budget.
+    return summary(best, "random", chosen.count(), time.perf_counter() - began)
 
 
 def _flat(found: DataFrame, factors: dict[str, Factor]) -> DataFrame:

@@ -449,6 +449,43 @@ def _o50(spark, d):
     return sampling.random_configs(spark, _boxes(spark, d), table(spark, d, "lineitem").count(), 42).withColumn("tax", _r("tax", 9))
 
 
+def _permutation(a: int | str, b: int | str, n: int, seed: int) -> str:
+    """The first n pairs of the keyed permutation of a times b as a table perm, as operators/sampling.py makes it."""
+    out = f"perm0 as (select i, i % {a} as l, i // {a} as r from (select unnest(range({n})) as i))"
+    for t in range(4):
+        other, own, size = ("r", "l", a) if t % 2 == 0 else ("l", "r", b)
+        moved = f"({own} + ('0x' || md5('{seed}-perm-{t}-' || {other})[1:13])::bigint) % {size} as {own}"
+        name = "perm" if t == 3 else f"perm{t + 1}"
+        out += f",\n{name} as (select i, {moved}, {other} from perm{t})"
+    return out
+
+
+_WIDE_BOX = 20
+
+
+def _wide_boxes(spark: SparkSession, d: str) -> dict[str, Factor]:
+    """Boxes of twenty components of the embeddings."""
+    ends = table(spark, d, "embeddings").agg(*[f(F.get("embedding", F.lit(i))).cast("double").alias(f"{n}{i}") for i in range(_WIDE_BOX) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    return {f"x{i:02d}": Factor(ends[f"lo{i}"], ends[f"hi{i}"]) for i in range(_WIDE_BOX)}
+
+
+@query("O57_grid_configs", f"with {_permutation(3**10, 3**10, 50, 42)},\nb as (select i, min(x) as lo, max(x) as hi from (select unnest(range(64)) as i, unnest(embedding)::double as x from embeddings) where i < {_WIDE_BOX} group by i)\nselect perm.i as config_id, " + ", ".join(f"round(lo{i} + (hi{i} - lo{i}) * ({'l' if i < 10 else 'r'} // {3 ** (i % 10)} % 3) / 2.0::double, 6) as x{i:02d}" for i in range(_WIDE_BOX)) + " from perm, (select " + ", ".join(f"max(lo) filter (where i = {i}) as lo{i}, max(hi) filter (where i = {i}) as hi{i}" for i in range(_WIDE_BOX)) + " from b)")
+def _o57_configs(spark, d):
+    """Fifty points of a grid of 3^20."""
+    found = search.grid_configs(spark, _wide_boxes(spark, d), 50, 42)
+    return found.select("config_id", *[_r(c).alias(c) for c in found.columns if c != "config_id"])
+
+
+@query("O50_distinct_configs", f"""with b as (select min(l_quantity) as q0, max(l_quantity) as q1, min(l_tax) as t0, max(l_tax) as t1 from lineitem),
+v as (select i, least(q0 + floor({_DRAW.format(seed=7, name="quantity", key="i")} * (q1 - q0 + 1)), q1)::double as quantity, t0 + {_DRAW.format(seed=7, name="tax", key="i")} * (t1 - t0) as tax from (select unnest(range(50)) as i), b),
+q as (select quantity, row_number() over (order by min(i)) - 1 as l from v group by quantity),
+t as (select tax, row_number() over (order by min(i)) - 1 as r from v group by tax),
+{_permutation("(select count(*) from q)", "(select count(*) from t)", 50, 7)}
+select i as config_id, quantity, round(tax, 9) as tax from perm join q using (l) join t using (r)""")
+def _o50_distinct(spark, d):
+    return sampling.distinct_configs(spark, _boxes(spark, d), 50, 7).withColumn("tax", _r("tax", 9))
+
+
 # Composite operators
 
 _TUNED = {"regParam": Factor(0.0, 0.5), "elasticNetParam": Factor(0.0, 1.0)}
@@ -726,7 +763,8 @@ def _o57_bayes(spark, d):
     return _winner(search.grid_search(_five(spark, d), _CUT, 5, factory=evaluate.bayes), "method", "budget")
 
 
-@query("O58_random_search_bayes", _bayes_sql(_CUTS.format(seed=42, n=5), _BEST.format(head="'random' as method, ", tail=", 5 as budget")))
+@query("O58_random_search_bayes", _bayes_sql(_permutation(3, 4, 12, 42) + """,
+c as (select i as config_id, threshold from (select i, r * 3 + l as place from perm where r * 3 + l < 10 order by i limit 5) join (select i as place, """ + f"0.05::double + {_DRAW.format(seed=42, name='threshold', key='i')} * (0.95::double - 0.05::double) as threshold from (select unnest(range(10)) as i)) using (place))", _BEST.format(head="'random' as method, ", tail=", 5 as budget")))
 def _o58_bayes(spark, d):
     return _winner(search.random_search(_five(spark, d), _CUT, 5, factory=evaluate.bayes), "method", "budget")
 
