@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tuneline.functions.scalars import no_nan
 from tuneline.operators.relational import group_max
-from tuneline.session import require_columns
+from tuneline.operators.selection import medians
+from tuneline.session import materialize, require_columns
 
 METRICS = ("accuracy", "precision", "recall", "specificity")
 STATISTICS = ("mean", "std", "median", "min", "max", "count")
@@ -31,17 +32,34 @@ def fold_means(df: DataFrame, by: list[str], seconds: str | None = None) -> Data
     return df.groupBy(*by).agg(*out, *([F.avg(seconds).alias("Time_MeanFold")] if seconds else []))
 
 
-def method_stats(df: DataFrame, by: str, columns: list[str], approximate: bool = False) -> DataFrame:
+#: Values of a group and column up to which a task may hold them for the exact median.
+HELD_VALUES = 1_000_000
+
+
+def method_stats(df: DataFrame, by: str, columns: list[str], approximate: bool = False, held: int = HELD_VALUES) -> DataFrame:
     """Mean, sample deviation, median, extremes and count of non-missing values, for the columns there are; a null group stays.
 
-    The exact median holds a group's distinct values; ``approximate`` bounds that for huge groups.
+    Where a group has more than ``held`` values of a column, the exact medians come from histograms of all groups
+    and not from a task that holds its values; ``approximate`` takes a sketch.
     """
-    aggregates = []
-    for c in (c for c in columns if c in df.columns):
-        v = no_nan(F.col(c))
-        median = F.percentile_approx(v, 0.5, 10_000).cast("double") if approximate else F.median(v)
-        aggregates += [f.alias(f"{c}_{s}") for f, s in zip((F.avg(v), F.stddev_samp(v), median, F.min(v), F.max(v), F.count(v)), STATISTICS, strict=True)]
-    return df.groupBy(by).agg(*aggregates)
+    require_columns(df, by)
+    own, aggregates, values = [c for c in columns if c in df.columns], [], {}
+    for c in own:
+        v = values[c] = no_nan(F.col(c))
+        parts = dict(zip(STATISTICS, (F.avg(v), F.stddev_samp(v), F.percentile_approx(v, 0.5, 10_000).cast("double"), F.min(v), F.max(v), F.count(v)), strict=True))
+        aggregates += [parts[s].alias(f"{c}_{s}") for s in STATISTICS if approximate or s != "median"]
+    stats = df.groupBy(by).agg(*aggregates) if aggregates else df.select(by).distinct()
+    if approximate or not own:
+        return stats
+    stats = materialize(stats, "statistics")
+    most = max(stats.agg(*[F.max(f"{c}_count") for c in own]).first(), key=lambda n: n or 0) or 0
+    if most <= held:
+        right = df.groupBy(F.col(by).alias("_by")).agg(*[F.median(values[c]).alias(f"{c}_median") for c in own])
+    else:
+        found = medians(df, [by], own)
+        right = found.groupBy(F.col(by).alias("_by")).agg(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"{c}_median") for c in own])
+    joined = stats.join(right, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return joined.select(by, *[f"{c}_{s}" for c in own for s in STATISTICS])
 
 
 def win_rate(df: DataFrame, by: str, group: str, metric: str, tolerance: float = 1e-12) -> DataFrame:

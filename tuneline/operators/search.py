@@ -18,6 +18,7 @@ from tuneline.functions.scalars import Factor
 from tuneline.operators.evaluate import Factory, evaluate_candidates, logistic
 from tuneline.operators.relational import best_config
 from tuneline.operators.sampling import distinct_configs, factor_levels, permuted_grid, random_configs
+from tuneline.operators.selection import select_ranks
 from tuneline.session import materialize
 
 #: Cells, in kernel widths, and terms of the series by which a cell's rows are summed up.
@@ -93,9 +94,10 @@ def _tree(tree, v):
 def _good_from(history: DataFrame, good_share: float) -> Column:
     """Whether a history row's percentile rank by accuracy, best first and ties alike, is at most ``good_share``; nulls rank last.
 
-    The cut is the row of that rank. A quantile sketch narrows the accuracies down to a band
-    that holds it; only the band's distinct values reach the driver.
+    The cut is the accuracy of the last row of that rank, which histograms find; one number reaches the driver.
     """
+    if not 0 <= good_share <= 1:
+        raise ValueError("good_share lies between 0 and 1")
     acc = F.nanvl(F.col("Accuracy_Mean").cast("double"), F.lit(None).cast("double"))
     n, held = history.agg(F.count(F.lit(1)), F.count(acc)).first()
     place = math.floor(good_share * (n - 1)) if n > 1 else 0
@@ -103,17 +105,8 @@ def _good_from(history: DataFrame, good_share: float) -> Column:
     place += int(n > 1 and (place + 1) / (n - 1) <= good_share)
     if place >= held:
         return F.lit(True)
-    near = 1 - place / max(1, held - 1)
-    low, high = history.agg(F.percentile_approx(acc, [max(0.0, near - 0.002), min(1.0, near + 0.002)], 10_000)).first()[0]
-    for _ in range(2):
-        above = history.where(acc > high).count()
-        band = sorted(history.where(acc.between(low, high)).groupBy(acc.alias("a")).count().collect(), key=lambda r: -r["a"])
-        for r in band:
-            if above <= place < above + r["count"]:
-                return F.coalesce(acc >= r["a"], F.lit(False))
-            above += r["count"]
-        low, high = history.agg(F.min(acc), F.max(acc)).first()
-    raise ValueError("good_share lies between 0 and 1")
+    cut = select_ranks(history, [], ["Accuracy_Mean"], F.array(F.lit(held - 1 - place))).first()["value"]
+    return F.coalesce(acc >= cut, F.lit(False))
 
 
 def _moments(history: DataFrame, good: Column, factors: dict[str, Factor]) -> dict[str, tuple[list, list]]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tuneline.functions import scalars as S
 from tuneline.functions.scalars import Factor
-from tuneline.operators import evaluate, factors, frontier, linalg, metrics, relational, sampling, search, stacked, surface
+from tuneline.operators import evaluate, factors, frontier, linalg, metrics, relational, sampling, search, selection, stacked, surface
 from tuneline.plans import pipeline, views
 from tuneline.plans.views import table
 from tuneline.session import materialize, scratch_root
@@ -272,6 +272,21 @@ def _o30(spark, d):
     return stats.select("method", *[(c if c.endswith("_count") else _r(c, 9).alias(c)) for c in stats.columns if c != "method"])
 
 
+@query("O30_method_stats_selected", f"select method, {_STATS} from runs_ties group by method", "runs_ties")
+def _o30_selected(spark, d):
+    """The same statistics, with medians by histograms."""
+    stats = metrics.method_stats(views.runs_ties(spark, d), "method", pipeline.STAT_COLUMNS, held=0)
+    return stats.select("method", *[(c if c.endswith("_count") else _r(c, 9).alias(c)) for c in stats.columns if c != "method"])
+
+
+@query("O30_quantiles_by_supplier", """with r as (select l_suppkey, l_extendedprice as v, row_number() over (partition by l_suppkey order by l_extendedprice) - 1 as rank, count(*) over (partition by l_suppkey) as n from lineitem)
+select l_suppkey, n, rank, v as value from r where rank in (0, n // 4, n // 2, 3 * n // 4, n - 1)""")
+def _o30_quantiles(spark, d):
+    n = F.col("n")
+    places = F.array(F.lit(0).cast("long"), F.expr("n div 4"), F.expr("n div 2"), F.expr("3 * n div 4"), n - 1)
+    return selection.select_ranks(table(spark, d, "lineitem"), ["l_suppkey"], ["l_extendedprice"], places).drop("column")
+
+
 _WIN_SQL = 'select method, sum(case when "Accuracy_Mean" >= top - 1e-12 then 1 else 0 end)::bigint as wins, count(*) as n, round(sum(case when "Accuracy_Mean" >= top - 1e-12 then 1 else 0 end) / (select count(distinct replica) from {v})::double, 9) as win_rate from (select *, max("Accuracy_Mean") over (partition by replica) as top from {v}) group by method'
 
 
