@@ -421,8 +421,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, signs: DataFrame, words: int, p
     own, other = near.select("a", F.col("label").alias("la"), F.col("degree").alias("da"), F.col("weight").alias("wa")), near.select(F.col("a").alias("b"), F.col("label").alias("lb"), F.col("degree").alias("db"), F.col("weight").alias("wb"))
     low_is_a = F.expr("da < db or (da = db and a < b)")
     placed = pairs.join(own, "a").join(other, "b").select(F.least("la", "lb").alias("block"), F.when(low_is_a, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(low_is_a, F.col("b")).otherwise(F.col("a")).alias("high"), (F.col("wa") + F.col("wb")).alias("weight"))
+    # Both sides of the next join are written, so that the rows of a large block can be split.
+    placed = materialize(placed, "placed")
     heavy = F.ceil(F.greatest(F.count(F.lit(1)) / LINKS, F.sum("weight") / BLOCK_SHINGLES))
-    large = placed.groupBy("block").agg(heavy.alias("parts")).where("parts > 1")
+    large = materialize(placed.groupBy("block").agg(heavy.alias("parts")).where("parts > 1"), "heavy")
     placed = placed.join(large, "block", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("low"), "parts")).otherwise(0))
     place = F.concat_ws(":", "block", "part").alias("place")
     asked = placed.groupBy(place, F.col("low").alias("doc")).agg(F.collect_list("high").alias("partners"))
