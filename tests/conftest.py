@@ -8,6 +8,8 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
+# Read when numpy is first imported, as tuneline's own import sets it.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
 SMALL = "/root/testdata/sf0.001"
 
 

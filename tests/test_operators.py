@@ -449,3 +449,64 @@ def test_points_of_a_huge_grid(spark):
     box = {"k": Factor(1, 3, True), "m": Factor(1, 2, True)}
     few = [(r["k"], r["m"]) for r in sampling.distinct_configs(spark, box, 30, 2).collect()]
     assert len(few) == len(set(few)) == 6
+
+
+def test_surrogate_picks_equal_a_plain_posterior(spark):
+    rng = np.random.default_rng(7)
+    box = {"a": Factor(0.0, 2.0), "b": Factor(-1.0, 1.0)}
+    past = rng.uniform([0, -1], [2, 1], (25, 2))
+    y = np.sin(2 * past[:, 0]) + past[:, 1] ** 2
+    history = spark.createDataFrame([(float(v), *map(float, r)) for v, r in zip(y, past, strict=True)] + [(None, 0.0, 0.0)], "Accuracy_Mean double, a double, b double")
+    points = rng.uniform([0, -1], [2, 1], (500, 2))
+    pool = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(points)], "config_id long, a double, b double").repartition(3)
+    got = {r["config_id"]: r for r in search.surrogate_scores(history, pool, box, (0.3,), (0.01,)).collect()}
+    unit = lambda x: (x - [0, -1]) / [2, 2]
+    kernel = lambda p, q: np.exp(-((p[:, None] - q[None]) ** 2).sum(2) / (2 * 0.3**2))
+    held = kernel(unit(past), unit(past)) + 0.01 * np.eye(25)
+    k, z = kernel(unit(points), unit(past)), (y - y.mean()) / y.std()
+    mean = y.mean() + y.std() * k @ np.linalg.solve(held, z)
+    deviation = y.std() * np.sqrt(1 - np.einsum("ij,ij->i", k, np.linalg.solve(held, k.T).T))
+    assert np.allclose([got[i]["mean"] for i in range(500)], mean) and np.allclose([got[i]["deviation"] for i in range(500)], deviation)
+    t = (mean - y.max()) / deviation
+    gain = np.array([(m - y.max()) * 0.5 * (1 + math.erf(v / math.sqrt(2))) + s * math.exp(-v * v / 2) / math.sqrt(2 * math.pi) for m, s, v in zip(mean, deviation, t, strict=True)])
+    assert np.allclose([got[i]["improvement"] for i in range(500)], gain)
+    # Length and noise by the likelihood; the picks follow the improvement.
+    best = search.surrogate_scores(history, pool, box).orderBy(F.desc("improvement"), "config_id").limit(5).collect()
+    assert [r["config_id"] for r in search.surrogate_pick(history, pool, box, 5).collect()] == [r["config_id"] for r in best]
+    with pytest.raises(ValueError):
+        search.surrogate_scores(history.where("Accuracy_Mean is null"), pool, box)
+
+
+def test_history_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(search, "HISTORY", 3)
+    rows = spark.range(4).select(F.col("id").alias("config_id"), F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("Accuracy_Mean"))
+    with pytest.raises(ValueError, match="history"):
+        search.surrogate_scores(rows, rows, {"x": Factor(0, 4)})
+
+
+def test_files_of_any_size_are_fingerprinted(spark, tmp_path, monkeypatch):
+    """Three gigabytes, which no row can hold, beside small files; and files that only the driver can open."""
+    wanted = {}
+    for name, size in (("small", 1000), ("large", 3 << 30)):
+        path = tmp_path / name
+        digest = hashlib.sha256()
+        with open(path, "wb") as f:
+            f.write(b"x" * min(size, 10))
+            f.truncate(size)
+        with open(path, "rb") as f:
+            while step := f.read(1 << 24):
+                digest.update(step)
+        wanted[name] = (size, digest.hexdigest())
+    named = lambda df: {r["path"].rsplit("/", 1)[1]: (r["length"], r["sha256"]) for r in df.collect()}
+    assert named(tables.file_fingerprints(spark, str(tmp_path))) == wanted
+    (tmp_path / "large").unlink()
+    del wanted["large"]
+    assert named(tables.file_fingerprints(spark, str(tmp_path), whole=-1)) == wanted
+    import pyarrow as pa
+
+    def closed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.string())], ["path", "length", "sha256"])
+
+    monkeypatch.setattr(tables, "_streamed", closed)
+    assert named(tables.file_fingerprints(spark, str(tmp_path), whole=-1)) == wanted

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 import math
 import time
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tuneline.functions.scalars import Factor
+from tuneline.functions.scalars import Factor, no_nan
 from tuneline.operators.evaluate import Factory, evaluate_candidates, logistic
 from tuneline.operators.relational import best_config
 from tuneline.operators.sampling import distinct_configs, factor_levels, permuted_grid, random_configs
 from tuneline.operators.selection import select_ranks
 from tuneline.session import materialize
 
+#: Evaluations of a search that its process is fitted on at most.
+HISTORY = 1_000
 #: Cells, in kernel widths, and terms of the series by which a cell's rows are summed up.
 _CELL, _ORDER = 0.5, 24
 
@@ -62,33 +62,85 @@ def _flat(found: DataFrame, factors: dict[str, Factor]) -> DataFrame:
     return found.select("config_id", "Accuracy_Mean", "Time_MeanFold", *[c for c in found.columns if c.endswith("_Mean") and c != "Accuracy_Mean"], "hyperparameters", *[F.element_at("hyperparameters", F.lit(n)).alias(n) for n in factors])
 
 
-def surrogate_pick(history: DataFrame, pool: DataFrame, factors: dict[str, Factor], n: int, seed: int) -> DataFrame:
-    """The ``n`` pool rows of largest expected improvement under a random forest's mean and spread over its trees."""
-    made = VectorAssembler(inputCols=list(factors), outputCol="_x")
-    model = RandomForestRegressor(featuresCol="_x", labelCol="Accuracy_Mean", numTrees=20, maxDepth=5, seed=seed).fit(made.transform(history.select("Accuracy_Mean", *[F.col(f).cast("double").alias(f) for f in factors])))
-    top = history.agg(F.max("Accuracy_Mean")).first()[0]
-    rows = made.transform(pool).withColumn("_v", vector_to_array("_x"))
-    guesses = F.array(*[_tree(t, F.col("_v")) for t in model.trees])
-    rows = rows.withColumn("_g", guesses)
-    mean = F.aggregate("_g", F.lit(0.0), lambda a, x: a + x) / len(model.trees)
-    rows = rows.withColumn("_m", mean).withColumn("_s", F.sqrt(F.aggregate("_g", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m"))) / len(model.trees)) + 1e-9)
-    z = (F.col("_m") - top) / F.col("_s")
-    density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    # The normal distribution's tail by a logistic curve, which orders points alike.
-    share = 1 / (1 + F.exp(-1.702 * z))
-    return rows.withColumn("_e", (F.col("_m") - top) * share + F.col("_s") * density).orderBy(F.desc("_e"), "config_id").limit(n).select("config_id", *factors)
+@dataclass
+class Process:
+    """A Gaussian process on points of the unit box: what its posterior needs."""
 
+    x: np.ndarray
+    weights: np.ndarray
+    inverse: np.ndarray
+    length: float
+    mean: float
+    scale: float
 
-def _tree(tree, v):
-    """A regression tree as a column expression."""
+    def posterior(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Means and deviations of the noiseless values at rows of ``at``."""
+        k = _kernel(at, self.x, self.length)
+        variance = np.maximum(1 - ((k @ self.inverse) * k).sum(1), 0.0)
+        return self.mean + self.scale * (k @ self.weights), self.scale * np.sqrt(variance)
 
-    def walk(node):
-        if node.numDescendants() == 0:
-            return F.lit(float(node.prediction()))
-        split = node.split()
-        return F.when(F.get(v, F.lit(split.featureIndex())) <= F.lit(float(split.threshold())), walk(node.leftChild())).otherwise(walk(node.rightChild()))
 
-    return walk(tree._call_java("rootNode"))
+def _kernel(a: np.ndarray, b: np.ndarray, length: float) -> np.ndarray:
+    apart = ((a[:, None] - b[None]) ** 2).sum(2) if len(a) * len(b) <= 1 << 22 else (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T
+    return np.exp(-np.maximum(apart, 0) / (2 * length**2))
+
+
+def fit_process(x: np.ndarray, y: np.ndarray, lengths: tuple = (0.1, 0.2, 0.4, 0.8), noises: tuple = (1e-4, 1e-2, 1e-1)) -> Process:
+    """The process with a squared exponential kernel, of values less their mean over their deviation; length and noise are those of the largest likelihood."""
+    mean, scale = float(y.mean()), float(y.std()) or 1.0
+    z, best = (y - mean) / scale, None
+    for length in lengths:
+        k = _kernel(x, x, length)
+        for noise in noises:
+            held = k + noise * np.eye(len(x))
+            sign, log = np.linalg.slogdet(held)
+            weights = np.linalg.solve(held, z)
+            likely = -(z @ weights + log) / 2 if sign > 0 else -math.inf
+            if best is None or likely > best[0]:
+                best = likely, length, weights, np.linalg.inv(held)
+    return Process(x, best[2], best[3], best[1], mean, scale)
+
+
+def expected_improvement(mean: np.ndarray, deviation: np.ndarray, top: float) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = (mean - top) / deviation
+    share = np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z.tolist()])
+    out = (mean - top) * share + deviation * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    return np.where(deviation > 0, out, np.maximum(mean - top, 0.0))
+
+
+def surrogate_scores(history: DataFrame, pool: DataFrame, factors: dict[str, Factor], lengths: tuple = (0.1, 0.2, 0.4, 0.8), noises: tuple = (1e-4, 1e-2, 1e-1)) -> DataFrame:
+    """``pool`` (config_id, factors) with the posterior mean and deviation of its accuracy, and the expected improvement over the best so far.
+
+    The history is a search's evaluations, each of which took model fits, and HISTORY of them at most; it is fitted on the
+    driver. The pool may have any size and is scored where it lies. Evaluations without an accuracy don't count.
+    """
+    names = list(factors)
+    held = history.select("Accuracy_Mean", *[F.col(f).cast("double").alias(f) for f in names]).where(no_nan(F.col("Accuracy_Mean")).isNotNull()).orderBy(*names, "Accuracy_Mean").limit(HISTORY + 1).toArrow()
+    if len(held) > HISTORY:
+        raise ValueError(f"a history of over {HISTORY} evaluations")
+    if not len(held):
+        raise ValueError("no evaluations")
+    low, width = np.array([f.lo for f in factors.values()], float), np.array([(f.hi - f.lo) or 1.0 for f in factors.values()], float)
+    past, y = np.column_stack([held[f].to_numpy() for f in names]), held["Accuracy_Mean"].to_numpy()
+    shared = pool.sparkSession.sparkContext.broadcast((fit_process((past - low) / width, y, lengths, noises), float(y.max())))
+
+    def score(batches):
+        process, top = shared.value
+        for b in batches:
+            x = np.column_stack([b.column(b.num_columns - len(names) + i).to_numpy(zero_copy_only=False) for i in range(len(names))])
+            found = [process.posterior((x[at : at + 4096] - low) / width) for at in range(0, len(x), 4096)]
+            mean, deviation = (np.concatenate([np.zeros(0), *(f[i] for f in found)]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names) + 1], pa.array(mean), pa.array(deviation), pa.array(expected_improvement(mean, deviation, top))], ["config_id", *names, "mean", "deviation", "improvement"])
+
+    rows = pool.select("config_id", *names, *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(names)])
+    kinds = StructType([*pool.select("config_id", *names).schema.fields, *StructType.fromDDL("mean double, deviation double, improvement double").fields])
+    return rows.mapInArrow(score, kinds)
+
+
+def surrogate_pick(history: DataFrame, pool: DataFrame, factors: dict[str, Factor], n: int) -> DataFrame:
+    """The ``n`` pool rows of largest expected improvement under a Gaussian process of the history; ties go to smaller ids."""
+    return surrogate_scores(history, pool, factors).orderBy(F.desc("improvement"), "config_id").limit(n).select("config_id", *factors)
 
 
 def _good_from(history: DataFrame, good_share: float) -> Column:
@@ -173,7 +225,7 @@ def guided_search(data: DataFrame, factors: dict[str, Factor], budget: int, pick
     while spent < budget - 1:
         n = min(batch, budget - 1 - spent)
         fresh = random_configs(spark, factors, pool, seed + spent).withColumn("config_id", F.col("config_id") + 1_000_000 * (spent + 1))
-        chosen = surrogate_pick(history, fresh, factors, n, seed) if pick == "surrogate" else density_pick(history, fresh, factors, n)
+        chosen = surrogate_pick(history, fresh, factors, n) if pick == "surrogate" else density_pick(history, fresh, factors, n)
         _, found = evaluate_candidates(data, materialize(chosen, "chosen"), factors, factory, k)
         history = materialize(history.unionByName(_flat(found, factors)), "history")
         spent += n

@@ -98,6 +98,16 @@ def _o08(spark, d):
     return found.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), "length", "sha256")
 
 
+@query("O08_file_fingerprints_streamed", """with f as (select c_custkey // 1000 as part, string_agg(c_name || ';' || c_nationkey || chr(10), '' order by c_custkey) as body from customer group by 1)
+select part, strlen(body) as length, sha256(body) as sha256 from f""")
+def _o08_streamed(spark, d):
+    """The same files, each of which is streamed."""
+    root, rows = _folder(spark, "files"), table(spark, d, "customer").selectExpr("c_custkey div 1000 as part", "c_custkey", "concat_ws(';', c_name, c_nationkey) as line")
+    rows.repartition("part").sortWithinPartitions("part", "c_custkey").select("part", "line").write.partitionBy("part").text(root)
+    found = tables.file_fingerprints(spark, root, whole=0)
+    return found.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), "length", "sha256")
+
+
 @query("O08_table_fingerprints")
 def _o08_tables(spark, d):
     return tables.file_fingerprints(spark, [f"{d}/{t}.parquet" for t in ("orders", "customer", "supplier")])
@@ -789,6 +799,25 @@ def _o59(spark, d):
     return _shown(search.surrogate_search(_five(spark, d), _TUNED, 8, pool=5_000))
 
 
+@query("O59_surrogate_scores", """with h as (select l_returnflag, avg(l_discount) / 0.1::double as x, avg(l_tax) as y from lineitem group by 1),
+a as (select l_returnflag as f, x, (y - avg(y) over ()) / stddev_pop(y) over () as z, avg(y) over () as mu, stddev_pop(y) over () as sd, max(y) over () as top from h),
+k as (  -- three evaluations: the kernel matrix by its entries, and its inverse by cofactors
+  select p.x as xa, q.x as xn, r.x as xr, p.z as za, q.z as zn, r.z as zr, p.mu, p.sd, 1.01::double as d,
+    exp((p.x - q.x) * (q.x - p.x) / 0.18) as u, exp((p.x - r.x) * (r.x - p.x) / 0.18) as v, exp((q.x - r.x) * (r.x - q.x) / 0.18) as w from a p, a q, a r where p.f = 'A' and q.f = 'N' and r.f = 'R'),
+m as (select *, d * (d * d - w * w) - u * (u * d - v * w) + v * (u * w - v * d) as det from k),
+i as (select *, (d * d - w * w) / det as aa, (v * w - u * d) / det as an, (u * w - v * d) / det as ar, (d * d - v * v) / det as nn, (u * v - w * d) / det as nr, (d * d - u * u) / det as rr from m),
+g as (select p_partkey as config_id, (p_partkey % 100) / 100.0::double as t from part),
+e as (select config_id, i.*, exp((t - xa) * (xa - t) / 0.18) as ka, exp((t - xn) * (xn - t) / 0.18) as kn, exp((t - xr) * (xr - t) / 0.18) as kr from g, i)
+select config_id, round(mu + sd * (ka * (aa * za + an * zn + ar * zr) + kn * (an * za + nn * zn + nr * zr) + kr * (ar * za + nr * zn + rr * zr)), 9) as mean,
+  round(sd * sqrt(greatest(0, 1 - ka * (aa * ka + an * kn + ar * kr) - kn * (an * ka + nn * kn + nr * kr) - kr * (ar * ka + nr * kn + rr * kr))), 7) as deviation from e""")
+def _o59_scores(spark, d):
+    """The posterior of three evaluations, one a flag, over all parts."""
+    past = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.avg("l_discount").alias("x"), F.avg("l_tax").alias("Accuracy_Mean"))
+    pool = table(spark, d, "part").select(F.col("p_partkey").alias("config_id"), ((F.col("p_partkey") % 100) / 1000).alias("x"))
+    found = search.surrogate_scores(past, pool, {"x": Factor(0.0, 0.1)}, (0.3,), (0.01,))
+    return found.select("config_id", _r("mean", 9).alias("mean"), _r("deviation", 7).alias("deviation"))
+
+
 @query("O60_density_search")
 def _o60(spark, d):
     return _shown(search.density_search(_five(spark, d), _TUNED, 8, pool=5_000))

@@ -136,10 +136,59 @@ def read_candidates(df: DataFrame, factors: list[str], text_col: str = "hyperpar
     return out.dropna(subset=factors) if on_bad == "drop" else out
 
 
-def file_fingerprints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, length, sha256) of each file. A file is one row, so one of 2 GB or more is an error of Spark's reader."""
+#: Bytes of a file up to which Spark reads it as one row, and bytes of a step of the others' stream.
+WHOLE_FILE, STREAM_STEP = 256 << 20, 8 << 20
+
+
+def _streamed(batches):
+    """Digests of the files of a column of paths, read in steps; null where the path's store can't be opened here."""
+    import hashlib
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for b in batches:
+        out = []
+        for path in b.column(0).to_pylist():
+            digest = hashlib.sha256()
+            try:
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(at) as stream:
+                    while step := stream.read(STREAM_STEP):
+                        digest.update(step)
+            except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+                out.append(None)
+                continue
+            out.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], ["path", "length", "sha256"])
+
+
+def _streamed_here(spark: SparkSession, path: str) -> str:
+    """The digest of a file by the driver's own file systems, which read every store that Spark reads."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def file_fingerprints(spark: SparkSession, paths: str | list[str], whole: int = WHOLE_FILE) -> DataFrame:
+    """(path, length, sha256) of each file, whatever its size; Spark's reader lists no empty files, which have no row.
+
+    Files of up to ``whole`` bytes are rows of Spark's reader. Of larger ones only paths are rows: tasks stream them in
+    steps. Where tasks can't open a store themselves, the driver streams, one file after another.
+    """
     files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole).select("path", "length")
+    if large.isEmpty():
+        return small
+    done = materialize(large.repartition("path").mapInArrow(_streamed, "path string, length long, sha256 string"), "digests")
+    left = [(r["path"], r["length"], _streamed_here(spark, r["path"])) for r in done.where("sha256 is null").toLocalIterator()]
+    out = small.unionByName(done.where("sha256 is not null"))
+    return out.unionByName(spark.createDataFrame(left, "path string, length long, sha256 string")) if left else out
 
 
 def collect_replicas(spark: SparkSession, frames: list[DataFrame], seeds: DataFrame, path_col: str = "_path") -> DataFrame:
