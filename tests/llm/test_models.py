@@ -90,7 +90,8 @@ def test_toxicity(spark):
 
 def _recall(x, queries, k=20):
     """Recall of each query's k nearest, on a graph of all of ``x`` searched as a shard is."""
-    found, _ = hnsw.search(x.astype(np.float32), hnsw.build(hnsw.directions(x)), hnsw.directions(x[queries]), k + 1)
+    graph = hnsw.build(hnsw.linked(x))
+    found, _ = hnsw.search(x.astype(np.float32), graph, hnsw.directions(x[queries]), k + 1, hnsw.beam_for(x, graph, k + 1))
     products = x[queries] @ x.T
     products[np.arange(len(queries)), queries] = -np.inf
     want = np.argsort(-products, axis=1)[:, :k]
@@ -101,11 +102,14 @@ def _unit(x):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("shape", ["isotropic", "unequal norms", "clusters", "tight groups"])
+@pytest.mark.parametrize("shape", ["isotropic", "unequal norms", "clusters", "tight groups", "one direction, unequal norms", "half a direction, unequal norms", "one direction", "wide"])
 def test_recall_of_a_full_shard(shape):
     rng, n = np.random.default_rng(1), nearest.SHARD_NODES
-    x = _unit(rng.normal(size=(n, 64)))
-    if shape == "unequal norms":
+    x = _unit(rng.normal(size=(n, 128 if shape == "wide" else 64)))
+    if "direction" in shape:
+        share = 0.5 if "half" in shape else 0.9
+        x = _unit(np.sqrt(share) * _unit(rng.normal(size=(1, 64))) + np.sqrt(1 - share) * x)
+    if "unequal norms" in shape:
         x *= rng.uniform(1 / nearest.BAND, 1, (n, 1))
     if shape == "clusters":
         x = x[rng.integers(0, 100, n)] + rng.normal(size=(n, 64)) * 0.1
@@ -122,6 +126,7 @@ def test_graph_of_one_node():
 
 def test_shards_keep_to_lengths_and_bands():
     got = nearest.deal([(64, 0, 60_000), (64, 1, 10), (64, 2, 20), (64, 9, 20), (64, -3, 5), (8, 0, 7)])
+    assert nearest.deal([(4096, 0, 5_000)]) == [(4096, 0, 0, 5)]
     assert got == [(8, 0, 0, 1), (64, -3, 1, 1), (64, 0, 2, 3), (64, 1, 5, 1), (64, 2, 5, 1), (64, 9, 6, 1)] and nearest.deal([]) == []
 
 

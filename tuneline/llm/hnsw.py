@@ -1,8 +1,10 @@
 """A hierarchical navigable small-world graph in flat neighbour arrays (numpy).
 
 Points go in by batches: each batch searches the graph so far side by side, and its points
-also look at each other. The graph links directions (unit vectors), and a search walks it by
-inner products with the points themselves; norms in one graph should lie close together.
+also look at each other. The graph links unit vectors, and a search walks it by inner products with
+the points themselves. Where vectors point all ways, the unit vectors are their directions, and norms in one graph
+should lie close together; where they share a direction, so that the longest ones are near to every query, one more
+coordinate makes their norms equal and products of such vectors are what links.
 """
 
 from __future__ import annotations
@@ -22,6 +24,36 @@ def directions(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
 
 
+#: Mean cosine of a graph's vectors from which on they are linked by products.
+SHARED = 0.2
+#: Beams that are tried until a sample's recall reaches ENOUGH, and points of the sample.
+BEAMS, ENOUGH, SAMPLE = (SEARCH_BEAM, 2 * SEARCH_BEAM, 4 * SEARCH_BEAM, 8 * SEARCH_BEAM), 0.98, 128
+
+
+def linked(x: np.ndarray) -> np.ndarray:
+    """The unit vectors by which points are linked: directions, or, where they share one, the points with a coordinate that makes norms equal."""
+    d = directions(x)
+    if np.square(d.mean(0, dtype=float)).sum() < SHARED:
+        return d
+    x = x / np.abs(x).max()
+    squares = (x * x).sum(1)
+    most = squares.max()
+    return np.concatenate([x / np.sqrt(most), np.sqrt(np.maximum(0, 1 - squares / most))[:, None]], 1).astype(np.float32)
+
+
+def beam_for(x: np.ndarray, graph: dict[str, np.ndarray], k: int) -> int:
+    """The least of BEAMS with which a sample of the points finds ENOUGH of its k nearest, which are known from comparing it with all points."""
+    own = np.unique(np.linspace(0, len(x) - 1, SAMPLE).astype(int))
+    asked, points = directions(x[own]), (x / np.abs(x).max()).astype(np.float32)
+    k = min(k, len(x))
+    want = np.argpartition(-(asked @ points.T), k - 1, axis=1)[:, :k]
+    for beam in BEAMS:
+        found = search(points, graph, asked, k, beam)[0]
+        if np.mean([len(np.intersect1d(a, b)) / k for a, b in zip(found, want, strict=True)]) >= ENOUGH:
+            break
+    return beam
+
+
 def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``beam`` best nodes found for each query (-1 where fewer) and their products, best first.
 

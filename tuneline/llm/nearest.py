@@ -21,8 +21,8 @@ from tuneline.llm import hnsw
 from tuneline.llm.common import table
 from tuneline.session import materialize, require_columns
 
-#: Most nodes of a shard. Most queries that a shard's arrays are copied for, and the least where there are cores to fill.
-SHARD_NODES, BLOCK, LEAST_BLOCK = 25_000, 200_000, 512
+#: Most nodes of a shard, and bytes of their vectors. Most queries that a shard's arrays are copied for, and the least where there are cores to fill.
+SHARD_NODES, SHARD_BYTES, BLOCK, LEAST_BLOCK = 25_000, 32 << 20, 200_000, 512
 #: Ratio of norms between the bands that shards keep to. Bands of together no more than SMALL nodes, and within NEAR steps, share one.
 BAND, SMALL, NEAR = 1.25, 1_000, 3
 
@@ -53,14 +53,14 @@ def deal(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
             runs.append([length, [band], n])
     out, first = [], 0
     for length, bands, n in runs:
-        shards = -(-n // SHARD_NODES)
+        shards = -(-n // max(1, min(SHARD_NODES, SHARD_BYTES // (8 * length))))
         out += [(length, b, first, shards) for b in bands]
         first += shards
     return out
 
 
 def build_index(rows: DataFrame, k: int) -> DataFrame:
-    """One row a shard: length of its vectors, ids (flat, up to k + 1 smallest of each node), where each node's ids begin, vectors, and the graph's flat arrays.
+    """One row a shard: length of its vectors, ids (flat, up to k + 1 smallest of each node), where each node's ids begin, vectors, the graph's flat arrays, and the beam that finds enough of a sample's nearest.
 
     One row of counts for each length and band of norms reaches the driver.
     """
@@ -79,17 +79,17 @@ def build_index(rows: DataFrame, k: int) -> DataFrame:
         order = np.argsort([x[0] for x in ids], kind="stable")
         vectors = group.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
         ids = [ids[i] for i in order]
-        graph = hnsw.build(hnsw.directions(vectors))
+        graph = hnsw.build(hnsw.linked(vectors))
         flat = {"ids": np.array([i for x in ids for i in x], np.int64), "starts": np.cumsum([0, *map(len, ids)]), "vectors": vectors}
         names = sorted(graph)
-        row = {"shard": group.column("shard")[0].as_py(), "length": vectors.shape[1], **{n: x.tobytes() for n, x in flat.items()}, "names": names, "arrays": [graph[n].tobytes() for n in names]}
+        row = {"shard": group.column("shard")[0].as_py(), "length": vectors.shape[1], **{n: x.tobytes() for n, x in flat.items()}, "names": names, "arrays": [graph[n].tobytes() for n in names], "beam": hnsw.beam_for(vectors, graph, k + 1)}
         return pa.Table.from_pylist([row], _INDEX)
 
     apart = placed.repartition(max(1, min(shards, 10_000)), "shard")
-    return materialize(apart.groupBy("shard").applyInArrow(build, "shard int, length int, ids binary, starts binary, vectors binary, names array<string>, arrays array<binary>"), "index")
+    return materialize(apart.groupBy("shard").applyInArrow(build, "shard int, length int, ids binary, starts binary, vectors binary, names array<string>, arrays array<binary>, beam int"), "index")
 
 
-_INDEX = pa.schema([("shard", pa.int32()), ("length", pa.int32()), ("ids", pa.binary()), ("starts", pa.binary()), ("vectors", pa.binary()), ("names", pa.list_(pa.string())), ("arrays", pa.list_(pa.binary()))])
+_INDEX = pa.schema([("shard", pa.int32()), ("length", pa.int32()), ("ids", pa.binary()), ("starts", pa.binary()), ("vectors", pa.binary()), ("names", pa.list_(pa.string())), ("arrays", pa.list_(pa.binary())), ("beam", pa.int32())])
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -103,9 +103,10 @@ class _Shard:
         self.graph = {n: x if n == "entry" else x.reshape(len(self.vectors), -1) for n, x in held.items()}
         # Inner products of single precision choose; their scale doesn't matter, so that it may be brought near 1.
         self.points = (self.vectors / np.abs(self.vectors).max()).astype(np.float32)
+        self.beam = row["beam"]
 
     def find(self, own: list[int], asked: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-        near, _ = hnsw.search(self.points, self.graph, hnsw.directions(asked), k + 1)
+        near, _ = hnsw.search(self.points, self.graph, hnsw.directions(asked), k + 1, self.beam)
         out: list[tuple[int, int, float]] = []
         for q, v, nodes in zip(own, asked, near, strict=True):
             nodes = nodes[nodes >= 0]
@@ -156,7 +157,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
 
     Null, empty, zero and non-finite vectors take no part, and vectors of different length are
     never compared; repeated vectors are all candidates; with fewer than k candidates all are
-    returned; an empty table gives an empty table. Other columns are ignored, whatever their names.
+    returned; an empty table gives an empty table. Vectors may have any length: shards of wide ones have fewer nodes. Other columns are ignored, whatever their names.
     """
     rows = materialize(usable(vectors, id_col, vector_col), "vectors")
     return search_index(build_index(rows, k), rows.where(is_query), k)
