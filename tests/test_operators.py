@@ -510,3 +510,32 @@ def test_files_of_any_size_are_fingerprinted(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(tables, "_streamed", closed)
     assert named(tables.file_fingerprints(spark, str(tmp_path), whole=-1)) == wanted
+
+
+def test_grouped_scores_with_factors_of_their_own_number(spark):
+    """Three groups whose metrics have two, three and five eigenvalues of weight: each as it is alone."""
+    rng = np.random.default_rng(3)
+    names = ["m1", "m2", "m3", "m4", "m5", "m6", "Time_MeanFold"]
+    rows = []
+    for g, sources in (("a", 1), ("b", 4), ("c", 7)):
+        base = rng.normal(size=(80, sources))
+        x = base[:, np.arange(7) % sources] + rng.normal(size=(80, 7)) * 0.2
+        rows += [(g, i, *map(float, r[:6]), float(np.exp(r[6] / 4))) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, ("a", 99, None, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)], "g string, i int, " + ", ".join(f"{n} double" for n in names))
+    out = factors.factor_scores_by(df, ["g"], names, automatic=True).collect()
+    counts = set()
+    for g in "abc":
+        alone, found = factors.factor_scores(df.where(F.col("g") == g), names, automatic=True)
+        counts.add(k := found.loadings.shape[1])
+        want = {r["i"]: r for r in alone.collect()}
+        mine = {r["i"]: r for r in out if r["g"] == g}
+        assert mine.keys() == want.keys() and 99 not in mine
+        for i, r in want.items():
+            for c in [*(f"FACTOR{j + 1}_SCORE" for j in range(k)), "Score_Quality", "Score_Cost"]:
+                assert mine[i][c] == pytest.approx(r[c], abs=1e-9)
+            assert all(mine[i][c] is None for c in mine[i].asDict() if c.startswith("FACTOR") and int(c[6:-6]) > k)
+    assert len(counts) > 1
+    with pytest.raises(ValueError, match="missing"):
+        factors.factor_scores_by(df, ["g"], names, on_missing="error")
+    with pytest.raises(ValueError, match="weights"):
+        factors.factor_scores_by(df.dropna(), ["g"], names, automatic=True, weights=[1.0, 2.0])

@@ -138,51 +138,59 @@ def _complete(df: DataFrame, metrics: list[str], time_metric: str | None, mode:
     return held, materialize(held.where(sum((no_nan(F.col(c)).isNull().cast("int") for c in names), F.lit(0)) == 0), "complete"), names
 
 
-def factor_scores_by(df: DataFrame, by: list[str], metrics: list[str] | None = None, time_metric: str | None = "Time_MeanFold", mode: str = "log1p", k: int | None = 3, rotation: str = "varimax", weights: list[float] | None = None, combine: bool = True) -> DataFrame:
+def factor_scores_by(df: DataFrame, by: list[str], metrics: list[str] | None = None, time_metric: str | None = "Time_MeanFold", mode: str = "log1p", k: int | None = 3, automatic: bool = False, rotation: str = "varimax", weights: list[float] | None = None, combine: bool = True, on_missing: str = "drop") -> DataFrame:
     """factor_scores() of each group, for any number of groups: ``df`` with FACTOR<j>_SCORE, Score_Quality and Score_Cost.
 
     Moments are one aggregate; each group's small matrix is rotated where its row lies, and its
-    weights are joined back, so nothing reaches the driver but how many groups' cost scores
-    hardly fall as time grows, which is warned of. Null keys form a group; rows with a missing
-    metric are dropped, and the scores of a group of one row are null.
+    weights are joined back, so nothing reaches the driver but the largest number of factors and how many groups' cost scores
+    hardly fall as time grows, which is warned of. With ``automatic`` each group has its own number of factors, and
+    the scores of those that it lacks are null. Null keys form a group; rows with a missing
+    metric are dropped, or an error with ``on_missing='error'``, and the scores of a group of one row are null.
     """
     metrics = metrics or DEFAULT_METRICS
     require_columns(df, *by)
-    _, complete, names = _complete(df, metrics, time_metric, mode)
+    held, complete, names = _complete(df, metrics, time_metric, mode)
+    if on_missing == "error" and held.count() != complete.count():
+        raise ValueError("rows with missing metrics")
     timed = "_time" in names
-    p, k = len(names), factor_count(k, len(names), timed)
+    p = len(names)
 
     def turn(batches):
         for b in batches:
             out = b[by].copy()
-            found = [rotate(*read_moments(m, p), names, "_time" if timed else None, k, False, rotation) for m in b["moments"]]
-            out["_mean"], out["_dev"], out["_load"] = [f.means for f in found], [f.deviations for f in found], [f.loadings.ravel() for f in found]
+            found = [rotate(*read_moments(m, p), names, "_time" if timed else None, k, automatic, rotation) for m in b["moments"]]
+            # Weights lie metric by metric in rows of p, so that groups of any number of factors have arrays alike.
+            padded = [np.pad(f.loadings, ((0, 0), (0, p - f.loadings.shape[1]))).ravel() for f in found]
+            out["_mean"], out["_dev"], out["_load"], out["_k"] = [f.means for f in found], [f.deviations for f in found], padded, [f.loadings.shape[1] for f in found]
             out["_cost"], out["_quality"] = [-1 if f.cost is None else f.cost for f in found], [f.quality for f in found]
             yield out
 
     keys = StructType([StructField(c, df.schema[c].dataType) for c in by])
-    kinds = StructType(keys.fields + StructType.fromDDL("_mean array<double>, _dev array<double>, _load array<double>, _cost int, _quality int").fields)
+    kinds = StructType(keys.fields + StructType.fromDDL("_mean array<double>, _dev array<double>, _load array<double>, _k int, _cost int, _quality int").fields)
     turned = materialize(moments_frame(complete, names, by).mapInPandas(turn, kinds), "rotations")
+    most = (turned.agg(F.max("_k")).first()[0] or 1) if automatic else factor_count(k, p, timed)
     right = turned.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[f for f in turned.columns if f not in by])
     joined = complete.join(right, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], "left")
     z = [(no_nan(F.col(m)) - F.get("_mean", F.lit(i))) / F.get("_dev", F.lit(i)) for i, m in enumerate(names)]
-    factors = [f"FACTOR{j + 1}_SCORE" for j in range(k)]
-    scores = {f: sum((e * F.get("_load", F.lit(i * k + j)) for i, e in enumerate(z)), F.lit(0.0)) for j, f in enumerate(factors)}
-    held = zscore(joined.select(*complete.columns, "_cost", "_quality", *[e.alias(f) for f, e in scores.items()]), factors, by, "__z")
+    factors = [f"FACTOR{j + 1}_SCORE" for j in range(most)]
+    scores = {f: F.when(F.col("_k") > j, sum((e * F.get("_load", F.lit(i * p + j)) for i, e in enumerate(z)), F.lit(0.0))) for j, f in enumerate(factors)}
+    held = zscore(joined.select(*complete.columns, "_k", "_cost", "_quality", *[e.alias(f) for f, e in scores.items()]), factors, by, "__z")
     own = F.array(*[F.col(f"{f}__z") for f in factors])
-    if combine and timed and k >= 3:
-        weights = weights or [1.0] * (k - 1)
-        if len(weights) != k - 1:
-            raise ValueError(f"weights needed: {k - 1}")
+    alone = F.get(own, F.col("_quality"))
+    several = combine and timed and most >= 3
+    if weights and (automatic or len(weights) != (most - 1 if several else 1)):
+        raise ValueError("each group has weights of its own number of factors" if automatic else f"weights needed: {most - 1 if several else 1}")
+    if several:
+        weights = weights or [1.0] * (most - 1)
         # The cost factor has no weight, and those after it take the weight before their place.
-        share = [F.when(F.col("_cost") > j, F.lit(float(weights[min(j, k - 2)]))).when(F.col("_cost") < j, F.lit(float(weights[max(j - 1, 0)]))).otherwise(0.0) for j in range(k)]
-        high = sum((F.col(f"{f}__z") * w for f, w in zip(factors, share, strict=True)), F.lit(0.0)) / float(sum(weights))
+        share = [F.when(F.col("_cost") > j, F.lit(float(weights[min(j, most - 2)]))).when(F.col("_cost") < j, F.lit(float(weights[max(j - 1, 0)]))).otherwise(0.0) for j in range(most)]
+        high = sum((F.when(F.col("_k") > j, F.col(f"{f}__z") * w).otherwise(0.0) for j, (f, w) in enumerate(zip(factors, share, strict=True))), F.lit(0.0))
+        mean = high / (F.col("_k") - 1) if automatic else high / float(sum(weights))
+        high = F.when(F.col("_k") >= 3, mean).otherwise(alone)
     else:
-        if weights and len(weights) != 1:
-            raise ValueError("weights needed: 1")
-        high = F.get(own, F.col("_quality"))
+        high = alone
     out = held.withColumns({"Score_Quality": high, "Score_Cost": -F.get(own, F.col("_cost")) if timed else F.lit(0.0)})
-    out = materialize(out.drop("_time", "_cost", "_quality", *[f"{f}__z" for f in factors]), "grouped-scores")
+    out = materialize(out.drop("_time", "_k", "_cost", "_quality", *[f"{f}__z" for f in factors]), "grouped-scores")
     if timed:
         checked = out.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.corr("Score_Cost", no_nan(F.col(time_metric))).alias("_r"))
         bad = checked.where("_n >= 3 and _r > -0.30").count()

@@ -659,15 +659,26 @@ def _o54_untimed(spark, d):
     return out.select("l_suppkey", *[_r(c).alias(c) for c in ("FACTOR1_SCORE", "Score_Quality", "Score_Cost")])
 
 
-@query("O54_factor_scores_by", """with f as (select l_returnflag, l_suppkey, avg(l_quantity) as a, avg(l_quantity + l_extendedprice / 10000.0::double) as b from lineitem group by 1, 2),
+_SCORES_BY = """with f as (select l_returnflag, l_suppkey, avg(l_quantity) as a, avg(l_quantity + l_extendedprice / 10000.0::double) as b from lineitem group by 1, 2),
 z as (select *, (a - avg(a) over w) / stddev_samp(a) over w + (b - avg(b) over w) / stddev_samp(b) over w as s from f window w as (partition by l_returnflag))
-select l_returnflag, l_suppkey, round(s / sqrt(2), 6) as "FACTOR1_SCORE", round((s - avg(s) over w) / stddev_samp(s) over w, 6) as "Score_Quality", 0.0::double as "Score_Cost" from z window w as (partition by l_returnflag)""")
+select l_returnflag, l_suppkey, round(s / sqrt(2), 6) as "FACTOR1_SCORE", round((s - avg(s) over w) / stddev_samp(s) over w, 6) as "Score_Quality", 0.0::double as "Score_Cost" from z window w as (partition by l_returnflag)"""
+
+
+@query("O54_factor_scores_by", _SCORES_BY)
 def _o54_by(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.avg("l_quantity").alias("a"), F.avg(F.col("l_quantity") + F.col("l_extendedprice") / 10000).alias("b"))
     out = factors.factor_scores_by(rows, ["l_returnflag"], ["a", "b"], time_metric=None, k=1, rotation="none")
     return out.select("l_returnflag", "l_suppkey", *[_r(c).alias(c) for c in ("FACTOR1_SCORE", "Score_Quality", "Score_Cost")])
 
 
+@query("O54_factor_scores_by_automatic", _SCORES_BY)
+def _o54_by_automatic(spark, d):
+    """The same, each group with as many factors as have an eigenvalue over 1, which is one."""
+    rows = table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.avg("l_quantity").alias("a"), F.avg(F.col("l_quantity") + F.col("l_extendedprice") / 10000).alias("b"))
+    out = factors.factor_scores_by(rows, ["l_returnflag"], ["a", "b"], time_metric=None, automatic=True, rotation="none", on_missing="error")
+    return out.select("l_returnflag", "l_suppkey", *[_r(c).alias(c) for c in ("FACTOR1_SCORE", "Score_Quality", "Score_Cost")])
+
+
 def _surfaces(spark: SparkSession, d: str) -> list[surface.Surface]:
     rows = views.surface_input(spark, d).withColumn("cheap", -F.col("y") - F.col("a") / 10)
     return [surface.fit_surface(rows, ["a", "b", "c"], y) for y in ("y", "cheap")]
