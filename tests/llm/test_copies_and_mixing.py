@@ -6,7 +6,6 @@ import itertools
 import random
 import time
 
-import pyarrow as pa
 import pytest
 from conftest import SMALL, rows
 from plain import brute_groups, brute_lines
@@ -206,10 +205,3 @@ def test_confirming_is_dealt_out_by_shingles(spark, monkeypatch):
         monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", most)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs, words=3, percent=85).collect()}
         assert got == want and held
-
-
-def test_rows_alone_in_a_split_region_are_handed_on():
-    marks = [bytes(near_dup.HASHES)] * 4
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 3], pa.int64()), pa.array([10, 11, 12, 13], pa.int64()), pa.array(marks, pa.binary()), pa.array([False, True, False, False])], ["region", "id", "marks", "deep"])
-    out = [r for b in near_dup._first_round(85, 0.7)(iter([batch])) for r in b.to_pylist()]
-    assert {"a": 11, "b": 11} in out and not any(r["a"] == 10 for r in out) and {"a": 12, "b": 13} in out
