@@ -539,3 +539,35 @@ def test_grouped_scores_with_factors_of_their_own_number(spark):
         factors.factor_scores_by(df, ["g"], names, on_missing="error")
     with pytest.raises(ValueError, match="weights"):
         factors.factor_scores_by(df.dropna(), ["g"], names, automatic=True, weights=[1.0, 2.0])
+
+
+def test_blocks_delete_their_own_tables_only(spark):
+    """Two threads of one driver, one of which ends its block while the other still reads; and a block in a block."""
+    import threading
+
+    written, ended, found = threading.Event(), threading.Event(), []
+
+    def other():
+        with session.scratch(spark):
+            table = session.materialize(spark.range(5), "theirs")
+            written.set()
+            ended.wait(60)
+            found.append(table.count())
+        with pytest.raises(Exception):  # noqa: B017
+            table.count()
+        found.append("gone")
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with session.scratch(spark):
+        written.wait(60)
+        mine = session.materialize(spark.range(3), "mine")
+        with session.scratch(spark):
+            inner = session.materialize(spark.range(2), "inner")
+        with pytest.raises(Exception):  # noqa: B017
+            inner.count()
+        assert mine.count() == 3
+    ended.set()
+    thread.join()
+    assert found == [5, "gone"]
+    assert session.materialize(spark.range(4), "kept").count() == 4

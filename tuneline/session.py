@@ -7,11 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths of the intermediate tables of this process that no scratch() block has deleted.
-_WRITTEN: list[str] = []
+#: Paths of the intermediate tables that the innermost scratch() block of this thread has to delete; None outside of blocks.
+_OPEN: ContextVar[list[str] | None] = ContextVar("tuneline_scratch", default=None)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,16 +37,22 @@ def scratch_root(spark: SparkSession) -> str:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete the intermediate tables written inside the block when it ends; results must have been written or collected by then."""
-    begun = len(_WRITTEN)
+    """Delete the intermediate tables written inside the block when it ends; results must have been written or collected by then.
+
+    A block has the tables of its own thread, and not those of blocks inside it, which are gone before. Tables written
+    outside of any block, as those of the registered queries and of corpus_pipeline.run, stay, since the
+    result still reads them: whoever has the result deletes the folder ``tuneline`` below the shared one.
+    """
+    written: list[str] = []
+    token = _OPEN.set(written)
     try:
         yield
     finally:
+        _OPEN.reset(token)
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in _WRITTEN[begun:]:
+        for path in written:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
-        del _WRITTEN[begun:]
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -56,11 +63,12 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tuneline/{name}-{uuid.uuid4().hex}"
+    if (written := _OPEN.get()) is not None:
+        written.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
