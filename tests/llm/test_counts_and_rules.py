@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -222,3 +223,47 @@ def test_lexicon_is_bounded_in_bytes(spark, monkeypatch):
     assert bpe.frequent_words(docs, path) == sorted([b"a", b" a", b" bb", b" longer", b" x"])
     monkeypatch.setattr(bpe, "LEXICON_BYTES", 6)
     assert bpe.frequent_words(docs, path) == [b" a", b" bb"]
+
+
+def test_token_counts_query_equals_the_library(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(token_counts.MODEL))
+    found = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in queries.QUERIES["op5_token_counts"](spark, SMALL).collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    assert len(found) == len(docs)
+    for r in docs:
+        n = len(model.encode(r["text"] or ""))
+        assert found[r["doc_id"]] == (len((r["text"] or "").encode()), n, n > 4096)
+
+
+def test_posterior_equals_a_plain_expectation_maximisation():
+    """The same model in loops over patterns, rules and votes, on random tables."""
+    rng = np.random.default_rng(6)
+    for _ in range(5):
+        patterns = np.unique(rng.integers(-1, 2, (12, 4)), axis=0)
+        counts = rng.integers(1, 400, len(patterns)).astype(float)
+        rules, votes, trust, weight = range(4), (-1, 0, 1), 0.95, 100
+        post = [1 / (1 + math.exp(-sum(p))) for p in patterns.tolist()]
+        cast = [[counts[patterns[:, r] == v].sum() for v in votes] for r in rules]
+        cast = [[c * weight / max(row[0] + row[2], 1) for c in row] for row in cast]
+        prior = 0.5
+        for _ in range(1000):
+            good = sum(c * p for c, p in zip(counts, post, strict=True))
+            prior = (good + 1) / (counts.sum() + 2)
+            chance = {}
+            for r in rules:
+                for of in (0, 1):
+                    belief = {-1: 1 - trust if of else trust, 0: prior if of else 1 - prior, 1: trust if of else 1 - trust}
+                    total = [sum(c * (q if of else 1 - q) for c, q, p in zip(counts, post, patterns, strict=True) if p[r] == v) + cast[r][i] * belief[v] + 1e-6 for i, v in enumerate(votes)]
+                    for v, n in zip(votes, total, strict=True):
+                        chance[r, of, v] = n / sum(total)
+            new = []
+            for p in patterns.tolist():
+                odds = math.log(prior / (1 - prior)) + sum(math.log(chance[r, 1, p[r]]) - math.log(chance[r, 0, p[r]]) for r in rules)
+                new.append(1 / (1 + math.exp(-max(-60, min(60, odds)))))
+            moved, post = max(abs(a - b) for a, b in zip(new, post, strict=True)), new
+            if moved < 1e-9:
+                break
+        got, _, share = quality_rules.fit_votes(patterns, counts)
+        assert np.allclose(got, post, atol=1e-6) and abs(share - prior) < 1e-6

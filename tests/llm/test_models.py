@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -260,3 +263,37 @@ def test_one_long_text_does_not_end_the_toxicity_sample(spark, monkeypatch):
     text = dict(texts)
     hit = next(i for i in got if i % 3 == 0 and i != first)
     assert [text[hit][s["start"] :].startswith("you vileword now") for s in got[hit]["offending"]] == [True]
+
+
+def test_quality_scores_equal_a_plain_vote(spark):
+    """Every score of the whole small table: all cosines with all voters, sorted, the nearest fifteen weighed by hand."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    learned = sorted((str(i), i) for i in labels if i in docs and zlib.crc32(str(i).encode()) % 3 != 1)
+    terms = np.array([quality_classifier.term_vector(docs[i]).astype(np.float32) for _, i in learned], float)
+    mean, space = quality_classifier.fit_space(terms)
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    voters = [(unit((t - mean) @ space), labels[i]) for t, (_, i) in zip(terms, learned, strict=True)]
+    for r in queries.QUERIES["op4_quality_classifier"](spark, SMALL).collect():
+        own = unit((quality_classifier.term_vector(docs[r["doc_id"]]) - mean) @ space)
+        nearest_first = sorted(((float(own @ v), y) for v, y in voters), key=lambda x: -x[0])[: quality_classifier.NEIGHBOURS]
+        weights = [max(c, 1e-6) ** quality_classifier.POWER for c, _ in nearest_first]
+        assert r["score"] == pytest.approx(sum(w * y for w, (_, y) in zip(weights, nearest_first, strict=True)) / sum(weights), abs=1e-6)
+        assert r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_toxicity_equals_a_plain_noisy_or(spark, monkeypatch):
+    """Every score of the whole small table from the fitted weights, sentence by sentence."""
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda *a, f=toxicity.fit, **k: fitted.append(f(*a, **k)) or fitted[-1])
+    found = {r["doc_id"]: r for r in queries.QUERIES["op7_toxicity"](spark, SMALL).collect()}
+    weight, bias = fitted[0]
+    assert np.count_nonzero(weight) > 0
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        innocent = 1.0
+        for sentence in re.split(r"[.!?\n]", (r["text"] or "").lower()):
+            words = set(re.findall(r"\w+", sentence))
+            if words:
+                logit = bias + sum(weight[t] for w in words for t in toxicity.word_terms(w))
+                innocent *= 1 - 1 / (1 + math.exp(-max(-30, min(30, logit))))
+        assert found[r["doc_id"]]["score"] == pytest.approx(1 - innocent, abs=1e-9)
