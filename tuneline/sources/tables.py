@@ -195,7 +195,7 @@ def collect_replicas(spark: SparkSession, frames: list[DataFrame], seeds: DataFr
     """The union of replicas' summaries with replica and seed in front; ``path_col`` holds a folder named replica_<n>, ``seeds`` replica and seed."""
     rows = union_ragged(frames).withColumn("replica", F.regexp_extract(path_col, r"replica[_=](\d+)", 1).try_cast("long"))
     rest = [c for c in rows.columns if c not in ("replica", "seed", path_col)]
-    return rows.drop("seed").join(F.broadcast(seeds.select("replica", "seed")), "replica").select("replica", "seed", *rest)
+    return rows.drop("seed").join(seeds.select("replica", "seed"), "replica").select("replica", "seed", *rest)
 
 
 def read_replicas(spark: SparkSession, root: str, seeds: DataFrame, kind: str = "parquet") -> DataFrame:
