@@ -39,7 +39,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("window lies between 1 and min_words")
     place = ["_id", "_hash"]
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    lines = base.select(*place, "pos", F.xxhash64("line").alias("h"), count_words(F.col("line")).alias("words")).where("words > 0")
+    # A second hash beside the fingerprints' one: 128 bits tell lines apart.
+    lines = base.select(*place, "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("more"), count_words(F.col("line")).alias("words")).where("words > 0")
     lines = lines.repartition(*place).distinct()
     order = Window.partitionBy(*place).orderBy("pos")
     all_ = Window.partitionBy(*place)
@@ -57,13 +58,13 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = lines.alias("l").join(anchors.alias("r"), [*same, F.col("l.i") == F.col("r.i")], "left").select("l.*", F.coalesce("r.anchor", F.lit(False)).alias("anchor"))
     # Texts without a repeated fingerprint have no run.
     marked = marked.withColumn("any", F.max("anchor").over(all_)).where("any")
-    row = F.struct("h", "words", "pos", "anchor")
+    row = F.struct("h", "more", "words", "pos", "anchor")
     ahead, behind = F.collect_list(row).over(order.rowsBetween(0, min_words - 1)), F.reverse(F.collect_list(row).over(order.rowsBetween(1 - min_words, 0)))
     seen = marked.select(*place, "i", ahead.alias("ahead"), behind.alias("behind"))
 
     def stretch(side: str) -> Column:
         part = F.slice(F.col(side), 1, F.col(f"n_{side}"))
-        spelled = F.concat_ws(",", F.transform(part if side == "ahead" else F.reverse(part), lambda x: x["h"].cast("string")))
+        spelled = F.concat_ws(",", F.transform(part if side == "ahead" else F.reverse(part), lambda x: F.concat_ws(":", x["h"].cast("string"), x["more"].cast("string"))))
         ends = F.transform(part, lambda x: x["pos"])
         found = F.struct(F.md5(spelled.cast("binary")).alias("key"), F.array_min(ends).alias("first"), F.array_max(ends).alias("last"))
         return F.when(F.col(f"n_{side}").isNotNull() & F.exists(part, lambda x: x["anchor"]), found)
