@@ -267,3 +267,13 @@ def test_posterior_equals_a_plain_expectation_maximisation():
                 break
         got, _, share = quality_rules.fit_votes(patterns, counts)
         assert np.allclose(got, post, atol=1e-6) and abs(share - prior) < 1e-6
+
+
+def test_columns_of_clashing_names_and_long_values(spark):
+    docs = spark.createDataFrame([(1, "some good words here. and more of them.", 7, 0.1, "x"), (2, None, 7, 0.1, "x")], "doc_id long, text string, n_words int, quality double, _text string")
+    judged = quality_rules.judge(docs).collect()
+    assert {r["doc_id"]: r["n_words"] for r in judged} == {1: 8, 2: 0} and all(0 <= r["quality"] <= 1 for r in judged)
+    urls = [(1, "http://example.com/en/" + "a" * 1_000_000), (2, "x" * 100_000 + "://m.example.com/en/"), (3, "http://" + "s." * 300 + "net/fr/")]
+    pages = spark.createDataFrame([(i, u, "own", "own") for i, u in urls], "page_id long, url string, token string, rule string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, url_filter.RULES).collect()}
+    assert got == {1: ("example.com/en/", "block"), 2: ("example.com/en/", "block"), 3: ("net/fr/", "block")}

@@ -297,3 +297,24 @@ def test_toxicity_equals_a_plain_noisy_or(spark, monkeypatch):
                 logit = bias + sum(weight[t] for w in words for t in toxicity.word_terms(w))
                 innocent *= 1 - 1 / (1 + math.exp(-max(-30, min(30, logit))))
         assert found[r["doc_id"]]["score"] == pytest.approx(1 - innocent, abs=1e-9)
+
+
+def test_wide_vectors(spark, monkeypatch):
+    """Wide vectors lie in shards of few nodes, are copied a few at once, and are found like others."""
+    monkeypatch.setattr(nearest, "SHARD_BYTES", 1 << 20)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 1_024)).astype(np.float32).astype(float)
+    assert nearest.deal([(1_024, 0, len(x))]) == [(1_024, 0, 0, 3)]
+    graph = hnsw.build(hnsw.linked(x))
+    monkeypatch.setattr(hnsw, "COPIED", 5_000)
+    few = hnsw.build(hnsw.linked(x))
+    assert graph.keys() == few.keys() and all(np.array_equal(graph[n], few[n]) for n in graph)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found: dict = {}
+    for r in nearest.nearest(df, F.col("id") % 60 == 0, k=5).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sorted(found) == [0, 60, 120, 180, 240]
+    for q, got in found.items():
+        products = x @ x[q]
+        products[q] = -np.inf
+        assert len(set(got) & set(np.argsort(-products)[:5].tolist())) >= 4

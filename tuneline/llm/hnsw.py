@@ -16,6 +16,8 @@ LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 64, 384
 #: Beam of a search on upper layers, and how many of what it finds start the next layer.
 UPPER_BEAM, STARTS = 48, 16
 _BATCH = 384
+#: Numbers of points that are copied at once.
+COPIED = 1 << 24
 
 
 def directions(x: np.ndarray) -> np.ndarray:
@@ -54,6 +56,14 @@ def beam_for(x: np.ndarray, graph: dict[str, np.ndarray], k: int) -> int:
     return beam
 
 
+def _products(points: np.ndarray, ids: np.ndarray, with_: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Products of ``points[ids]`` with ``with_[own]``, so many at once that the copies stay small, however wide the points are."""
+    out, step = np.empty(len(ids), np.float32), max(1, COPIED // points.shape[1])
+    for i in range(0, len(ids), step):
+        out[i : i + step] = np.einsum("ed,ed->e", points[ids[i : i + step]], with_[own[i : i + step]])
+    return out
+
+
 def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``beam`` best nodes found for each query (-1 where fewer) and their products, best first.
 
@@ -67,7 +77,7 @@ def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, star
     r, c = np.nonzero(start >= 0)
     n = start.shape[1]
     ids[:, :n] = start
-    near[r, c] = np.einsum("ed,ed->e", points[start[r, c]], queries[r])
+    near[r, c] = _products(points, start[r, c], queries, r)
     opened[:, :n] = start < 0
     seen[r, start[r, c]] = True
     best = np.argsort(-near[:, :n], axis=1, kind="stable")
@@ -88,7 +98,7 @@ def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, star
         r, c = np.nonzero(new >= 0)
         seen[rows[r], new[r, c]] = True
         found = np.full(new.shape, -np.inf, np.float32)
-        found[r, c] = np.einsum("ed,ed->e", points[new[r, c]], queries[rows[r]])
+        found[r, c] = _products(points, new[r, c], queries, rows[r])
         all_near, all_ids = np.concatenate([near[rows], found], 1), np.concatenate([ids[rows], new], 1)
         all_open = np.concatenate([opened[rows], new < 0], 1)
         best = np.argsort(-all_near, axis=1, kind="stable")[:, :beam]
@@ -99,6 +109,9 @@ def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, star
 
 def _spread(points: np.ndarray, ids: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
     """Of each row's candidates, best first, those nearer to the row's point than to any taken before; filled up with the best others."""
+    step = max(1, COPIED // max(1, ids.shape[1] * points.shape[1]))
+    if len(ids) > step:
+        return np.concatenate([_spread(points, ids[i : i + step], near[i : i + step], most) for i in range(0, len(ids), step)])
     own = points[np.maximum(ids, 0)]
     among = np.einsum("qid,qjd->qij", own, own)
     taken = np.zeros(ids.shape, bool)
@@ -122,8 +135,9 @@ def _connect(points: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np.
     extra = np.full((len(nodes), int(count.max(initial=0))), -1, np.int32)
     extra[np.repeat(np.arange(len(nodes)), count), np.arange(len(to)) - np.repeat(first, count)] = back
     all_ids = np.concatenate([links[nodes], extra], 1)
-    near = np.einsum("nkd,nd->nk", points[np.maximum(all_ids, 0)], points[nodes])
-    near[all_ids < 0] = -np.inf
+    near = np.full(all_ids.shape, -np.inf, np.float32)
+    r, c = np.nonzero(all_ids >= 0)
+    near[r, c] = _products(points, all_ids[r, c], points, nodes[r])
     order = np.argsort(-near, axis=1, kind="stable")[:, : 2 * most]
     ids, near = np.take_along_axis(all_ids, order, 1), np.take_along_axis(near, order, 1)
     full = (ids >= 0).sum(1) > most

@@ -81,7 +81,8 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
 
     ``learn_from`` says which rows of ``labels`` may be learned from. Empty and null texts
     have a term vector of their own and get a score like others; repeated rows get equal
-    scores; without labelled rows all scores are 0.5; an empty table gives an empty table.
+    scores; without labelled rows all scores are 0.5; an empty table gives an empty table. Texts are read whole,
+    however long; columns that ``keep`` doesn't name are ignored, whatever their names.
     Driver and broadcast hold at most ``sample`` rows of each label.
     """
     require_columns(docs, id_col, text_col, *keep)

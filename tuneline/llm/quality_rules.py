@@ -131,7 +131,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     """One row a document: id, FEATURES, one vote_ column a rule, quality (posterior) and good.
 
     Empty and null texts have zero counts, on which most rules abstain. Repeated rows are
-    judged alike; an empty table gives an empty table. The driver gets one row for each
+    judged alike; an empty table gives an empty table. Texts are read whole, however long, and further columns
+    are ignored, whatever their names. The driver gets one row for each
     vote pattern there is: 3 to the number of rules (19,683) at most.
     """
     rules = votes()

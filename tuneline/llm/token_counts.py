@@ -133,7 +133,8 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """One row a document: id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > ``limit``).
 
     A null text counts as an empty one, with no bytes and no tokens. Repeated rows are
-    counted each, and texts whole, however long; an empty table gives an empty table. ``path`` must exist on every executor.
+    counted each, and texts whole, however long; an empty table gives an empty table.
+    Further columns are ignored, whatever their names. ``path`` must exist on every executor.
     """
     require_columns(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()

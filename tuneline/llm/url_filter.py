@@ -83,7 +83,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defaul
     rule is the name of the fitting rule of tier 1, or null; method_rule that of the fitting
     pattern rule of tier 0; the verdict is that of the first of the two there is, else
     ``default``. A null url, or one without ``://``, has empty host and path and fits nothing.
-    Repeated rows are judged alike; an empty table gives an empty table.
+    Repeated rows are judged alike; urls are read whole, however long; an empty table gives an empty table.
     """
     require_columns(pages, url_col)
     if not rules or len(rules) > MAX_RULES or any(not r.tokens for r in rules):
