@@ -571,3 +571,26 @@ def test_blocks_delete_their_own_tables_only(spark):
     thread.join()
     assert found == [5, "gone"]
     assert session.materialize(spark.range(4), "kept").count() == 4
+
+
+def test_replicas_of_constant_metrics_have_candidates(spark):
+    """Penalties that leave no coefficient give every row of the design the same metrics, which correlate with nothing."""
+    from tuneline.plans import pipeline
+
+    data = spark.range(60).select("id", (F.col("id") % 3 < 2).cast("int").alias("y"), (F.col("id") % 7).cast("double").alias("x"))
+    box = {"regParam": Factor(50.0, 60.0), "elasticNetParam": Factor(0.5, 1.0)}
+    more = dict(k=3, top=2, baselines=(), search={"step": 0.5, "starts": 3, "samples": 5, "rounds": 1})
+    job = (data, ["x"], "y", "id", sampling.random_configs(spark, box, 8, 1), box)
+    alone = pipeline.replica_pipeline(*job, 42, **more).collect()
+    both = pipeline.replicate(*job, [(0, 42)], stop_at_failure=True, **more).collect()
+    for r in [*alone, *both]:
+        assert (r["method"], r["Accuracy_Mean"], r["Recall_Mean"], r["Specificity_Mean"]) == ("main", pytest.approx(2 / 3), 1.0, 0.0)
+
+
+def test_correlations_of_constants_are_missing(spark):
+    df = spark.createDataFrame([(float(i), 5.0, float(i * i)) for i in range(6)], "a double, b double, c double")
+    corr = {(r["a"], r["b"]): r["r"] for r in linalg.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    assert corr["a", "c"] == pytest.approx(np.corrcoef(range(6), [i * i for i in range(6)])[0, 1]) and corr["a", "a"] == pytest.approx(1)
+    assert all(corr[p] is None for p in corr if "b" in p)
+    assert linalg.moments(df, ["a", "b", "c"])[2][1].tolist() == [0.0, 1.0, 0.0]
+    assert factors.score_sanity(df, "b", "a").first().asDict() == {"n": 6, "corr": None, "warn": False}

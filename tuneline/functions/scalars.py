@@ -38,6 +38,11 @@ def no_nan(c: Column) -> Column:
     return F.when(F.isnan(d) | (F.abs(d) == float("inf")), None).otherwise(d)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation as an aggregate over rows without missing values; null where a side doesn't vary, for which Spark's own divides by zero."""
+    return F.try_divide(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a)), F.stddev_pop(b))
+
+
 def cast_factor(c: Column, is_int: bool) -> Column:
     """Whole-number factors round half to even; the others are doubles."""
     return F.bround(c.cast("double")).cast("long") if is_int else c.cast("double")

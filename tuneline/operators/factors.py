@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tuneline.functions.scalars import no_nan, transform_time
+from tuneline.functions.scalars import correlation, no_nan, transform_time
 from tuneline.operators.linalg import moments, moments_frame, read_moments, varimax
 from tuneline.session import materialize, require_columns
 
@@ -125,7 +125,7 @@ def combine_scores(df: DataFrame, factors: list[str], cost: str | None, quality:
 def score_sanity(df: DataFrame, cost: str, time_metric: str, limit: float = -0.30) -> DataFrame:
     """One row: n, corr and warn. The cost score should fall as time grows; with under 3 complete rows there is no verdict."""
     rows = df.select(no_nan(F.col(cost)).alias("c"), no_nan(F.col(time_metric)).alias("t")).dropna()
-    checked = rows.agg(F.count(F.lit(1)).alias("n"), F.corr("c", "t").alias("r"))
+    checked = rows.agg(F.count(F.lit(1)).alias("n"), correlation(F.col("c"), F.col("t")).alias("r"))
     corr = F.when(F.col("n") >= 3, F.col("r"))
     return checked.select("n", corr.alias("corr"), F.coalesce(corr > limit, F.lit(False)).alias("warn"))
 
@@ -192,7 +192,7 @@ def factor_scores_by(df: DataFrame, by: list[str], metrics: list[str] | None = N
     out = held.withColumns({"Score_Quality": high, "Score_Cost": -F.get(own, F.col("_cost")) if timed else F.lit(0.0)})
     out = materialize(out.drop("_time", "_k", "_cost", "_quality", *[f"{f}__z" for f in factors]), "grouped-scores")
     if timed:
-        checked = out.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.corr("Score_Cost", no_nan(F.col(time_metric))).alias("_r"))
+        checked = out.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), correlation(F.col("Score_Cost"), no_nan(F.col(time_metric))).alias("_r"))
         bad = checked.where("_n >= 3 and _r > -0.30").count()
         if bad:
             warnings.warn(f"Score_Cost hardly falls as {time_metric} grows in {bad} groups", stacklevel=2)

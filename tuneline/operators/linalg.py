@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuneline.functions.scalars import no_nan
+from tuneline.functions.scalars import correlation, no_nan
 from tuneline.operators.blocks import moment_cells
 from tuneline.session import require_columns
 
@@ -28,7 +28,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
         return _wide_correlations(df, columns)
     values = df.select(*[no_nan(F.col(c)).alias(c) for c in columns]).dropna()
     places = range(len(columns))
-    wide = values.agg(*[F.corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i in places for j in places if i <= j])
+    wide = values.agg(*[correlation(F.col(columns[i]), F.col(columns[j])).alias(f"r{i}_{j}") for i in places for j in places if i <= j])
     cells = [F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"r{min(i, j)}_{max(i, j)}").alias("r")) for i in places for j in places]
     return wide.select(F.inline(F.array(*cells)))
 
@@ -84,7 +84,7 @@ def moments_frame(df: DataFrame, columns: list[str], by: list[str] | None = None
     """``by``, n and moments, an array: means, sample deviations and correlations of the pairs i < j. Rows with a missing value are left out; one aggregate."""
     values = df.select(*(by or []), *[no_nan(F.col(c)).alias(f"_v{i}") for i, c in enumerate(columns)]).dropna(subset=[f"_v{i}" for i in range(len(columns))])
     names = [f"_v{i}" for i in range(len(columns))]
-    sums = [*[F.avg(c) for c in names], *[F.stddev_samp(c) for c in names], *[F.corr(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]]
+    sums = [*[F.avg(c) for c in names], *[F.stddev_samp(c) for c in names], *[correlation(F.col(a), F.col(b)) for i, a in enumerate(names) for b in names[i + 1 :]]]
     return values.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("moments"))
 
 
