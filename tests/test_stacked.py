@@ -143,3 +143,36 @@ def test_partitions_into_folds_share_passes(spark):
             alone = evaluate.prepared(df, ["a", "b", "c"], "y", "id", 4, seed)
             want |= {(p, r["config_id"]): r["Precision_Mean"] for r in evaluate.cv_evaluate(alone, [c for q, c in jobs if q == p], factory, k=4).collect()}
         assert got == pytest.approx(want)
+
+
+def test_a_newton_pass_holds_no_products_of_all_pairs(spark, monkeypatch):
+    """64 variables and 40 models: the sums of a plain pass, from a few MB of blocks."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    n, width = 4_096, 64
+    x, y, fold, held = rng.normal(size=(n, width)), rng.integers(0, 2, n).astype(float), rng.integers(0, 5, n), np.arange(40) % 5
+    w = rng.normal(0, 0.1, (40, width + 1))
+    batch = pa.RecordBatch.from_arrays([pa.array(y), pa.array(fold), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width)], ["label", "fold", "values"])
+    seen = []
+
+    def here(df, sums):
+        tracemalloc.start()
+        found = {m: s for (m,), s in sums(iter([batch]))}
+        seen.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        return found
+
+    monkeypatch.setattr(stacked, "summed", here)
+    monkeypatch.setattr(stacked, "_collected", lambda found: found)
+    data = spark.range(1).selectExpr("0D as label", "0 as fold", "array(0D) as values")
+    scale = stacked.Scale(np.zeros(width), np.ones(width), np.zeros((1, 5)), np.zeros((1, 5, width)))
+    got = stacked._newton_sums(data, width, scale, w, np.zeros(40, int), held)
+    assert seen[0] < 40 << 20
+    z = np.column_stack([np.ones(n), x])
+    for m in (0, 39):
+        own, p = fold != held[m], 1 / (1 + np.exp(-z @ w[m]))
+        h = (z[own] * (p * (1 - p))[own, None]).T @ z[own]
+        assert np.allclose(got[m], np.concatenate([[-(y * np.log(p) + (1 - y) * np.log(1 - p))[own].sum()], z[own].T @ (p - y)[own], h[np.triu_indices(width + 1)]]))

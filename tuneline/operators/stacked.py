@@ -105,12 +105,12 @@ def scale_of(moments: dict[int, np.ndarray], width: int, k: int, parts: int) ->
 def _newton_sums(data: DataFrame, width: int, scale: Scale, weights: np.ndarray, part: np.ndarray, held: np.ndarray) -> dict[int, np.ndarray]:
     """For each model its summed loss, gradient and packed curvature over the rows outside its held fold: one pass."""
     q = width + 1
-    upper = np.triu_indices(q)
+    packed = q * (q + 1) // 2
     shared = data.sparkSession.sparkContext.broadcast((scale.mean, scale.deviation, weights, part, held))
 
     def sums(batches: Iterator[pa.RecordBatch]):
         mean, deviation, w, own, out = shared.value
-        total = np.zeros((len(out), 1 + q + len(upper[0])))
+        total = np.zeros((len(out), 1 + q + packed))
         seen = False
         for x, y, fold in _batches(batches, width):
             seen = True
@@ -120,8 +120,11 @@ def _newton_sums(data: DataFrame, width: int, scale: Scale, weights: np.ndarray,
             p = (1 + np.tanh(margin / 2)) / 2
             total[:, 0] += ((np.logaddexp(0, margin) - y[:, None] * margin) * learn).sum(0)
             total[:, 1 : 1 + q] += ((p - y[:, None]) * learn).T @ z
-            # Products of pairs of variables, once for all models.
-            total[:, 1 + q :] += (p * (1 - p) * learn).T @ (z[:, upper[0]] * z[:, upper[1]])
+            # A row of the packed curvatures at a time: products of all pairs of variables at once are 35 MB a copy for 64 of them.
+            bend, at = (p * (1 - p) * learn).T, 1 + q
+            for j in range(q):
+                total[:, at : at + q - j] += bend @ (z[:, j : j + 1] * z[:, j:])
+                at += q - j
         if seen:
             for m, s in enumerate(total):
                 yield (m,), s
