@@ -594,3 +594,20 @@ def test_correlations_of_constants_are_missing(spark):
     assert all(corr[p] is None for p in corr if "b" in p)
     assert linalg.moments(df, ["a", "b", "c"])[2][1].tolist() == [0.0, 1.0, 0.0]
     assert factors.score_sanity(df, "b", "a").first().asDict() == {"n": 6, "corr": None, "warn": False}
+
+
+def test_surfaces_of_few_groups_do_not_deal_rows_out_by_group(spark):
+    """Boxes of three groups are broadcast from the start, so no task gets a group's rows."""
+    rows = spark.range(200_000).selectExpr("id % 3 as g", "cast(id % 11 as double) as a", "cast(id % 7 + id % 11 as double) as y")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        out = surface.surfaces_by(rows, ["a"], "y", ["g"], alpha=1.0)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        fits = {(r["g"], r["term"]): r["coef"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    i = np.arange(200_000)
+    for g in range(3):
+        a, y = i[i % 3 == g] % 11, (i % 7 + i % 11)[i % 3 == g]
+        assert [fits[g, "a*a"], fits[g, "a"], fits[g, "Intercept"]] == pytest.approx(np.polyfit(a, y, 2).tolist(), abs=1e-6)

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructField, StructType
 
 from tuneline.functions.scalars import no_nan, quadratic_terms, term_expr
 from tuneline.operators.linalg import Fit, gram, gram_matrix, gram_of, solve
-from tuneline.session import require_columns
+from tuneline.session import materialize, require_columns
 
 
 @dataclass
@@ -114,7 +114,8 @@ def surfaces_by(df: DataFrame, factors: list[str], y: str, by: list[str], alpha:
     boxes = ends.withColumns({f"_half_{i}": F.when(F.col(f"_half_{i}") == 0, 1.0).otherwise(F.col(f"_half_{i}")) for i in range(len(factors))})
     box = [f"_{n}_{i}" for n in ("centre", "half") for i in range(len(factors))]
     # No key is null here, so the join can be left to Spark: a broadcast if the boxes are few, else a sort-merge with skew handling.
-    held = rows.join(boxes, by).select(*by, *box, F.col(y).alias("_y"), *[((F.col(c) - F.col(f"_centre_{i}")) / F.col(f"_half_{i}")).alias(c) for i, c in enumerate(factors)])
+    # Written boxes have a size that Spark knows beforehand; otherwise it deals all rows out by the keys before it sees that they are few.
+    held = rows.join(materialize(boxes, "boxes"), by).select(*by, *box, F.col(y).alias("_y"), *[((F.col(c) - F.col(f"_centre_{i}")) / F.col(f"_half_{i}")).alias(c) for i, c in enumerate(factors)])
     terms = quadratic_terms(factors)
     sums = gram(held, [term_expr(t, factors) for t in terms], F.col("_y"), [*by, *box])
     keys = [df.schema[c] for c in by]
