@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tuneline.operators import metrics, selection
@@ -41,6 +42,35 @@ def test_ranks_equal_sorting(spark, monkeypatch):
     assert selection.select_ranks(df.limit(0), ["g"], ["v"], ranks).count() == 0
 
 
+@pytest.mark.parametrize("held", [0, 140, 200])
+def test_sorted_and_counted_groups_meet(spark, monkeypatch, held):
+    """All groups are counted, or those of up to so many values are sorted, with groups joined by broadcast and by hash."""
+    rows = _rows(np.random.default_rng(3))
+    df = spark.createDataFrame(rows, "g string, v double, w double").repartition(6)
+    sizes = {n for c in (1, 2) for g in "abc" if (n := sum(r[0] == g and r[c] is not None and math.isfinite(r[c]) for r in rows))}
+    assert any(n > held for n in sizes) and any(n <= held for n in sizes) == bool(held)
+    want = _want(rows, lambda n: {0, n // 2, n - 1})
+    for few in (selection._FEW, 0):
+        monkeypatch.setattr(selection, "_FEW", few)
+        found = selection.select_ranks(df, ["g"], ["v", "w"], F.array(F.lit(0), F.expr("n div 2"), F.col("n") - 1), held).collect()
+        assert {(r["g"], r["column"], r["rank"]): r["value"] for r in found} == want and len(found) == len(want)
+
+
+def test_rows_of_small_groups_are_dealt_out_by_their_number(spark, monkeypatch):
+    """A task that sorts has as many rows as a part should have, and not what adaptive execution makes of packed bytes."""
+    monkeypatch.setattr(selection, "_PART", 1_000, raising=False)
+    df = spark.range(0, 40_000, 1, 4).select((F.col("id") % 4_000).alias("g"), F.lit(1.0).alias("v"))
+    out = selection.select_ranks(df, ["g"], ["v"], F.array(F.lit(0), F.col("n") - 1))
+    assert out.rdd.getNumPartitions() == 40 and out.count() == 8_000
+
+
+def test_rows_are_not_sorted_for_a_join_with_many_places(spark):
+    rows = spark.range(100).withColumn("x", F.col("id") % 7)
+    for n, kind in ((1, "BroadcastHashJoin"), (selection._FEW + 1, "ShuffledHashJoin")):
+        joined = rows.join(selection._few(rows.select("x").distinct(), n), "x", "left_semi")
+        assert kind in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_window_or_task_holds_a_group(spark):
     """A histogram of one large group has as many rows as a digit has values, not as the group."""
     df = spark.range(0, 400_000, 1, 8).select(F.lit("g").alias("g"), F.rand(3).alias("v"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tuneline.functions.scalars import no_nan
 from tuneline.operators.relational import group_max
-from tuneline.operators.selection import medians
+from tuneline.operators.selection import HELD, medians
 from tuneline.session import materialize, require_columns
 
 METRICS = ("accuracy", "precision", "recall", "specificity")
@@ -39,8 +39,8 @@ HELD_VALUES = 1_000_000
 def method_stats(df: DataFrame, by: str, columns: list[str], approximate: bool = False, held: int = HELD_VALUES) -> DataFrame:
     """Mean, sample deviation, median, extremes and count of non-missing values, for the columns there are; a null group stays.
 
-    Where a group has more than ``held`` values of a column, the exact medians come from histograms of all groups
-    and not from a task that holds its values; ``approximate`` takes a sketch.
+    Where a group has more than ``held`` values of a column, the exact medians of all groups come from ``selection``, where
+    those of large groups come from histograms and not from a task that holds their values; ``approximate`` takes a sketch.
     """
     require_columns(df, by)
     own, aggregates, values = [c for c in columns if c in df.columns], [], {}
@@ -56,7 +56,7 @@ def method_stats(df: DataFrame, by: str, columns: list[str], approximate: bool =
     if most <= held:
         right = df.groupBy(F.col(by).alias("_by")).agg(*[F.median(values[c]).alias(f"{c}_median") for c in own])
     else:
-        found = medians(df, [by], own)
+        found = medians(df, [by], own, min(held, HELD))
         right = found.groupBy(F.col(by).alias("_by")).agg(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"{c}_median") for c in own])
     joined = stats.join(right, F.col(by).eqNullSafe(F.col("_by")), "left")
     return joined.select(by, *[f"{c}_{s}" for c in own for s in STATISTICS])
